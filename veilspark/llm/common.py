@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,7 +49,7 @@ def rows_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) ->
         if not n:
             continue
         at = batch.schema.get_field_index(column)
-        sizes = pa.compute.binary_length(batch.column(at)).to_pylist()
+        sizes = pc.binary_length(batch.column(at)).to_pylist()
         begin = held = 0
         for i, size in enumerate(sizes):
             size = size or 0

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
         for b in rows_by_bytes(batches, hidden, SLICE_BYTES):
             column = b.column(b.schema.get_field_index(hidden))
             n = counter.count(column.to_pylist())
-            size = pa.compute.fill_null(pa.compute.binary_length(column), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i, f in enumerate(b.schema) if f.name != hidden] + [size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[*kept, *added],
