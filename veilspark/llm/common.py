@@ -58,3 +58,43 @@ def rows_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) ->
                 begin, held = i, 0
             held += size
         yield batch.slice(begin)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows or more in which no group is cut, from batches that are sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        last = [t.column(k)[n - 1].as_py() for k in keys]
+        lo, hi = 0, n - 1  # the last group's first row
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if [t.column(k)[mid].as_py() for k in keys] == last:
+                hi = mid
+            else:
+                lo = mid + 1
+            # rows are sorted, but a group's rows stand together at the end: bisection finds where they begin
+        if lo:
+            yield t.slice(0, lo)
+            held, n = t.slice(lo).to_batches(), n - lo
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(t: pa.Table, keys: list[str]) -> list[int]:
+    """First rows of the groups of a sorted table, and the number of rows."""
+    if not t.num_rows:
+        return [0]
+    new = None
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        x = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, t.num_rows - 1)), False).to_numpy(zero_copy_only=False)
+        new = x if new is None else new | x
+    return [0, *(new.nonzero()[0] + 1).tolist(), t.num_rows]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
+from veilspark.llm import jaccard_join, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, digests=True)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.shard_digest(_read(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_reputation.ORACLE_SQL}
+    return {"op1_url_filter": url_reputation.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
