@@ -61,7 +61,8 @@ class WordBpe:
                     words += self.words(self._normal(piece))
             fixed.append(n)
             parts.append(words)
-        self.cache.young.update(self._counted(self.cache.missing(set().union(*parts))))
+        counted = self._counted(self.cache.missing(set().union(*parts)))  # may begin a new generation
+        self.cache.young.update(counted)
         return [n + sum(map(self.cache.young.__getitem__, words)) for n, words in zip(fixed, parts, strict=True)]
 
     def _between(self, text: str) -> Iterator[str | None]:
