@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import jaccard_join, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
+from veilspark.llm import jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), WORD_VOCABULARY)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf_dedup.repeats(_read(spark, sf_dir, "documents"), keep_first=False).drop("kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_toxicity.toxicity_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
