@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
+from veilspark.llm import bitsliced, jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_toxicity.toxicity_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return bitsliced.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, digests=True)
 
@@ -50,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_reputation.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op1_url_filter": url_reputation.ORACLE_SQL, "op5_exact_topk": bitsliced.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
