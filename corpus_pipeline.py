@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import mil_toxicity, queries, sentencepiece_codec
+from veilspark.llm.common import stage
+from veilspark.llm import decontaminate, jaccard_join, lpf_dedup, mil_toxicity, queries, sentencepiece_codec
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +14,41 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mil_toxicity.score(docs, model, column="toxicity_score").where("toxicity_score < 0.3").drop("toxicity_score")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least doc_id."""
+    return jaccard_join.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 200 bytes or more that an earlier document, or the text before, has too."""
+    return lpf_dedup.without_repeats(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item; the others go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to."""
     return sentencepiece_codec.encode(docs, queries.PIECE_MODEL)
 
 
-STAGES = [("toxicity", toxicity), ("encoding", encoding)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("benchmark passages", benchmark_passages),
+    ("encoding", encoding),
+]
 
 #: SQL can't express the fitted classifier, the merge rounds or the suffix arrays.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written to the shared folder before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -172,10 +172,11 @@ def _runs(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 # --- the distributed part ---------------------------------------------------------------------------------------------
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """id_, text, and c1, c2: 128 bits that stand for the text."""
+def _texts(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """id_, text, c1, c2 (128 bits that stand for the text), and the ``carried`` columns as a struct, rest."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("id_"), text.alias("text")).withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(LENGTH), F.col("text"))})
+    rest = [F.struct(*carried).alias("rest")] if carried else []
+    return docs.select(F.col("doc_id").alias("id_"), text.alias("text"), *rest).withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(LENGTH), F.col("text"))})
 
 
 def _anchor_rows(texts: DataFrame, length: int, counted: bool) -> DataFrame:
@@ -201,16 +202,16 @@ def _anchor_rows(texts: DataFrame, length: int, counted: bool) -> DataFrame:
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """``texts`` with compressed text: it's about to be shuffled."""
+    """``texts`` (and what follows their first four columns) with compressed text: it's about to be shuffled."""
+    names = ["id_", "c1", "c2", *[c for c in texts.columns if c not in ("id_", "c1", "c2", "text")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            packed = pa.array([press.compress(t) for t in b.column(3).cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], names=["id_", "c1", "c2", "packed"])
+            packed = pa.array([press.compress(t) for t in b.column(0).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], packed], names=[*names, "packed"])
 
-    kind = dict(texts.dtypes)["id_"]
-    return texts.select("id_", "c1", "c2", "text").mapInArrow(run, f"id_ {kind}, c1 long, c2 long, packed binary")
+    return texts.select("text", *names).mapInArrow(run, texts.select(*names).withColumn("packed", F.lit(b"")).schema)
 
 
 def _segments(candidates: DataFrame, length: int) -> DataFrame:
@@ -324,8 +325,8 @@ def _list_lengths(lists: pa.ListArray) -> np.ndarray:
     return np.diff(lists.offsets.to_numpy())
 
 
-def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The texts of ``docs`` (id_, c1, c2, packed) and, for each text by c1 and c2, its rows, first id and removed spans.
+def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: int = HOT) -> DataFrame:
+    """For each text of ``docs`` by k1 and k2 (c1 and c2 of _texts()): first id, copies (rows) and removed spans.
 
     Spans are for one row of the text; of equal texts of ``length`` bytes or more all other rows go whole."""
     texts = _texts(docs)
@@ -341,7 +342,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: i
     segments = stage(segments, "segments")
     found = _usual_spans(segments, length, keep_first).union(_hot_spans(segments, length, keep_first))
     found = found.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    return packed, classes.join(found, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "copies", "spans")
+    return classes.join(found, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "copies", "spans")
 
 
 def _mask(n: int, found: list[dict] | None) -> np.ndarray:
@@ -360,25 +361,69 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot:
     ``keep_first``) or anywhere else (otherwise). Texts are UTF-8 bytes; a null text is empty; matches never cross
     texts; texts shorter than ``length`` stay whole. Null ids come last. With ``keep_first``, rows that repeat
     with the first id and text of their class are all taken for the first one. Other columns don't matter."""
-    packed, known = spans(docs, length, keep_first, hot)
-    rows = packed.join(known, (packed.c1 == known.k1) & (packed.c2 == known.k2))
+    rows = _marked(docs, [], length, keep_first, hot)
+    kind = dict(rows.dtypes)["id_"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _small(batches):
+            out = []
+            for text, mask in _masked(part, length):
+                n_spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
+                kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if n_spans else text
+                out.append((len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
+            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(3), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return rows.select("packed", "spans", "gone", "id_").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _marked(docs: DataFrame, carried: list[str], length: int, keep_first: bool, hot: int) -> DataFrame:
+    """id_, packed, spans, gone (the whole text goes, if it is long enough) and rest (a struct of the ``carried`` columns) of every row."""
+    known = spans(docs, length, keep_first, hot)
+    texts = _texts(docs, carried)
+    packed = _packed(texts)
     whole = F.col("copies") > 1
     if keep_first:
         whole = whole & ~F.col("id_").eqNullSafe(F.col("first"))
-    kind = dict(packed.dtypes)["id_"]
+    rows = packed.join(known, (packed.c1 == known.k1) & (packed.c2 == known.k2))
+    return rows.withColumn("gone", whole)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (p for b in batches for p in rows_by_bytes([b], "packed", SLICE_BYTES // 4))
+
+
+def _masked(part: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Text and flags of the removed bytes, from columns packed, spans and gone."""
+    unpack = zstandard.ZstdDecompressor()
+    for packed, found, gone in zip(*(part.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+        text = unpack.decompress(packed)
+        yield text, np.ones(len(text), bool) if gone and len(text) >= length else _mask(len(text), found)
+
+
+def whole_letters(text: bytes, mask: np.ndarray) -> np.ndarray:
+    """``mask`` without letters of which only some bytes are removed."""
+    if text.isascii() or not mask.any():
+        return mask
+    first = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    return np.logical_and.reduceat(mask, np.flatnonzero(first))[np.cumsum(first) - 1]
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """``docs`` with later copies of repeated strings cut out of the texts; all columns and rows stay.
+
+    As repeats(), but letters go whole or not at all, so that texts stay UTF-8. A null text comes back empty; a text
+    that is all copies too. A column n_chars is set to the new length."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = _marked(docs, carried, length, True, hot)
+    out = rows.select(F.col("id_").alias("doc_id"), F.lit("").alias("text"), *(["rest"] if carried else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            for part in rows_by_bytes([b], "packed", SLICE_BYTES // 4):
-                out = []
-                for packed, found, gone in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    text = unpack.decompress(packed)
-                    mask = np.ones(len(text), bool) if gone and len(text) >= length else _mask(len(text), found)
-                    n_spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                    kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if n_spans else text
-                    out.append((len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return rows.select("id_", "packed", "spans", whole.alias("gone")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        for part in _small(batches):
+            texts = [np.frombuffer(text, np.uint8)[~whole_letters(text, mask)].tobytes() if mask.any() else text for text, mask in _masked(part, length)]
+            yield pa.RecordBatch.from_arrays([part.column(3), pa.array(texts, pa.binary()).cast(pa.string()), *part.columns[4:]], names=["doc_id", "text", *(["rest"] if carried else [])])
+
+    cut = rows.select("packed", "spans", "gone", "id_", *(["rest"] if carried else [])).mapInArrow(run, out)
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns]
+    cut = cut.select(*columns)
+    return cut.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else cut

@@ -8,7 +8,6 @@ a label out among the sentences. The fitted sentence scores then locate the offe
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +17,13 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import fresh, rows_by_bytes
 
-SAMPLE = 6000  # labelled documents that are fitted on, at most
+SAMPLE = 4000  # labelled documents that are fitted on, at most
 SAMPLE_BYTES = 20_000  # texts over this aren't taken into the sample
 SCAN_BYTES = 4 << 20
-MIN_DF = 8  # a word needs that many documents of the sample
+MIN_DF = 6  # a word needs that many documents of the sample
 PREFIXES = (4, 5)  # of longer words, as many first letters are features too
-FLIPPED = 0.01  # share of labels that are taken to be wrong
-RIDGE, STEPS, RATE = 5e-5, 200, 0.1
+FLIPPED = 0.002  # share of labels that are taken to be wrong
+RIDGE, STEPS, RATE = 1e-4, 150, 0.15
 CACHE_WORDS = 300_000
 _ENDS = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,21 +66,36 @@ class Model:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Fit to documents and their labels; Adam on the likelihood of noisy-or with a share of flipped labels."""
-    bags = [[set(_WORD.findall(s.lower())) for s in sentences(t)] for t in texts]
-    bags = [[[f for w in sorted(s) for f in features(w)] for s in bag] for bag in bags]
-    df = Counter(w for bag in bags for w in set().union(*bag))
-    words = sorted(w for w, n in df.items() if n >= MIN_DF)
-    ids = {w: i for i, w in enumerate(words)}
+    ids: dict[str, int] = {}
+    known: dict[str, list[int]] = {}  # feature numbers of each word
+    bags: list[list[np.ndarray]] = []
+    for t in texts:
+        bags.append([])
+        for s in sentences(t):
+            found: list[int] = []
+            for w in sorted(set(_WORD.findall(s.lower()))):
+                if w not in known:
+                    known[w] = [ids.setdefault(f, len(ids)) for f in features(w)]
+                found += known[w]
+            bags[-1].append(np.array(found, np.int32))
+    del known
+    df = np.zeros(len(ids), np.int64)
+    for bag in bags:
+        if bag:
+            df[np.unique(np.concatenate(bag))] += 1
+    names = list(ids)
+    kept = sorted((i for i in np.flatnonzero(df >= MIN_DF).tolist()), key=names.__getitem__)
+    words = [names[i] for i in kept]
+    column = np.full(len(ids), -1, np.int64)
+    column[kept] = np.arange(len(kept))
+    del ids, names
     if not words or not 0 < sum(labels) < len(labels):
         return Model({}, -20.0)
-    doc, row, col = [], [], []
-    n_sent = 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = [ids[w] for w in s if w in ids]
-            doc.append(d), row.extend([n_sent] * len(known)), col.extend(known)
-            n_sent += 1
-    doc, row, col = np.array(doc), np.array(row), np.array(col)
+    each = [s for bag in bags for s in bag]
+    doc = np.repeat(np.arange(len(bags)), list(map(len, bags)))
+    n_sent = len(each)
+    row, col = np.repeat(np.arange(n_sent), list(map(len, each))), column[np.concatenate(each)]
+    row, col = row[col >= 0], col[col >= 0]
     y = np.array(labels, float)
     w, b = np.zeros(len(words)), -6.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)

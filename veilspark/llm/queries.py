@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bitsliced, brown_lm, jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
+from veilspark.llm import bitsliced, brown_lm, decontaminate, jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,6 +38,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.alignments(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.scores(_read(spark, sf_dir, "documents"))
 
