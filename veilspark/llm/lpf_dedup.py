@@ -27,7 +27,7 @@ from veilspark.llm.common import rows_by_bytes, stage, whole_groups
 
 LENGTH = 200
 GRAM = 40
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 20
 HOT = 4096  # occurrences of an anchor from which its segments are collapsed first
 _PLACE_BITS = 24
@@ -97,21 +97,20 @@ class Ranks:
         for i in range(8):
             key = (key << np.uint64(8)) | padded[i : i + n]
         self.levels, width = [], 8
-        self.levels.append((width, self._rank(key, None)))
+        self.levels.append((width, self._rank(key)))
         while width < depth:
             rank, step = self.levels[-1][1], min(width, depth - width)
-            second = np.zeros(n, np.uint64)
-            second[: n - step] = rank[step:] + np.uint64(1)
-            self.levels.append((width + step, self._rank(rank, second)))
+            key = rank.astype(np.uint64) << np.uint64(32)
+            key[: n - step] |= rank[step:].astype(np.uint64) + np.uint64(1)
+            self.levels.append((width + step, self._rank(key)))
             width += step
 
     @staticmethod
-    def _rank(a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
-        key = a if b is None else (a << np.uint64(32)) | b
+    def _rank(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         s = key[order]
-        out = np.empty(len(key), np.uint64)
-        out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]).astype(np.uint64) if len(s) else s
+        out = np.empty(len(key), np.uint32)
+        out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(s) else 0
         return out
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -137,8 +136,8 @@ def smaller_before(x: np.ndarray) -> np.ndarray:
     return p
 
 
-def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending ``starts``: the longest match with an earlier start, and with a later one, both up to ``length``.
+def previous_factors(data: np.ndarray, starts: np.ndarray, length: int, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending ``starts``: the longest match with an earlier start, and with a later one (0 unless ``both``), up to ``length``.
 
     The suffix array of the starts is their order by rank; among equals the position decides. In that order the
     longest match with an earlier position is that with the nearest smaller position before or after it."""
@@ -157,7 +156,9 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple
         return best
 
     earlier, later = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    earlier[sa], later[sa] = factor(position), factor(-position)
+    earlier[sa] = factor(position)
+    if both:
+        later[sa] = factor(-position)
     return earlier, later
 
 
@@ -219,7 +220,7 @@ def _segments(candidates: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (p for b in batches for p in rows_by_bytes([b], "packed", CHUNK_BYTES // 4)):
             out: list[list] = [[] for _ in range(8)]
             held = 0
             for first, c1, c2, packed, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -261,20 +262,29 @@ SPANS = "c1 long, c2 long, begin long, end long"
 def _usual_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = (part for b in batches for part in rows_by_bytes([b], "bytes", CHUNK_BYTES // 2))
-        for t in whole_groups(small, ["h"], 2000):
+        for t in whole_groups(small, ["h"], 1500):
             t = t.sort_by([("first", "ascending"), ("c1", "ascending"), ("c2", "ascending"), ("start", "ascending")])
             c1, c2, start, starts = (t.column(k).to_numpy() for k in ("c1", "c2", "start", "starts"))
             again = np.r_[False, (np.diff(c1) == 0) & (np.diff(c2) == 0) & (np.diff(start) == 0)]  # of rows that repeat
-            pieces = t.column("bytes").to_pylist()
+            pieces, h = t.column("bytes").to_pylist(), t.column("h").to_numpy()
             if again.any():
                 keep = np.flatnonzero(~again)
-                c1, c2, start, starts, pieces = c1[keep], c2[keep], start[keep], starts[keep], [pieces[k] for k in keep]
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            data = np.frombuffer(b"".join(pieces), np.uint8)
+                h, c1, c2, start, starts, pieces = h[keep], c1[keep], c2[keep], start[keep], starts[keep], [pieces[k] for k in keep]
             starts = starts.astype(np.int64)
-            at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
-            earlier, later = previous_factors(data, at, length)
-            hit = earlier >= length if keep_first else (earlier >= length) | (later >= length)
+            # Segments that are equal as a whole need no sorting: the first stands for them. Nor does an anchor's only kind.
+            seen: dict[bytes, int] = {}
+            rep = np.array([seen.setdefault(p, i) for i, p in enumerate(pieces)])
+            kinds = np.flatnonzero(rep == np.arange(len(rep)))
+            _, of, many = np.unique(h[kinds], return_inverse=True, return_counts=True)
+            rest = kinds[many[of] > 1]
+            copied = rep != np.arange(len(rep)) if keep_first else np.bincount(rep, minlength=len(rep))[rep] > 1
+            hit = np.repeat(copied, starts)
+            if len(rest):
+                data = np.frombuffer(b"".join([pieces[i] for i in rest]), np.uint8)
+                n, sizes = starts[rest], starts[rest] + length - 1
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                earlier, later = previous_factors(data, np.repeat(np.cumsum(sizes) - sizes, n) + within, length, not keep_first)
+                hit[np.repeat((np.cumsum(starts) - starts)[rest], n) + within] |= (earlier >= length) | (later >= length)
             yield _spans_of(c1, c2, start, starts, hit, length)
 
     return segments.where("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
