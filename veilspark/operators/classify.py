@@ -80,7 +80,9 @@ def rule_features(text: Column) -> Column:
 
 
 def training_pipeline(kind: str = "logreg", ngram_max: int = 2, seed: int = 42):
-    """Spark ML pipeline over columns text, features_rules (vector) and label (string): hashed n-grams with IDF, and the rules."""
+    """Spark ML pipeline over columns text, features_rules (vector) and label (string): hashed n-grams with IDF, and the rules.
+
+    A forest picks features at random, so that it gets a smaller hash space."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StringIndexer, VectorAssembler
@@ -89,10 +91,10 @@ def training_pipeline(kind: str = "logreg", ngram_max: int = 2, seed: int = 42):
     for n in range(1, ngram_max + 1):
         if n > 1:
             stages.append(NGram(n=n, inputCol="w1", outputCol=f"w{n}"))
-        stages += [HashingTF(inputCol=f"w{n}", outputCol=f"tf{n}", numFeatures=1 << 14), IDF(inputCol=f"tf{n}", outputCol=f"idf{n}")]
+        stages += [HashingTF(inputCol=f"w{n}", outputCol=f"tf{n}", numFeatures=1 << (14 if kind == "logreg" else 9)), IDF(inputCol=f"tf{n}", outputCol=f"idf{n}")]
         parts.append(f"idf{n}")
     stages += [StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=[*parts, "features_rules"], outputCol="features")]
-    stages.append(LogisticRegression(labelCol="label_index", maxIter=30) if kind == "logreg" else RandomForestClassifier(labelCol="label_index", seed=seed, numTrees=30))
+    stages.append(LogisticRegression(labelCol="label_index", maxIter=30) if kind == "logreg" else RandomForestClassifier(labelCol="label_index", seed=seed, numTrees=60, maxDepth=8))
     return Pipeline(stages=stages)
 
 

@@ -31,7 +31,7 @@ def rendered(df: DataFrame, name: str = "filename", text: str = "text", pdf: Cal
     """``df`` with column content: the bytes of the scrubbed file, by the name's extension. PDF needs a writer of the caller's; else it is plain text."""
     made = df.withColumn("page_", html(F.col(text))).withColumn("ext_", extension(F.col(name)))
     keep = [c for c in df.columns if c != "content"]
-    schema = df.select(*keep, F.lit(b"").alias("content")).schema
+    schema = df.select(*keep, F.lit(None).cast("binary").alias("content")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
