@@ -23,7 +23,7 @@ NEIGHBOURS = 4  # the rarest of so many neighbouring n-grams is a seed whatever
 MATCH, MISS, GAP = 2, -1, -1
 LEAST = 0.5  # of the score of the whole item
 LONG = 40  # matching words at least that count as a leak of any item, however long
-ITEMS_BYTES = 32 << 20  # of test items that are broadcast at once; more go in several rounds
+ITEMS_BYTES = 4 << 20  # of test items that are broadcast at once; more go in several rounds
 SLICE_BYTES = 4 << 20
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
