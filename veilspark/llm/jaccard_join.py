@@ -26,7 +26,7 @@ RECALL = 0.9995
 MOST_HASHES = 64
 BLOCK = 1024  # classes of a block; a cell of the grid compares two blocks
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 

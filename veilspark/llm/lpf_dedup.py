@@ -75,6 +75,7 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int, k: int) -> tuple
         back = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
         n = len(part) - length + 1
         least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+        del v, block, ahead, back
         text = np.searchsorted(begin, np.arange(lo, lo + n), side="right") - 1
         ok = np.arange(lo, lo + n) - begin[text] + length <= lengths[text]
         new = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])] & ok

@@ -24,7 +24,7 @@ MIN_DF = 6  # a word needs that many documents of the sample
 PREFIXES = (4, 5)  # of longer words, as many first letters are features too
 FLIPPED = 0.002  # share of labels that are taken to be wrong
 RIDGE, STEPS, RATE = 1e-4, 150, 0.15
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _ENDS = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -21,7 +21,7 @@ from veilspark.llm.common import fresh, rows_by_bytes
 from veilspark.llm.merge_rounds import MergeTable, WordCache, merge, spell, strings
 
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
