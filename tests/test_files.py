@@ -114,3 +114,15 @@ def test_users(spark):
     assert {r.email: r.status for r in audit.access_status(asked, users).collect()} == {"a@x.co": 403, "b@x.co": 404}
     assert {r.status for r in audit.access_status(asked, audit.deactivated(users, "a@x.co"), admin=False).collect()} == {403, 404}
     assert audit.with_login(users, "a@x.co", F.current_timestamp()).first().last_login is not None
+
+
+def test_saved_model_and_generator(spark, tmp_path):
+    rows = [(f"the account {i} has a balance", "C4") for i in range(30)] + [(f"weather report number {i}", "C1") for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, label string")
+    model, _ = classify.train(df)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    out = classify.classified(df, classify.load(str(tmp_path / "m")))
+    assert out.where("prediction <> label").count() == 0 and out.first().explanation
+    assert {r.response for r in sinks.generated(df.limit(2), "text", lambda texts: [" ok " for _ in texts]).collect()} == {"ok"}
+    sinks.write_dataset(synth.generate(spark, 6), str(tmp_path / "d"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "d/csv")).count() == spark.read.json(str(tmp_path / "d/json")).count() == 6

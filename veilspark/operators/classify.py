@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.patterns import PATTERNS
+from veilspark.operators.patterns import EXPLANATIONS, PATTERNS
 
 # Words that decide the level, the first list that has one wins; else C1.
 LEVEL_WORDS = {
@@ -108,3 +108,33 @@ def train(df: DataFrame, kind: str = "logreg", test_size: float = 0.2, ngram_max
     names = next(s.labels for s in model.stages if hasattr(s, "labels"))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
     return model, model.transform(rest).select(F.col("label").alias("actual"), name.alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+
+
+def load(path: str):
+    """A fitted pipeline that was saved with ``model.write().overwrite().save(path)``."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def classified(df: DataFrame, model, text: str = "text") -> DataFrame:
+    """``df`` with prediction, probabilities (map by label), confidence (the highest of them) and explanation."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    names = F.array(*map(F.lit, next(s.labels for s in model.stages if hasattr(s, "labels"))))
+    columns = df.columns
+    data = df.withColumn("row_", F.struct(*columns)).select("row_", F.col(text).alias("text"), F.lit("").alias("label"), array_to_vector(rule_features(F.col(text))).alias("features_rules"))
+    for stage in model.stages:
+        data = data if hasattr(stage, "labels") else stage.transform(data)
+    p = vector_to_array("probability")
+    prediction = F.element_at(names, F.col("prediction").cast("int") + 1)
+    words = F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair])
+    out = data.select("row_", prediction.alias("p_"), F.map_from_arrays(names, p).alias("m_"), F.array_max(p).alias("c_"))
+    kept = [F.col("row_")[c].alias(c) for c in columns if c not in ("prediction", "probabilities", "confidence", "explanation")]
+    return out.select(*kept, F.col("p_").alias("prediction"), F.col("m_").alias("probabilities"), F.col("c_").alias("confidence"), F.coalesce(F.try_element_at(words, F.col("p_")), F.lit("")).alias("explanation"))
+
+
+def operation_level(text: Column, model_level: Column | None = None) -> Column:
+    """Level of an operation: the model's, if there is one and the text isn't empty; else the words'."""
+    words = keyword_level(F.coalesce(text, F.lit("")))
+    return words if model_level is None else F.when(text != "", F.coalesce(model_level, words)).otherwise(words)

@@ -51,8 +51,19 @@ LEVELS = {
     "C4": [p.type for p in PATTERNS],
 }
 
-# What the levels stand for.
-LEVEL_NAMES = {"C1": "Public", "C2": "Internal", "C3": "Confidential", "C4": "Restricted"}
+# What the levels stand for, in a catalogue and as the explanation of a classification.
+LEVEL_NAMES = {
+    "C1": "Public (reports, press)",
+    "C2": "Internal (policies, SOPs)",
+    "C3": "Confidential (transactions)",
+    "C4": "Highly Sensitive (PII, financial)",
+}
+EXPLANATIONS = {
+    "C1": "📄 Public information suitable for external sharing",
+    "C2": "🏢 Internal use only - policies and procedures",
+    "C3": "🔐 Confidential - business transactions",
+    "C4": "⚠️ Highly Sensitive - contains PII or financial data",
+}
 
 
 def types_of_level(level: str | None) -> list[str]:

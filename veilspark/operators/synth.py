@@ -20,6 +20,12 @@ SEVERITY = {
     "LOW": ["TICKER", "SESSION_ID", "DATE", "DOCUMENT_REF", "URL"],
 }
 RANK = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
+# Entity types of the first generator.
+FIRST_TYPES = ["PERSON", "AMOUNT", "IBAN", "CUSTOMER_ID", "PHONE_NUMBER", "EMAIL", "YEAR", "URL", "CORP_KEY", "DOCUMENT_REF", "APP_ID", "TRANSFER_ID"]
+# Entity types of seeded detections.
+SEED_TYPES = ["YEAR", "URL", "PERSON", "AMOUNT", "PHONE_NUMBER", "EMAIL", "IBAN", "CUSTOMER_ID"]
+# Roles of the five sample users.
+SEED_ROLES = ["analyst", "manager", "compliance", "admin", "analyst"]
 # Types that make a prompt of the first generator sensitive.
 HIGH_TYPES = ["IBAN", "AMOUNT", "CUSTOMER_ID", "TRANSFER_ID"]
 MEDIUM_TYPES = ["PERSON", "EMAIL", "PHONE_NUMBER", "CORP_KEY"]
@@ -126,3 +132,29 @@ def top_entities(df: DataFrame, k: int = 10) -> DataFrame:
     """Most frequent entity types; ties by name."""
     types = df.select(F.explode("entity_mappings").alias("m")).select("m.entity_type")
     return types.groupBy("entity_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type").limit(k)
+
+
+def seed_workflow(rows: DataFrame, row: str = "id") -> DataFrame:
+    """Interactions of a session for each row: a redaction; in 70 % a prediction; in 30 %, if the user is an admin, a restoring.
+
+    What is random elsewhere follows from the row's number here: session_id, user_id, role, action, step."""
+    n = F.col(row).cast("long")
+    user = (n * 7919) % len(SEED_ROLES)
+    role = F.element_at(F.array(*map(F.lit, SEED_ROLES)), (user + 1).cast("int"))
+    steps = F.array_compact(F.array(
+        F.lit("text_redacted"), F.when((n * 104_729) % 10 < 7, "prediction_generated"), F.when(((n * 1_299_709 + 3) % 10 < 3) & (role == "admin"), "text_de_scrubbed"),
+    ))
+    sessions = rows.select(F.concat(F.lit("seed-"), n.cast("string")).alias("session_id"), F.concat(F.lit("user_00"), (user + 1).cast("string")).alias("user_id"), role.alias("user_role"), F.posexplode(steps).alias("step", "action"))
+    return sessions.select("session_id", "user_id", "user_role", "action", F.col("step").cast("long").alias("step"))
+
+
+def seed_detections(row: Column) -> Column:
+    """array<struct<entity_type,original,placeholder>>: two to five, the first as <T>, the later ones as <T_i>."""
+    kinds = F.array(*map(F.lit, SEED_TYPES))
+
+    def one(i: Column) -> Column:
+        kind = F.element_at(kinds, ((row * 31 + i * 17) % len(SEED_TYPES) + 1).cast("int"))
+        name = F.when(i > 0, F.concat(kind, F.lit("_"), (i + 1).cast("string"))).otherwise(kind)
+        return F.struct(kind.alias("entity_type"), value_of(kind, row, i).alias("original"), F.concat(F.lit("<"), name, F.lit(">")).alias("placeholder"))
+
+    return F.transform(F.sequence(F.lit(0), (row % 4 + 1).cast("int")), one)

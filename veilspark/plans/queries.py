@@ -558,3 +558,24 @@ SELECT t.id, coalesce(list_reduce(list_prepend(text, vs), lambda a, x: replace(a
 def dictionary_scrub(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return dictionary.scrub(t.sql(_DICT), _dictionary(t)).select("id", "scrubbed_text")
+
+
+_SEED = f"""WITH u AS (SELECT o_orderkey AS n, (o_orderkey * 7919) % 5 AS u FROM orders), r AS (SELECT n, u, ({[*synth.SEED_ROLES]})[u + 1] AS user_role FROM u),
+a AS (SELECT *, list_filter(['text_redacted', CASE WHEN (n * 104729) % 10 < 7 THEN 'prediction_generated' END, CASE WHEN (n * 1299709 + 3) % 10 < 3 AND user_role = 'admin' THEN 'text_de_scrubbed' END], lambda x: x IS NOT NULL) AS acts FROM r)
+SELECT 'seed-' || n::VARCHAR AS session_id, 'user_00' || (u + 1)::VARCHAR AS user_id, user_role, acts[i] AS action, i - 1 AS step FROM a, unnest(range(1, len(acts) + 1)) AS t(i)"""
+
+
+@query(_SEED)
+def seed_workflow(spark, sf_dir):
+    return synth.seed_workflow(Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("id")))
+
+
+@query(f"SELECT id, string_agg(CASE WHEN i > 1 THEN '<' || t || '_' || i::VARCHAR || '>' ELSE '<' || t || '>' END || '=' || {_VALUE}, ';' ORDER BY i) AS detections FROM (SELECT o_orderkey AS id, i, ({[*synth.SEED_TYPES]})[(o_orderkey * 31 + (i - 1) * 17) % 8 + 1] AS t FROM orders, unnest(range(1, o_orderkey % 4 + 3)) AS x(i)) GROUP BY id")
+def seed_detections(spark, sf_dir):
+    rows = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("id"), synth.seed_detections(F.col("o_orderkey")).alias("d"))
+    return rows.select("id", F.array_join(F.transform("d", lambda d: F.concat(d["placeholder"], F.lit("="), d["original"])), ";").alias("detections"))
+
+
+@query(f"SELECT event_id, CASE {' '.join(f'WHEN {O.has_any("original_text", w)} THEN {O.q(lv)}' for lv, w in classify.LEVEL_WORDS.items())} ELSE 'C1' END AS level FROM {I}")
+def operation_level(spark, sf_dir):
+    return Tables(spark, sf_dir).sql(INTERACTIONS).select("event_id", classify.operation_level(F.col("original_text")).alias("level"))

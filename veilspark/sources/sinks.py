@@ -52,3 +52,23 @@ def wide(df: DataFrame, mappings: str, width: int) -> DataFrame:
     at = lambda i: F.get(F.col(mappings), F.lit(i))
     columns = {f"entity_{i}_{n}": at(i)[f] for i in range(width) for n, f in (("type", "entity_type"), ("original", "original"), ("placeholder", "placeholder"))}
     return df.withColumns(columns).drop(mappings)
+
+
+def write_dataset(df: DataFrame, path: str, mappings: str = "entity_mappings", width: int = 10) -> None:
+    """A generated data set as CSV (wide) and as JSON lines (nested), below ``path``."""
+    wide(df, mappings, width).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    df.write.mode("overwrite").json(f"{path}/json")
+
+
+def generated(df: DataFrame, prompt: str, answer: Callable[[list[str]], list[str]], out: str = "response") -> DataFrame:
+    """``df`` with the answers of the caller's text generator (batches of prompts to batches of texts). None is built in."""
+    source = df.drop(out) if out in df.columns else df
+    names = source.columns
+    schema = source.withColumn(out, F.lit(None).cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.strip() for t in answer(b.column(names.index(prompt)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, out])
+
+    return source.mapInArrow(run, schema)
