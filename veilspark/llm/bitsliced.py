@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
 BLOCK = 32_768  # rows of a block of the index
 QUERIES = 64  # queries that go to a block together
+TASKS = 64  # a small index is copied until its blocks make about so many tasks; a large one isn't copied
 
 
 def quantise(vectors: np.ndarray) -> np.ndarray:
@@ -133,8 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     Both have vec_id and embedding. Vectors that are null or hold null or non-finite components take no part, nor do
     those whose length isn't the most frequent one (of equally frequent lengths the largest), or rows without an id.
     Of queries with one id one counts; candidates with the query's id are its own row. Rows that repeat are candidates each.
-    Without vectors or queries there are no rows. Blocks of rows and of queries meet by an equi-join on the block's
-    number: the queries are a stated share of the rows, and a block's bytes don't grow with the table."""
+    Without vectors or queries there are no rows. Blocks of rows and packs of queries meet by an equi-join on the
+    block's number: the queries are a stated share of the rows, and a block's bytes don't grow with the table."""
 
     def usable(df: DataFrame) -> DataFrame:
         finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -151,7 +153,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
         ids, values, held = [], [], 0
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(values).tobytes()], pa.binary())], names=["ids", "values"])
+            place = pa.array([TaskContext.get().partitionId()], pa.int32())
+            return pa.RecordBatch.from_arrays([place, pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(values).tobytes()], pa.binary())], names=["block", "ids", "values"])
 
         for b in batches:
             for lo in range(0, b.num_rows, block_rows):
@@ -165,13 +168,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
         if held:
             yield packed()
 
-    index = rows.repartition(blocks).mapInArrow(build, "ids binary, values binary")
+    index = rows.repartition(blocks).mapInArrow(build, "block int, ids binary, values binary")
     one = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = max(1, math.ceil((one.count() if w else 0) / query_rows))
     packs = one.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("q"))
-    # every block of rows meets every pack of queries: the numbers of the packs are spelled out on the blocks
-    meet = index.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(max(groups, blocks), "pack")
-    meet = meet.join(packs, meet.pack == packs.g)
+    # Every block of rows meets every pack of queries. The packs, which are small, are copied to the blocks' numbers.
+    copies = min(groups, max(1, TASKS // blocks))
+    packs = packs.withColumn("copy", F.col("g") % copies).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    index = index.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(blocks * copies, "block", "c")
+    meet = index.join(packs, (index.block == packs.b) & (index.c == packs["copy"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
