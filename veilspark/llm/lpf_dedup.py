@@ -342,7 +342,8 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: i
     Spans are for one row of the text; of equal texts of ``length`` bytes or more all other rows go whole."""
     texts = _texts(docs)
     counts = _anchor_rows(texts, length, True).groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("twice").alias("twice"), F.count("*").alias("n"))
-    counts = counts.where("twice OR lo <> hi").select(F.col("h").alias("h_"), (F.col("n") > hot).alias("hot"))
+    # written first: a join of two plain shuffles is one whose hot keys can be split
+    counts = stage(counts.where("twice OR lo <> hi").select(F.col("h").alias("h_"), (F.col("n") > hot).alias("hot")), "anchors")
     runs = _anchor_rows(texts, length, False)
     runs = runs.join(counts, runs.h == counts.h_).groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "run", "hot")).alias("runs"))
     classes = texts.groupBy("c1", "c2").agg(F.min("id_").alias("first"), F.count("*").alias("copies"))
@@ -353,7 +354,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: i
     segments = stage(segments, "segments")
     found = _usual_spans(segments, length, keep_first).union(_hot_spans(segments, length, keep_first))
     found = found.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    return classes.join(found, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "copies", "spans")
+    return stage(classes.join(found, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "copies", "spans"), "spans")
 
 
 def _mask(n: int, found: list[dict] | None) -> np.ndarray:
