@@ -109,7 +109,8 @@ def _cells(members: DataFrame, group: list[str], most: int = BLOCK) -> DataFrame
     """``members`` in the cells of their group's grid: a group of n is cut into blocks of about ``most``, and each pair of blocks is a cell.
 
     Adds i and j (the cell) and own (the member's block). A row is copied once for each block of its group."""
-    sizes = members.groupBy(*group).agg(F.count("*").alias("members_")).where("members_ > 1")
+    # written first: a join of two plain shuffles is one whose hot keys can be split
+    sizes = stage(members.groupBy(*group).agg(F.count("*").alias("members_")).where("members_ > 1"), "sizes")
     blocks = F.ceil(F.col("members_") / most).cast("int")
     out = members.join(sizes, group).withColumn("blocks_", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks_")).cast("int"))
     out = out.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
