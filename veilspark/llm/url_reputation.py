@@ -98,6 +98,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     Null or odd urls have an empty host and path and are judged as that host. Repeated rows are judged alike; an empty
     table gives none; other columns of ``pages`` don't matter and don't come along. Only blocked hosts are joined back."""
     blocked = reputation(outcome_counts(pages, labels), z).where(F.col("lower_bound") > threshold).select(F.col("host").alias("blocked"))
+    blocked = stage(blocked, "blocked")  # a join of two plain shuffles is one whose hot hosts can be split
     judged = pages.select("page_id", host(pages.url).alias("host"), path(pages.url).alias("path"))
     judged = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("blocked").isNotNull(), "block").otherwise("allow")
