@@ -133,7 +133,6 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _likely(table: pa.Table, least: int) -> pa.RecordBatch:
     """Edges of a spanning forest over the pairs of a cell whose sketches agree in ``least`` bytes."""
     names = table.column("class").to_pylist()
-    own = table.column("own").to_numpy()
     s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
     starts = np.array(group_starts(table, ["band", "key", "i", "j"]))
     first = np.repeat(starts[:-1], np.diff(starts))
@@ -147,7 +146,6 @@ def _likely(table: pa.Table, least: int) -> pa.RecordBatch:
     a, b = np.concatenate(a), np.concatenate(b)
     root = _forest(len(names), a, b)
     at = np.flatnonzero(root != np.arange(len(names)))
-    del own
     return pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.string()), pa.array([names[root[k]] for k in at], pa.string())], names=["a", "b"])
 
 
