@@ -51,7 +51,7 @@ def test_codec_is_the_librarys(spark, docs):
         assert out[i].ids == ids and out[i].n_tokens == len(ids) and out[i].decoded == lib.decode(ids) == back[i]
         assert hashed[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert hashed[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
-    codec = sp.PieceBpe(open(PIECE_MODEL, "rb").read())
+    codec = sp.PieceBpe(open(PIECE_MODEL, "rb").read(), decimal=True)
     codec.cache.most = 50
     for t in noise(2):
         assert codec.encode(t) == lib.encode(t, add_eos=True)

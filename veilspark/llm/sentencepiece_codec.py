@@ -51,7 +51,8 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceBpe:
     """Encoder and decoder of one model. The cache of encoded words is emptied when it is full."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, decimal: bool = False):
+        """``decimal``: encoded() spells ids as decimal numbers, each followed by a space; else as four bytes each."""
         pieces, scores, kinds, trainer, normalizer = [], [], [], {}, {}
         for field, value in _fields(model):
             if field == 1:
@@ -90,7 +91,7 @@ class PieceBpe:
         self.words = (lambda t: [t]) if crosses else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if lines else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         # What a piece becomes when it is decoded; bytes are joined before they are read as UTF-8.
         self.out = strings([bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds, strict=True)])
-        self.decimal = strings([b"%d " % i for i in range(len(pieces))])
+        self.spelled = strings([b"%d " % i if decimal else i.to_bytes(4, "little") for i in range(len(pieces))])
         self.is_byte, self.is_control = kinds == BYTE, kinds == CONTROL
         self.cache = WordCache(CACHE_WORDS)
 
@@ -117,12 +118,12 @@ class PieceBpe:
         return (MARK + text if self.prefix and text else text).replace(" ", MARK)
 
     def encoded(self, texts: list[str | None]) -> Iterator[tuple[bytes, int, bytes]]:
-        """For each text its decimal ids, each followed by a space and without the end id, their number, and the bytes they decode to."""
+        """For each text its ids as spelled, without the end id, their number, and the bytes they decode to."""
         parts = [self.words(self.normal(t or "")) for t in texts]
         words = self.cache.missing(set().union(*parts))
         if words:
             ids, lens = self.encode_words(words)
-            self.cache.young.update(zip(words, zip(spell(ids, lens, *self.decimal), lens.tolist(), spell(ids, lens, *self.out), strict=True), strict=True))
+            self.cache.young.update(zip(words, zip(spell(ids, lens, *self.spelled), lens.tolist(), spell(ids, lens, *self.out), strict=True), strict=True))
         for p in parts:
             spelled, counts, decoded = zip(*map(self.cache.young.__getitem__, p), strict=True) if p else ((), (), ())
             yield b"".join(spelled), sum(counts), b"".join(decoded)
@@ -153,13 +154,14 @@ class PieceBpe:
         return self.finish(spell(a, np.array([len(a)]), *self.out)[0], not self.is_byte[first].any())
 
 
-_loaded: dict[int, PieceBpe] = {}
+_loaded: dict[tuple[int, bool], PieceBpe] = {}
 
 
-def _codec(model: bytes) -> PieceBpe:
-    key = hash(model)
+def _codec(model: bytes, decimal: bool = False) -> PieceBpe:
+    key = hash(model), decimal
     if key not in _loaded:
-        _loaded[key] = PieceBpe(model)
+        _loaded.clear()
+        _loaded[key] = PieceBpe(model, decimal)
     return _loaded[key]
 
 
@@ -185,14 +187,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", digests: bool = Fals
     schema = source.drop(hidden).withColumns({c: F.lit(None).cast(kinds[c]) for c in added}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        codec = _codec(shared.value, digests)
+        end = b"%d" % codec.end if digests else codec.end.to_bytes(4, "little")
         for b in rows_by_bytes(batches, hidden, SLICE_BYTES):
             counts, ids, texts = [], [], []
             for spelled, n, raw in codec.encoded(b.column(b.schema.get_field_index(hidden)).to_pylist()):
                 counts.append(n + 1)
-                spelled += b"%d" % codec.end
+                spelled += end
                 decoded = codec.finish(raw)
-                ids.append(hashlib.sha256(spelled).hexdigest() if digests else np.array(spelled.split(), np.int32))
+                ids.append(hashlib.sha256(spelled).hexdigest() if digests else np.frombuffer(spelled, np.int32))
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
             columns = [pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(i) for i, f in enumerate(b.schema) if f.name != hidden] + columns, names=[*kept, *added])
