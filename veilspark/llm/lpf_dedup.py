@@ -316,6 +316,7 @@ def _hot_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     # of the first occurrence of a segment: its windows that are repeated
     masks = each.where(repeated).groupBy(F.col("s").alias("s_")).agg(F.sort_array(F.collect_list("k")).alias("ks"))
     places = kinds.select("s", "n", F.col("o").alias("least")).join(masks, F.col("s") == F.col("s_"), "left").drop("s_").withColumnRenamed("s", "t")
+    places = stage(places, "places")  # so that the join can split a segment that stands in very many places
     every = hot.drop("bytes").join(places, F.col("s") == F.col("t"))
     copied = (F.col("n") > 1) & (F.col("o") != F.col("least")) if keep_first else F.col("n") > 1
     hit = F.when(copied, F.sequence(F.lit(0), F.col("starts") - 1)).otherwise(F.coalesce("ks", F.array().cast("array<int>")))
