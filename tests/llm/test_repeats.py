@@ -200,3 +200,26 @@ def test_frequent_passage_keeps_seeds(spark):
     item = " ".join(f"q{i}" for i in range(20))
     docs = spark.createDataFrame([(i, item + f" tail{i}") for i in range(50)], "doc_id long, text string")
     assert dec.alignments(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 50
+
+
+@pytest.mark.parametrize("exact", [0, 600])
+def test_edited_copies_of_frequent_passages(spark, exact):
+    item = [f"q{i}" for i in range(20)]
+    edited = [x for i, x in enumerate(item) if i % 5 != 4]  # four words in a row at most
+    texts = [item + [f"tail{i}"] for i in range(exact)] + [edited + [f"end{i}"] for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert dec.alignments(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count() == len(texts)
+    odd = spark.createDataFrame([(0, " ".join(item[:5] + ["x"] + item[6:11] + ["x"] + item[12:17] + ["x"] + item[18:]))], "doc_id long, text string")
+    assert dec.alignments(docs.union(odd), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count() == len(texts) + 1
+
+
+def test_hits_in_parts(spark, leak_tables, monkeypatch):
+    docs, bench, want = leak_tables
+    monkeypatch.setattr(dec, "HITS", 7)
+    items = dec.Items([(r.text or "").encode() for r in bench.collect()])
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    ids, begins = items.read(texts)
+    sizes = np.diff(np.r_[begins, len(ids)]) - dec.GRAM
+    few = sorted(dec._leaks(items, ids, begins, sizes, 0.5))
+    monkeypatch.setattr(dec, "HITS", 1 << 20)
+    assert few == sorted(dec._leaks(items, ids, begins, sizes, 0.5)) and len(few) >= len(want)

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted in all documents. Of each item those are seeds that few documents have, and
-in any case the rarest of every few neighbours, so that a passage which is copied very often keeps seeds too. Documents
-that hold a seed are aligned with its item around that place; the alignment forgives changed, added and left-out words.
+Every n-gram of a test item is a seed, however many documents hold it: an edited copy of a frequent passage may have no
+rare one. Documents that hold a seed are aligned with its item around that place; the alignment forgives changed, added
+and left-out words. Places whose words can't reach the least score are left out before.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import fresh, rows_by_bytes
 
 GRAM = 4
-RARE_SHARE = 1e-3  # of the documents: n-grams in fewer are all seeds
-NEIGHBOURS = 4  # the rarest of so many neighbouring n-grams is a seed whatever its count
 MATCH, MISS, GAP = 2, -1, -1
 LEAST = 0.5  # of the score of the whole item
 LONG = 40  # matching words at least that count as a leak of any item, however long
 ITEMS_BYTES = 4 << 20  # of test items that are broadcast at once; more go in several rounds
 SLICE_BYTES = 4 << 20
+HITS = 1 << 20  # places of seeds, times the items that have them, that are held at once; a text with more stands alone
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,6 +58,15 @@ class Items:
             place = np.concatenate([np.arange(len(c)) for _, c in mine])
             order = np.argsort(code, kind="stable")
             self.grams[n] = code[order], item[order], place[order]
+        #: by n: the different codes, and where each one's rows begin in ``grams``, with the end
+        self.codes, self.span = {}, {}
+        for n, (code, _, _) in self.grams.items():
+            self.codes[n], begin = np.unique(code, return_index=True)
+            self.span[n] = np.r_[begin, len(code)]
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        #: item and word in one number, of all words that an item has
+        self.unit = len(self.ids) + 1
+        self.has = np.unique(np.concatenate([w + i * self.unit for i, w in enumerate(self.words)]))
 
     def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of the texts, 0 for words that no item has, with zeros between the texts; and where each text begins."""
@@ -83,24 +91,6 @@ class Items:
         return at[same], row[same]
 
 
-def choose_seeds(items: Items, n_docs: int, found: dict[tuple[int, int], int]) -> dict[int, np.ndarray]:
-    """For each n the seeds, as flags of the rows of ``items.grams[n]``. ``found``: documents by n and code."""
-    out = {}
-    for n, (code, item, place) in items.grams.items():
-        df = np.array([found.get((n, int(c)), 0) for c in code])
-        seed = df <= max(RARE_SHARE * n_docs, 1)
-        order = np.lexsort((place, item))
-        it, d = item[order], df[order]
-        for lo in range(len(order)):  # items are few: some ten n-grams each
-            hi = lo
-            while hi < len(order) and hi < lo + NEIGHBOURS and it[hi] == it[lo]:
-                hi += 1
-            if hi == lo + NEIGHBOURS or lo == 0 or it[lo - 1] != it[lo]:
-                seed[order[lo + int(np.argmin(d[lo:hi]))]] = True
-        out[n] = seed
-    return out
-
-
 def align(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each item with its region: score, and the region's words from begin to end.
 
@@ -112,7 +102,7 @@ def align(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndarra
     for k, (a, b) in enumerate(zip(items, regions, strict=True)):
         x[k, : len(a)], y[k, : len(b)] = a, b
     # score and begin in one number: the higher score, then the later begin
-    unit = 1 << 20
+    unit = 1 << 31
     column = np.arange(width)
     fresh_start = np.broadcast_to(column, (n, width))
     h = np.concatenate([np.zeros((n, 1), np.int64), fresh_start + 1], 1)  # an alignment that begins after column j
@@ -127,35 +117,45 @@ def align(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndarra
         h[:, 1:] = now
         top = now.argmax(1)
         value = now[np.arange(n), top]
-        better = (value >> 20) > (best >> 20)
+        better = (value >> 31) > (best >> 31)
         best[better], end[better] = value[better], top[better] + 1
-    return best >> 20, best & (unit - 1), end
-
-
-def _leaks(items: Items, seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
-    """Text, item, score, begin and end (in words) of the best alignment of each text and item with a seed in common."""
-    found: list[np.ndarray] = []
-    for n, (code, item, place) in seeds.items():
-        at, row = items.hits(ids, n, np.unique(code))
-        lo = np.searchsorted(code, np.unique(code)[row]) if len(at) else row
-        hi = np.searchsorted(code, np.unique(code)[row], side="right") if len(at) else row
-        many = hi - lo
-        at = np.repeat(at, many)
+    return best >> 31, best & (unit - 1), end
+
+
+def _leaks(items: Items, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+    """Text, item, score, begin and end (in words) of the best alignment of each text and item with an n-gram in common."""
+    found = []
+    for n, (code, item, place) in items.grams.items():
+        at, row = items.hits(ids, n, items.codes[n])
+        lo, hi = items.span[n][row], items.span[n][row + 1]
+        found.append((at, lo, hi - lo, np.searchsorted(begins, at, side="right") - 1, item, place))
+    load = sum((np.bincount(text, weights=many, minlength=len(begins)) for _, _, many, text, _, _ in found), np.zeros(len(begins)))
+    out, t0 = [], 0
+    while t0 < len(begins):
+        t1 = max(t0 + 1, int(np.searchsorted(np.cumsum(load[t0:]), HITS, side="right")) + t0)
+        if load[t0:t1].any():
+            out += _aligned(items, [tuple(x[(f[3] >= t0) & (f[3] < t1)] for x in f[:4]) + f[4:] for f in found], ids, begins, sizes, least)
+        t0 = t1
+    return out
+
+
+def _aligned(items: Items, found: list[tuple], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+    """_leaks() of the texts that these places are in: place, first gram and grams with its code, text; items and places of the grams."""
+    rows = []
+    for at, lo, many, text, item, place in found:
+        at, text = np.repeat(at, many), np.repeat(text, many)
         pick = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        text = np.searchsorted(begins, at, side="right") - 1
-        found.append(np.stack([text, item[pick], at - begins[text] - place[pick]], 1))
-    if not found or not sum(map(len, found)):
-        return []
-    hits = np.concatenate(found)
+        rows.append(np.stack([text, item[pick], at - begins[text] - place[pick]], 1))
+    hits = np.concatenate(rows)
     hits = hits[np.lexsort(hits.T[::-1])]  # by text, item, diagonal
-    length = np.array([len(w) for w in items.words])
+    length = items.length
     new = np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1) | (hits[1:, 2] - hits[:-1, 2] > length[hits[1:, 1]])]
     first, last = hits[new], hits[np.r_[np.flatnonzero(new)[1:] - 1, len(hits) - 1]]
-    pairs = []
-    for (t, i, d0), d1 in zip(first.tolist(), last[:, 2].tolist(), strict=True):
-        slack = length[i] // 2 + GRAM
-        lo, hi = max(0, d0 - slack), min(int(sizes[t]), d1 + int(length[i]) + slack)
-        pairs.append((t, i, lo, hi))
+    t, i = first[:, 0], first[:, 1]
+    slack = length[i] // 2 + GRAM
+    lo, hi = np.maximum(0, first[:, 2] - slack), np.minimum(sizes[t], last[:, 2] + length[i] + slack)
+    ok = _can_reach(items, ids, i, begins[t] + lo, begins[t] + hi, least)
+    pairs = np.stack([t, i, lo, hi], 1)[ok].tolist()
     pairs.sort(key=lambda p: (p[3] - p[2]) * 4096 + length[p[1]])  # alike sizes together: little padding
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     k = 0
@@ -173,14 +173,35 @@ def _leaks(items: Items, seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarr
     return [(t, i, *v) for (t, i), v in best.items()]
 
 
+def _can_reach(items: Items, ids: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
+    """Whether so many words of each stretch of ``ids`` are in its item that an alignment can reach a score that is reported.
+
+    No leak is lost: a score is at most MATCH for each of the stretch's words that the item has."""
+    out = np.zeros(len(item), bool)
+    wide = np.cumsum(hi - lo)
+    k = 0
+    while k < len(item):
+        stop = max(k + 1, int(np.searchsorted(wide, (wide[k - 1] if k else 0) + HITS, side="right")))
+        size = hi[k:stop] - lo[k:stop]
+        owner = np.repeat(np.arange(stop - k), size)
+        words = ids[np.arange(size.sum()) + np.repeat(lo[k:stop] - (np.cumsum(size) - size), size)]
+        some = np.flatnonzero(words)
+        key = item[k:stop][owner[some]] * items.unit + words[some]
+        at = np.searchsorted(items.has, key)
+        at[at == len(items.has)] = 0
+        shared = np.bincount(owner[some][items.has[at] == key], minlength=stop - k)
+        out[k:stop] = shared >= np.minimum(least * items.length[item[k:stop]] - 1e-9, LONG)
+        k = stop
+    return out
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, items_bytes: int = ITEMS_BYTES) -> DataFrame:
     """Every row of ``docs`` (all columns but text) with each item it leaks: item_id, score, begin_word, end_word.
 
     score: share of the whole item's alignment score; reported from ``least`` on, or from 40 matching words on. Null and
     empty texts and items leak nothing; items of under four words need all their words in a row as a seed. Items and
     rows that repeat are reported each. Columns of ``docs`` with these names are left out. Items are broadcast in
-    rounds of ``items_bytes``; the counts of their n-grams (over all documents) go to the driver, as many as the round
-    has n-grams."""
+    rounds of ``items_bytes``."""
     spark = docs.sparkSession
     made = ("item_id", "score", "begin_word", "end_word")
     kept = [c for c in docs.columns if c not in made and c != "text"]
@@ -190,49 +211,27 @@ def alignments(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, item
     bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-size // items_bytes))
-    n_docs, out = None, None
+    out = None
     for r in range(rounds):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r).orderBy("item_id", "text").collect()  # items_bytes at most, or an item
         if not rows:
             continue
-        n_docs = docs.count() if n_docs is None else n_docs
-        part = _round(spark, source, hidden, kept, schema, rows, n_docs, least)
+        part = _round(spark, source, hidden, kept, schema, rows, least)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _round(spark, source: DataFrame, hidden: str, kept: list[str], schema, rows: list, n_docs: int, least: float) -> DataFrame:
+def _round(spark, source: DataFrame, hidden: str, kept: list[str], schema, rows: list, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows]))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value[1])
-        total = {n: np.zeros(len(np.unique(g[0])), np.int64) for n, g in items.grams.items()}
-        for b in rows_by_bytes(batches, hidden, SLICE_BYTES):
-            ids, begins = items.read(b.column(0).cast(pa.binary()).to_pylist())
-            for n in items.widths:
-                codes = np.unique(items.grams[n][0])
-                at, row = items.hits(ids, n, codes)
-                text = np.searchsorted(begins, at, side="right") - 1
-                once = np.unique(text * len(codes) + row)
-                total[n] += np.bincount(once % len(codes), minlength=len(codes))
-        for n in items.widths:
-            codes, some = np.unique(items.grams[n][0]), np.flatnonzero(total[n])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(codes[some].view(np.int64)), pa.array(total[n][some])], names=["n", "code", "docs"])
-
-    counted = source.select(hidden).mapInArrow(count, "n int, code long, docs long").groupBy("n", "code").agg(F.sum("docs").alias("docs")).collect()
-    items = Items(shared.value[1])
-    flags = choose_seeds(items, n_docs, {(r.n, r.code & (2**64 - 1)): r.docs for r in counted})
-    chosen = spark.sparkContext.broadcast(flags)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value[1])
-        seeds = {n: tuple(x[chosen.value[n]] for x in g) for n, g in items.grams.items()}
         names = np.array(shared.value[0])
         for b in rows_by_bytes(batches, hidden, SLICE_BYTES):
             at = b.schema.get_field_index(hidden)
             ids, begins = items.read(b.column(at).cast(pa.binary()).to_pylist())
             sizes = np.diff(np.r_[begins, len(ids)]) - GRAM
-            found = _leaks(items, seeds, ids, begins, sizes, least)
+            found = _leaks(items, ids, begins, sizes, least)
             if found:
                 t, i, score, lo, hi = (np.array(x) for x in zip(*found, strict=True))
                 of = pa.array(t)
