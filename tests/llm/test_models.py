@@ -88,6 +88,18 @@ def test_probabilities_sum_to_one():
     assert all(likelihood(np.r_[of[:w], k, of[w + 1 :]]) <= likelihood(of) + 1e-6 for w in range(12) for k in range(4))
 
 
+@pytest.mark.parametrize("frequent", [131_072, 500])
+def test_classes_come_from_contexts_beyond_the_frequent_words(spark, monkeypatch, frequent):
+    """Words that end alike but stand in other places, far more than are clustered one by one."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+    r = random.Random(8)
+    kinds = [[f"{c}{i}zz" for i in range(900)] for c in "abc"]
+    docs = [(d, " ".join(kinds[k % 3][min(int(r.expovariate(0.004)), 899)] for k in range(60))) for d in range(1500)]
+    out = brown_lm.scores(spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").collect()
+    gain = sum(x.score - x.base_score for x in out) / sum(x.n_tokens for x in out)
+    assert gain > 0.35  # of log10(3) = 0.477 that the places tell
+
+
 def test_no_training_documents(spark):
     docs = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     rows = brown_lm.scores(docs).collect()

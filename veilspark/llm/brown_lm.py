@@ -2,11 +2,16 @@
 
 Exchange clustering puts words into classes so that the likelihood of a class bigram model is highest. A token's
 probability is that of its class after the previous token's class, times that of the word in its class; both are
-smoothed. Clustered are the most frequent words, and the endings of all other words: a word outside of the first list
-is a draw from its ending, weighted by its own count in the whole corpus.
+smoothed. Every word of the training documents has the class that its own contexts speak for:
+
+1. The SEEDS most frequent words are exchanged one by one until none moves.
+2. All words of the broadcast list (FREQUENT at most) take part in a distributed exchange: their neighbours are gathered
+   once, and each round counts the classes of these, moves words, and is taken back where the likelihood falls.
+3. Each rarer word, however many there are, goes to the class that its neighbours' classes make likeliest; rare
+   neighbours are a class of their own in that step.
 
 Counts come from all training documents. What is small by construction (the frequent words, the class matrix) is
-broadcast; the counts of all other words, whose number grows with the corpus, are joined.
+broadcast; the counts and classes of all other words, whose number grows with the corpus, are joined.
 """
 
 from __future__ import annotations
@@ -20,16 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import rows_by_bytes, stage
+from veilspark.llm.common import group_starts, rows_by_bytes, stage, whole_groups
 
-TOP_WORDS = 512  # words that are clustered by themselves
-ENDINGS = 511  # endings that stand for the other words; what has none of these is one more
-ENDING_BYTES = 2
+SEEDS = 1024  # words whose exchange is done one by one, on the driver; the classes of all others follow from there
 CLASSES = 64
-SWEEPS = 8
-FREQUENT = 131_072  # words whose counts are broadcast, at most
+GAIN = 1e-4  # nats a token: the exchange of all frequent words ends when a round brings less
+FREQUENT = 131_072  # words whose counts are broadcast and that take part in the exchange, at most
 FLUSH = 400_000  # distinct words that a task holds while it counts
 SLICE_BYTES = 4 << 20
+ROWS = 2048  # words whose counts of classes are held at once
 ADD = 0.1
 END = b""  # the end of a text, as a word
 
@@ -67,28 +71,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Symbols:
-    """The frequent words with their counts, and the symbol of every word: its own, or its ending's."""
+    """The frequent words, by number; all others have the number after the last."""
 
-    def __init__(self, words: list[bytes], counts: list[int], top: list[bytes], endings: list[bytes]):
+    def __init__(self, words: list[bytes]):
         self.index = {w: i for i, w in enumerate(words)}
-        self.counts = np.array(counts, np.int64)
-        self.own = {w: i for i, w in enumerate(top)}
-        self.endings = {e: len(top) + i for i, e in enumerate(endings)}
-        self.n = len(top) + len(endings) + 1
-        self.by_index = np.array([self.of(w) for w in words], np.int64)
-
-    def of(self, word: bytes) -> int:
-        return self.own.get(word, self.endings.get(word[-ENDING_BYTES:], self.n - 1))
+        self.n = len(words)
+        self.end = self.index.get(END, self.n)
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """For all tokens of the texts: place among the frequent words (or -1), symbol, text number; and the tokens."""
+    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """For all tokens of the texts: number, text number; and the tokens."""
         parts = list(map(tokens, texts))
         flat = [w for p in parts for w in p]
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        symbol = self.by_index[at] if len(self.by_index) else np.full(len(flat), self.n - 1)
-        for i in np.flatnonzero(at < 0).tolist():
-            symbol[i] = self.of(flat[i])
-        return at, symbol, np.repeat(np.arange(len(parts)), list(map(len, parts))), flat
+        return np.fromiter(map(self.index.get, flat, repeat(self.n)), np.int64, len(flat)), np.repeat(np.arange(len(parts)), list(map(len, parts))), flat
 
 
 def _previous(symbol: np.ndarray, text: np.ndarray, end: int) -> np.ndarray:
@@ -96,30 +90,202 @@ def _previous(symbol: np.ndarray, text: np.ndarray, end: int) -> np.ndarray:
     return np.where(np.r_[True, text[1:] != text[:-1]], end, np.r_[end, symbol[:-1]])
 
 
-def bigrams(docs: DataFrame, symbols) -> DataFrame:
-    """a, b and n: how often symbol b follows symbol a in all rows of ``docs``. At most the square of the number of symbols."""
+def _binaries(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Stretches of ``values``, which begin at ``begins`` and end where the next begins, as binary cells."""
+    offsets = (np.r_[begins, len(values)] * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def neighbours(docs: DataFrame, words) -> DataFrame:
+    """A row for each frequent word: id, its neighbours as int32 numbers (left ones, and right ones after these) and how often each stands there."""
+
+    def emit(code: np.ndarray, count: np.ndarray, unit: int) -> pa.RecordBatch:
+        key = code // unit
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(key[begins].astype(np.int32)), _binaries((code % unit).astype(np.int32), begins), _binaries(count.astype(np.int32), begins)], names=["id", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Symbols(*symbols.value)
-        total = np.zeros(s.n * s.n, np.int64)
-        end = s.of(END)
+        s = Symbols(words.value)
+        unit = 2 * (s.n + 1)
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            _, symbol, text, _ = s.read(b.column(0).cast(pa.binary()).to_pylist())
-            total += np.bincount(_previous(symbol, text, end) * s.n + symbol, minlength=len(total))
-        some = np.flatnonzero(total)
-        for lo in range(0, len(some), 100_000):
-            at = some[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((at // s.n).astype(np.int32)), pa.array((at % s.n).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
+            now, text, _ = s.read(b.column(0).cast(pa.binary()).to_pylist())
+            before = _previous(now, text, s.end)
+            code = np.r_[(now * unit + before)[now < s.n], (before * unit + s.n + 1 + now)[before < s.n]]
+            if len(code):
+                yield emit(*np.unique(code, return_counts=True), unit)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = 2 * (len(words.value) + 1)
+        held, weight = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in rows_by_bytes(batches, "at", SLICE_BYTES):
+            size = np.diff(np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset :][: b.num_rows + 1]) // 4
+            key = np.repeat(b.column(0).to_numpy().astype(np.int64), size)
+            at, n = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32) for k in (1, 2))
+            code, of = np.unique(np.r_[held, key * unit + at], return_inverse=True)
+            total = np.bincount(of, weights=np.r_[weight, n]).astype(np.int64)
+            cut = int(np.searchsorted(code, code[-1] // unit * unit))  # the last word goes on in the next batch
+            if cut:
+                yield emit(code[:cut], total[:cut], unit)
+            held, weight = code[cut:], total[cut:]
+        if len(held):
+            yield emit(held, weight, unit)
+
+    form = "id int, at binary, n binary"
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, form)
+    return dealt.repartition("id").sortWithinPartitions("id").mapInArrow(merge, form)
+
+
+def contexts(batches: Iterator[pa.RecordBatch], of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From rows of neighbours(): words, and how often each class stands left of them, then right of them; class k is that of words without one."""
+    wide, place = 2 * (k + 1), np.r_[of, k, of + k + 1, 2 * k + 1]
+    for b in (s.slice(lo, ROWS) for s in rows_by_bytes(batches, "at", SLICE_BYTES) for lo in range(0, s.num_rows, ROWS)):
+        left, n = b.column(1).to_pylist(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32)
+        row = np.repeat(np.arange(b.num_rows), [len(x) // 4 for x in left])
+        at = row * wide + place[np.frombuffer(b"".join(left), np.int32)]
+        yield b.column(0).to_numpy(), np.bincount(at, weights=n, minlength=b.num_rows * wide).reshape(-1, wide)
+
+
+def class_grid(near: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    """How often each class follows each; words without a class are the last. What follows what among rare words isn't in it."""
+    shared = near.sparkSession.sparkContext.broadcast(of)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros((k + 1, k + 1))
+        for ids, c in contexts(batches, shared.value, k):
+            mine = shared.value[ids]
+            np.add.at(grid, mine[mine < k], c[mine < k, k + 1 :])
+            grid[k, :k] += np.bincount(mine, weights=c[:, k], minlength=k + 1)[:k]
+        some = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(grid.reshape(-1)[some])], names=["cell", "n"])
+
+    out = np.zeros((k + 1) ** 2)
+    for r in near.mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    shared.unpersist()
+    return out.reshape(k + 1, k + 1)
+
+
+def better_classes(near: DataFrame, of: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each frequent word the class with the highest affinity(), and what it gains there (without a class yet: infinity)."""
+    k = len(grid) - 1
+    shared = near.sparkSession.sparkContext.broadcast((of, grid))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, grid = shared.value
+        for ids, c in contexts(batches, of, k):
+            mine = of[ids]
+            score = affinity(grid, c, mine)
+            best = score.argmax(1)
+            gain = np.where(mine == k, np.inf, score.max(1) - score[np.arange(len(ids)), np.minimum(mine, k - 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best.astype(np.int32)), pa.array(gain)], names=["id", "best", "gain"])
+
+    ids, new, more = (c.to_numpy() for c in _collected(near.mapInArrow(run, "id int, best int, gain double")))
+    best, gain = of.copy(), np.zeros(len(of))
+    best[ids], gain[ids] = new, more
+    shared.unpersist()
+    return best, gain
+
+
+def likelihood(grid: np.ndarray) -> float:
+    return float(_xlogx(grid).sum() - _xlogx(grid.sum(0)).sum() - _xlogx(grid.sum(1)).sum())
+
+
+def affinity(grid: np.ndarray, near: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """For words (rows of contexts()) and classes: log likelihood of the word's contexts if it is in that class.
+
+    ``of``: the words' classes; a word's own counts don't speak for the class that it is in."""
+    k = len(grid) - 1
+    into, out = np.log(grid.sum(0) + 1), np.log(grid.sum(1) + 1)
+    g = np.log(grid + ADD) - into - out[:, None]
+    left, right = near[:, : k + 1], near[:, k + 1 :]
+    score = right @ g[:k].T + left @ g[:, :k]
+    if of is not None:
+        for c in range(k):
+            w = np.flatnonzero(of == c)
+            if not len(w):
+                continue
+            le, ri = left[w], right[w]
+            row = np.log(np.maximum(grid[c] - ri, 0) + ADD) - into - np.log(np.maximum(grid[c].sum() - ri.sum(1), 0) + 1)[:, None]
+            col = np.log(np.maximum(grid[:, c] - le, 0) + ADD) - out - np.log(np.maximum(grid[:, c].sum() - le.sum(1), 0) + 1)[:, None]
+            score[w, c] = (ri * row).sum(1) + (le * col).sum(1)
+    return score
+
+
+def clustered(near: DataFrame, of: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each frequent word, and class_grid(), from neighbours() and first classes (k: none yet).
+
+    A part of the words that do better elsewhere move in each round, first half of them. A round that lowers the
+    likelihood is taken back and tried with fewer; it ends when none moves, or with a gain under GAIN."""
+    if not len(of):
+        return of, np.zeros((k + 1, k + 1))
+    grid = class_grid(near, of, k)
+    if (of == k).any():
+        best, _ = better_classes(near, of, grid)
+        of = np.where(of == k, best, of)
+        grid = class_grid(near, of, k)
+    level, share, r = likelihood(grid), 0.5, np.random.default_rng(0)
+    best, gain = better_classes(near, of, grid)
+    while share > 0.01 and (gain > 1e-3).any():
+        moves = np.flatnonzero(gain > 1e-3)
+        moves = moves[r.random(len(moves)) < share]
+        tried = of.copy()
+        tried[moves] = best[moves]
+        there = class_grid(near, tried, k)
+        rise = likelihood(there) - level
+        if rise < 0:
+            share /= 4
+            continue
+        of, grid, level = tried, there, level + rise
+        if rise < GAIN * grid.sum():
+            break
+        best, gain = better_classes(near, of, grid)
+    return of, grid
+
+
+def rare_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """word, n and class of every word of ``docs`` that isn't frequent: the class that its neighbours' classes make likeliest."""
+    k = len(grid) - 1
+    shared = docs.sparkSession.sparkContext.broadcast((np.r_[of, k], grid))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, classes = Symbols(words.value), shared.value[0]
+        for b in rows_by_bytes(batches, "text", SLICE_BYTES):
+            now, text, flat = s.read(b.column(0).cast(pa.binary()).to_pylist())
+            before, after = classes[_previous(now, text, s.end)], classes[np.r_[now[1:], s.end]]
+            at = np.flatnonzero(now == s.n)
+            number: dict[bytes, int] = {}
+            key = np.array([number.setdefault(flat[i], len(number)) for i in at.tolist()], np.int64)
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            both = np.stack([before[at], after[at] + k + 1], 1)[order].astype(np.uint8).reshape(-1)
+            key = key[order]
+            yield pa.RecordBatch.from_arrays([pa.array(number.keys(), pa.binary()), _binaries(both, 2 * np.flatnonzero(np.r_[True, key[1:] != key[:-1]]))], names=["word", "c"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = 2 * (k + 1)
+        for t in whole_groups(batches, ["word"], ROWS):
+            starts = np.array(group_starts(t, ["word"]))
+            cells, words_ = t.column("c").to_pylist(), t.column("word").take(pa.array(starts[:-1])).combine_chunks()
+            of_row = np.repeat(np.arange(len(words_)), np.diff(starts))
+            size = np.fromiter(map(len, cells), np.int64, len(cells))
+            at = np.repeat(of_row, size) * wide + np.frombuffer(b"".join(cells), np.uint8)
+            for lo in range(0, len(words_), ROWS):
+                hi = min(lo + ROWS, len(words_))
+                mine = at[(at >= lo * wide) & (at < hi * wide)] - lo * wide
+                near = np.bincount(mine, minlength=(hi - lo) * wide).reshape(-1, wide)
+                yield pa.RecordBatch.from_arrays([words_.slice(lo, hi - lo), pa.array(near.sum(1) // 2), pa.array(affinity(shared.value[1], near.astype(float)).argmax(1).astype(np.int32))], names=["word", "n", "class"])
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c binary")
+    return dealt.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, n long, class int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each symbol: symbols are moved, one at a time, to the class where the class bigrams' likelihood is highest, until none moves."""
+def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
+    """The class of each symbol: symbols are moved, one at a time, to the class where the class bigrams' likelihood is highest, until none moves (or for so many sweeps)."""
     n = len(pairs)
     k = max(1, min(classes, n))
     weight = pairs.sum(0) + pairs.sum(1)
@@ -131,7 +297,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     p = pairs.astype(float)
     grid = member.T @ p @ member
     after, before = p @ member, member.T @ p  # by symbol and class
-    for _ in range(sweeps):
+    for _ in repeat(0) if sweeps is None else range(sweeps):
         moved = 0
         for w in order:
             if not weight[w]:
@@ -166,7 +332,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 
 class Model:
-    """log10 probabilities: steps[a, b] of symbol b after a; a word without a symbol of its own also has log10(n + 0.1), its ending's sum is in the step."""
+    """log10 probabilities: steps[a, b] of symbol b after a; where symbols are classes, a word also has log10(n + 0.1), and its class's sum, ``inner``, is in the step."""
 
     def __init__(self, pairs: np.ndarray, of: np.ndarray, inner: np.ndarray):
         k = int(of.max()) + 1
@@ -190,7 +356,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     A null text is empty: one token, its end. Without training documents every count is 0. Rows that repeat are scored
     each, and learnt from each. Other columns don't matter. To the driver go the words of the broadcast list (131,072 at
-    most, by a count that fewer words have), the sums of some hundred endings and the symbols' bigrams (1024 x 1024)."""
+    most, by a count that fewer words have), a class and a gain for each of them in each round,
+    the bigrams of the first 1,024 and the classes'. A word that no training document has belongs to the class with the
+    most rare words."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     train = docs.where(~held_out(F.col("doc_id")))
@@ -209,63 +377,132 @@ def scores(docs: DataFrame) -> DataFrame:
     words, n = _collected(counts.where(frequent | (F.col("word") == F.lit(END))))
     words, n = words.to_pylist(), n.to_pylist()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
-    words, n = [words[i] for i in order], [n[i] for i in order]
-    top = [END, *(w for w in words[: TOP_WORDS + 1] if w != END)][:TOP_WORDS]
-    in_top = spark.createDataFrame([(bytearray(w),) for w in top], "t_ binary")
-    ending = F.expr(f"CASE WHEN octet_length(word) > {ENDING_BYTES} THEN substring(word, -{ENDING_BYTES}, {ENDING_BYTES}) ELSE word END").alias("ending")
-    others = counts.join(F.broadcast(in_top), F.col("word") == F.col("t_"), "left_anti").groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    others = stage(others, "endings")
-    chosen = others.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()
-    rest = others.agg(F.sum("n"), F.sum("v")).first()
-    shared = spark.sparkContext.broadcast((words, n, top, [bytes(r.ending) for r in chosen]))
-    symbols = Symbols(*shared.value)
-    # tokens and words that each symbol stands for; a place for unseen words everywhere but in the top words
-    mass = np.array([*(r.n for r in chosen), (rest[0] or 0) - sum(r.n for r in chosen)], float)
-    kinds = np.array([*(r.v for r in chosen), (rest[1] or 0) - sum(r.v for r in chosen)], float)
-    inner = np.r_[np.zeros(len(top)), np.log10(mass + ADD * (kinds + 1))]
-    pairs = np.zeros((symbols.n, symbols.n))
-    a, b, k = (c.to_numpy() for c in _collected(bigrams(train, shared)))
-    pairs[a, b] = k
-    model = Model(pairs, exchange(pairs), inner)
-    steps_shared = spark.sparkContext.broadcast(model.steps)
+    words, n = [words[i] for i in order], np.array([n[i] for i in order], np.int64)
+    shared = spark.sparkContext.broadcast(words)
+    near = stage(neighbours(train, shared), "neighbours")
+    # the first words among themselves, and all others as one more
+    k, first = CLASSES, min(SEEDS, len(words))
+    of = np.full(len(words), k)
+    if first:
+        of[:first] = exchange(_first_pairs(near.where(F.col("id") < first), len(words), first), k)[:first]
+    of, grid = clustered(near, of, k)
+    rare = stage(rare_words(train, shared, of, grid), "rare")
+    # tokens and words of each class
+    mass, kinds = np.bincount(of, weights=n, minlength=k), np.bincount(of, minlength=k).astype(float)
+    few = np.zeros(k)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[r["class"]] += r.n
+        few[r["class"]] = r.v
+    unseen = int(few.argmax())
+    kinds += few
+    kinds[unseen] += 1
+    inner = np.log10(mass + ADD * np.maximum(kinds, 1))
+    known = spark.sparkContext.broadcast((of, np.log10(n + ADD)))
+    tagged = stage(_tagged(docs, shared, known, rare, unseen), "classes")
+    end = int(of[words.index(END)]) if END in words else unseen
+    pairs = np.zeros((k, k))
+    learnt = tagged.where(~held_out(F.col("doc_id"))).select("classes").mapInArrow(lambda it: _class_pairs(it, end, k), "a int, b int, n long")
+    for r in learnt.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        pairs[r.a, r.b] = r.n
+    model = spark.sparkContext.broadcast(Model(pairs, np.arange(k), inner).steps)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c, text = _sequences(b.column(b.schema.get_field_index("classes")))
+            step = np.bincount(text, weights=model.value[_previous(c, text, end), c], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(step)], names=["doc_id", "n_tokens", "n_known", "base_", "step_"])
+
     unit = float(np.log10(n_train + ADD * (n_words + 1)))
-    n_top, flat_type = len(top), "doc_id long, x int"
+    out = tagged.select("doc_id", "n_tokens", "n_known", "base_", "classes").mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_ double, step_ double")
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("base_") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("base_") + F.col("step_")).alias("score"),
+    )
+
+
+def _first_pairs(near: DataFrame, n_words: int, first: int) -> np.ndarray:
+    """Bigrams of the first words, from neighbours(); all others are one more."""
 
-    def known(batches: Iterator[pa.RecordBatch], rare: bool) -> Iterator[pa.RecordBatch]:
-        s = Symbols(*shared.value)
-        steps, log_count, end = steps_shared.value, np.log10(s.counts + ADD), s.of(END)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at, n = (np.frombuffer(b.column(j)[i].as_py(), np.int32) for j in (1, 2))
+                right = at > n_words
+                row, col = (np.bincount(np.minimum(x, first), weights=m, minlength=first + 1).astype(np.float32) for x, m in ((at[right] - n_words - 1, n[right]), (at[~right], n[~right])))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([row.tobytes()], pa.binary()), pa.array([float(col[first])])], names=["id", "row", "other"])
+
+    out = np.zeros((first + 1, first + 1))
+    for r in near.mapInArrow(run, "id int, row binary, other double").collect():
+        out[r.id] = np.frombuffer(r.row, np.float32)
+        out[first, r.id] = r.other
+    return out
+
+
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(cells), np.uint8).astype(np.int64), np.repeat(np.arange(len(cells)), [len(x) for x in cells])
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch], end: int, k: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(k * k, np.int64)
+    for b in batches:
+        if b.num_rows:
+            c, text = _sequences(b.column(0))
+            total += np.bincount(_previous(c, text, end) * k + c, minlength=k * k)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array((some // k).astype(np.int32)), pa.array((some % k).astype(np.int32)), pa.array(total[some])], names=["a", "b", "n"])
+
+
+def _tagged(docs: DataFrame, words, known, rare: DataFrame, unseen: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_ (sum of log10(n + 0.1)) and the class of each token, a byte each, of every row of ``docs``."""
+    none = 255
+
+    def run(batches: Iterator[pa.RecordBatch], far: bool) -> Iterator[pa.RecordBatch]:
+        s, (of, log_count) = Symbols(words.value), known.value
+        classes, log_count = np.r_[of, none].astype(np.uint8), np.r_[log_count, 0.0]
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
             ids, x = b.column(0), b.column(1)
-            texts = b.column(2).cast(pa.binary()).to_pylist()
-            at, symbol, text, flat = s.read(texts)
-            if rare:
-                # words outside of the broadcast list, with their number in each text
-                found = Counter((i, flat[j]) for i, j in zip(text[at < 0].tolist(), np.flatnonzero(at < 0).tolist(), strict=True))
+            now, text, flat = s.read(b.column(2).cast(pa.binary()).to_pylist())
+            begins = np.searchsorted(text, np.arange(b.num_rows))
+            if far:
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for i in np.flatnonzero(now == s.n).tolist():
+                    found.setdefault((int(text[i]), flat[i]), []).append(i - int(begins[text[i]]))
                 if found:
-                    of = pa.array([i for i, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int32()), ids.take(of), x.take(of)], names=["word", "tf", "doc_id", "x"])
+                    of_text = pa.array([t for t, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.binary()), pa.array([np.array(p, np.int32).tobytes() for p in found.values()], pa.binary()), ids.take(of_text), x.take(of_text)], names=["word", "at", "doc_id", "x"])
                 continue
-            count = np.where(at < 0, 0.0, log_count[at] if len(log_count) else 0.0)
-            step = steps[_previous(symbol, text, end), symbol] + np.where(symbol < n_top, 0.0, count)
-            total = lambda v: np.bincount(text, weights=v, minlength=len(texts))
-            have = s.counts[at] > 0 if len(s.counts) else np.zeros(len(at), bool)
-            columns = [ids, x, pa.array(np.bincount(text, minlength=len(texts))), pa.array(total((at >= 0) & have).astype(np.int64)), pa.array(total(count)), pa.array(total(step))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "n_tokens", "known_", "base_", "score_"])
-
-    keyed = docs.select(F.col("doc_id").cast("long"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x"), F.col("text").cast("string").alias("text"))
-    near = keyed.mapInArrow(lambda it: known(it, False), f"{flat_type}, n_tokens long, known_ long, base_ double, score_ double")
-    far = keyed.mapInArrow(lambda it: known(it, True), f"word binary, tf int, {flat_type}")
-    looked_up = far.join(counts.where(~frequent).select(F.col("word").alias("w_"), "n"), F.col("word") == F.col("w_"), "left")
-    looked_up = looked_up.groupBy(F.col("doc_id").alias("d_"), F.col("x").alias("x_")).agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("seen"))
-    # rows alike in id and text have all brought their words
-    alike = keyed.groupBy(F.col("doc_id").alias("d2_"), F.col("x").alias("x2_")).agg(F.count("*").alias("alike")).where("alike > 1")
-    looked_up = looked_up.join(alike, F.col("d_").eqNullSafe(F.col("d2_")) & (F.col("x_") == F.col("x2_")), "left").select("d_", "x_", (F.col("more") / F.coalesce("alike", F.lit(1))).alias("more"), (F.col("seen") / F.coalesce("alike", F.lit(1))).cast("long").alias("seen"))
+            total = lambda v: np.bincount(text, weights=v, minlength=b.num_rows)  # noqa: B023, E731
+            columns = [ids, x, pa.array(np.bincount(text, minlength=b.num_rows)), pa.array(total(now < s.n).astype(np.int64)), pa.array(total(log_count[now])), _binaries(classes[now], begins)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "n_tokens", "n_known", "base_", "classes"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Puts in the rare words; rows alike in id and text have all brought theirs, and have the same places."""
+        for b in rows_by_bytes(batches, "classes", SLICE_BYTES // 8):
+            n_known, base, cells = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()
+            begins = np.cumsum([0, *map(len, cells)])
+            tags, found = np.frombuffer(b"".join(cells), np.uint8).copy(), b.column(5).flatten()
+            if len(found):
+                owner = np.repeat(np.arange(b.num_rows), b.column(5).value_lengths().fill_null(0).to_numpy())
+                places = found.field("at").to_pylist()
+                size = [len(x) // 4 for x in places]
+                at, one = np.unique(np.repeat(begins[owner], size) + np.frombuffer(b"".join(places), np.int32), return_index=True)
+                entry = np.repeat(np.arange(len(found)), size)[one]
+                n = found.field("n").fill_null(0).to_numpy()[entry]
+                tags[at] = found.field("class").fill_null(unseen).to_numpy()[entry]
+                n_known = n_known + np.bincount(owner[entry], weights=n > 0, minlength=b.num_rows).astype(np.int64)
+                base = base + np.bincount(owner[entry], weights=np.log10(n + ADD), minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_known), pa.array(base), _binaries(tags, begins[:-1])], names=["doc_id", "n_tokens", "n_known", "base_", "classes"])
+
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x"), F.col("text").cast("string").alias("text"))
+    near = keyed.mapInArrow(lambda it: run(it, False), "doc_id long, x long, n_tokens long, n_known long, base_ double, classes binary")
+    far = keyed.mapInArrow(lambda it: run(it, True), "word binary, at binary, doc_id long, x long")
+    looked_up = far.join(rare.select(F.col("word").alias("w_"), "n", "class"), F.col("word") == F.col("w_"), "left")
+    looked_up = looked_up.groupBy(F.col("doc_id").alias("d_"), F.col("x").alias("x_")).agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
     out = near.join(looked_up, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("x") == F.col("x_")), "left")
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known_") + seen).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base_") + more - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("score_") + more).alias("score"),
-    )
+    return out.select("doc_id", "n_tokens", "n_known", "base_", "classes", "found").mapInArrow(fill, "doc_id long, n_tokens long, n_known long, base_ double, classes binary")
 
 
 def perplexity(df: DataFrame) -> DataFrame:
