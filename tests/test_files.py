@@ -54,6 +54,11 @@ def test_extract_mixed_files(spark, tmp_path):
     assert tuple(files.batch_report(pdf).first()) == (6, 5)
 
 
+def test_csv_cells_with_line_ends(spark, tmp_path):
+    (tmp_path / "lines.csv").write_text('id,note\n1,"first\nsecond, third"\n2,plain\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "lines.csv")).orderBy("id").collect()] == [("1", "first\nsecond, third"), ("2", "plain")]
+
+
 def test_csv_with_separator_and_metrics(spark, tmp_path):
     (tmp_path / "x.csv").write_text("Year;Document Type\n2023;Report\n")
     assert files.read_csv(spark, str(tmp_path / "x.csv"), ";").first()["Document Type"] == "Report"

@@ -21,8 +21,8 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header, every column a string; no pass over the data to guess types."""
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=False)
+    """CSV with a header, every column a string; no pass over the data to guess types. Quoted cells may hold line ends, so a file is read by one task."""
+    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
