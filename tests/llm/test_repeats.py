@@ -223,3 +223,10 @@ def test_hits_in_parts(spark, leak_tables, monkeypatch):
     few = sorted(dec._leaks(items, ids, begins, sizes, 0.5))
     monkeypatch.setattr(dec, "HITS", 1 << 20)
     assert few == sorted(dec._leaks(items, ids, begins, sizes, 0.5)) and len(few) >= len(want)
+
+
+def test_leaks_in_unspaced_scripts_and_beside_typographic_signs(spark):
+    items = [(1, "春眠不覚暁処処聞啼鳥"), (2, "seven brown foxes")]
+    docs = [(1, "昔の人は春眠不覚暁処処聞啼鳥と歌った。"), (2, "They said\u2014\u201cseven brown foxes\u201d\u2026"), (3, "全く関係のない文章です"), (4, "caf\u00e9 foxes")]
+    out = dec.alignments(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(1, 1), (2, 2)]

@@ -7,6 +7,7 @@ and left-out words. Places whose words can't reach the least score are left out
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,13 +26,34 @@ ITEMS_BYTES = 4 << 20  # of test items that are broadcast at once; more go in se
 SLICE_BYTES = 4 << 20
 HITS = 1 << 20  # places of seeds, times the items that have them, that are held at once; a text with more stands alone
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA", "HALFWIDTH KATAKANA", "THAI ", "LAO ", "KHMER ", "MYANMAR ")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Letters(dict):
+    """For str.translate: what is no letter, mark or digit becomes a space; letters of UNSPACED scripts stand alone; invisible signs go."""
+
+    def __missing__(self, c: int) -> str:
+        kind = unicodedata.category(chr(c))
+        if c < 128:
+            out = chr(c) if chr(c).isalnum() else " "
+        elif kind == "Cf":
+            out = ""
+        elif kind[0] in "LM" and unicodedata.name(chr(c), "").startswith(UNSPACED):
+            out = f" {chr(c)} "
+        else:
+            out = chr(c) if kind[0] in "LMN" else " "
+        self[c] = out
+        return out
+
+
+_LETTERS = _Letters()
+
+
 def words(text: bytes | None) -> list[bytes]:
-    """Runs of letters and digits in lower case; any byte over 127 counts as a letter."""
+    """Runs of letters, marks and digits in lower case; each letter of a script that is written without spaces is a word."""
     text = text or b""
-    return (text.lower() if text.isascii() else text.decode().lower().encode()).translate(_SPACED).split()
+    return text.lower().translate(_SPACED).split() if text.isascii() else text.decode().lower().translate(_LETTERS).encode().split()
 
 
 def _codes(ids: np.ndarray, n: int) -> np.ndarray:
