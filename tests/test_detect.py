@@ -18,7 +18,7 @@ HAND = {
 }
 ODD = [
     "é2024-01-02 and 2024-01-02", "EUR 12 000.50 or €1,000.25", "phone 012 345 678 9 0", "🙂 a@b.co 🙂 2024-05-06", "[EMAIL] a@b.co", "ID ABC123XYZ identity ID:QQQQQQ",
-    "account 123 Acct9999 USD 5", "123456-7890 and 123456 78", "ıris İRIS iris", "x" * 5000 + " a@b.co",
+    "account 123 Acct9999 USD 5", "123456-7890 and 123456 78", "ıris İRIS iris", "x" * 5000 + " a@b.co", "a@b.co \ue000 c@d.co", "acct 123 é acct 456 \ue000",
 ]
 
 
@@ -57,6 +57,15 @@ def test_native_agrees(spark, texts):
             assert r.r == model(r.text)[0], r.text
 
 
+def test_without_detections(spark, texts):
+    whole = {r.id: (r.redacted_text, r.total_redacted) for r in detect.redact(texts).collect()}
+    short = detect.redact(texts.withColumn("detections", F.lit(3)), detections=False)
+    assert short.columns == ["id", "text", "redacted_text", "total_redacted"]
+    assert {r.id: (r.redacted_text, r.total_redacted) for r in short.collect()} == whole
+    kept = detect.redact(texts.select(F.col("id").alias("text"), F.col("text").alias("body")), "body", level="body", detections=False)
+    assert kept.where("text = 99").first().redacted_text is None
+
+
 def test_levels_nest_and_c1_is_identity(spark, texts):
     rows = texts.where("text IS NOT NULL").crossJoin(spark.createDataFrame([(x,) for x in [*LEVELS, None]], "level string"))
     got = {(r.id, r.level): r for r in detect.redact(rows, level="level").collect()}

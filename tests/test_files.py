@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
-from veilspark.operators import audit, classify, dictionary, metrics, synth
+from veilspark.operators import audit, classify, dictionary, metrics, synth, templates
 from veilspark.sources import docx, files, html, sinks
 from veilspark.streaming import live
 
@@ -48,7 +48,7 @@ def test_extract_mixed_files(spark, tmp_path):
     (tmp_path / "f.docx").write_bytes(b"broken")
     bin_files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.path[-5:]: r.text for r in files.extract(bin_files).collect()}
-    assert got == {"a.txt": "text é", ".html": "page", ".docx": got[".docx"], "d.csv": "a b\n1 é", "e.pdf": ""}
+    assert got == {"a.txt": "text é", ".html": "page", ".docx": got[".docx"], "d.csv": "a b\n 1 é", "e.pdf": ""}
     pdf = files.extract(bin_files, {"pdf": lambda b: "pages"})
     assert pdf.where("kind = 'pdf'").first().text == "pages"
     assert tuple(files.batch_report(pdf).first()) == (6, 5)
@@ -106,13 +106,41 @@ def test_train_and_predict(spark):
 
 
 def test_generate_and_small_functions(spark):
-    rows = synth.generate(spark, 12)
-    assert rows.count() == 12 and rows.where("redacted_text LIKE '%<IBAN_2>%'").count() == 2
+    rows = synth.generate(spark, 50)
+    assert rows.count() == 50 and rows.where("redacted_text LIKE '%<IBAN_2>%'").count() == 2
     df = spark.createDataFrame([("ab", " 1.2.3.4 , 5", None), ("é" * 40, None, "9.9.9.9"), (None, None, None)], "p string, f string, peer string")
     assert [r.x for r in df.select(T.password_ok(F.col("p")).alias("x")).collect()] == [False, False, False]
     assert [r.x for r in df.select(T.client_ip(F.col("f"), F.col("peer")).alias("x")).collect()] == ["1.2.3.4", "9.9.9.9", "unknown"]
 
 
+def test_every_entity_is_exported(spark):
+    table = spark.createDataFrame([(0, "c", " ".join(["{IBAN}"] * 12)), (1, "c", "nothing"), (2, "c", "{NOPE} {YEAR}")], "template_id long, category string, template string")
+    rows = synth.generate(spark, 6, source=table)
+    wide = {r.id: r for r in sinks.wide(rows.select("id", "entity_mappings"), "entity_mappings").collect()}
+    assert wide[0].num_entities == 12 and wide[0].entity_11_placeholder == "<IBAN_12>" and 0.85 <= wide[0].entity_11_confidence <= 0.99
+    assert wide[1].num_entities == 0 and wide[1].entity_0_type is None and wide[2].num_entities == 0 and len(wide[0]) == 2 + 4 * 12
+    assert sinks.width_of(rows.limit(0), "entity_mappings") == 0
+
+
+def test_value_formats(spark):
+    import re
+
+    kinds = [*templates.FORMATS, *templates.DATES, *templates.MONTHS, "OTHER"]
+    df = spark.createDataFrame([(k, i) for k in kinds for i in range(40)], "kind string, row long")
+    left = [(r.kind, r.v) for r in df.select("kind", synth.value_of(F.col("kind"), F.col("row"), F.lit(1)).alias("v")).collect()]
+    assert all(not set(v) & set(templates.DIGITS + templates.LETTERS) for _, v in left)
+    assert all(re.fullmatch(r"[A-Z]{2}\d{2}( [A-Z0-9]{2,4}){3,4}", v) for k, v in left if k == "IBAN") and all(re.fullmatch(r"other-\d{6}", v) for k, v in left if k == "OTHER")
+    assert len(templates.rows(templates.FIRST)) == 25 and len(templates.rows(templates.SECOND)) == 68
+    assert {t for types in synth.SEVERITY.values() for t in types} | set(synth.FIRST_TYPES) == {*templates.FORMATS, *templates.DATES, *templates.MONTHS}
+
+
+def test_csv_text_is_typed():
+    from veilspark.sources.files import csv_text
+
+    assert csv_text(b"a,name\n1,x\n22,\n") == " a name\n 1    x\n22  NaN" and "é" in csv_text("a\né\n".encode("latin-1"))
+    assert csv_text(b'a,b\n"x\ny",2\n').count("2") == 1
+
+
 def test_users(spark):
     users = spark.createDataFrame([("u1", "a@x.co", True, False, None)], "user_id string, email string, is_active boolean, is_admin boolean, last_login timestamp")
     asked = spark.createDataFrame([("a@x.co",), ("b@x.co",)], "email string")

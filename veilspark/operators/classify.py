@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.operators import detect
 from veilspark.operators.patterns import EXPLANATIONS, PATTERNS
 
 # Words that decide the level, the first list that has one wins; else C1.
@@ -37,7 +38,10 @@ APPROVAL_ACTIONS = ("text_de_scrubbed", "file_de_scrubbed")
 
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether a word is anywhere in the text, inside of other words too."""
-    low = F.lower(text)
+    return _has_any(F.lower(text), words)
+
+
+def _has_any(low: Column, words: list[str]) -> Column:
     out = F.contains(low, F.lit(words[0]))
     for w in words[1:]:
         out |= F.contains(low, F.lit(w))
@@ -70,13 +74,14 @@ def needs_approval(action: Column, level: Column) -> Column:
     return F.coalesce(action.isin(*APPROVAL_ACTIONS), F.lit(False)) | F.coalesce(level.isin("C3", "C4"), F.lit(False))
 
 
-def rule_features(text: Column) -> Column:
-    """array<double> of 22: presence and count of each pattern, then the four word groups."""
-    out = []
-    for p in PATTERNS:
-        n = F.regexp_count(text, F.lit(p.java))
-        out += [(n > 0).cast("double"), n.cast("double")]
-    return F.array(*out, *[has_any(text, words).cast("double") for words in FEATURE_WORDS])
+def with_rule_features(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``, array<double> of 22: presence and count of each pattern, then the four word groups.
+
+    Each pattern is counted once, and the text lowered once: both are arrays that the features are read from."""
+    made = df.withColumn("veil_counts_", F.array(*[detect.count(F.col(text), p) for p in PATTERNS])).withColumn("veil_low_", F.lower(text))
+    counts = F.flatten(F.transform("veil_counts_", lambda n: F.array((n > 0).cast("double"), n.cast("double"))))
+    groups = F.array(*[_has_any(F.col("veil_low_"), words).cast("double") for words in FEATURE_WORDS])
+    return made.withColumn(out, F.concat(counts, groups)).drop("veil_counts_", "veil_low_")
 
 
 def training_pipeline(kind: str = "logreg", ngram_max: int = 2, seed: int = 42):
@@ -102,7 +107,7 @@ def train(df: DataFrame, kind: str = "logreg", test_size: float = 0.2, ngram_max
     """Fit on a seeded split of (text, label); returns the model and predictions (actual, predicted, confidence) on the rest."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = df.select("text", "label").withColumn("features_rules", array_to_vector(rule_features(F.col("text"))))
+    data = with_rule_features(df.select("text", "label"), "text", "rules").select("text", "label", array_to_vector("rules").alias("features_rules"))
     fit, rest = data.randomSplit([1 - test_size, test_size], seed)
     model = training_pipeline(kind, ngram_max, seed).fit(fit)
     names = next(s.labels for s in model.stages if hasattr(s, "labels"))
@@ -123,7 +128,8 @@ def classified(df: DataFrame, model, text: str = "text") -> DataFrame:
 
     names = F.array(*map(F.lit, next(s.labels for s in model.stages if hasattr(s, "labels"))))
     columns = df.columns
-    data = df.withColumn("row_", F.struct(*columns)).select("row_", F.col(text).alias("text"), F.lit("").alias("label"), array_to_vector(rule_features(F.col(text))).alias("features_rules"))
+    data = df.select(F.struct(*columns).alias("row_"), F.col(text).alias("text"), F.lit("").alias("label"))
+    data = with_rule_features(data, "text", "rules").select("row_", "text", "label", array_to_vector("rules").alias("features_rules"))
     for stage in model.stages:
         data = data if hasattr(stage, "labels") else stage.transform(data)
     p = vector_to_array("probability")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators.patterns import PATTERNS, Pattern, compiled, types_of_level
+from veilspark.operators.patterns import PATTERNS, Pattern, compiled, may_match, types_of_level
 
 DETECTION = pa.struct([("type", pa.string()), ("original", pa.string()), ("placeholder", pa.string())])
 DETECTIONS_SQL = "array<struct<type:string,original:string,placeholder:string>>"
@@ -45,53 +45,72 @@ def apart(matches: list[tuple[int, int, int, Pattern, str]]) -> list[tuple[int,
     return out[::-1]
 
 
-def redact(df: DataFrame, text: str = "text", level: str | None = None, types: list[str] | None = None, resolve_overlaps: bool = False) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", level: str | None = None, types: list[str] | None = None, resolve_overlaps: bool = False, detections: bool = True) -> DataFrame:
     """``df`` with redacted_text, detections and total_redacted (columns of these names are replaced).
 
     ``level`` names a column with C1..C4 or null, which picks the patterns row by row; ``types`` names them for all
-    rows, in tie order. Null texts give null and no detections. No shuffle, one Arrow pass; works on streams too."""
-    added = ("redacted_text", "detections", "total_redacted")
-    kept = [c for c in df.columns if c not in added]
-    source = df.select(*kept, F.col(text).cast("string").alias("veil_text_"), (F.col(level).cast("string") if level else F.lit(None).cast("string")).alias("veil_level_"))
-    schema = df.select(*kept).withColumns({"redacted_text": F.lit(None).cast("string"), "detections": F.lit(None).cast(DETECTIONS_SQL), "total_redacted": F.lit(None).cast("long")}).schema
+    rows, in tie order. Without ``detections`` these aren't built, and the column isn't there. Null texts give null and
+    no detections. No shuffle, one Arrow pass; works on streams too."""
+    added = ("redacted_text", "detections", "total_redacted") if detections else ("redacted_text", "total_redacted")
+    kept = [c for c in df.columns if c not in ("redacted_text", "detections", "total_redacted")]
+    # a string column that is kept anyway travels once
+    own = text in kept and dict(df.dtypes)[text] == "string"
+    extra = [] if own else [F.col(text).cast("string").alias("veil_text_")]
+    source = df.select(*kept, *extra, *([F.col(level).cast("string").alias("veil_level_")] if level else []))
+    kinds = {"redacted_text": "string", "detections": DETECTIONS_SQL, "total_redacted": "long"}
+    schema = df.select(*kept).withColumns({c: F.lit(None).cast(kinds[c]) for c in added}).schema
+    at = kept.index(text) if own else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str | None, list] = {}
         for b in batches:
             texts, found, totals = [], [], []
-            for t, lv in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True):
+            levels = b.column(b.num_columns - 1).to_pylist() if level else [None] * b.num_rows
+            for t, lv in zip(b.column(at).to_pylist(), levels, strict=True):
                 if lv not in sets:
                     sets[lv] = compiled(types if types is not None else types_of_level(lv))
                 matches = find(t, sets[lv]) if t is not None else []
                 if resolve_overlaps:
                     matches = apart(matches)
                 texts.append(replace(t, matches) if matches else t)
-                found.append([{"type": p.type, "original": m, "placeholder": p.placeholder} for _, _, _, p, m in reversed(matches)])
                 totals.append(len(matches))
-            columns = [pa.array(texts, pa.string()), pa.array(found, pa.list_(DETECTION)), pa.array(totals, pa.int64())]
+                if detections:
+                    found.append([{"type": p.type, "original": m, "placeholder": p.placeholder} for _, _, _, p, m in reversed(matches)])
+            columns = [pa.array(texts, pa.string()), *([pa.array(found, pa.list_(DETECTION))] if detections else []), pa.array(totals, pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *columns], names=[*kept, *added])
 
     return source.mapInArrow(run, schema)
 
 
+SPANS_SQL = "array<struct<start:int,ord:int,length:int,type:string,placeholder:string,original:string>>"
+_CUT = "\uE000"  # a private sign; a text that has it takes the slower way
+
+
 def native_spans(text: Column, types: list[str] | None = None) -> Column:
-    """array<struct<start,ord,length,type,placeholder,original>> of all matches, last start first, with Spark's functions only."""
+    """array<struct<start,ord,length,type,placeholder,original>> of all matches, last start first, with Spark's functions only.
 
-    def of(p: Pattern) -> Column:
-        parts, found = F.split(text, p.java, -1), F.regexp_extract_all(text, F.lit(p.java), F.lit(0))
-        sizes = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda a, m: F.struct(F.char_length(a).alias("gap"), F.char_length(m).alias("length"), m.alias("original")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,length:int,type:string,placeholder:string,original:string>>").alias("out"))
+    Texts in ASCII, on which they say the same, meet the cheaper expressions without Unicode classes."""
 
-        def add(acc: Column, x: Column) -> Column:
-            one = F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(p.ord).alias("ord"), x["length"].alias("length"), F.lit(p.type).alias("type"), F.lit(p.placeholder).alias("placeholder"), x["original"].alias("original"))
-            return F.struct((acc["at"] + x["gap"] + x["length"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def of(p: Pattern, regex: str) -> Column:
+        # Spark compiles a split's expression for each row, a replacement's once
+        parts = F.when(F.contains(text, F.lit(_CUT)), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, _CUT), _CUT, -1))
+        found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        before = lambda x, n: F.char_length(F.array_join(F.slice(x, F.lit(1), n), ""))
 
-        return F.aggregate(sizes, start, add)["out"]
+        def span(m: Column, i: Column) -> Column:
+            start = before(parts, i + 1) + before(found, i)
+            return F.struct(start.alias("start"), F.lit(p.ord).alias("ord"), F.char_length(m).alias("length"), F.lit(p.type).alias("type"), F.lit(p.placeholder).alias("placeholder"), m.alias("original"))
+
+        return F.when(F.regexp_like(text, F.lit(regex)), F.transform(found, span)).otherwise(F.array().cast(SPANS_SQL))
 
     chosen = [p for p in PATTERNS if types is None or p.type in types]
-    spans = F.concat(*[of(p) for p in chosen])
+    spans = F.when(_ascii(text), F.concat(*[of(p, p.ascii) for p in chosen])).otherwise(F.concat(*[of(p, p.java) for p in chosen]))
     order = lambda a, b: F.when(a["start"] != b["start"], b["start"] - a["start"]).otherwise(a["ord"] - b["ord"])
-    return F.array_sort(spans, order)
+    return F.when(text.isNotNull(), F.when(may_match(text), F.array_sort(spans, order)).otherwise(F.array().cast(SPANS_SQL)))
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def native_redacted(text: Column, spans: Column) -> Column:
@@ -99,9 +118,14 @@ def native_redacted(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, text, lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"]), x["placeholder"], F.substring(t, x["start"] + x["length"] + 1, F.char_length(t))))
 
 
+def count(text: Column, p: Pattern) -> Column:
+    """Number of matches of a pattern, JVM-side."""
+    return F.when(_ascii(text), F.regexp_count(text, F.lit(p.ascii))).otherwise(F.regexp_count(text, F.lit(p.java)))
+
+
 def counts(text: Column) -> list[Column]:
     """Number of matches of each pattern, JVM-side."""
-    return [F.regexp_count(text, F.lit(p.java)).cast("long").alias(f"n_{p.type.lower()}") for p in PATTERNS]
+    return [count(text, p).cast("long").alias(f"n_{p.type.lower()}") for p in PATTERNS]
 
 
 def detection_rows(redacted: DataFrame, id: str) -> DataFrame:

@@ -21,6 +21,11 @@ class Pattern:
         """For Spark's own functions: Unicode classes, as Python has them."""
         return "(?iU)" + self.regex
 
+    @property
+    def ascii(self) -> str:
+        """For Spark's own functions on texts in ASCII: the same matches for less."""
+        return "(?i)" + self.regex
+
     @property
     def re2(self) -> str:
         """For DuckDB."""
@@ -40,8 +45,12 @@ PATTERNS = [
     Pattern(8, "BIOMETRIC", "[BIOMETRIC_DATA]", r"\b(FaceID|fingerprint|iris|biometric)\b"),
 ]
 BY_TYPE = {p.type: p for p in PATTERNS}
-#: Placeholder of a type that the catalogue doesn't know.
-UNKNOWN_PLACEHOLDER = "[NAME]"
+
+
+def placeholder_of(kind: str) -> str:
+    """A type's placeholder; for one that the catalogue doesn't know its name in brackets."""
+    return BY_TYPE[kind].placeholder if kind in BY_TYPE else f"[{kind}]"
+
 
 # What each level redacts; a null level, like C4, redacts all.
 LEVELS = {

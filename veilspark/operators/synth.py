@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.templates import ALPHABET, DATES, DIGITS, FIRST, FORMATS, LETTERS, MONTHS, SECOND
+from veilspark.operators.templates import rows as numbered
+
 # Entity types by severity.
 SEVERITY = {
     "CRITICAL": ["IBAN", "ACCOUNT_NUMBER", "CREDIT_CARD", "DEBIT_CARD", "BIC_SWIFT", "ROUTING_NUMBER", "SORT_CODE", "TAX_ID", "SSN"],
@@ -30,58 +33,52 @@ SEED_ROLES = ["analyst", "manager", "compliance", "admin", "analyst"]
 HIGH_TYPES = ["IBAN", "AMOUNT", "CUSTOMER_ID", "TRANSFER_ID"]
 MEDIUM_TYPES = ["PERSON", "EMAIL", "PHONE_NUMBER", "CORP_KEY"]
 
-#: Our own templates: category and text, an entity's type in braces.
-TEMPLATES = [
-    ("payments", "Pay {AMOUNT} from {IBAN} to {IBAN} for {PERSON}, reference {PAYMENT_REF}."),
-    ("payments", "Check wire {WIRE_REF} of {AMOUNT} sent by {CUSTOMER_ID}."),
-    ("customers", "Write to {PERSON} at {EMAIL} or {PHONE_NUMBER} about file {DOCUMENT_REF}."),
-    ("customers", "Renew the file of {CUSTOMER_ID}: {PERSON}, born {DATE_OF_BIRTH}, living at {ADDRESS}."),
-    ("reports", "Summarise the report of {DATE} at {URL} and {URL}."),
-    ("systems", "Close session {SESSION_ID} from {IP_ADDRESS}; nothing else than {UNLISTED} is open."),
-]
-
-
 def catalogue(spark: SparkSession) -> DataFrame:
-    """entity_type, sensitivity and rank of all types."""
+    """entity_type, sensitivity and rank of all types of the second generator."""
     return spark.createDataFrame([(t, s, RANK[s]) for s, types in SEVERITY.items() for t in types], "entity_type string, sensitivity string, rank int")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(TEMPLATES)], "template_id long, category string, template string")
+def first_catalogue(spark: SparkSession) -> DataFrame:
+    """entity_type and sensitivity of the types of the first generator."""
+    level = lambda t: "HIGH" if t in HIGH_TYPES else "MEDIUM" if t in MEDIUM_TYPES else "LOW"
+    return spark.createDataFrame([(t, level(t)) for t in FIRST_TYPES], "entity_type string, sensitivity string")
+
+
+def templates(spark: SparkSession, source: dict[str, list[str]] = SECOND) -> DataFrame:
+    """template_id, category and template; any other table of these columns will do as well, of any size."""
+    return spark.createDataFrame(numbered(source), "template_id long, category string, template string")
 
 
 def value_of(kind: Column, row: Column, place: Column) -> Column:
-    """A value in its type's format, from the row's number and the place in the template."""
+    """A value in its type's format, from the row's number and the place in the template.
+
+    The format's signs are replaced by the digits of one number, and by letters that these digits pick."""
     n = (row * 7919 + place * 104_729 + 12_345).cast("long")
-    digits = lambda k: F.lpad((n % 10**k).cast("string"), k, "0")
-    money = F.concat(F.lit("€"), (n % 900 + 100).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
-    date = F.concat((1950 + n % 60).cast("string"), F.lit("-"), F.lpad((1 + n % 12).cast("string"), 2, "0"), F.lit("-"), F.lpad((1 + n % 28).cast("string"), 2, "0"))
-    return (
-        F.when(kind == "IBAN", F.concat(F.lit("BE"), digits(14)))
-        .when(kind.isin("AMOUNT", "SALARY", "INCOME", "LOAN_BALANCE", "INVESTMENT_AMOUNT", "PREMIUM", "CREDIT_LIMIT"), money)
-        .when(kind.isin("DATE", "DATE_OF_BIRTH", "EXPIRY_DATE"), date)
-        .when(kind == "EMAIL", F.concat(F.lit("user"), digits(4), F.lit("@example.com")))
-        .when(kind == "PHONE_NUMBER", F.concat(F.lit("+32 "), digits(9)))
-        .when(kind == "URL", F.concat(F.lit("https://www.example.com/"), digits(5)))
-        .when(kind == "IP_ADDRESS", F.concat(F.lit("10."), (n % 256).cast("string"), F.lit("."), (n % 251).cast("string"), F.lit(".1")))
-        .otherwise(F.concat(F.lower(kind), F.lit("-"), digits(6)))
-    )
+    digits = F.lpad((n % 1_000_000_007 * 998_244_353 % 10**12).cast("string"), 12, "0")
+    known = F.create_map(*[x for t, masks in FORMATS.items() for x in (F.lit(t), F.array(*map(F.lit, masks)))])
+    masks = F.coalesce(F.try_element_at(known, kind), F.array(F.concat(F.lower(kind), F.lit("-" + DIGITS[:6]))))
+    spelled = F.call_function("translate", F.get(masks, (n % F.size(masks)).cast("int")), F.lit(DIGITS + LETTERS), F.concat(digits, F.translate(digits, "0123456789", ALPHABET)))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    date = F.concat((1950 + n % 60).cast("string"), F.lit("-"), two(1 + n % 12), F.lit("-"), two(1 + n % 28))
+    month = F.concat(two(1 + n % 12), F.lit("/"), two(26 + n % 5))
+    return F.when(kind.isin(*DATES), date).when(kind.isin(*MONTHS), month).otherwise(spelled)
 
 
 def fill(df: DataFrame, row: str = "id", template: str = "template", indexed: bool = True, known: list[str] | None = None) -> DataFrame:
-    """``df`` with original_text, redacted_text and entity_mappings (entity_type, original, placeholder), entity by entity in order.
+    """``df`` with original_text, redacted_text and entity_mappings (entity_type, original, placeholder, confidence), entity by entity in order.
 
     ``indexed``: the second of a type is <TYPE_2>, and so on; else all are <TYPE>. Types that aren't in ``known`` stay as
     they are. One expression for each row, no shuffle."""
     known = [t for types in SEVERITY.values() for t in types] if known is None else known
     parts, names = F.split(F.col(template), r"\{[^}]+\}", -1), F.regexp_extract_all(F.col(template), F.lit(r"\{([^}]+)\}"), F.lit(1))
-    marks = F.transform(names, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.size(F.filter(F.slice(names, 1, i + 1), lambda x: x == t)).alias("k"), t.isin(*known).alias("known")))
+    known = F.array(*map(F.lit, known)).cast("array<string>")
+    marks = F.transform(names, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.size(F.filter(F.slice(names, 1, i + 1), lambda x: x == t)).alias("k"), F.array_contains(known, t).alias("known")))
 
     def mapping(m: Column) -> Column:
         again = F.concat(m["t"], F.lit("_"), m["k"].cast("string")) if indexed else m["t"]
         name = F.when(m["k"] > 1, again).otherwise(m["t"])
         raw = F.concat(F.lit("{"), m["t"], F.lit("}"))
-        return F.struct(m["t"].alias("entity_type"), F.when(m["known"], value_of(m["t"], F.col(row), m["i"])).otherwise(raw).alias("original"), F.when(m["known"], F.concat(F.lit("<"), name, F.lit(">"))).otherwise(raw).alias("placeholder"), m["known"].alias("known"))
+        return F.struct(m["t"].alias("entity_type"), F.when(m["known"], value_of(m["t"], F.col(row), m["i"])).otherwise(raw).alias("original"), F.when(m["known"], F.concat(F.lit("<"), name, F.lit(">"))).otherwise(raw).alias("placeholder"), m["known"].alias("known"), confidence(F.col(row), m["i"]).alias("confidence"))
 
     out = df.withColumn("veil_parts_", parts).withColumn("veil_maps_", F.transform(marks, mapping))
 
@@ -89,14 +86,23 @@ def fill(df: DataFrame, row: str = "id", template: str = "template", indexed: bo
         gaps = F.zip_with(F.slice("veil_parts_", 2, F.size("veil_parts_")), F.transform("veil_maps_", lambda m: m[field]), lambda a, v: F.concat(v, a))
         return F.concat(F.col("veil_parts_")[0], F.array_join(gaps, ""))
 
-    kept = F.transform(F.filter("veil_maps_", lambda m: m["known"]), lambda m: F.struct(m["entity_type"], m["original"], m["placeholder"]))
+    kept = F.transform(F.filter("veil_maps_", lambda m: m["known"]), lambda m: F.struct(m["entity_type"], m["original"], m["placeholder"], m["confidence"]))
     return out.withColumns({"original_text": joined("original"), "redacted_text": joined("placeholder"), "entity_mappings": kept}).drop("veil_parts_", "veil_maps_")
 
 
-def generate(spark: SparkSession, n: int, indexed: bool = True) -> DataFrame:
-    """``n`` rows: id, category, template, both texts, the mappings, and both kinds of sensitivity. The template is the row's number's."""
-    rows = spark.range(n).withColumn("template_id", F.col("id") % len(TEMPLATES))
-    out = fill(rows.join(F.broadcast(templates(spark)), "template_id"), indexed=indexed)
+def confidence(row: Column, place: Column) -> Column:
+    """Between 0.85 and 0.99, by thousandths."""
+    return F.round(0.85 + ((row * 31 + place * 17) % 141) / 1000.0, 3)
+
+
+def generate(spark: SparkSession, n: int, indexed: bool = True, source: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
+    """``n`` rows: id, category, template, both texts, the mappings, and both kinds of sensitivity. The template is the row's number's.
+
+    ``source``: templates by category, or a table as templates() gives; the first generator's if ``indexed``, else the
+    second's. A table beyond Spark's broadcast limit is joined by a shuffle."""
+    table = source if isinstance(source, DataFrame) else templates(spark, source or (FIRST if indexed else SECOND))
+    rows = spark.range(n).withColumn("template_id", F.col("id") % table.count())
+    out = fill(rows.join(table, "template_id"), indexed=indexed, known=FIRST_TYPES if indexed and source is None else None)
     types = F.transform("entity_mappings", lambda m: m["entity_type"])
     return out.withColumns({"sensitivity_level": sensitivity_max(types), "sensitivity_group": sensitivity_overlap(types)}).drop("template_id")
 

@@ -13,6 +13,10 @@ def names(values) -> str:
     return "(" + ", ".join(map(q, values)) + ")"
 
 
+def texts(values) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
 def has_any(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({column}), {q(w)})" for w in words) + ")"
 

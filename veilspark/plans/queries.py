@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
-from veilspark.operators import audit, classify, detect, dictionary, metrics, synth
+from veilspark.operators import audit, classify, detect, dictionary, metrics, synth, templates
 from veilspark.operators.patterns import LEVEL_NAMES, PATTERNS
 from veilspark.plans import oracle as O
-from veilspark.sources import html, router, sinks
+from veilspark.sources import files, html, router, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,8 +36,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def sql(self, statement: str) -> DataFrame:
-        return self.spark.sql(statement, **{n: getattr(self, n) for n in ("orders", "events", "customer", "documents", "labels", "pages", "conversations", "part", "nation") if f"{{{n}}}" in statement})
+    def spread(self, df: DataFrame) -> DataFrame:
+        """``df``, a scan, dealt to all cores if its files make fewer partitions than these: a small file with one row group is read by one task."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+    def sql(self, statement: str, spread: bool = False) -> DataFrame:
+        of = (lambda n: self.spread(getattr(self, n))) if spread else lambda n: getattr(self, n)
+        return self.spark.sql(statement, **{n: of(n) for n in ("orders", "events", "customer", "documents", "labels", "pages", "conversations", "part", "nation") if f"{{{n}}}" in statement})
 
 
 def duck(statement: str) -> str:
@@ -61,7 +67,11 @@ I, U, P, D = (f"({duck(x)})" for x in (INTERACTIONS, USERS, PROMPTS, DOCS))
 
 
 def _redacted(spark: SparkSession, sf_dir: str, base: str = PROMPTS, **options) -> DataFrame:
-    return detect.redact(Tables(spark, sf_dir).sql(base), **options)
+    return detect.redact(Tables(spark, sf_dir).sql(base, spread=True), **options)
+
+
+def _texts_only(spark: SparkSession, sf_dir: str, base: str = PROMPTS, **options) -> DataFrame:
+    return _redacted(spark, sf_dir, base, detections=False, **options).select("id", "redacted_text", "total_redacted")
 
 
 # --- redaction and restoring
@@ -69,33 +79,33 @@ def _redacted(spark: SparkSession, sf_dir: str, base: str = PROMPTS, **options)
 
 @query(O.redaction(duck(DOCS)))
 def redact_documents(spark, sf_dir):
-    return _redacted(spark, sf_dir, DOCS).select("id", "redacted_text", "total_redacted")
+    return _texts_only(spark, sf_dir, DOCS)
 
 
 @query(O.redaction(duck(PROMPTS)))
 def redact_prompts_full(spark, sf_dir):
-    return _redacted(spark, sf_dir).select("id", "redacted_text", "total_redacted")
+    return _texts_only(spark, sf_dir)
 
 
 @query(O.redaction(duck(PROMPTS)))
 def redact_prompts_native(spark, sf_dir):
-    spans = Tables(spark, sf_dir).sql(PROMPTS).withColumn("spans", detect.native_spans(F.col("text")))
+    spans = Tables(spark, sf_dir).sql(PROMPTS, spread=True).withColumn("spans", detect.native_spans(F.col("text")))
     return spans.select("id", detect.native_redacted(F.col("text"), F.col("spans")).alias("redacted_text"), F.size("spans").cast("long").alias("total_redacted"))
 
 
 @query(O.redaction(duck(PROMPTS), "type IN ('EMAIL', 'PHONE_EU')"))
 def redact_prompts_c2(spark, sf_dir):
-    return _redacted(spark, sf_dir, types=["EMAIL", "PHONE_EU"]).select("id", "redacted_text", "total_redacted")
+    return _texts_only(spark, sf_dir, types=["EMAIL", "PHONE_EU"])
 
 
 @query(O.redaction(duck(PROMPTS), "type IN ('EMAIL', 'PHONE_EU', 'IBAN', 'ACCOUNT_NUM', 'AMOUNT')"))
 def redact_prompts_c3(spark, sf_dir):
-    return _redacted(spark, sf_dir, types=["EMAIL", "PHONE_EU", "IBAN", "ACCOUNT_NUM", "AMOUNT"]).select("id", "redacted_text", "total_redacted")
+    return _texts_only(spark, sf_dir, types=["EMAIL", "PHONE_EU", "IBAN", "ACCOUNT_NUM", "AMOUNT"])
 
 
 @query(O.redaction(duck(PROMPTS), O.allowed()))
 def redact_policy_mixed_levels(spark, sf_dir):
-    return _redacted(spark, sf_dir, level="level").select("id", "redacted_text", "total_redacted")
+    return _texts_only(spark, sf_dir, level="level")
 
 
 @query(O.redaction(duck(PROMPTS), tail="SELECT * FROM det"))
@@ -115,13 +125,13 @@ def originals_by_type(spark, sf_dir):
 
 @query(O.redaction(duck(PROMPTS), tail="SELECT id, length(text)::BIGINT AS original_length, length(redacted_text)::BIGINT AS scrubbed_length, CASE WHEN length(text) > 0 THEN round((1 - length(redacted_text)::DOUBLE / length(text)) * 100, 2) ELSE 0 END AS reduction_percentage FROM red"))
 def reduction_metrics(spark, sf_dir):
-    return _redacted(spark, sf_dir).select("id", *detect.reduction(F.col("text"), F.col("redacted_text")))
+    return _redacted(spark, sf_dir, detections=False).select("id", *detect.reduction(F.col("text"), F.col("redacted_text")))
 
 
 @query(O.redaction(duck(PROMPTS), tail="SELECT a.type AS first_type, b.type AS second_type, count(*) AS n FROM spans a JOIN spans b ON a.id = b.id AND a.s <= b.s AND b.s < a.s + length(a.original) AND a.ord <> b.ord AND (a.s < b.s OR a.ord < b.ord) GROUP BY ALL"))
 def overlap_audit(spark, sf_dir):
     """Pairs of overlapping matches by type: within a row, no join."""
-    rows = Tables(spark, sf_dir).sql(PROMPTS).select("id", detect.native_spans(F.col("text")).alias("spans"))
+    rows = Tables(spark, sf_dir).sql(PROMPTS, spread=True).select("id", detect.native_spans(F.col("text")).alias("spans"))
     rows = rows.select("spans", F.explode("spans").alias("a"))
     after = F.filter("spans", lambda b: (F.col("a.start") <= b["start"]) & (b["start"] < F.col("a.start") + F.col("a.length")) & (F.col("a.ord") != b["ord"]) & ((F.col("a.start") < b["start"]) | (F.col("a.ord") < b["ord"])))
     return rows.select(F.col("a.type").alias("first_type"), F.explode(after).alias("b")).groupBy("first_type", F.col("b.type").alias("second_type")).agg(F.count("*").alias("n"))
@@ -129,7 +139,7 @@ def overlap_audit(spark, sf_dir):
 
 @query(f"SELECT id, {', '.join(f'len(regexp_extract_all(text, {O.q(p.re2)}))::BIGINT AS n_{p.type.lower()}' for p in PATTERNS)} FROM {P}")
 def pattern_counts(spark, sf_dir):
-    return Tables(spark, sf_dir).sql(PROMPTS).select("id", *detect.counts(F.col("text")))
+    return Tables(spark, sf_dir).sql(PROMPTS, spread=True).select("id", *detect.counts(F.col("text")))
 
 
 _RESTORE = """, steps AS (SELECT id, redacted_text, list_reduce(list_prepend({'type': '', 'original': redacted_text, 'placeholder': '0'}, coalesce(detections, [])),
@@ -194,8 +204,9 @@ def approval_flag(spark, sf_dir):
     + f"] AS f FROM {P})"
 )
 def rule_features(spark, sf_dir):
-    f = F.transform(classify.rule_features(F.col("text")), lambda x: x.cast("int").cast("string"))
-    return Tables(spark, sf_dir).sql(PROMPTS).select("id", F.array_join(f, ",").alias("features"))
+    f = F.transform("f", lambda x: x.cast("int").cast("string"))
+    rows = classify.with_rule_features(Tables(spark, sf_dir).sql(PROMPTS, spread=True), "text", "f")
+    return rows.select("id", F.array_join(f, ",").alias("features"))
 
 
 @query(f"SELECT level, name, count(*) AS n FROM {I} JOIN (VALUES {', '.join(f'({O.q(k)}, {O.q(v)})' for k, v in LEVEL_NAMES.items())}) c(lv, name) ON lv = level GROUP BY ALL")
@@ -325,9 +336,13 @@ def prompt_assembly(spark, sf_dir):
     return Tables(spark, sf_dir).conversations.select("conv_id", "turn", T.prompt(F.col("text"), context).alias("prompt"))
 
 
-@query("SELECT doc_id, length(substr(text, 1, doc_id % 90)) >= 3 AND strlen(substr(text, 1, doc_id % 90)) <= 72 AS ok FROM documents")
+_PASSWORDS = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN repeat('é', CAST(c_custkey % 4 AS INT)) ELSE concat(c_name, repeat('é', CAST(c_custkey % 40 AS INT))) END AS password FROM {customer}"
+
+
+@query(f"SELECT c_custkey, length(password) >= 3 AND strlen(password) <= 72 AS ok FROM ({duck(_PASSWORDS)})")
 def password_rule(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.select("doc_id", T.password_ok(F.substring("text", F.lit(1), (F.col("doc_id") % 90).cast("int"))).alias("ok"))
+    """Whole passwords on both sides of either bound, in letters of one and of two bytes."""
+    return Tables(spark, sf_dir).sql(_PASSWORDS).select("c_custkey", T.password_ok(F.col("password")).alias("ok"))
 
 
 # --- audit log
@@ -348,18 +363,19 @@ def redaction_records_user_unlimited(spark, sf_dir):
     return audit.redaction_records(Tables(spark, sf_dir).sql(INTERACTIONS), "u8", 0).select("event_id", "session_id", "user_id")
 
 
-@query(f"SELECT event_id, user_id FROM {I} WHERE session_id = 's8-3' AND action = 'text_redacted' ORDER BY timestamp LIMIT 1")
+@query(f"SELECT event_id, user_id FROM {I} WHERE session_id = (SELECT min(session_id) FROM {I} WHERE action = 'text_redacted') AND action = 'text_redacted' ORDER BY timestamp LIMIT 1")
 def record_lookup(spark, sf_dir):
-    return audit.record_lookup(Tables(spark, sf_dir).sql(INTERACTIONS), "s8-3").select("event_id", "user_id")
+    rows = Tables(spark, sf_dir).sql(INTERACTIONS)
+    session = rows.where("action = 'text_redacted'").agg(F.min("session_id")).first()[0]
+    return audit.record_lookup(rows, session).select("event_id", "user_id")
 
 
-_STATS = f"SELECT user_id, count(DISTINCT session_id) AS total_sessions, count(*) AS total_interactions, count(original_text) AS total_text_processed, sum(greatest(length(original_text) - length(redacted_text), 0))::BIGINT AS total_chars_scrubbed, max(event_id) AS last_event FROM {I} GROUP BY user_id"
+_STATS = f"SELECT user_id, count(DISTINCT session_id) AS total_sessions, count(*) AS total_interactions, count(original_text) AS total_text_processed, sum(greatest(length(original_text) - length(redacted_text), 0))::BIGINT AS total_chars_scrubbed, epoch_us(max(timestamp)) AS last_activity_us FROM {I} GROUP BY user_id"
 
 
 def _stats(spark, sf_dir) -> DataFrame:
-    rows = Tables(spark, sf_dir).sql(INTERACTIONS)
-    last = rows.groupBy("user_id").agg(F.max("event_id").alias("last_event"))
-    return audit.user_stats(rows).drop("last_activity").join(last, "user_id")
+    rows = audit.user_stats(Tables(spark, sf_dir).sql(INTERACTIONS))
+    return rows.withColumn("last_activity_us", F.unix_micros(F.col("last_activity").cast("timestamp"))).drop("last_activity")
 
 
 @query(_STATS)
@@ -367,9 +383,9 @@ def user_stats(spark, sf_dir):
     return _stats(spark, sf_dir)
 
 
-@query(f"WITH s AS ({_STATS}), n AS (SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, c_custkey AS total_sessions, c_custkey % 7 AS created FROM customer) SELECT coalesce(n.user_id, s.user_id) AS user_id, coalesce(n.total_sessions, s.total_sessions) AS total_sessions, coalesce(last_event % 5, n.created) AS created FROM s FULL JOIN n ON n.user_id = s.user_id")
+@query(f"WITH s AS ({_STATS}), n AS (SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, c_custkey AS total_sessions, c_custkey % 7 AS created FROM customer) SELECT coalesce(n.user_id, s.user_id) AS user_id, coalesce(n.total_sessions, s.total_sessions) AS total_sessions, coalesce(total_interactions % 5, n.created) AS created FROM s FULL JOIN n ON n.user_id = s.user_id")
 def user_stats_upsert(spark, sf_dir):
-    old = _stats(spark, sf_dir).select("user_id", "total_sessions", (F.col("last_event") % 5).alias("created"))
+    old = _stats(spark, sf_dir).select("user_id", "total_sessions", (F.col("total_interactions") % 5).alias("created"))
     new = Tables(spark, sf_dir).customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_custkey").alias("total_sessions"), (F.col("c_custkey") % 7).alias("created"))
     return audit.upsert(old, new, "user_id", keep=("created",))
 
@@ -406,6 +422,17 @@ def users_new_antijoin(spark, sf_dir):
     return audit.new_users(candidates, t.sql(USERS))
 
 
+@query(f"SELECT user_id, email, full_name, is_active, is_admin, created_at FROM {U} WHERE email = 'user7@example.com'")
+def user_by_email(spark, sf_dir):
+    return audit.by_email(Tables(spark, sf_dir).sql(USERS), "user7@example.com").drop("hashed_password")
+
+
+@query(f"SELECT email, CASE WHEN email = 'user7@example.com' THEN 900 ELSE created_at END AS last_login, is_active AND email <> 'user8@example.com' AS is_active FROM {U}")
+def users_login_and_deactivation(spark, sf_dir):
+    users = Tables(spark, sf_dir).sql(USERS).withColumn("last_login", F.col("created_at"))
+    return audit.deactivated(audit.with_login(users, "user7@example.com", F.lit(900)), "user8@example.com").select("email", "last_login", "is_active")
+
+
 @query(f"SELECT coalesce(user_id, 'u-' || substr(md5(email), 1, 12)) AS user_id, email FROM {U}")
 def users_migration(spark, sf_dir):
     return audit.migrated_users(Tables(spark, sf_dir).sql(USERS)).select("user_id", "email")
@@ -464,64 +491,94 @@ def enhanced_audit(spark, sf_dir):
 
 # --- synthetic prompts and dictionaries
 
-_TEMPLATES = ", ".join(f"({i}, {O.q(c)}, {O.q(t)})" for i, (c, t) in enumerate(synth.TEMPLATES))
-_KNOWN = O.names(t for types in synth.SEVERITY.values() for t in types)
 _N = "((id * 7919 + (i - 1) * 104729 + 12345)::BIGINT)"
-_VALUE = f"""CASE WHEN t = 'IBAN' THEN 'BE' || lpad(({_N} % 100000000000000)::VARCHAR, 14, '0')
-  WHEN t IN ('AMOUNT', 'SALARY', 'INCOME', 'LOAN_BALANCE', 'INVESTMENT_AMOUNT', 'PREMIUM', 'CREDIT_LIMIT') THEN '€' || ({_N} % 900 + 100)::VARCHAR || ',' || lpad(({_N} % 1000)::VARCHAR, 3, '0') || '.' || lpad(({_N} % 100)::VARCHAR, 2, '0')
-  WHEN t IN ('DATE', 'DATE_OF_BIRTH', 'EXPIRY_DATE') THEN (1950 + {_N} % 60)::VARCHAR || '-' || lpad((1 + {_N} % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + {_N} % 28)::VARCHAR, 2, '0')
-  WHEN t = 'EMAIL' THEN 'user' || lpad(({_N} % 10000)::VARCHAR, 4, '0') || '@example.com' WHEN t = 'PHONE_NUMBER' THEN '+32 ' || lpad(({_N} % 1000000000)::VARCHAR, 9, '0')
-  WHEN t = 'URL' THEN 'https://www.example.com/' || lpad(({_N} % 100000)::VARCHAR, 5, '0') WHEN t = 'IP_ADDRESS' THEN '10.' || ({_N} % 256)::VARCHAR || '.' || ({_N} % 251)::VARCHAR || '.1'
-  ELSE lower(t) || '-' || lpad(({_N} % 1000000)::VARCHAR, 6, '0') END"""
-_SYNTH_BASE = f"""WITH tp(template_id, category, template) AS (VALUES {_TEMPLATES}), r AS (SELECT o_orderkey AS id, category, template, string_split_regex(template, '\\{{[^}}]+\\}}') AS parts, regexp_extract_all(template, '\\{{([^}}]+)\\}}', 1) AS names FROM orders JOIN tp ON template_id = o_orderkey % {len(synth.TEMPLATES)}),
-e AS (SELECT id, i, t, t IN {_KNOWN} AS known, len(list_filter(names[1:i], lambda x: x = t)) AS k, parts[i + 1] AS after FROM (SELECT *, names[i] AS t FROM r, unnest(range(1, len(names) + 1)) AS u(i))),
+_DIGITS = f"lpad(({_N} % 1000000007 * 998244353 % 1000000000000)::VARCHAR, 12, '0')"
+_MASKS = "CASE t " + " ".join(f"WHEN {O.q(t)} THEN {O.texts(masks)}" for t, masks in templates.FORMATS.items()) + f" ELSE [lower(t) || '-{templates.DIGITS[:6]}'] END"
+_VALUE = f"""CASE WHEN t IN {O.names(templates.DATES)} THEN (1950 + {_N} % 60)::VARCHAR || '-' || lpad((1 + {_N} % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + {_N} % 28)::VARCHAR, 2, '0')
+  WHEN t IN {O.names(templates.MONTHS)} THEN lpad((1 + {_N} % 12)::VARCHAR, 2, '0') || '/' || (26 + {_N} % 5)::VARCHAR
+  ELSE translate(({_MASKS})[{_N} % len({_MASKS}) + 1], {O.q(templates.DIGITS + templates.LETTERS)}, {_DIGITS} || translate({_DIGITS}, '0123456789', {O.q(templates.ALPHABET)})) END"""
+_ALL_TYPES = [t for types in synth.SEVERITY.values() for t in types]
+
+
+def _synth_sql(source: dict[str, list[str]], types: list[str], tail: str) -> str:
+    rows = templates.rows(source)
+    values = ", ".join(f"({i}, {O.q(c)}, {O.q(t)})" for i, c, t in rows)
+    return f"""WITH tp(template_id, category, template) AS (VALUES {values}), r AS (SELECT o_orderkey AS id, category, template, string_split_regex(template, '\\{{[^}}]+\\}}') AS parts, regexp_extract_all(template, '\\{{([^}}]+)\\}}', 1) AS names FROM orders JOIN tp ON template_id = o_orderkey % {len(rows)}),
+e AS (SELECT id, i, t, t IN {O.names(types)} AS known, len(list_filter(names[1:i], lambda x: x = t)) AS k, parts[i + 1] AS after FROM (SELECT *, names[i] AS t FROM r, unnest(range(1, len(names) + 1)) AS u(i))),
 v AS (SELECT *, CASE WHEN known THEN {_VALUE} ELSE '{{' || t || '}}' END AS original, CASE WHEN NOT known THEN '{{' || t || '}}' WHEN k > 1 THEN '<' || t || '_' || k::VARCHAR || '>' ELSE '<' || t || '>' END AS indexed, CASE WHEN known THEN '<' || t || '>' ELSE '{{' || t || '}}' END AS plain FROM e),
-f AS (SELECT r.id, any_value(category) AS category, any_value(parts[1]) || string_agg(original || after, '' ORDER BY i) AS original_text, any_value(parts[1]) || string_agg(indexed || after, '' ORDER BY i) AS indexed_text, any_value(parts[1]) || string_agg(plain || after, '' ORDER BY i) AS plain_text, list(t ORDER BY i) FILTER (known) AS types,
+f AS (SELECT r.id, any_value(category) AS category, any_value(parts[1]) || coalesce(string_agg(original || after, '' ORDER BY i), '') AS original_text, any_value(parts[1]) || coalesce(string_agg(indexed || after, '' ORDER BY i), '') AS indexed_text, any_value(parts[1]) || coalesce(string_agg(plain || after, '' ORDER BY i), '') AS plain_text, list(t ORDER BY i) FILTER (known) AS types,
       CASE WHEN bool_or(t IN {O.names(synth.SEVERITY['CRITICAL'])}) THEN 'CRITICAL' WHEN bool_or(t IN {O.names(synth.SEVERITY['HIGH'])}) THEN 'HIGH' WHEN bool_or(t IN {O.names(synth.SEVERITY['MEDIUM'])}) THEN 'MEDIUM' ELSE 'LOW' END AS sensitivity_level,
-      CASE WHEN bool_or(t IN {O.names(synth.HIGH_TYPES)}) THEN 'HIGH' WHEN bool_or(t IN {O.names(synth.MEDIUM_TYPES)}) THEN 'MEDIUM' ELSE 'LOW' END AS sensitivity_group FROM r JOIN v USING (id) GROUP BY r.id)
-"""
+      CASE WHEN bool_or(t IN {O.names(synth.HIGH_TYPES)}) THEN 'HIGH' WHEN bool_or(t IN {O.names(synth.MEDIUM_TYPES)}) THEN 'MEDIUM' ELSE 'LOW' END AS sensitivity_group FROM r LEFT JOIN v USING (id) GROUP BY r.id)
+{tail}"""
+
+
+def _first_sql(tail: str) -> str:
+    return _synth_sql(templates.FIRST, synth.FIRST_TYPES, tail)
+
+
+def _second_sql(tail: str) -> str:
+    return _synth_sql(templates.SECOND, _ALL_TYPES, tail)
 
 
-def _synth(spark, sf_dir, indexed: bool = True) -> DataFrame:
-    rows = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % len(synth.TEMPLATES)).alias("template_id"))
-    out = synth.fill(rows.join(F.broadcast(synth.templates(spark)), "template_id"), indexed=indexed)
+def _synth(spark, sf_dir, first: bool) -> DataFrame:
+    """A prompt of the first or the second generator for each order."""
+    table = synth.templates(spark, templates.FIRST if first else templates.SECOND)
+    t = Tables(spark, sf_dir)
+    rows = t.spread(t.orders.select(F.col("o_orderkey").alias("id"))).withColumn("template_id", F.col("id") % table.count())
+    out = synth.fill(rows.join(F.broadcast(table), "template_id"), indexed=first, known=synth.FIRST_TYPES if first else None)
     types = F.transform("entity_mappings", lambda m: m["entity_type"])
     return out.withColumns({"sensitivity_level": synth.sensitivity_max(types), "sensitivity_group": synth.sensitivity_overlap(types)})
 
 
-@query(_SYNTH_BASE + "SELECT id, category, original_text, indexed_text AS redacted_text FROM f")
+@query(_first_sql("SELECT id, category, original_text, indexed_text AS redacted_text FROM f"))
 def template_fill_indexed(spark, sf_dir):
-    return _synth(spark, sf_dir).select("id", "category", "original_text", "redacted_text")
+    return _synth(spark, sf_dir, True).select("id", "category", "original_text", "redacted_text")
 
 
-@query(_SYNTH_BASE + "SELECT id, original_text, plain_text AS redacted_text FROM f")
+@query(_second_sql("SELECT id, category, original_text, plain_text AS redacted_text FROM f"))
 def template_fill_plain(spark, sf_dir):
-    return _synth(spark, sf_dir, False).select("id", "original_text", "redacted_text")
+    return _synth(spark, sf_dir, False).select("id", "category", "original_text", "redacted_text")
 
 
-@query(_SYNTH_BASE + "SELECT id, sensitivity_level FROM f")
+@query(_second_sql("SELECT id, sensitivity_level FROM f"))
 def sensitivity_max(spark, sf_dir):
-    return _synth(spark, sf_dir).select("id", "sensitivity_level")
+    return _synth(spark, sf_dir, False).select("id", "sensitivity_level")
 
 
-@query(_SYNTH_BASE + "SELECT id, sensitivity_group FROM f")
+@query(_first_sql("SELECT id, sensitivity_group FROM f"))
 def sensitivity_overlap(spark, sf_dir):
-    return _synth(spark, sf_dir).select("id", "sensitivity_group")
+    return _synth(spark, sf_dir, True).select("id", "sensitivity_group")
 
 
-@query(_SYNTH_BASE + "SELECT category, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM f) AS percent FROM f GROUP BY category")
+@query(_second_sql("SELECT category, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM f) AS percent FROM f GROUP BY category"))
 def category_distribution(spark, sf_dir):
-    return synth.distribution(_synth(spark, sf_dir), "category")
+    return synth.distribution(_synth(spark, sf_dir, False), "category")
+
+
+_LEVELS_SQL = ", c AS (SELECT {0} AS l, count(*) AS n FROM f GROUP BY 1) SELECT level, coalesce(n, 0) AS n, coalesce(n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM c) AS percent FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) v(level) LEFT JOIN c ON l = level"
+
+
+@query(_second_sql(_LEVELS_SQL.format("sensitivity_level")))
+def level_distribution(spark, sf_dir):
+    return synth.level_distribution(_synth(spark, sf_dir, False), "sensitivity_level")
 
 
-@query(_SYNTH_BASE + ", c AS (SELECT sensitivity_group AS l, count(*) AS n FROM f GROUP BY 1) SELECT level, coalesce(n, 0) AS n, coalesce(n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM c) AS percent FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) v(level) LEFT JOIN c ON l = level")
+@query(_first_sql(_LEVELS_SQL.format("sensitivity_group")))
 def level_distribution_zero_filled(spark, sf_dir):
-    return synth.level_distribution(_synth(spark, sf_dir), "sensitivity_group")
+    return synth.level_distribution(_synth(spark, sf_dir, True), "sensitivity_group")
 
 
-@query(_SYNTH_BASE + "SELECT t AS entity_type, count(*) AS n FROM (SELECT unnest(types) AS t FROM f) GROUP BY t ORDER BY n DESC, t LIMIT 10")
+_TOP_SQL = "SELECT t AS entity_type, count(*) AS n FROM (SELECT unnest(types) AS t FROM f) GROUP BY t ORDER BY n DESC, t LIMIT {0}"
+
+
+@query(_first_sql(_TOP_SQL.format(10)))
 def entity_topk(spark, sf_dir):
-    return synth.top_entities(_synth(spark, sf_dir))
+    return synth.top_entities(_synth(spark, sf_dir, True))
+
+
+@query(_second_sql(_TOP_SQL.format(15)))
+def entity_topk_second(spark, sf_dir):
+    return synth.top_entities(_synth(spark, sf_dir, False), 15)
 
 
 @query(f"SELECT * FROM (VALUES {', '.join(f'({O.q(t)}, {O.q(s)}, {synth.RANK[s]})' for s, types in synth.SEVERITY.items() for t in types)}) v(entity_type, sensitivity, rank)")
@@ -529,9 +586,25 @@ def entity_catalogue(spark, sf_dir):
     return synth.catalogue(spark)
 
 
-@query(_SYNTH_BASE + ", w AS (SELECT id, list(t ORDER BY i) FILTER (known) AS ts, list(original ORDER BY i) FILTER (known) AS os, list(indexed ORDER BY i) FILTER (known) AS ps FROM v GROUP BY id) SELECT id, " + ", ".join(f"ts[{i + 1}] AS entity_{i}_type, os[{i + 1}] AS entity_{i}_original, ps[{i + 1}] AS entity_{i}_placeholder" for i in range(3)) + " FROM w")
+@query(f"SELECT t AS entity_type, CASE WHEN t IN {O.names(synth.HIGH_TYPES)} THEN 'HIGH' WHEN t IN {O.names(synth.MEDIUM_TYPES)} THEN 'MEDIUM' ELSE 'LOW' END AS sensitivity FROM (SELECT unnest({O.texts(synth.FIRST_TYPES)}) AS t)")
+def entity_catalogue_first(spark, sf_dir):
+    return synth.first_catalogue(spark)
+
+
+@query(" UNION ALL ".join(f"SELECT {g} AS generator, * FROM (VALUES {', '.join(f'({i}::BIGINT, {O.q(c)}, {O.q(t)})' for i, c, t in templates.rows(x))}) v(template_id, category, template)" for g, x in enumerate((templates.FIRST, templates.SECOND), 1)))
+def template_catalogue(spark, sf_dir):
+    first, second = (synth.templates(spark, x).select(F.lit(g).alias("generator"), "*") for g, x in enumerate((templates.FIRST, templates.SECOND), 1))
+    return first.union(second)
+
+
+_WIDEST = max(t.count("{") for _, _, t in templates.rows(templates.FIRST))
+_LISTS = {"type": "t", "original": "original", "placeholder": "indexed", "confidence": "round(0.85::DOUBLE + ((id * 31 + (i - 1) * 17) % 141)::DOUBLE / 1000::DOUBLE, 3)"}
+
+
+@query(_first_sql(", w AS (SELECT id, " + ", ".join(f"list({x} ORDER BY i) FILTER (known) AS l_{n}" for n, x in _LISTS.items()) + " FROM v GROUP BY id) SELECT id, len(l_type)::INTEGER AS num_entities, " + ", ".join(f"l_{n}[{i + 1}] AS entity_{i}_{n}" for i in range(_WIDEST) for n in _LISTS) + " FROM w"))
 def export_wide(spark, sf_dir):
-    return sinks.wide(_synth(spark, sf_dir).select("id", "entity_mappings"), "entity_mappings", 3)
+    """All mappings of every prompt; the width follows from the data."""
+    return sinks.wide(_synth(spark, sf_dir, True).select("id", "entity_mappings"), "entity_mappings")
 
 
 _DICT = "SELECT o_orderkey AS id, concat('order ', CAST(o_orderkey AS STRING), ' of Customer#', lpad(CAST(o_custkey AS STRING), 9, '0'), ' ships ', CASE o_orderkey % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN 'small ring and blue bolt' ELSE 'nothing' END, ' to NATION_', CAST(o_orderkey % 30 AS STRING)) AS text FROM {orders}"
@@ -579,3 +652,35 @@ def seed_detections(spark, sf_dir):
 @query(f"SELECT event_id, CASE {' '.join(f'WHEN {O.has_any("original_text", w)} THEN {O.q(lv)}' for lv, w in classify.LEVEL_WORDS.items())} ELSE 'C1' END AS level FROM {I}")
 def operation_level(spark, sf_dir):
     return Tables(spark, sf_dir).sql(INTERACTIONS).select("event_id", classify.operation_level(F.col("original_text")).alias("level"))
+
+
+_MODEL_LEVEL = "CASE event_id % 3 WHEN 0 THEN 'C2' WHEN 1 THEN 'C4' END"
+
+
+@query(f"SELECT event_id, CASE WHEN said = '' OR {_MODEL_LEVEL} IS NULL THEN words ELSE {_MODEL_LEVEL} END AS level FROM (SELECT *, CASE {' '.join(f'WHEN {O.has_any("said", w)} THEN {O.q(lv)}' for lv, w in classify.LEVEL_WORDS.items())} ELSE 'C1' END AS words FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN '' ELSE original_text END AS said FROM {I}))")
+def operation_level_model(spark, sf_dir):
+    """The model's level where there is one and the text isn't empty."""
+    k = F.col("event_id")
+    said = F.when(k % 7 == 0, "").otherwise(F.col("original_text"))
+    model = F.when(k % 3 == 0, "C2").when(k % 3 == 1, "C4")
+    return Tables(spark, sf_dir).sql(INTERACTIONS).select(k, classify.operation_level(said, model).alias("level"))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), 'Scrubbed Document', nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)), '')) AS text FROM documents")
+def docx_round_trip(spark, sf_dir):
+    """Texts as DOCX files and read back: a heading, and a paragraph for each line that isn't blank."""
+    rows = Tables(spark, sf_dir).documents.select("doc_id", "text", F.lit("a.docx").alias("filename"))
+    made = sinks.rendered(rows, "filename", "text").select(F.col("doc_id").cast("string").alias("path"), "content")
+    read = files.extract(made.withColumn("path", F.concat("path", F.lit(".docx"))))
+    return read.select(F.regexp_replace("path", r"\.docx$", "").cast("long").alias("doc_id"), "text")
+
+
+@query()
+def classify_documents(spark, sf_dir):
+    """Trained on all documents with a label (toxic: C4, of low quality: C3, else C1), applied to all documents; no SQL can express the fit."""
+    t = Tables(spark, sf_dir)
+    label = F.when(F.col("toxic") == 1, "C4").when(F.col("quality") == 0, "C3").otherwise("C1")
+    known = t.documents.join(t.labels, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), label.alias("label"))
+    model, _ = classify.train(known)
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return classify.classified(rows, model).select("doc_id", "prediction", F.round("confidence", 6).alias("confidence"), "explanation")

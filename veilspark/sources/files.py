@@ -31,24 +31,17 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_text(content: bytes) -> str:
-    """CSV as text: UTF-8, else the first of the single-byte encodings; cells in columns that are right-aligned, as a printed table."""
-    import csv
+    """CSV as text: UTF-8, else the first of the single-byte encodings that reads it; typed columns, printed as a table without an index."""
     import io
 
+    import pandas as pd
+
     for name in ("utf-8", "latin-1", "iso-8859-1", "cp1252"):
         try:
-            text = content.decode(name)
-            break
+            return pd.read_csv(io.BytesIO(content), encoding=name).to_string(index=False)
         except UnicodeDecodeError:
             continue
-    rows = [r for r in csv.reader(io.StringIO(text)) if r]
-    if not rows:
-        return ""
-    n = max(map(len, rows))
-    rows = [[*r, *["NaN"] * (n - len(r))] for r in rows]
-    rows = [rows[0]] + [[x if x != "" else "NaN" for x in r] for r in rows[1:]]
-    widths = [max(len(r[k]) for r in rows) for k in range(n)]
-    return "\n".join(" ".join(x.rjust(w) for x, w in zip(r, widths, strict=True)) for r in rows)
+    return ""
 
 
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.sources import docx
 from veilspark.sources.router import extension
 
+# Fixed value: head of a page.
 _HEAD = '<html><head><meta charset="utf-8"/><meta content="width=device-width, initial-scale=1.0" name="viewport"/><title>Scrubbed Document</title><style>body { font-family: sans-serif; line-height: 1.6; max-width: 800px; margin: 0 auto; }</style></head><body><div class="container">'
 
 
@@ -47,15 +48,23 @@ def append(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
-def wide(df: DataFrame, mappings: str, width: int) -> DataFrame:
-    """``df`` with the first ``width`` structs of an array column as columns entity_{i}_type, _original and _placeholder."""
-    at = lambda i: F.get(F.col(mappings), F.lit(i))
-    columns = {f"entity_{i}_{n}": at(i)[f] for i in range(width) for n, f in (("type", "entity_type"), ("original", "original"), ("placeholder", "placeholder"))}
-    return df.withColumns(columns).drop(mappings)
+def width_of(df: DataFrame, mappings: str) -> int:
+    """The most structs that an array column holds: one aggregate over the table."""
+    return df.agg(F.max(F.size(mappings)).alias("n")).first().n or 0
 
 
-def write_dataset(df: DataFrame, path: str, mappings: str = "entity_mappings", width: int = 10) -> None:
-    """A generated data set as CSV (wide) and as JSON lines (nested), below ``path``."""
+def wide(df: DataFrame, mappings: str, width: int | None = None) -> DataFrame:
+    """``df`` with the structs of an array column as columns num_entities and entity_{i}_type, _original, _placeholder and _confidence.
+
+    Without ``width`` there are as many as the longest array needs, so that none is lost; that costs a pass."""
+    width = width_of(df, mappings) if width is None else width
+    fields = {f: f.removeprefix("entity_") for f in df.schema[mappings].dataType.elementType.names}
+    columns = {f"entity_{i}_{n}": F.get(F.col(mappings), F.lit(i))[f] for i in range(width) for f, n in fields.items()}
+    return df.withColumns({"num_entities": F.coalesce(F.size(mappings), F.lit(0)), **columns}).drop(mappings)
+
+
+def write_dataset(df: DataFrame, path: str, mappings: str = "entity_mappings", width: int | None = None) -> None:
+    """A generated data set as CSV (wide, all entities) and as JSON lines (nested), below ``path``."""
     wide(df, mappings, width).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     df.write.mode("overwrite").json(f"{path}/json")
 
