@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stage
+from veilspark.llm.common import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node in ``edges`` (columns a and b); loops and repeated edges don't matter.
 
-    Every round is written to the shared folder. Rounds end when the edges stay the same; their number grows with the
+    Every round is written to the shared folder, and so is the result. Rounds end when the edges stay the same; their number grows with the
     logarithm of the longest chain."""
     edges = stage(edges.where("a <> b").distinct(), "edges")
     before = None
@@ -35,5 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        edges = stage(_star(_star(edges, True), False), "stars")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+        older, edges = edges, stage(_star(_star(edges, True), False), "stars")
+        unstage(older)
+    out = stage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
+    unstage(edges)
+    return out
