@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels; every other suffix is the last label.
-LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+# Suffixes of two labels that registries hand names out under; every other suffix is the last label.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my",
+    "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br",
+    "net.cn", "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk",
+)
 #: Prior strengths are kept within these bounds.
 WEAKEST, STRONGEST = 1.0, 1000.0
 MOST_RULES = 1000
@@ -31,15 +35,27 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix(host: Column) -> Column:
-    """The last label of a host, or the last two where these are a known long suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def _name(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def domain(host: Column) -> Column:
-    """The registered domain: the suffix and one label before it (the host itself if it has no more)."""
-    return F.when(F.substring_index(host, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9.]+$|:")
+
+
+def suffix(host: Column, long: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    """The last label of a host, or the last two where these are one of the ``long`` suffixes; none for an address of numbers."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), "").when(two.isin(*long), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain(host: Column, long: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    """The registered domain: the suffix and one label before it (the host itself if it has no more, or is an address)."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), name).when(two.isin(*long), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -74,12 +90,12 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return m, min(max(within / between - 1, WEAKEST), STRONGEST) if between > 0 else STRONGEST
 
 
-def reputation(counts: DataFrame, z: float = 1.645) -> DataFrame:
+def reputation(counts: DataFrame, z: float = 1.645, long: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """Host, n, bad, posterior rate and its lower bound, from outcome_counts().
 
-    Hosts without outcomes take the rate of their domain. A host, domain or suffix of any share is one row here: the
+    ``long``: the suffixes of two labels. Hosts without outcomes take the rate of their domain. A host, domain or suffix of any share is one row here: the
     pages were aggregated before. Five sums go to the driver."""
-    counts = stage(counts, "hosts").withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    counts = stage(counts, "hosts").withColumns({"domain": domain(F.col("host"), long), "suffix": suffix(F.col("host"), long)})
     domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     base, ks = _strength(suffixes.select("suffix", F.col("sn").alias("n"), F.col("sb").alias("bad")))
@@ -107,14 +123,16 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-#: The same judgement for DuckDB, with the rules above.
-ORACLE_SQL = r"""
+#: The same judgement for DuckDB, with the rules and suffixes above.
+ORACLE_SQL = (
+    r"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') path FROM pages),
 l AS (SELECT doc_id, count(*) n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, coalesce(sum(n), 0)::DOUBLE n, coalesce(sum(bad), 0)::DOUBLE bad FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host),
-h1 AS (SELECT *, string_split(host, '.') parts, array_to_string(parts[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'org.uk') AS long FROM h0),
-h AS (SELECT host, n, bad, array_to_string(parts[CASE WHEN long THEN -3 ELSE -2 END:], '.') AS dom, array_to_string(parts[CASE WHEN long THEN -2 ELSE -1 END:], '.') AS suf FROM h1),
+h2 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM h0),
+h1 AS (SELECT *, string_split(bare, '.') parts, regexp_matches(bare, '^[0-9.]+$|:') AS number, array_to_string(parts[-2:], '.') IN (LONG_SUFFIXES) AS long FROM h2),
+h AS (SELECT host, n, bad, CASE WHEN number THEN bare ELSE array_to_string(parts[CASE WHEN long THEN -3 ELSE -2 END:], '.') END AS dom, CASE WHEN number THEN '' ELSE array_to_string(parts[CASE WHEN long THEN -2 ELSE -1 END:], '.') END AS suf FROM h1),
 d AS (SELECT dom, suf, sum(n) n, sum(bad) bad FROM h GROUP BY ALL),
 s AS (SELECT suf, sum(n) n, sum(bad) bad FROM d GROUP BY ALL),
 g AS (SELECT 'h' AS lev, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),
@@ -134,4 +152,5 @@ f AS (SELECT page_id, host, path,
 SELECT page_id, f.host, path, rule,
   CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM f LEFT JOIN b ON b.host = f.host
-"""
+""".replace("LONG_SUFFIXES", ", ".join(f"'{x}'" for x in LONG_SUFFIXES))
+)
