@@ -1,6 +1,7 @@
 """Token counts and SentencePiece codec against the libraries, on odd texts and tables."""
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -66,6 +67,27 @@ def test_codec_is_the_librarys(spark, docs):
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(Exception):
         sp.PieceBpe(b"\x0a\x05\x0a\x03<s>")
+    spec = json.load(open(WORD_VOCABULARY))
+    odd = [
+        {"model": spec["model"] | {"byte_fallback": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"model": spec["model"] | {"type": "Unigram"}}, {"model": spec["model"] | {"end_of_word_suffix": None}},
+        {"normalizer": None}, {"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]},
+    ]
+    for change in odd:
+        with pytest.raises(ValueError):
+            WordBpe(json.dumps(spec | change).encode())
+
+
+def test_long_texts_without_spaces():
+    """Places merge together wherever that is what one at a time would give."""
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), sp.PieceBpe(open(PIECE_MODEL, "rb").read())
+    r = random.Random(4)
+    pieces = [p for p in codec.ids if len(p) > 1]
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (50, 3000, 20_000)]
+    texts += ["".join(r.choice(pieces) for _ in range(n)).replace("▁", "") for n in (20, 400, 2000)]
+    for period in (1, 2, 3, 5, 8, 13):
+        texts.append(("".join(r.choice("abcdeinrst") for _ in range(period)) * 4000)[:4000])
+    for t in texts:
+        assert codec.encode(t) == lib.encode(t, add_eos=True)
 
 
 def test_empty_tables(spark, docs):

@@ -7,20 +7,26 @@ mergeable pair leave the array, so that a round costs what is still at work.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+LONG = 8192  # symbols from which a sequence is merged by itself: its rounds look at the places of one rank, not at all of it
 
 
 class MergeTable:
     """Pairs of symbol ids, the rank at which each merges (lower first) and the id that it becomes.
 
-    ``wary`` is derived: results that form, with some neighbour, a pair of lower rank than their own. Where such a
-    result is due, only the leftmost place of a sequence is merged in a round, since the new pair may go before the
-    next place; that is the order of a priority queue by (rank, position). With all other results the order of the
-    places can't matter."""
+    ``wary`` is derived: results that form, with some neighbour, a pair of no higher rank than their own. Where such a
+    result is due and does form such a pair, that pair may go before the next places of the sequence: the order is that
+    of a priority queue by (rank, position). What grows out of the place is a symbol of ``reach`` first symbols at
+    most: of places that follow each other within twice that, those up to the first such place merge in this round, the
+    others wait. With all other results the order of the places can't matter.
+
+    ``sizes``: how many first symbols each symbol stands for, for tables with wary results."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray, n_symbols: int):
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray, n_symbols: int, sizes: np.ndarray | None = None):
         key = left.astype(np.int64) * n_symbols + right
         order = np.lexsort((rank, key))
         key = key[order]
@@ -32,6 +38,7 @@ class MergeTable:
         self.wary = np.zeros(n_symbols, bool)
         for part in (self.key // n_symbols, self.key % n_symbols):
             self.wary[part[(born[part] >= 0) & (self.rank <= born[part])]] = True
+        self.reach = int(sizes[self.made].max()) if sizes is not None and len(self.made) else None
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE without a pair) and row of the table for pairs of ids; an id below 0 pairs with nothing."""
@@ -47,6 +54,15 @@ class MergeTable:
 def merge(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge every sequence until none of its pairs is in the table; returns symbols and lengths, sequences in order."""
     n_seq = len(lengths)
+    if n_seq and lengths.max() > LONG:
+        ends, parts = np.cumsum(lengths), []
+        alone = np.flatnonzero(lengths > LONG)
+        for lo, hi in zip([0, *(alone + 1)], [*alone, n_seq], strict=True):  # those between two long ones, then the long one
+            parts.append(merge(symbols[ends[lo] - lengths[lo] : ends[hi - 1]], lengths[lo:hi], table) if hi > lo else (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+            if hi < n_seq:
+                one = _merged_alone(symbols[ends[hi] - lengths[hi] : ends[hi]], table)
+                parts.append((one, np.array([len(one)])))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     out_len = np.zeros(n_seq, np.int64)
     done_sym, done_seq = [], []
     live = lengths > 0
@@ -75,11 +91,9 @@ def merge(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) -> tuple[
         begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
         hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
         made = table.made[row[hit]]
-        careful = table.wary[made]
-        if careful.any():
-            leftmost = np.r_[True, seq[hit[1:]] != seq[hit[:-1]]]
-            keep = ~careful | leftmost
-            hit, made = hit[keep], made[keep]
+        if table.wary[made].any():
+            go = _in_turn(sym, seq, low, hit, made, table)
+            hit, made = hit[go], made[go]
         sym[hit] = made
         lens -= np.bincount(seq[hit], minlength=len(lens))
         keep = np.ones(len(sym), bool)
@@ -99,6 +113,91 @@ def merge(symbols: np.ndarray, lengths: np.ndarray, table: MergeTable) -> tuple[
     return np.zeros(0, np.int32), out_len
 
 
+def _merged_alone(symbols: np.ndarray, table: MergeTable) -> np.ndarray:
+    """merge() of one long sequence: places are kept by rank, and neighbours are linked, so that a round costs what it changes."""
+    n = len(symbols)
+    sym = np.append(symbols.astype(np.int32), -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n stands for the end
+    rank, row = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+    alive = np.ones(n, bool)
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def put(at: np.ndarray) -> None:
+        rank[at], row[at] = table.find(sym[at], sym[after[at]])
+        at = at[rank[at] != NONE]
+        if not len(at):
+            return
+        at = at[np.argsort(rank[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[at])) + 1
+        for part in np.split(at, cuts):
+            r = int(rank[part[0]])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(heap, r)
+            waiting[r].append(part)
+
+    put(np.arange(n))
+    while heap:
+        low = heapq.heappop(heap)
+        hit = np.unique(np.concatenate(waiting.pop(low)))
+        hit = hit[rank[hit] == low]  # the others have changed since
+        if not len(hit):
+            continue
+        run = np.r_[True, after[hit[:-1]] != hit[1:]]  # places that overlap, as in merge()
+        begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+        odd = (np.arange(len(hit)) - begin) % 2 == 1
+        rest, hit = hit[odd], hit[~odd]
+        made = table.made[row[hit]]
+        if table.wary[made].any():
+            left, right = sym[before[hit]], sym[after[after[hit]]]
+            left = np.where(before[hit] >= 0, left, -1)
+            new = np.minimum(table.find(left, made)[0], table.find(made, right)[0])
+            close = np.r_[after[after[hit[:-1]]] == hit[1:], False]
+            active = np.flatnonzero(table.wary[made] & ((new <= low) | close | np.r_[False, close[:-1]]))
+            go = _first_of_each(hit, np.zeros(n + 1, np.int64), active, table.reach, n)
+            rest, hit, made = np.r_[rest, hit[~go]], hit[go], made[go]
+        gone = after[hit]
+        sym[hit] = made
+        rank[gone] = NONE
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        alive[gone] = False
+        touched = np.r_[hit, before[hit]]
+        put(np.unique(touched[touched >= 0]))
+        rest = rest[rank[rest] == low]  # those that wait; put() may have put some of them already
+        if len(rest):
+            if low not in waiting:
+                waiting[low] = []
+                heapq.heappush(heap, low)
+            waiting[low].append(rest)
+    return sym[:n][alive]
+
+
+def _first_of_each(hit: np.ndarray, seq: np.ndarray, active: np.ndarray, reach: int | None, size: int) -> np.ndarray:
+    """Which places may merge in this round: of those within twice ``reach`` of the next one, all up to the first ``active`` one."""
+    far = 2 * reach if reach is not None else size
+    group = np.cumsum(np.r_[True, (hit[1:] - hit[:-1] >= far) | (seq[hit[1:]] != seq[hit[:-1]])]) - 1
+    first = np.full(group[-1] + 1, len(hit))
+    np.minimum.at(first, group[active], active)
+    return np.arange(len(hit)) <= first[group]
+
+
+def _in_turn(sym: np.ndarray, seq: np.ndarray, low: np.ndarray, hit: np.ndarray, made: np.ndarray, table: MergeTable) -> np.ndarray:
+    """Which of the places ``hit`` may merge in this round: all but those that a new pair of no higher rank, formed by a place before, might reach first."""
+    before, after = np.where(hit > 0, hit - 1, 0), np.minimum(hit + 2, len(sym) - 1)
+    has = lambda at, ok: np.where(ok & (seq[at] == seq[hit]), sym[at], -1)
+    careful = np.flatnonzero(table.wary[made])
+    left, right = has(before, hit > 0)[careful], has(after, hit + 2 < len(sym))[careful]
+    new = np.minimum(table.find(left, made[careful])[0], table.find(made[careful], right)[0])
+    # the places on either side may merge in this very round: what the neighbours become counts too
+    touching = np.zeros(len(hit), bool)
+    touching[1:] |= hit[1:] - hit[:-1] == 2
+    touching[:-1] |= touching[1:]
+    active = careful[(new <= low[seq[hit[careful]]]) | touching[careful]]
+    return _first_of_each(hit, seq, active, table.reach, len(sym))
+
+
 def _pairs(sym: np.ndarray, seq: np.ndarray, table: MergeTable, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(sym)) if at is None else at
     rank, row = np.full(len(at), NONE), np.zeros(len(at), np.int64)

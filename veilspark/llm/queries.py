@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import bitsliced, brown_lm, decontaminate, jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
 
-WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+_FILES = {"WORD_VOCABULARY": "word_bpe_49k.json", "PIECE_MODEL": "piece_bpe_32k.model"}
+
+
+def __getattr__(name: str) -> str:
+    """The vocabularies' paths, looked up when they are asked for: without their package all other queries work."""
+    if name not in _FILES:
+        raise AttributeError(name)
+    import public_tokenizers
+
+    return public_tokenizers.path(_FILES[name])
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +29,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), WORD_VOCABULARY)
+    return token_count.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), __getattr__("WORD_VOCABULARY"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +54,7 @@ def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, digests=True)
+    return sentencepiece_codec.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), __getattr__("PIECE_MODEL"), digests=True)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import fresh, rows_by_bytes
+from veilspark.llm.common import fresh, holds, lean, rows_by_bytes
 from veilspark.llm.merge_rounds import MergeTable, WordCache, merge, spell, strings
 
 SLICE_BYTES = 2 << 20
@@ -80,7 +80,7 @@ class PieceBpe:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(ranked[scores[i]]), made.append(i)
-        self.table = MergeTable(np.array(left, np.int64), np.array(right, np.int64), np.array(rank, np.int64), np.array(made, np.int64), len(pieces))
+        self.table = MergeTable(np.array(left, np.int64), np.array(right, np.int64), np.array(rank, np.int64), np.array(made, np.int64), len(pieces), np.array(list(map(len, pieces))))
         self.letter = np.full(0x110000, -1, np.int32)  # by code point
         for p, i in self.ids.items():
             if len(p) == 1:
@@ -155,6 +155,7 @@ class PieceBpe:
 
 
 _loaded: dict[tuple[int, bool], PieceBpe] = {}
+holds(__name__, _loaded.clear)
 
 
 def _codec(model: bytes, decimal: bool = False) -> PieceBpe:
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", digests: bool = Fals
             columns = [pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(i) for i, f in enumerate(b.schema) if f.name != hidden] + columns, names=[*kept, *added])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -215,4 +216,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
             texts = [None if x is None else codec.decode(x) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

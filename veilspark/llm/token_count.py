@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import fresh, rows_by_bytes
+from veilspark.llm.common import fresh, holds, lean, rows_by_bytes
 from veilspark.llm.merge_rounds import MergeTable, WordCache, merge
 
 SLICE_BYTES = 2 << 20
@@ -31,16 +31,40 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _must_be_known(j: dict) -> None:
+    """Raises for a file that asks for anything that isn't done here: it would be counted wrongly without a word."""
+    model, normal, split = j.get("model") or {}, j.get("normalizer") or {}, j.get("pre_tokenizer") or {}
+    steps = normal.get("normalizers") or [normal]
+    kinds = [(s.get("type"), *((s.get("pattern"), s.get("content")) if s.get("type") == "Replace" else ())) for s in steps]
+    parts = split.get("pretokenizers") or [split]
+    plain = [("NFC",), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase",)]
+    checks = {
+        "a BPE model": model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+        "words that end in a marked symbol": bool(model.get("end_of_word_suffix")),
+        "texts in NFC and lower case": kinds in (plain, [plain[0], plain[2]]),
+        "a split that keeps what a pattern matches, then bytes": [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+        and (parts[0].get("behavior"), parts[0].get("invert"), [*parts[0]["pattern"]]) == ("Removed", True, ["Regex"])
+        and not parts[1].get("add_prefix_space") and parts[1].get("use_regex") is False,
+        "special tokens that are taken as they stand": not any(t.get(k) for t in j.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        "all letters of bytes": all(x + end in model.get("vocab", {}) for x in _byte_letters() for end in ("", model.get("end_of_word_suffix") or "")),
+    }
+    if bad := [what for what, ok in checks.items() if not ok]:
+        raise ValueError(f"not a tokenizer of the kind that is counted here: no {', no '.join(bad)}")
+
+
 class WordBpe:
     """Counts tokens of texts. Memory is bounded: the cache of counted words is emptied when it is full."""
 
     def __init__(self, spec: bytes):
         j = json.loads(spec)
+        _must_be_known(j)
         vocab, suffix = j["model"]["vocab"], j["model"]["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in j["model"]["merges"]]
         left, right = (np.array([vocab[m[k]] for m in merges]) for k in (0, 1))
         made = np.array([vocab["".join(m)] for m in merges])
-        self.table = MergeTable(left, right, np.arange(len(merges)), made, max(vocab.values()) + 1)
+        sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        sizes[list(vocab.values())] = list(map(len, vocab))
+        self.table = MergeTable(left, right, np.arange(len(merges)), made, len(sizes), sizes)
         letters = _byte_letters()
         self.inner = np.array([vocab.get(c, -1) for c in letters], np.int32)
         self.last = np.array([vocab.get(c + suffix, -1) for c in letters], np.int32)
@@ -97,6 +121,7 @@ class WordBpe:
 
 
 _loaded: dict[int, WordBpe] = {}
+holds(__name__, _loaded.clear)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: int = 2048, count_column: str = "n_tokens") -> DataFrame:
@@ -129,4 +154,4 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
                 names=[*kept, *added],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
