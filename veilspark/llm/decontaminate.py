@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from veilspark.llm.common import fresh, rows_by_bytes
+from veilspark.llm.common import KeyFilter, fresh, lean, rows_by_bytes, stage
 
 GRAM = 4
 MATCH, MISS, GAP = 2, -1, -1
@@ -225,12 +226,12 @@ def alignments(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, item
     rows that repeat are reported each. Columns of ``docs`` with these names are left out. Items are broadcast in
     rounds of ``items_bytes``."""
     spark = docs.sparkSession
-    made = ("item_id", "score", "begin_word", "end_word")
+    made, kind = ("item_id", "score", "begin_word", "end_word"), dict(benchmark.dtypes)["item_id"]
     kept = [c for c in docs.columns if c not in made and c != "text"]
     (hidden,) = fresh(docs, "aligned_text")
     source = docs.select(*[docs[c] for c in kept], docs["text"].cast("string").alias(hidden))
-    schema = source.drop(hidden).withColumns({"item_id": F.lit(0).cast("long"), "score": F.lit(0.0), "begin_word": F.lit(0), "end_word": F.lit(0)}).schema
-    bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
+    schema = source.drop(hidden).withColumns({"item_id": F.lit(None).cast(kind), "score": F.lit(0.0), "begin_word": F.lit(0), "end_word": F.lit(0)}).schema
+    bench = benchmark.select("item_id", F.col("text").cast("string")).where("text IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-size // items_bytes))
     out = None
@@ -246,9 +247,11 @@ def alignments(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, item
 def _round(spark, source: DataFrame, hidden: str, kept: list[str], schema, rows: list, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows]))
 
+    kind = to_arrow_type(schema["item_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value[1])
-        names = np.array(shared.value[0])
+        names = pa.array(shared.value[0], kind)
         for b in rows_by_bytes(batches, hidden, SLICE_BYTES):
             at = b.schema.get_field_index(hidden)
             ids, begins = items.read(b.column(at).cast(pa.binary()).to_pylist())
@@ -257,15 +260,23 @@ def _round(spark, source: DataFrame, hidden: str, kept: list[str], schema, rows:
             if found:
                 t, i, score, lo, hi = (np.array(x) for x in zip(*found, strict=True))
                 of = pa.array(t)
-                columns = [pa.array(names[i]), pa.array(score), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+                columns = [names.take(pa.array(i)), pa.array(score), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([b.column(k).take(of) for k in range(b.num_columns) if k != at] + columns, names=[*kept, "item_id", "score", "begin_word", "end_word"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item, by doc_id and text; rows with a null id too."""
-    mark = "leak_key_"
-    rows = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
-    leaks = alignments(rows.select("doc_id", "text", mark), benchmark).select(F.col("doc_id").alias("d_"), F.col(mark).alias("k_")).distinct()
-    return rows.join(leaks, rows["doc_id"].eqNullSafe(leaks.d_) & (rows[mark] == leaks.k_), "left_anti").drop(mark)
+    """``docs`` without the documents that leak an item, by doc_id and text; rows with a null id too.
+
+    The keys of leaking rows are written; rows that a filter on them rules out stay where they are, so that only
+    leaking rows, and a few others, are shuffled."""
+    h1, h2, flag, k1, k2 = fresh(docs, "key", "key_2", "in_doubt", "leak", "leak_2")
+    of = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = docs.withColumns({h1: of(1), h2: of(2)})
+    leaks = alignments(rows.select(F.col(h1).alias("key"), F.col(h2).alias("key_2"), "text"), benchmark).select("key", "key_2").distinct()
+    leaks = stage(leaks, "leaks")
+    rows = KeyFilter(leaks, "key", "key_2").flagged(rows, flag, h1, h2)
+    leaks = leaks.select(F.col("key").alias(k1), F.col("key_2").alias(k2))
+    unsure = rows.where(F.col(flag)).join(leaks, (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)), "left_anti")
+    return rows.where(~F.col(flag)).select(*docs.columns).union(unsure.select(*docs.columns))
