@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import fresh, rows_by_bytes
+from veilspark.llm.common import fresh, lean, rows_by_bytes
 
 SAMPLE = 4000  # labelled documents that are fitted on, at most
 SAMPLE_BYTES = 20_000  # texts over this aren't taken into the sample
@@ -126,14 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     The sample: the ``most`` labelled documents whose hashed ids are smallest, whose texts have SAMPLE_BYTES at most;
     of several labels or rows of an id the largest counts. These texts are the only ones that the driver sees. Labels
-    that are null are no labels. Without both labels the model scores every document next to 0."""
+    that are null are no labels. Ids may be of any type. Without both labels the model scores every document next to 0."""
     known = labels.where("toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").alias("toxic_"))
     short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").alias("doc_"), F.col("text").alias("text_"))
     chosen = known.join(short.select("doc_").distinct(), F.col("id_") == F.col("doc_"), "left_semi").orderBy(F.xxhash64("id_"), "id_").limit(most)
     ids = chosen.collect()  # ``most`` rows of an id and a label
     if not ids:
         return Model({}, -20.0)
-    frame = docs.sparkSession.createDataFrame([(r.id_, r.toxic_) for r in ids], "id_ long, toxic_ int")
+    frame = docs.sparkSession.createDataFrame([(r.id_, int(r.toxic_)) for r in ids], f"id_ {dict(known.dtypes)['id_']}, toxic_ int")
     sample = short.join(F.broadcast(frame), F.col("doc_") == F.col("id_")).groupBy("id_", "toxic_").agg(F.max("text_").alias("text_")).orderBy("id_").collect()
     return fit([r.text_ for r in sample], [r.toxic_ for r in sample])
 
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
             scores = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns) if i != at] + [scores], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -167,9 +167,11 @@ def locate(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out += [(doc, k, s, p) for k, (s, p) in enumerate(zip(sentences(t), model.sentence_scores(t).tolist(), strict=True)) if p >= least]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["doc_id", "sentence_no", "sentence", "score"])
+                ids, *rest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *map(pa.array, rest)], names=["doc_id", "sentence_no", "sentence", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sentence_no long, sentence string, score double")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, sentence_no long, sentence string, score double")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
