@@ -252,6 +252,16 @@ def metrics_report_parse(spark, sf_dir):
     return metrics.parse_report(Tables(spark, sf_dir).sql(_REPORT))
 
 
+@query("SELECT a AS actual, p AS predicted, (SELECT count(*) FROM labels WHERE quality = a AND toxic = p) AS n FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(p)")
+def metrics_json(spark, sf_dir):
+    """A metrics file's text, made of the labels, and its matrix cell by cell."""
+    cell = lambda a, p: F.count_if((F.col("quality") == a) & (F.col("toxic") == p))
+    matrix = F.array(*[F.array(cell(a, 0), cell(a, 1)) for a in (0, 1)])
+    text = Tables(spark, sf_dir).labels.agg(F.to_json(F.struct(F.lit("report").alias("report"), matrix.alias("confusion_matrix"))).alias("text"))
+    rows = text.select(F.posexplode(files.metrics_of(F.col("text"))["confusion_matrix"]).alias("actual", "row"))
+    return rows.select("actual", F.posexplode("row").alias("predicted", "n"))
+
+
 # --- text and files
 
 _HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
@@ -316,6 +326,12 @@ def html_writer(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", sinks.html(F.col("text")).alias("page"))
 
 
+@query("SELECT doc_id, text FROM documents")
+def txt_writer(spark, sf_dir):
+    rows = Tables(spark, sf_dir).documents.select("doc_id", "text", F.concat(F.lit("n"), "doc_id", F.lit(".txt")).alias("filename"))
+    return sinks.rendered(rows, "filename", "text").select("doc_id", F.decode("content", "UTF-8").alias("text"))
+
+
 @query("SELECT event_id, substr(sha256(concat('10.0.0.', CAST(event_id % 200 AS STRING), '|', event_type, '||', coalesce(props, ''), '|')), 1, 16) AS device_id FROM events")
 def fingerprint(spark, sf_dir):
     ip = F.concat(F.lit("10.0.0."), (F.col("event_id") % 200).cast("string"))

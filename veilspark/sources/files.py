@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.sources import docx, html
@@ -25,9 +25,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     return spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True)
 
 
+METRICS = "report string, confusion_matrix array<array<long>>"
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """A model's metrics file: report (text) and confusion_matrix."""
-    return spark.read.schema("report string, confusion_matrix array<array<long>>").json(path, multiLine=True)
+    return spark.read.schema(METRICS).json(path, multiLine=True)
+
+
+def metrics_of(text: Column) -> Column:
+    """The same of a column that holds such a file's text."""
+    return F.from_json(text, METRICS)
 
 
 def csv_text(content: bytes) -> str:
