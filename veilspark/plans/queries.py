@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
 from veilspark.operators import audit, classify, detect, dictionary, metrics, synth, templates
-from veilspark.operators.patterns import LEVEL_NAMES, PATTERNS
+from veilspark.operators.patterns import LEVEL_NAMES, PATTERNS, placeholder_of
 from veilspark.plans import oracle as O
 from veilspark.sources import files, html, router, sinks
 
@@ -169,6 +169,12 @@ def restore_status(spark, sf_dir):
     return detect.restore_requests(requests, records).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT t AS type, coalesce(p, '[' || t || ']') AS placeholder FROM (SELECT unnest({O.texts([*(p.type for p in PATTERNS), 'PASSPORT', 'OTHER'])}) AS t) LEFT JOIN (VALUES {', '.join(f'({O.q(p.type)}, {O.q(p.placeholder)})' for p in PATTERNS)}) v(k, p) ON k = t")
+def placeholder_catalogue(spark, sf_dir):
+    """Placeholders of the catalogue's types, and of types that it doesn't know."""
+    return spark.createDataFrame([(t, placeholder_of(t)) for t in [*(p.type for p in PATTERNS), "PASSPORT", "OTHER"]], "type string, placeholder string")
+
+
 # --- classification
 
 
@@ -191,6 +197,16 @@ def categories_detected(spark, sf_dir):
     return _redacted(spark, sf_dir).select("id", F.array_join(classify.categories_of_types(types), ",").alias("categories"))
 
 
+_TEXT_CATEGORIES = f"array_to_string(list_filter([{', '.join(f'CASE WHEN {O.has_any("base.text", w)} THEN {O.q(c)} END' for c, w in classify.CATEGORY_WORDS.items())}], lambda x: x IS NOT NULL), ',')"
+
+
+@query(O.redaction(duck(DOCS), tail=f", c AS (SELECT id, string_agg(cat, ',' ORDER BY cat) AS categories FROM (SELECT DISTINCT id, type, {_CATEGORY} AS cat FROM det) WHERE cat IS NOT NULL GROUP BY id) SELECT base.id, CASE WHEN total_redacted > 0 THEN coalesce(categories, '') ELSE {_TEXT_CATEGORIES} END AS categories FROM base JOIN red ON red.id = base.id LEFT JOIN c ON c.id = base.id"))
+def data_categories(spark, sf_dir):
+    """From the detections where there are any, else from the words of the text."""
+    rows = _redacted(spark, sf_dir, DOCS)
+    return rows.select("id", F.array_join(classify.data_categories(F.col("text"), F.col("detections")), ",").alias("categories"))
+
+
 @query(f"SELECT event_id, (action IN ('text_de_scrubbed', 'file_de_scrubbed') OR level IN ('C3', 'C4')) AS requires_approval FROM {I}")
 def approval_flag(spark, sf_dir):
     return Tables(spark, sf_dir).sql(INTERACTIONS).select("event_id", classify.needs_approval(F.col("action"), F.col("level")).alias("requires_approval"))
@@ -449,6 +465,14 @@ def users_login_and_deactivation(spark, sf_dir):
     return audit.deactivated(audit.with_login(users, "user7@example.com", F.lit(900)), "user8@example.com").select("email", "last_login", "is_active")
 
 
+_EMAILS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('user', CAST(event_id AS STRING), '@example.com') WHEN 1 THEN 'a b@example.com' WHEN 2 THEN '@example.com' WHEN 3 THEN 'user@example' END AS email FROM {events}"
+
+
+@query(f"SELECT event_id, coalesce(regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'), FALSE) AS ok FROM ({duck(_EMAILS)})")
+def email_rule(spark, sf_dir):
+    return Tables(spark, sf_dir).sql(_EMAILS).select("event_id", T.valid_email(F.col("email")).alias("ok"))
+
+
 @query(f"SELECT coalesce(user_id, 'u-' || substr(md5(email), 1, 12)) AS user_id, email FROM {U}")
 def users_migration(spark, sf_dir):
     return audit.migrated_users(Tables(spark, sf_dir).sql(USERS)).select("user_id", "email")
