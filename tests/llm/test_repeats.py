@@ -49,7 +49,7 @@ def rows():
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("hot", [4096, 3])
+@pytest.mark.parametrize("hot", [1 << 20, 300])
 def test_spans_are_exact(spark, rows, keep_first, hot):
     df = spark.createDataFrame([(*r, "c", 5) for r in rows], "doc_id long, text string, spans string, n_bytes int")
     got = sorted([tuple(r) for r in lpf.repeats(df, 200, keep_first, hot).drop("kept").collect()], key=repr)
@@ -110,9 +110,9 @@ def exhaustive(df):
     return sorted(con.sql(f"SELECT doc_id, class_id, n_copies, n_links FROM ({jac.ORACLE_SQL})").fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_links_and_classes(spark, near, monkeypatch, block):
-    monkeypatch.setattr(jac._cells, "__defaults__", (block,))
+    monkeypatch.setattr(jac, "BLOCK", block)
     assert sorted([tuple(r) for r in jac.near_duplicates(near).collect()], key=repr) == exhaustive(near)
 
 

@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Texts are sets of word five-grams. Equal texts form a class and are sketched as one. Each class is dealt out on the hashes of its
-MinHash bands; within a bucket, sketches that agree well enough are linked by a spanning forest instead of by all
-pairs. The components of these links are then verified: every pair inside one is compared on its full sets, block by
-block, and each class gets the number of rows it is linked to and a spanning forest of the true links.
+MinHash bands; within a bucket, classes whose sketches agree well enough with that of the bucket's representative are
+linked to it, and only the others are compared with the whole bucket, in blocks. The components of these links are
+then verified: every pair inside one is compared on its full sets, block by block, and each class gets the number of
+rows it is linked to and a spanning forest of the true links. Texts travel only if a filter says that they may be in
+such a component, compressed.
 """
 
 from __future__ import annotations
@@ -14,17 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import group_starts, rows_by_bytes, stage, whole_groups
+from veilspark.llm.common import KeyFilter, fresh, group_starts, lean, rows_by_bytes, stage, unstage, whole_groups
 from veilspark.llm.components import components
 
 WIDTH = 5
 THRESHOLD = (4, 5)  # of 0.8, as a fraction: sets are compared in whole numbers
 RECALL = 0.9995
 MOST_HASHES = 64
-BLOCK = 1024  # classes of a block; a cell of the grid compares two blocks
+BLOCK = 512  # classes of a block; a cell of the grid compares two blocks
 SLICE_BYTES = 2 << 20
 CACHE_WORDS = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -102,19 +105,7 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["class", "keys", "sketch"])
 
-    return docs.select("class", "text").mapInArrow(run, "class string, keys array<long>, sketch binary")
-
-
-def _cells(members: DataFrame, group: list[str], most: int = BLOCK) -> DataFrame:
-    """``members`` in the cells of their group's grid: a group of n is cut into blocks of about ``most``, and each pair of blocks is a cell.
-
-    Adds i and j (the cell) and own (the member's block). A row is copied once for each block of its group."""
-    # written first: a join of two plain shuffles is one whose hot keys can be split
-    sizes = stage(members.groupBy(*group).agg(F.count("*").alias("members_")).where("members_ > 1"), "sizes")
-    blocks = F.ceil(F.col("members_") / most).cast("int")
-    out = members.join(sizes, group).withColumn("blocks_", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks_")).cast("int"))
-    out = out.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
-    return out.withColumns({"i": F.least("own", "other_"), "j": F.greatest("own", "other_")}).drop("members_", "blocks_", "other_")
+    return docs.select("class", "text").mapInArrow(lean(run), "class binary, keys array<long>, sketch binary")
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -130,23 +121,76 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+def _bytes_of(sketches: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1)
+
+
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def _likely(table: pa.Table, least: int) -> pa.RecordBatch:
-    """Edges of a spanning forest over the pairs of a cell whose sketches agree in ``least`` bytes."""
-    names = table.column("class").to_pylist()
-    s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
-    starts = np.array(group_starts(table, ["band", "key", "i", "j"]))
-    first = np.repeat(starts[:-1], np.diff(starts))
-    near = (s == s[first]).sum(1) >= least
-    a, b = [first[near]], [np.flatnonzero(near)]
-    for lo, hi in zip(starts[:-1][np.diff(starts) > 2], starts[1:][np.diff(starts) > 2], strict=True):
-        rest = np.flatnonzero(~near[lo:hi]) + lo  # what isn't linked to the first may be linked to others
+    """Edges of a spanning forest over the pairs of a cell whose sketches agree in ``least`` bytes: of each ``far`` row with all rows that are not."""
+    names, far = table.column("class").to_pylist(), np.array(table.column("far").to_pylist())
+    s = _bytes_of(table.column("sketch"))
+    starts = group_starts(table, ["bucket", "i", "j"])
+    out: list[tuple[bytes, bytes]] = []
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        rest, block = np.flatnonzero(far[lo:hi]) + lo, np.flatnonzero(~far[lo:hi]) + lo
+        if not len(rest) or not len(block):
+            continue
+        number: dict[bytes, int] = {}  # a class may stand on both sides
+        of = np.array([number.setdefault(names[k], len(number)) for k in range(lo, hi)])
+        a, b = [], []
         for x in rest:
-            y = np.flatnonzero((s[lo:hi] == s[x]).sum(1) >= least) + lo
-            a.append(np.full(len(y), x)), b.append(y)
-    a, b = np.concatenate(a), np.concatenate(b)
-    root = _forest(len(names), a, b)
-    at = np.flatnonzero(root != np.arange(len(names)))
-    return pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.string()), pa.array([names[root[k]] for k in at], pa.string())], names=["a", "b"])
+            y = block[(s[block] == s[x]).sum(1) >= least]
+            a.append(np.full(len(y), of[x - lo])), b.append(of[y - lo])
+        words = list(number)
+        root = _forest(len(words), np.concatenate(a), np.concatenate(b))
+        out += [(words[k], words[root[k]]) for k in np.flatnonzero(root != np.arange(len(words)))]
+    return _edges(out)
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _likely_edges(sketches: DataFrame, least: int) -> DataFrame:
+    """Edges a and b of a forest over the classes that share a bucket and agree in ``least`` bytes of their sketches."""
+    buckets = sketches.select("class", "sketch", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "class", "sketch")
+    shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    rows = KeyFilter(shared, "bucket").hits(buckets, "bucket")  # buckets of one class, nearly all, go no further
+    heads = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("class", "sketch")).alias("head")).where("members > 1")
+    # written first: a join of two plain shuffles is one whose hot keys can be split
+    heads = stage(heads.select(F.col("bucket").alias("b_"), "members", "head"), "heads")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = (_bytes_of(b.column(3)) == _bytes_of(b.column(5))).sum(1) >= least
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(near)], names=["bucket", "members", "class", "sketch", "head", "near"])
+
+    form = "bucket long, members long, class binary, sketch binary, head binary, near boolean"
+    compared = rows.join(heads, rows.bucket == heads.b_).select("bucket", "members", "class", "sketch", F.col("head.class").alias("head"), F.col("head.sketch").alias("head_sketch"))
+    compared = stage(compared.mapInArrow(lean(compare), form), "compared")
+    # A class that isn't near the head may be near any other of its bucket. There are few such, or few rows in the bucket.
+    far = compared.where("NOT near AND members > 2")
+    some = stage(far.groupBy(F.col("bucket").alias("b_")).agg(F.count("*").alias("n_far")), "far")
+    wide, high = _blocks(F.col("members")), _blocks(F.col("n_far"))
+    columns = ["bucket", "i", "j", "far", "class", "sketch"]
+    number = lambda n: F.pmod(F.xxhash64("class", n), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = far.join(some, far.bucket == some.b_).withColumns({"j": number(high), "far": F.lit(True)}).withColumn("i", every(wide)).select(*columns)
+    right = compared.join(some, compared.bucket == some.b_).withColumns({"i": number(wide), "far": F.lit(False)}).withColumn("j", every(high)).select(*columns)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["bucket", "i", "j"]):
+            yield _likely(t, least)
+
+    cells = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    out = stage(compared.where("near").select(F.col("class").alias("a"), F.col("head").alias("b")).where("a <> b").union(cells.mapInArrow(lean(likely), "a binary, b binary")), "likely")
+    unstage(shared, heads, compared, some)
+    return out
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,7 +217,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(shingle: Shingler, names: list[str], own: np.ndarray, weights: np.ndarray, texts: list[bytes], crossing: bool, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _verified(shingle: Shingler, own: np.ndarray, weights: np.ndarray, texts: list[bytes], crossing: bool, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """For the classes of a cell: rows linked to each, and the least class (by place) of its component."""
     sets = _sets(shingle, texts)
     both = shared_counts(sets)
@@ -182,57 +226,75 @@ def _verified(shingle: Shingler, names: list[str], own: np.ndarray, weights: np.
     np.fill_diagonal(near, False)
     if crossing:  # pairs within a block belong to that block's own cell
         near &= own[:, None] != own[None]
-    return near @ weights, _forest(len(names), *np.nonzero(near))
+    return near @ weights, _forest(len(texts), *np.nonzero(near))
+
+
+def _class(text: str) -> Column:
+    """What stands for a text (null is the empty one)."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """class and compressed text: it is about to be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in rows_by_bytes(batches, "text", SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["class", "packed"])
+
+    return rows.select("class", "text").mapInArrow(lean(run), "class binary, packed binary")
 
 
 def links(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """For each class of equal texts with a partner of another text: class, links (rows linked to it) and component (least class).
 
-    ``docs`` has id_, text and class."""
+    ``docs`` has id_, text and class (of _class())."""
     bands, rows = bands_for(threshold[0] / threshold[1])
     share = threshold[0] / threshold[1]
     hashes = bands * rows
     # a pair at the threshold agrees in fewer bytes once in some ten thousand cases at most, given that it shares a band
     least = math.floor(hashes * share - 4 * math.sqrt(hashes * share * (1 - share)))
     sketches = stage(_sketches(docs, bands, rows).distinct(), "sketches")
-    classes = docs.groupBy("class").agg(F.min("id_").alias("first"), F.count("*").alias("size"))
-    buckets = sketches.select("class", "sketch", F.posexplode("keys").alias("band", "key"))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["band", "key", "i", "j"]):
-            yield _likely(t, least)
-
-    cells = _cells(buckets, ["band", "key"])
-    cells = cells.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "class")
-    maybe = components(cells.mapInArrow(likely, "a string, b string"))
-    members = stage(maybe.withColumnRenamed("node", "class").join(classes, "class"), "members")
-    texts = docs.select(F.col("class").alias("c_"), F.col("id_").alias("i_"), "text")
-    found = members.join(texts, (members["class"] == texts.c_) & members["first"].eqNullSafe(texts.i_))
-    grid = _cells(members.select("class", "component"), ["component"]).withColumnRenamed("class", "m_").withColumnRenamed("component", "k_")
-    found = found.join(grid, (found["class"] == grid.m_)).select("component", "i", "j", "own", "class", "size", "text")
+    edges = _likely_edges(sketches, least)
+    maybe = components(edges)
+    unstage(sketches, edges)
+    known = KeyFilter(maybe, "node")
+    classes = known.hits(docs.select("class", "id_"), "class").groupBy(F.col("class").alias("c_")).agg(F.min("id_").alias("first"), F.count("*").alias("size"))
+    members = stage(maybe.join(classes, F.col("node") == F.col("c_")).select(F.col("node").alias("class"), "component", "first", "size"), "members")
+    # One text of each class travels, whatever the number of its rows.
+    texts = KeyFilter(members, "class", "first").hits(docs.select("class", "id_", "text"), "class", "id_")
+    texts = _packed(texts.dropDuplicates(["class"])).withColumnRenamed("class", "c_")
+    blocks = stage(members.groupBy(F.col("component").alias("k_")).agg(_blocks(F.count("*")).alias("blocks")), "blocks")
+    grid = members.join(blocks, F.col("component") == F.col("k_")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    found = grid.join(texts, F.col("class") == F.col("c_")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = found.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "size", "packed")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle, unpack = Shingler(), zstandard.ZstdDecompressor()
         keys = ["component", "i", "j"]
         for t in whole_groups(batches, keys, 256):
             names, own, sizes = (t.column(c).to_pylist() for c in ("class", "own", "size"))
-            texts, i, j = t.column("text").cast(pa.binary()), t.column("i").to_pylist(), t.column("j").to_pylist()
+            packed, i, j = t.column("packed"), t.column("i").to_pylist(), t.column("j").to_pylist()
             starts = group_starts(t, keys)
-            out: list[tuple[str, int, str]] = []
+            out: list[tuple[bytes, int, bytes]] = []
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                at = [k for k in range(lo, hi) if k == lo or names[k] != names[k - 1]]  # rows that repeat
-                if len(at) < 2:
+                if hi - lo < 2:
                     continue
-                n, root = _verified(shingle, [names[k] for k in at], np.array([own[k] for k in at]), np.array([sizes[k] for k in at]), [texts[k].as_py() for k in at], i[lo] != j[lo], threshold)
-                out += [(names[k], int(x), names[at[r]]) for k, x, r in zip(at, n, root.tolist(), strict=True) if x]
+                texts = [unpack.decompress(x.as_py()) for x in packed[lo:hi]]
+                n, root = _verified(shingle, np.array(own[lo:hi]), np.array(sizes[lo:hi]), texts, i[lo] != j[lo], threshold)
+                out += [(names[k], int(x), names[lo + r]) for k, x, r in zip(range(lo, hi), n, root.tolist(), strict=True) if x]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["class", "links", "root"])
+                kinds = (pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["class", "links", "root"])
 
     true = found.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "class")
-    true = stage(true.mapInArrow(verify, "class string, links long, root string"), "links")
+    true = stage(true.mapInArrow(lean(verify), "class binary, links long, root binary"), "true")
+    unstage(maybe, members, blocks)
     groups = components(true.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = true.groupBy("class").agg(F.sum("links").alias("links"))
-    return counts.join(groups, counts["class"] == groups.node).select("class", "links", "component")
+    out = stage(counts.join(groups, F.col("class") == F.col("node")).select("class", "links", "component"), "linked")
+    unstage(true, groups)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -240,13 +302,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
 
     class_id: least id of all rows that are connected by links (equal texts, or a similarity of the threshold or more);
     n_copies: rows with an equal text, itself included; n_links: other rows that it is linked to. A null text counts as
-    the empty one; texts without words are linked to equal texts only. Ids that are null or repeat are kept as they
-    are. Equal texts are one class from the start; near copies are compared in blocks, and no pair becomes a row."""
-    rows = docs.select(F.col(id).alias("id_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("class", F.md5("text"))
-    linked = stage(links(rows, threshold), "linked")
+    the empty one; texts without words are linked to equal texts only. Ids of any type that has an order; ids that are
+    null or repeat are kept as they are. Equal texts are one class from the start; near copies are compared in blocks,
+    and no pair becomes a row."""
+    rows = docs.select(F.col(id).alias("id_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), _class(text).alias("class"))
+    linked = links(rows, threshold)
     sizes = rows.groupBy("class").agg(F.min("id_").alias("least"), F.count("*").alias("n_copies"))
     known = sizes.join(linked.withColumnRenamed("class", "l_"), F.col("class") == F.col("l_"), "left").withColumn("component", F.coalesce("component", "class"))
     known = stage(known.select("class", "component", "least", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    unstage(linked)
     tops = known.groupBy("component").agg(F.min("least").alias("class_id"))
     known = known.join(tops, "component").select(F.col("class").alias("k_"), "class_id", "n_copies", "n_links")
     ids = rows.select("id_", "class")
@@ -256,17 +320,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of each group the row with the least doc_id stays, all its columns as they are.
 
-    Of rows that repeat with the same doc_id and text one stays."""
-    (mark, one) = ("class_of_text_", "row_of_class_")
-    rows = docs.withColumn(mark, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    linked = stage(links(rows.select(F.col("doc_id").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(mark).alias("class"))), "linked")
-    sizes = rows.groupBy(mark).agg(F.min("doc_id").alias("least_"))
-    known = sizes.join(linked, F.col(mark) == linked["class"], "left").select(F.col(mark).alias("c_"), "least_", F.coalesce("component", mark).alias("component_"))
-    known = known.groupBy("component_").agg(F.min(F.struct(F.col("least_").isNull().alias("n"), F.col("least_").alias("l"), F.col("c_").alias("c"))).alias("top_"))
-    known = known.select(F.col("top_.l").alias("l_"), F.col("top_.c").alias("c_"))
-    kept = rows.join(known, rows["doc_id"].eqNullSafe(known.l_) & (rows[mark] == known.c_), "left_semi")
-    w = Window.partitionBy("doc_id", mark).orderBy(F.lit(1))
-    return kept.withColumn(one, F.row_number().over(w)).where(F.col(one) == 1).drop(mark, one)
+    Of rows that repeat with the same doc_id and text one stays. What goes is decided on ids and classes alone; rows
+    whose key a filter rules out stay where they are, and only the others are joined."""
+    mark, doubt, c, i, stays = fresh(docs, "class_of_text", "in_doubt", "class_key", "id_key", "stays")
+    rows = docs.withColumn(mark, _class("text"))
+    linked = links(rows.select(F.col("doc_id").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(mark).alias("class")))
+    keys = rows.select(F.col("doc_id").alias("id_"), F.col(mark).alias("class")).groupBy("class", "id_").agg(F.count("*").alias("n"))
+    tops = keys.groupBy("class").agg(F.min("id_").alias("least")).join(linked.withColumnRenamed("class", "l_"), F.col("class") == F.col("l_"), "left")
+    first = F.min(F.struct(F.col("least").isNull().alias("n"), F.col("least").alias("l"), F.col("class").alias("c")))
+    tops = tops.groupBy(F.coalesce("component", "class").alias("component")).agg(first.alias("top")).select(F.col("top.c").alias("c_"), F.col("top.l").alias("l_"), F.lit(True).alias("stays"))
+    keys = keys.join(tops, (F.col("class") == F.col("c_")) & F.col("id_").eqNullSafe(F.col("l_")), "left").where("stays IS NULL OR n > 1")
+    keys = stage(keys.select("class", "id_", F.coalesce("stays", F.lit(False)).alias("stays")), "removed")
+    unstage(linked)
+    rows = KeyFilter(keys, "class", "id_").flagged(rows, doubt, mark, "doc_id")
+    unsure = rows.where(F.col(doubt)).dropDuplicates(["doc_id", mark])
+    keys = keys.select(F.col("class").alias(c), F.col("id_").alias(i), F.col("stays").alias(stays))
+    unsure = unsure.join(keys, (F.col(mark) == F.col(c)) & F.col("doc_id").eqNullSafe(F.col(i)), "left").where(F.coalesce(stays, F.lit(True)))
+    return rows.where(~F.col(doubt)).select(*docs.columns).union(unsure.select(*docs.columns))
 
 
 #: Every pair of texts compared on its shingles: what the join must find, for tables that are small enough.
