@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import stage, unstage
 
 
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, tuple]:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (the larger ones, or the smaller ones and itself) are linked to the least of all."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -21,18 +21,9 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, tuple]:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    out, mark = _written(out.where("a <> b").distinct())
+    out = stage(out.where("a <> b").distinct(), "edges")
     unstage(least)
-    return out, mark
-
-
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, staged, with their number and a checksum, which are taken while they are written."""
-    seen = Observation()
-    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-    out = stage(edges.observe(seen, *marks), "edges")
-    got = seen.get
-    return out, (got.get("n") or 0, got.get("sum"))
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,15 +31,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder, and so is the result. Rounds end when the edges stay the same; their number grows with the
     logarithm of the longest chain."""
-    edges, mark = _written(edges.where("a <> b").distinct())
-    while mark[0]:
-        large, _ = _star(edges, True)
+    edges = stage(edges.where("a <> b").distinct(), "edges")
+    before = None
+    while True:
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before or not mark[0]:
+            break
+        before = mark
+        large = _star(edges, True)
         unstage(edges)
-        edges, now = _star(large, False)
+        edges = _star(large, False)
         unstage(large)
-        if now == mark:
-            break
-        mark = now
     out = stage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
     unstage(edges)
     return out
