@@ -1,9 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters whole records into buckets by seeded hashes: the shard by a hash that only doc_id and the number of
-shards decide, the bucket within the shard by a second hash of the record. Buckets are sized to fit in memory. Pass two
-orders each bucket by a Fisher-Yates shuffle with the bucket's own seed. A record's slot is its place in its bucket plus
-the sizes of the shard's buckets before it.
+shards decide, the bucket within the shard by a second hash of the record. Each shard has as many buckets as its own
+bytes need, so that a bucket fits in memory. Pass two orders each bucket by a Fisher-Yates shuffle with the bucket's own
+seed. A record's slot is its place in its bucket plus the sizes of the shard's buckets before it.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import fresh
+from veilspark.llm.common import KeyFilter, fresh, stage
 
 BUCKET_BYTES = 16 << 20
 SEED = 20240229
+TASKS = 50_000  # of the second pass, at most; a task takes its buckets one by one
 
 
 def key_shard(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -40,36 +42,67 @@ def shuffled(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     """``docs`` whole, with shard, bucket and slot (gapless from 0 in each shard, in shuffled order); such columns of ``docs`` are replaced.
 
     Law ``key``: only the key and ``shards`` decide a row's shard. Rows of one key share a shard but not a bucket: the
-    bucket hash takes in the text and the other columns. Rows alike in all columns share one; they're interchangeable.
-    Null keys and texts are hashed as nulls. An empty table gives no rows. The number of buckets follows from the bytes
-    of all texts, so that a task holds one bucket of about ``bucket_bytes``, or a longer text alone."""
+    bucket hash takes in the text and the other columns. Rows alike in all columns are interchangeable; where there are
+    more of them than fit in a bucket, they are collapsed into one row with their number and dealt evenly to all
+    buckets of their shard. Null keys and texts are hashed as nulls. An empty table gives no rows. The number of
+    buckets follows from the bytes of all texts in a shard, so that a task holds one bucket of about ``bucket_bytes``,
+    or a longer text alone; the bytes of each shard are all that the driver sees."""
     source = docs.drop("shard", "bucket", "slot")
-    size, h, at = fresh(source, "record_bytes", "record_hash", "place")
-    total = source.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8)).first()[0] or 0
-    per_shard = max(1, math.ceil(total / shards / bucket_bytes))
-    parts = [F.xxhash64(F.lit(seed + 1), *[F.col(c) for c, t in source.dtypes if not t.startswith("map")])]
-    source = source.withColumn("shard", key_shard(F.col(key), shards, seed)).withColumn(h, parts[0])
-    source = source.withColumn("bucket", F.pmod(F.col(h), F.lit(per_shard)).cast("int"))
-    schema = source.withColumn(at, F.lit(0).cast("long")).schema
+    size, h1, h2, copies, begin = fresh(source, "record_bytes", "record_hash", "record_hash_2", "copies", "begin")
+    # maps have no hash; a null must not hash as nothing
+    parts = [x for c, t in source.dtypes for x in ((F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`")), F.col(f"`{c}`").isNull())]
+    rows = source.withColumn("shard", key_shard(F.col(key), shards, seed)).withColumns({h1: F.xxhash64(F.lit(seed + 1), *parts), h2: F.xxhash64(F.lit(seed + 2), *parts)})
+    weight = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
+    alike = rows.select("shard", h1, h2, weight.alias(size)).groupBy("shard", h1, h2).agg(F.sum(size).alias(size), F.count("*").alias(copies))
+    alike = stage(alike, "records")
+    total = {r["shard"]: r[size] for r in alike.groupBy("shard").agg(F.sum(size).alias(size)).collect()}
+    buckets = [max(1, math.ceil(total.get(s, 0) / bucket_bytes)) for s in range(shards)]
+    n_buckets = F.element_at(F.array(*[F.lit(b) for b in buckets]), F.col("shard") + 1)
+    hot = (F.col(copies) > 1) & (F.col(size) > bucket_bytes)
+    many = alike.where(hot).select(F.col(h1).alias(f"{h1}_k"), F.col(h2).alias(f"{h2}_k"))
+    same = (F.col(h1) == F.col(f"{h1}_k")) & (F.col(h2) == F.col(f"{h2}_k"))
+
+    def evenly(df: DataFrame) -> DataFrame:
+        """Rows that stand for ``copies`` ones, dealt to all buckets of their shard."""
+        out = df.withColumn("bucket", F.explode(F.sequence(F.lit(0), n_buckets - 1)))
+        share = F.floor(F.col(copies) / n_buckets) + (F.col("bucket") < F.col(copies) % n_buckets).cast("long")
+        return out.withColumn(copies, share).where(F.col(copies) > 0)
+
+    usual, one = rows, None
+    if not many.isEmpty():
+        (flag,) = fresh(rows, "collapsed")
+        marked = KeyFilter(many, f"{h1}_k", f"{h2}_k").flagged(rows, flag, h1, h2)
+        unsure = marked.where(F.col(flag)).drop(flag)
+        usual = marked.where(~F.col(flag)).drop(flag).union(unsure.join(many, same, "left_anti"))
+        one = unsure.join(many, same, "left_semi").groupBy(h1, h2).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("r"), F.count("*").alias("n"))
+        one = evenly(one.select("r.*", F.col("n").alias(copies)))
+    place = F.pmod(F.col(h1), n_buckets).cast("int")
+    usual = usual.withColumn("bucket", place).withColumn(copies, F.lit(1).cast("long"))
+    dealt = usual if one is None else usual.unionByName(one)
+    w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = [x.select("shard", "bucket", copies) for x in (alike.where(~hot).withColumn("bucket", place), evenly(alike.where(hot)))]
+    begins = counts[0].union(counts[1]).groupBy("shard", "bucket").agg(F.sum(copies).alias("rows"))  # a row for each bucket
+    begins = begins.select("shard", "bucket", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias(begin), F.lit(0).cast("long").alias(copies))
+    # where a bucket begins travels to it as a row without a record
+    dealt = dealt.withColumn(begin, F.lit(None).cast("long")).unionByName(begins, allowMissingColumns=True)
+    schema = dealt.select(*[F.col(f"`{c}`") for c in source.columns], "shard", "bucket", F.lit(0).cast("long").alias("slot")).schema
 
     def order(table: pa.Table) -> pa.Table:
         shard, bucket = table.column("shard")[0].as_py(), table.column("bucket")[0].as_py()
-        table = table.sort_by([(h, "ascending")])  # the order in which rows arrive must not count
+        lead = pc.max(table.column(begin)).as_py()
+        table = table.filter(pc.greater(table.column(copies), 0)).sort_by([(h1, "ascending"), (h2, "ascending")])  # the order in which rows arrive must not count
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column(copies).to_numpy())))
         place = np.empty(table.num_rows, np.int64)
         place[fisher_yates(table.num_rows, seed * 1_000_003 + shard * 65_537 + bucket)] = np.arange(table.num_rows)
-        return table.append_column(at, pa.array(place))
+        return table.drop_columns([h1, h2, copies, begin]).append_column("slot", pa.array(place + lead))
 
-    ordered = source.groupBy("shard", "bucket").applyInArrow(order, schema)
-    sizes = source.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))  # a row for each bucket
-    w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select(F.col("shard").alias("s_"), F.col("bucket").alias("b_"), F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("begin_"))
-    return ordered.join(begins, (ordered.shard == begins.s_) & (ordered.bucket == begins.b_)).withColumn("slot", F.col(at) + F.col("begin_")).drop(h, at, "s_", "b_", "begin_")
+    return dealt.repartition(min(sum(buckets), TASKS), "shard", "bucket").groupBy("shard", "bucket").applyInArrow(order, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
     """Write the shuffled shards below ``path``, one folder a shard, rows in slot order within each file."""
     out = shuffled(docs, shards, **options)
-    out.repartition("shard", "bucket").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)  # a task has whole buckets already
 
 
 def shard_digest(docs: DataFrame, shards: int = 24) -> DataFrame:
