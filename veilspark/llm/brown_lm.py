@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import group_starts, rows_by_bytes, stage, whole_groups
+from veilspark.llm.common import group_starts, lean, rows_by_bytes, stage, unstage, whole_groups
 
 SEEDS = 1024  # words whose exchange is done one by one, on the driver; the classes of all others follow from there
 CLASSES = 64
@@ -33,6 +33,8 @@ GAIN = 1e-4  # nats a token: the exchange of all frequent words ends when a roun
 FREQUENT = 131_072  # words whose counts are broadcast and that take part in the exchange, at most
 FLUSH = 400_000  # distinct words that a task holds while it counts
 SLICE_BYTES = 4 << 20
+GROUPS = 2048  # of frequent words that travel together while their neighbours are counted
+HELD = 2_000_000  # neighbours of a group that are held before they are added up
 ROWS = 2048  # words whose counts of classes are held at once
 ADD = 0.1
 END = b""  # the end of a text, as a word
@@ -67,7 +69,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Symbols:
@@ -97,49 +99,69 @@ def _binaries(values: np.ndarray, begins: np.ndarray) -> pa.Array:
 
 
 def neighbours(docs: DataFrame, words) -> DataFrame:
-    """A row for each frequent word: id, its neighbours as int32 numbers (left ones, and right ones after these) and how often each stands there."""
+    """A row for each frequent word: id, its neighbours as int32 numbers (left ones, and right ones after these) and how often each stands there, int64.
 
-    def emit(code: np.ndarray, count: np.ndarray, unit: int) -> pa.RecordBatch:
-        key = code // unit
-        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return pa.RecordBatch.from_arrays([pa.array(key[begins].astype(np.int32)), _binaries((code % unit).astype(np.int32), begins), _binaries(count.astype(np.int32), begins)], names=["id", "at", "n"])
+    On the way words travel GROUPS by GROUPS, a row for each group: word and neighbour in one int32."""
+    unit = 2 * (len(words.value) + 1)
+    inner = -(-len(words.value) // GROUPS) or 1
+    if inner * unit >= 2**31:
+        raise ValueError("too many frequent words for their groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Symbols(words.value)
-        unit = 2 * (s.n + 1)
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
             now, text, _ = s.read(b.column(0).cast(pa.binary()).to_pylist())
             before = _previous(now, text, s.end)
-            code = np.r_[(now * unit + before)[now < s.n], (before * unit + s.n + 1 + now)[before < s.n]]
-            if len(code):
-                yield emit(*np.unique(code, return_counts=True), unit)
+            word, at = np.r_[now[now < s.n], before[before < s.n]], np.r_[before[now < s.n], (now + s.n + 1)[before < s.n]]
+            if len(word):  # words that follow each other in frequency are in different groups
+                code, count = np.unique((word % GROUPS * inner + word // GROUPS) * unit + at, return_counts=True)
+                group = code // (inner * unit)
+                begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(group[begins].astype(np.int32)), _binaries((code % (inner * unit)).astype(np.int32), begins), _binaries(count.astype(np.int32), begins)], names=["id", "at", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = 2 * (len(words.value) + 1)
-        held, weight = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in rows_by_bytes(batches, "at", SLICE_BYTES):
-            size = np.diff(np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset :][: b.num_rows + 1]) // 4
-            key = np.repeat(b.column(0).to_numpy().astype(np.int64), size)
-            at, n = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32) for k in (1, 2))
-            code, of = np.unique(np.r_[held, key * unit + at], return_inverse=True)
-            total = np.bincount(of, weights=np.r_[weight, n]).astype(np.int64)
-            cut = int(np.searchsorted(code, code[-1] // unit * unit))  # the last word goes on in the next batch
-            if cut:
-                yield emit(code[:cut], total[:cut], unit)
-            held, weight = code[cut:], total[cut:]
-        if len(held):
-            yield emit(held, weight, unit)
+        for group, code, total in _merged(batches):
+            key = code // unit
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ids = (key[begins] * GROUPS + group).astype(np.int32)
+            for lo in range(0, len(begins), ROWS):
+                part = slice(begins[lo], begins[lo + ROWS] if lo + ROWS < len(begins) else len(code))
+                at = begins[lo : lo + ROWS] - part.start
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + ROWS]), _binaries((code[part] % unit).astype(np.int32), at), _binaries(total[part], at)], names=["id", "at", "n"])
 
     form = "id int, at binary, n binary"
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, form)
-    return dealt.repartition("id").sortWithinPartitions("id").mapInArrow(merge, form)
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), form)
+    return dealt.repartition("id").sortWithinPartitions("id").mapInArrow(lean(merge), form)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From rows of a group's codes and counts, sorted by group: group, its different codes, and their sums. Rows are added up as they come."""
+    group, parts, size = None, [], 0
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return code, np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+    for b in rows_by_bytes(batches, "at", SLICE_BYTES):
+        for g, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if g != group:
+                if parts:
+                    yield (group, *added(parts))
+                group, parts, size = g, [], 0
+            parts.append((np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)))
+            size += len(parts[-1][0])
+            if size > HELD and len(parts) > 1:
+                parts = [added(parts)]
+                size = len(parts[0][0]) // 2  # what has been added up is let grow before it is again
+    if parts:
+        yield (group, *added(parts))
 
 
 def contexts(batches: Iterator[pa.RecordBatch], of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From rows of neighbours(): words, and how often each class stands left of them, then right of them; class k is that of words without one."""
     wide, place = 2 * (k + 1), np.r_[of, k, of + k + 1, 2 * k + 1]
     for b in (s.slice(lo, ROWS) for s in rows_by_bytes(batches, "at", SLICE_BYTES) for lo in range(0, s.num_rows, ROWS)):
-        left, n = b.column(1).to_pylist(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32)
+        left, n = b.column(1).to_pylist(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
         row = np.repeat(np.arange(b.num_rows), [len(x) // 4 for x in left])
         at = row * wide + place[np.frombuffer(b"".join(left), np.int32)]
         yield b.column(0).to_numpy(), np.bincount(at, weights=n, minlength=b.num_rows * wide).reshape(-1, wide)
@@ -159,7 +181,7 @@ def class_grid(near: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(grid.reshape(-1)[some])], names=["cell", "n"])
 
     out = np.zeros((k + 1) ** 2)
-    for r in near.mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in near.mapInArrow(lean(run), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r.cell] = r.n
     shared.unpersist()
     return out.reshape(k + 1, k + 1)
@@ -179,7 +201,7 @@ def better_classes(near: DataFrame, of: np.ndarray, grid: np.ndarray) -> tuple[n
             gain = np.where(mine == k, np.inf, score.max(1) - score[np.arange(len(ids)), np.minimum(mine, k - 1)])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best.astype(np.int32)), pa.array(gain)], names=["id", "best", "gain"])
 
-    ids, new, more = (c.to_numpy() for c in _collected(near.mapInArrow(run, "id int, best int, gain double")))
+    ids, new, more = (c.to_numpy() for c in _collected(near.mapInArrow(lean(run), "id int, best int, gain double")))
     best, gain = of.copy(), np.zeros(len(of))
     best[ids], gain[ids] = new, more
     shared.unpersist()
@@ -276,8 +298,8 @@ def rare_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray) -> Data
                 near = np.bincount(mine, minlength=(hi - lo) * wide).reshape(-1, wide)
                 yield pa.RecordBatch.from_arrays([words_.slice(lo, hi - lo), pa.array(near.sum(1) // 2), pa.array(affinity(shared.value[1], near.astype(float)).argmax(1).astype(np.int32))], names=["word", "n", "class"])
 
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c binary")
-    return dealt.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, n long, class int")
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "word binary, c binary")
+    return dealt.repartition("word").sortWithinPartitions("word").mapInArrow(lean(assign), "word binary, n long, class int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -399,9 +421,10 @@ def scores(docs: DataFrame) -> DataFrame:
     inner = np.log10(mass + ADD * np.maximum(kinds, 1))
     known = spark.sparkContext.broadcast((of, np.log10(n + ADD)))
     tagged = stage(_tagged(docs, shared, known, rare, unseen), "classes")
+    unstage(counts, near, rare)
     end = int(of[words.index(END)]) if END in words else unseen
     pairs = np.zeros((k, k))
-    learnt = tagged.where(~held_out(F.col("doc_id"))).select("classes").mapInArrow(lambda it: _class_pairs(it, end, k), "a int, b int, n long")
+    learnt = tagged.where(~held_out(F.col("doc_id"))).select("classes").mapInArrow(lean(lambda it: _class_pairs(it, end, k)), "a int, b int, n long")
     for r in learnt.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         pairs[r.a, r.b] = r.n
     model = spark.sparkContext.broadcast(Model(pairs, np.arange(k), inner).steps)
@@ -415,7 +438,7 @@ def scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(step)], names=["doc_id", "n_tokens", "n_known", "base_", "step_"])
 
     unit = float(np.log10(n_train + ADD * (n_words + 1)))
-    out = tagged.select("doc_id", "n_tokens", "n_known", "base_", "classes").mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_ double, step_ double")
+    out = tagged.select("doc_id", "n_tokens", "n_known", "base_", "classes").mapInArrow(lean(score), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base_ double, step_ double")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base_") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("base_") + F.col("step_")).alias("score"),
@@ -428,13 +451,13 @@ def _first_pairs(near: DataFrame, n_words: int, first: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                at, n = (np.frombuffer(b.column(j)[i].as_py(), np.int32) for j in (1, 2))
+                at, n = (np.frombuffer(b.column(j)[i].as_py(), kind) for j, kind in ((1, np.int32), (2, np.int64)))
                 right = at > n_words
                 row, col = (np.bincount(np.minimum(x, first), weights=m, minlength=first + 1).astype(np.float32) for x, m in ((at[right] - n_words - 1, n[right]), (at[~right], n[~right])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([row.tobytes()], pa.binary()), pa.array([float(col[first])])], names=["id", "row", "other"])
 
     out = np.zeros((first + 1, first + 1))
-    for r in near.mapInArrow(run, "id int, row binary, other double").collect():
+    for r in near.mapInArrow(lean(run), "id int, row binary, other double").collect():
         out[r.id] = np.frombuffer(r.row, np.float32)
         out[first, r.id] = r.other
     return out
@@ -479,7 +502,7 @@ def _tagged(docs: DataFrame, words, known, rare: DataFrame, unseen: int) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "n_tokens", "n_known", "base_", "classes"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Puts in the rare words; rows alike in id and text have all brought theirs, and have the same places."""
+        """Puts in the rare words; rows alike in id and text have the same places, and bring them once."""
         for b in rows_by_bytes(batches, "classes", SLICE_BYTES // 8):
             n_known, base, cells = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()
             begins = np.cumsum([0, *map(len, cells)])
@@ -496,13 +519,14 @@ def _tagged(docs: DataFrame, words, known, rare: DataFrame, unseen: int) -> Data
                 base = base + np.bincount(owner[entry], weights=np.log10(n + ADD), minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_known), pa.array(base), _binaries(tags, begins[:-1])], names=["doc_id", "n_tokens", "n_known", "base_", "classes"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x"), F.col("text").cast("string").alias("text"))
-    near = keyed.mapInArrow(lambda it: run(it, False), "doc_id long, x long, n_tokens long, n_known long, base_ double, classes binary")
-    far = keyed.mapInArrow(lambda it: run(it, True), "word binary, at binary, doc_id long, x long")
+    kind = dict(docs.dtypes)["doc_id"]
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x"), F.col("text").cast("string").alias("text"))
+    near = keyed.mapInArrow(lean(lambda it: run(it, False)), f"doc_id {kind}, x long, n_tokens long, n_known long, base_ double, classes binary")
+    far = keyed.mapInArrow(lean(lambda it: run(it, True)), f"word binary, at binary, doc_id {kind}, x long")
     looked_up = far.join(rare.select(F.col("word").alias("w_"), "n", "class"), F.col("word") == F.col("w_"), "left")
-    looked_up = looked_up.groupBy(F.col("doc_id").alias("d_"), F.col("x").alias("x_")).agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
+    looked_up = looked_up.groupBy(F.col("doc_id").alias("d_"), F.col("x").alias("x_")).agg(F.collect_set(F.struct("at", "n", "class")).alias("found"))
     out = near.join(looked_up, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("x") == F.col("x_")), "left")
-    return out.select("doc_id", "n_tokens", "n_known", "base_", "classes", "found").mapInArrow(fill, "doc_id long, n_tokens long, n_known long, base_ double, classes binary")
+    return out.select("doc_id", "n_tokens", "n_known", "base_", "classes", "found").mapInArrow(lean(fill), f"doc_id {kind}, n_tokens long, n_known long, base_ double, classes binary")
 
 
 def perplexity(df: DataFrame) -> DataFrame:
