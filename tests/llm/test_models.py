@@ -135,12 +135,33 @@ def test_top_k(spark, block):
 
 def test_sliced_scores():
     r = np.random.default_rng(2)
-    values = r.integers(-256, 256, (130, 9))
-    block = bitsliced.SlicedBlock(values)
-    for _ in range(20):
-        q = r.integers(-300, 300, 9)
-        total, offset = block.scores(q)
-        assert (block.read(total, np.arange(130)) + offset == values @ q).all()
+    for size in (256, 3, 2**40):
+        values = r.integers(-size, size, (130, 9))
+        block = bitsliced.SlicedBlock(values)
+        asked = r.integers(-300, 300, (20, 9))
+        asked[0], asked[1] = 0, -1
+        total, offset = block.scores(asked)
+        for q in range(20):
+            bits = (total[:, q][:, np.arange(130) // 64] >> (np.arange(130) % 64).astype(np.uint64)) & np.uint64(1)
+            got = [sum(int(b) << j for j, b in enumerate(bits[:, k])) + offset[q] for k in range(130)]
+            assert got == [sum(int(x) * int(w) for x, w in zip(v, asked[q])) for v in values]
+
+
+def test_large_components_and_several_lengths(spark):
+    r = random.Random(8)
+    rows = [(i, [r.choice([3e6, -3e6, 0.5, 2_999_999.996]) for _ in range(4 if i % 3 else 6)]) for i in range(300)]
+    rows += [(300 + i, [float(i)]) for i in range(3)] + [(400, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in bitsliced.top_k(df, df.where("vec_id % 50 = 0"), 5, 40, 3).collect())
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q, v in whole.items():
+        if q % 50 == 0 and v:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want) and max(s for *_, s in got) > 2**53
+    with pytest.raises(ValueError):
+        bitsliced.quantise(np.array([1e300]))
 
 
 # --- pipeline
