@@ -94,14 +94,16 @@ def native_spans(text: Column, types: list[str] | None = None) -> Column:
     def of(p: Pattern, regex: str) -> Column:
         # Spark compiles a split's expression for each row, a replacement's once
         parts = F.when(F.contains(text, F.lit(_CUT)), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, _CUT), _CUT, -1))
-        found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        both = F.struct(parts.alias("parts"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"))
         before = lambda x, n: F.char_length(F.array_join(F.slice(x, F.lit(1), n), ""))
 
-        def span(m: Column, i: Column) -> Column:
-            start = before(parts, i + 1) + before(found, i)
+        def span(x: Column, m: Column, i: Column) -> Column:
+            start = before(x["parts"], i + 1) + before(x["found"], i)
             return F.struct(start.alias("start"), F.lit(p.ord).alias("ord"), F.char_length(m).alias("length"), F.lit(p.type).alias("type"), F.lit(p.placeholder).alias("placeholder"), m.alias("original"))
 
-        return F.when(F.regexp_like(text, F.lit(regex)), F.transform(found, span)).otherwise(F.array().cast(SPANS_SQL))
+        # in an array of one, so that the inner function's body doesn't evaluate the expressions again for each match
+        spans = F.transform(F.array(both), lambda x: F.transform(x["found"], lambda m, i: span(x, m, i)))
+        return F.when(F.regexp_like(text, F.lit(regex)), F.get(spans, F.lit(0))).otherwise(F.array().cast(SPANS_SQL))
 
     chosen = [p for p in PATTERNS if types is None or p.type in types]
     spans = F.when(_ascii(text), F.concat(*[of(p, p.ascii) for p in chosen])).otherwise(F.concat(*[of(p, p.java) for p in chosen]))

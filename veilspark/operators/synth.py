@@ -70,7 +70,8 @@ def fill(df: DataFrame, row: str = "id", template: str = "template", indexed: bo
     ``indexed``: the second of a type is <TYPE_2>, and so on; else all are <TYPE>. Types that aren't in ``known`` stay as
     they are. One expression for each row, no shuffle."""
     known = [t for types in SEVERITY.values() for t in types] if known is None else known
-    parts, names = F.split(F.col(template), r"\{[^}]+\}", -1), F.regexp_extract_all(F.col(template), F.lit(r"\{([^}]+)\}"), F.lit(1))
+    parts, names = F.split(F.col(template), r"\{[^}]+\}", -1), F.col("veil_names_")
+    df = df.withColumn("veil_names_", F.regexp_extract_all(F.col(template), F.lit(r"\{([^}]+)\}"), F.lit(1)))
     known = F.array(*map(F.lit, known)).cast("array<string>")
     marks = F.transform(names, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.size(F.filter(F.slice(names, 1, i + 1), lambda x: x == t)).alias("k"), F.array_contains(known, t).alias("known")))
 
@@ -87,7 +88,7 @@ def fill(df: DataFrame, row: str = "id", template: str = "template", indexed: bo
         return F.concat(F.col("veil_parts_")[0], F.array_join(gaps, ""))
 
     kept = F.transform(F.filter("veil_maps_", lambda m: m["known"]), lambda m: F.struct(m["entity_type"], m["original"], m["placeholder"], m["confidence"]))
-    return out.withColumns({"original_text": joined("original"), "redacted_text": joined("placeholder"), "entity_mappings": kept}).drop("veil_parts_", "veil_maps_")
+    return out.withColumns({"original_text": joined("original"), "redacted_text": joined("placeholder"), "entity_mappings": kept}).drop("veil_names_", "veil_parts_", "veil_maps_")
 
 
 def confidence(row: Column, place: Column) -> Column:
