@@ -7,8 +7,10 @@ into suffix order (prefix doubling), finds for each start the previous and the n
 and takes the longer of the two matches: its longest previous factor. Starts with one of ``length`` or more are later
 copies; the mirror image (positions that are larger) finds those that are copied later.
 
-Anchors with very many occurrences don't go to one task. Their segments are collapsed by content first, and the
-windows of the distinct ones are counted by hash (128 bits), which gives the same answer.
+Starts that follow each other and have the same anchor hash are one run, wherever that anchor stands: a periodic text
+is a few runs, not one for each start. Anchors whose runs hold very many bytes don't go to one task. Their segments are
+collapsed by content first, and the windows of the distinct ones are grouped by hash (128 bits) instead of by suffix
+rank; the first window of a group is the only one without an earlier one, which is what its previous factor would say.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import rows_by_bytes, stage, whole_groups
+from veilspark.llm.common import holds, lean, rows_by_bytes, stage, unstage, whole_groups
 
 LENGTH = 200
 GRAM = 40
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 CHUNK_BYTES = 1 << 20
-HOT = 4096  # occurrences of an anchor from which its segments are collapsed first
+PIECE = 1 << 20  # places that are hashed at once; under 1 << _PLACE_BITS
+MOST = 4096  # starts of a run; a longer run is cut
+HOT = 1 << 20  # bytes of an anchor's runs from which its segments are collapsed first
+_RUN = 1 << 14  # a run is one number: first start x _RUN + 2 x starts, and 1 if it has several anchors
 _PLACE_BITS = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,6 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _LETTERS = _mix(np.arange(1, 257, dtype=np.uint64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+holds(__name__, _powers.clear)
 
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -57,11 +63,11 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return _mix((run[k:] - run[:-k]) * down[: len(data) - k + 1])
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first start, number of starts and anchor hash of each run of window starts with one anchor, for texts laid end to end."""
+def anchors(data: np.ndarray, lengths: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first start, number of starts, anchor hash and number of anchors of each run of window starts whose anchors have one hash, for texts laid end to end."""
     begin = np.cumsum(lengths) - lengths
     out = []
-    step = (1 << _PLACE_BITS) - 2 * length
+    step = PIECE  # a long text is looked at piece by piece
     w = length - k + 1
     for lo in range(0, max(len(data) - length + 1, 0), step):
         part = data[lo : lo + step + length - 1]
@@ -78,13 +84,15 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int, k: int) -> tuple
         del v, block, ahead, back
         text = np.searchsorted(begin, np.arange(lo, lo + n), side="right") - 1
         ok = np.arange(lo, lo + n) - begin[text] + length <= lengths[text]
-        new = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])] & ok
-        first = np.flatnonzero(new)
-        count = np.add.reduceat(ok, first) if len(first) else first
-        out.append((text[first], lo + first - begin[text[first]], count, h[(least[first] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)]))
+        value = h[(least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)]
+        other = np.r_[True, text[1:] != text[:-1]]
+        first = np.flatnonzero((other | np.r_[True, value[1:] != value[:-1]]) & ok)
+        places = (other | np.r_[True, least[1:] != least[:-1]]) & ok
+        count, many = (np.add.reduceat(x, first) if len(first) else first for x in (ok, places))
+        out.append((text[first], lo + first - begin[text[first]], count, value[first], many))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64)
+        return z, z, z, z.astype(np.uint64), z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -182,25 +190,29 @@ def _texts(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, length: int, counted: bool) -> DataFrame:
-    """Anchors of every text: h, c1, c2 and run (first start x 256 + starts); for counting h, c1 and whether the text has it twice."""
+    """Anchors of every text: h, c1, c2 and run (as by _RUN); for counting h, c1, whether the text has it twice, and the bytes of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
             coded = b.column(2).cast(pa.binary()).to_pylist()
             lens = np.fromiter(map(len, coded), np.int64, len(coded))
             c1, c2 = (b.column(k).to_numpy() for k in (0, 1))
-            text, first, n, h = anchors(np.frombuffer(b"".join(coded), np.uint8), lens, length, GRAM)
+            text, first, n, h, many = anchors(np.frombuffer(b"".join(coded), np.uint8), lens, length, GRAM)
             h = h.view(np.int64)
             if not counted:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c1[text], c2[text], first * 256 + n)], names=["h", "c1", "c2", "run"])
+                cuts = -(-n // MOST)
+                text, h = np.repeat(text, cuts), np.repeat(h, cuts)
+                skip = (np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * MOST
+                first, n, inner = np.repeat(first, cuts) + skip, np.minimum(np.repeat(n, cuts) - skip, MOST), np.repeat(many > 1, cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c1[text], c2[text], first * _RUN + 2 * n + inner)], names=["h", "c1", "c2", "run"])
                 continue
             order = np.lexsort((h, text))
-            text, h = text[order], h[order]
-            same = np.r_[(text[1:] == text[:-1]) & (h[1:] == h[:-1]), False] if len(h) else np.zeros(0, bool)
-            twice, keep = np.r_[False, same[:-1]] if len(h) else same, ~same
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c1[text[keep]]), pa.array(twice[keep])], names=["h", "c1", "twice"])
+            text, h, size, many = text[order], h[order], (n + (length - 1) * -(-n // MOST))[order], many[order]
+            begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+            size, many = (np.add.reduceat(x, begin) if len(begin) else begin for x in (size, many))
+            yield pa.RecordBatch.from_arrays([pa.array(h[begin]), pa.array(c1[text[begin]]), pa.array(many > 1), pa.array(size)], names=["h", "c1", "twice", "size"])
 
-    return texts.select("c1", "c2", "text").mapInArrow(run, "h long, c1 long, twice boolean" if counted else "h long, c1 long, c2 long, run long")
+    return texts.select("c1", "c2", "text").mapInArrow(lean(run), "h long, c1 long, twice boolean, size long" if counted else "h long, c1 long, c2 long, run long")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -213,37 +225,37 @@ def _packed(texts: DataFrame) -> DataFrame:
             packed = pa.array([press.compress(t) for t in b.column(0).cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], packed], names=[*names, "packed"])
 
-    return texts.select("text", *names).mapInArrow(run, texts.select(*names).withColumn("packed", F.lit(b"")).schema)
+    return texts.select("text", *names).mapInArrow(lean(run), texts.select(*names).withColumn("packed", F.lit(b"")).schema)
 
 
 def _segments(candidates: DataFrame, length: int) -> DataFrame:
-    """The bytes of each candidate run (h, c1, c2, first, start, starts, hot, bytes), from rows of a text and its list of runs."""
+    """The bytes of each candidate run (h, c1, c2, first, start, starts, inner, hot, bytes), from rows of a text and its list of runs; inner: it may hold a window twice."""
+    names = ["h", "c1", "c2", "first", "start", "starts", "inner", "hot", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in (p for b in batches for p in rows_by_bytes([b], "packed", CHUNK_BYTES // 4)):
-            out: list[list] = [[] for _ in range(8)]
+            kinds = [pa.int64()] * 3 + [b.schema.field(0).type, pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+            packed = lambda out, kinds=kinds: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
+            out: list[list] = [[] for _ in names]
             held = 0
-            for first, c1, c2, packed, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = unpack.decompress(packed)
-                for r in runs:
-                    at, n = divmod(r["run"], 256)
+            for i in range(b.num_rows):
+                first, c1, c2 = (b.column(k)[i].as_py() for k in range(3))
+                text, runs = unpack.decompress(b.column(3)[i].as_py()), b.column(4).slice(i, 1).flatten()
+                for h, place, hot in zip(*(runs.field(k).to_pylist() for k in ("h", "run", "hot")), strict=True):
+                    at, n, inner = place // _RUN, place % _RUN // 2, bool(place & 1)
                     piece = text[at : at + n + length - 1]
                     held += len(piece)
-                    for k, x in enumerate((r["h"], c1, c2, first, at, n, r["hot"], piece)):
+                    for k, x in enumerate((h, c1, c2, first, at, n, inner, hot, piece)):
                         out[k].append(x)
-                if held > CHUNK_BYTES:
-                    yield _segment_batch(out)
-                    out, held = [[] for _ in range(8)], 0
+                    if held > CHUNK_BYTES:
+                        yield packed(out)
+                        out, held = [[] for _ in names], 0
             if out[0]:
-                yield _segment_batch(out)
+                yield packed(out)
 
-    return candidates.select("first", "c1", "c2", "packed", "runs").mapInArrow(run, "h long, c1 long, c2 long, first long, start long, starts int, hot boolean, bytes binary")
-
-
-def _segment_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["h", "c1", "c2", "first", "start", "starts", "hot", "bytes"])
+    kind = dict(candidates.dtypes)["first"]
+    return candidates.select("first", "c1", "c2", "packed", "runs").mapInArrow(lean(run), f"h long, c1 long, c2 long, first {kind}, start long, starts int, inner boolean, hot boolean, bytes binary")
 
 
 def _spans_of(c1: np.ndarray, c2: np.ndarray, start: np.ndarray, starts: np.ndarray, hit: np.ndarray, length: int) -> pa.RecordBatch:
@@ -263,21 +275,21 @@ SPANS = "c1 long, c2 long, begin long, end long"
 def _usual_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = (part for b in batches for part in rows_by_bytes([b], "bytes", CHUNK_BYTES // 2))
-        for t in whole_groups(small, ["h"], 1500):
+        for t in whole_groups(small, ["h"], 1500, CHUNK_BYTES // 2):
             t = t.sort_by([("first", "ascending"), ("c1", "ascending"), ("c2", "ascending"), ("start", "ascending")])
             c1, c2, start, starts = (t.column(k).to_numpy() for k in ("c1", "c2", "start", "starts"))
             again = np.r_[False, (np.diff(c1) == 0) & (np.diff(c2) == 0) & (np.diff(start) == 0)]  # of rows that repeat
-            pieces, h = t.column("bytes").to_pylist(), t.column("h").to_numpy()
+            pieces, h, inner = t.column("bytes").to_pylist(), t.column("h").to_numpy(), t.column("inner").to_numpy()
             if again.any():
                 keep = np.flatnonzero(~again)
-                h, c1, c2, start, starts, pieces = h[keep], c1[keep], c2[keep], start[keep], starts[keep], [pieces[k] for k in keep]
+                h, c1, c2, start, starts, inner, pieces = h[keep], c1[keep], c2[keep], start[keep], starts[keep], inner[keep], [pieces[k] for k in keep]
             starts = starts.astype(np.int64)
-            # Segments that are equal as a whole need no sorting: the first stands for them. Nor does an anchor's only kind.
+            # Segments that are equal as a whole need no sorting: the first stands for them. Nor does an anchor's only kind, unless it may repeat in itself.
             seen: dict[bytes, int] = {}
             rep = np.array([seen.setdefault(p, i) for i, p in enumerate(pieces)])
             kinds = np.flatnonzero(rep == np.arange(len(rep)))
             _, of, many = np.unique(h[kinds], return_inverse=True, return_counts=True)
-            rest = kinds[many[of] > 1]
+            rest = kinds[(many[of] > 1) | inner[kinds]]
             copied = rep != np.arange(len(rep)) if keep_first else np.bincount(rep, minlength=len(rep))[rep] > 1
             hit = np.repeat(copied, starts)
             if len(rest):
@@ -288,12 +300,12 @@ def _usual_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFram
                 hit[np.repeat((np.cumsum(starts) - starts)[rest], n) + within] |= (earlier >= length) | (later >= length)
             yield _spans_of(c1, c2, start, starts, hit, length)
 
-    return segments.where("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    return segments.where("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(lean(run), SPANS)
 
 
 def _hot_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The same for anchors with very many occurrences, whatever their number: segments are collapsed, windows of the distinct ones counted."""
-    order = F.struct("first", "c1", "c2", "start")
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "c1", "c2", "start")
     hot = segments.where("hot").withColumn("s", F.sha2("bytes", 256)).select("s", "starts", "bytes", order.alias("o")).distinct()
     kinds = hot.groupBy("s", "starts", "bytes").agg(F.count("*").alias("n"), F.min("o").alias("o"))  # all with one s are alike
 
@@ -305,20 +317,18 @@ def _hot_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 at = pa.array(np.full(count, i))
                 yield pa.RecordBatch.from_arrays([pa.array(names), s.take(at), pa.array(np.arange(count), pa.int32()), n.take(at), o.take(at)], names=["w", "s", "k", "n", "o"])
 
-    o_type = "struct<first:bigint,c1:bigint,c2:bigint,start:bigint>"
-    each = kinds.mapInArrow(windows, f"w string, s string, k int, n long, o {o_type}")
-    at = F.struct("o.first", "o.c1", "o.c2", (F.col("o.start") + F.col("k")).alias("start"))
-    total = each.groupBy("w").agg(F.sum("n").alias("total"), F.min(at).alias("least")).withColumnRenamed("w", "w_")
-    each = each.join(total, F.col("w") == F.col("w_"))
-    repeated = F.col("total") > 1
-    if keep_first:
-        repeated &= F.col("least") != at
+    o_type = dict(hot.dtypes)["o"]
+    each = kinds.mapInArrow(lean(windows), f"w string, s string, k int, n long, o {o_type}")
+    at = F.struct("o.none", "o.first", "o.c1", "o.c2", (F.col("o.start") + F.col("k")).alias("start"))
+    # written first, so that the join can split a window that stands in very many segments
+    total = each.groupBy(F.col("w").alias("w_")).agg(F.sum("n").alias("total"), F.min(at).alias("least")).where("total > 1")
+    each = each.join(stage(total, "totals"), F.col("w") == F.col("w_"))
     # of the first occurrence of a segment: its windows that are repeated
-    masks = each.where(repeated).groupBy(F.col("s").alias("s_")).agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    masks = (each.where(~F.col("least").eqNullSafe(at)) if keep_first else each).groupBy(F.col("s").alias("s_")).agg(F.sort_array(F.collect_list("k")).alias("ks"))
     places = kinds.select("s", "n", F.col("o").alias("least")).join(masks, F.col("s") == F.col("s_"), "left").drop("s_").withColumnRenamed("s", "t")
     places = stage(places, "places")  # so that the join can split a segment that stands in very many places
     every = hot.drop("bytes").join(places, F.col("s") == F.col("t"))
-    copied = (F.col("n") > 1) & (F.col("o") != F.col("least")) if keep_first else F.col("n") > 1
+    copied = (F.col("n") > 1) & ~F.col("o").eqNullSafe(F.col("least")) if keep_first else F.col("n") > 1
     hit = F.when(copied, F.sequence(F.lit(0), F.col("starts") - 1)).otherwise(F.coalesce("ks", F.array().cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +340,7 @@ def _hot_spans(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
             flags[(np.cumsum(starts) - starts)[of] + hits.flatten().to_numpy()] = True
             yield _spans_of(c1, c2, start, starts, flags, length)
 
-    return every.select("o.c1", "o.c2", "o.start", "starts", hit.alias("hit")).mapInArrow(run, SPANS)
+    return every.select("o.c1", "o.c2", "o.start", "starts", hit.alias("hit")).mapInArrow(lean(run), SPANS)
 
 
 def _list_lengths(lists: pa.ListArray) -> np.ndarray:
@@ -342,20 +352,21 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot: i
 
     Spans are for one row of the text; of equal texts of ``length`` bytes or more all other rows go whole."""
     texts = _texts(docs)
-    counts = _anchor_rows(texts, length, True).groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("twice").alias("twice"), F.count("*").alias("n"))
+    counts = _anchor_rows(texts, length, True).groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("twice").alias("twice"), F.sum("size").alias("size"))
     # written first: a join of two plain shuffles is one whose hot keys can be split
-    counts = stage(counts.where("twice OR lo <> hi").select(F.col("h").alias("h_"), (F.col("n") > hot).alias("hot")), "anchors")
+    counts = stage(counts.where("twice OR lo <> hi").select(F.col("h").alias("h_"), (F.col("size") > hot).alias("hot")), "anchors")
     runs = _anchor_rows(texts, length, False)
     runs = runs.join(counts, runs.h == counts.h_).groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "run", "hot")).alias("runs"))
     classes = texts.groupBy("c1", "c2").agg(F.min("id_").alias("first"), F.count("*").alias("copies"))
     packed = _packed(texts)
     picked = classes.join(runs, ["c1", "c2"]).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "runs")
     picked = packed.join(picked, (packed.c1 == F.col("k1")) & (packed.c2 == F.col("k2")) & packed.id_.eqNullSafe(F.col("first")))
-    segments = _segments(picked.withColumn("first", F.coalesce(F.col("first").cast("long"), F.lit(2**63 - 1))), length)
-    segments = stage(segments, "segments")
+    segments = stage(_segments(picked, length), "segments")
     found = _usual_spans(segments, length, keep_first).union(_hot_spans(segments, length, keep_first))
     found = found.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    return stage(classes.join(found, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "copies", "spans"), "spans")
+    out = stage(classes.join(found, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "copies", "spans"), "spans")
+    unstage(counts, segments)
+    return out
 
 
 def _mask(n: int, found: list[dict] | None) -> np.ndarray:
@@ -387,7 +398,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, hot:
             columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(3), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.select("packed", "spans", "gone", "id_").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("packed", "spans", "gone", "id_").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _marked(docs: DataFrame, carried: list[str], length: int, keep_first: bool, hot: int) -> DataFrame:
@@ -436,7 +447,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             texts = [np.frombuffer(text, np.uint8)[~whole_letters(text, mask)].tobytes() if mask.any() else text for text, mask in _masked(part, length)]
             yield pa.RecordBatch.from_arrays([part.column(3), pa.array(texts, pa.binary()).cast(pa.string()), *part.columns[4:]], names=["doc_id", "text", *(["rest"] if carried else [])])
 
-    cut = rows.select("packed", "spans", "gone", "id_", *(["rest"] if carried else [])).mapInArrow(run, out)
+    cut = rows.select("packed", "spans", "gone", "id_", *(["rest"] if carried else [])).mapInArrow(lean(run), out)
     columns = [F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns]
     cut = cut.select(*columns)
     return cut.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else cut
