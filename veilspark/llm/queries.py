@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bitsliced, brown_lm, decontaminate, jaccard_join, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
+from veilspark.llm import bitsliced, brown_lm, decontaminate, filter_audit, hard_negatives, jaccard_join, license_scan, lpf_dedup, mil_toxicity, sentencepiece_codec, shuffle_shards, token_count, url_reputation
 
 _FILES = {"WORD_VOCABULARY": "word_bpe_49k.json", "PIECE_MODEL": "piece_bpe_32k.model"}
 
@@ -65,9 +65,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.shard_digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_reputation.ORACLE_SQL, "op5_exact_topk": bitsliced.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op1_url_filter": url_reputation.ORACLE_SQL, "op5_exact_topk": bitsliced.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_license_scan": license_scan.ORACLE_SQL}
