@@ -47,16 +47,48 @@ def test_a_cluster_must_name_its_folder():
 
 def test_folders_are_deleted(spark):
     before = common.staged()
-    df = common.stage(spark.range(5), "test")
-    kept = common.stage(spark.range(3), "test")
-    assert common.staged() == before + 2 and kept.count() == 3
-    common.unstage_since(spark, before, kept)
-    assert common.staged() == before + 1 and kept.count() == 3
+    other = common.stage(spark.range(4), "test")
+    with common.Folders() as mine:
+        df = common.stage(spark.range(5), "test")
+        kept = common.stage(spark.range(3), "test")
+        with common.Folders() as inner:
+            common.stage(spark.range(2), "test")
+        assert common.staged() == before + 4 and kept.count() == 3
+        mine.delete(spark, kept)
+        assert common.staged() == before + 3 and kept.count() == 3
+    inner.delete(spark)
     common.unstage(kept)
+    assert common.staged() == before + 1 and other.count() == 4
+    common.unstage(other)
     with pytest.raises(Exception):
         df.count()
 
 
+def test_runs_delete_only_their_own_folders(spark):
+    """Two runs at once, and a frame of the session that neither owns."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    step, bystander = Barrier(2), common.stage(spark.range(7), "test")
+
+    def run(n):
+        with common.Folders() as mine:
+            docs = spark.range(n)
+            for _ in range(3):
+                extra = common.stage(docs, "test")
+                docs = common.stage(docs.union(extra), "test")
+                step.wait()
+                mine.delete(spark, docs)
+                step.wait()
+            return docs, len(mine.paths)
+
+    before = common.staged()
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(run, [3, 5]))
+    assert [(d.count(), left) for d, left in done] == [(24, 1), (40, 1)] and bystander.count() == 7 and common.staged() == before + 2
+    common.unstage(bystander, *[d for d, _ in done])
+
+
 # --- repeated strings
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -32,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []  # folders of stage() that are still there
+_run: contextvars.ContextVar[Folders | None] = contextvars.ContextVar("run", default=None)
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
@@ -39,6 +41,8 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilspark-{what}-{uuid.uuid4().hex}"
     _written.append(path)
+    if run := _run.get():
+        run.paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
@@ -51,10 +55,24 @@ def unstage(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df.staged_at)
 
 
-def unstage_since(spark: SparkSession, before: int, keep: DataFrame) -> None:
-    """Delete the folders that were written after the first ``before`` ones, but for that of ``keep``."""
-    for path in [p for p in _written[before:] if p != keep.staged_at]:
-        _delete(spark, path)
+class Folders:
+    """The folders that stage() writes inside ``with Folders() as mine``, in this thread: those of one run, and of no other."""
+
+    def __enter__(self) -> Folders:
+        self.paths: list[str] = []
+        self._outer = _run.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _run.reset(self._outer)
+
+    def delete(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
+        """Delete them, but for that of ``keep``."""
+        kept = keep.staged_at if keep is not None else None
+        for path in self.paths:
+            if path != kept:
+                _delete(spark, path)
+        self.paths = [p for p in self.paths if p == kept]
 
 
 def staged() -> int:
