@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm.common import stage, staged, unstage_since
+from veilspark.llm.common import Folders, stage
 from veilspark.llm import decontaminate, jaccard_join, lpf_dedup, mil_toxicity, queries, sentencepiece_codec
 
 
@@ -49,10 +49,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder before the next one reads it.
 
-    Once a stage's result is written, what it wrote on its way and what it read from the stage before are deleted."""
+    Once a stage's result is written, what it wrote on its way and what it read from the stage before are deleted. Only
+    folders of this run are; that of the last but one stage is the caller's, who reads it with the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = staged()
-    for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
-        unstage_since(spark, before, docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Folders() as mine:
+        for name, apply in STAGES[:-1]:
+            docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+            mine.delete(spark, docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
