@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
-from veilspark.operators import audit, classify, dictionary, metrics, synth, templates
+from veilspark.operators import audit, classify, metrics, synth, templates
 from veilspark.sources import docx, files, html, sinks
 from veilspark.streaming import live
 
@@ -73,16 +73,7 @@ def test_csv_with_separator_and_metrics(spark, tmp_path):
 def test_rendered(spark):
     df = spark.createDataFrame([("a.html", "x < y\n\nz"), ("b.docx", "doc"), ("c.pdf", "p"), ("d.png", None)], "filename string, text string")
     got = {r.filename: r.content for r in sinks.rendered(df, pdf=lambda t: b"%PDF" + t.encode()).collect()}
-    assert b"<p>x &lt; y</p>" in got["a.html"] and docx.read(bytes(got["b.docx"])).endswith("doc") and bytes(got["c.pdf"]) == b"%PDFp" and got["d.png"] is None
-
-
-def test_dictionary_in_rounds(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "ann and anna"), (2, None), (3, "bob")], "id long, text string")
-    values = dictionary.dictionary_of(spark.createDataFrame([("ann", "anna"), ("zed", "")], "a string, b string"), "names")
-    for most in (1 << 20, 4):
-        monkeypatch.setattr(dictionary, "BROADCAST_BYTES", most)
-        assert {(r.id, r.value) for r in dictionary.matches(texts, values).collect()} == {(1, "ann"), (1, "anna")}
-        assert {r.id: r.scrubbed_text for r in dictionary.scrub(texts, values).collect()} == {1: "<REDACTED> and <REDACTED>", 2: None, 3: "bob"}
+    assert b"<h1>\n    Scrubbed Document\n   </h1>\n   <p>\n    x &lt; y\n   </p>\n   <p>\n    z\n   </p>\n" in got["a.html"] and docx.read(bytes(got["b.docx"])).endswith("doc") and bytes(got["c.pdf"]) == b"%PDFp" and got["d.png"] is None
 
 
 def test_stream_redaction_and_windows(spark, tmp_path):

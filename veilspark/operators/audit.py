@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.frames import fresh, same_columns
 from veilspark.operators.classify import needs_approval
 
 DETAILS = "struct<original_text:string,redacted_text:string,detections:array<struct<type:string,original:string,placeholder:string>>,total_redacted:bigint,sensitivity_level:string>"
@@ -32,8 +33,9 @@ def enhanced(interactions: DataFrame, endpoint: str, version: str = "1.0") -> Da
 
 def with_last_activity(sessions: DataFrame, interactions: DataFrame) -> DataFrame:
     """Sessions with the time of their last interaction, their creation if there is none; interactions of unknown sessions don't matter."""
-    last = interactions.groupBy(F.col("session_id").alias("s_")).agg(F.max("timestamp").alias("last_"))
-    return sessions.join(last, sessions.session_id == last.s_, "left").withColumn("last_activity", F.greatest("created_at", "last_")).drop("s_", "last_")
+    key, newest = fresh(sessions.columns, "key", "newest")
+    last = interactions.groupBy(F.col("session_id").alias(key)).agg(F.max("timestamp").alias(newest))
+    return sessions.join(last, F.col("session_id") == F.col(key), "left").withColumn("last_activity", F.greatest("created_at", newest)).drop(key, newest)
 
 
 def session_states(events: DataFrame) -> DataFrame:
@@ -93,9 +95,10 @@ def users_page(users: DataFrame, skip: int = 0, limit: int = PAGE) -> DataFrame:
 
 def new_users(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """Candidates whose email isn't taken, one an email (the least user_id)."""
-    known = users.select(F.col("email").alias("taken_")).distinct()
-    fresh = candidates.join(known, candidates.email == known.taken_, "left_anti")
-    return fresh.groupBy("email").agg(F.min(F.struct("user_id", *[c for c in candidates.columns if c not in ("email", "user_id")])).alias("u")).select("email", "u.*")
+    (taken,) = fresh(candidates.columns, "taken")
+    known = users.select(F.col("email").alias(taken)).distinct()
+    free = candidates.join(known, F.col("email") == F.col(taken), "left_anti")
+    return free.groupBy("email").agg(F.min(F.struct("user_id", *[c for c in candidates.columns if c not in ("email", "user_id")])).alias("u")).select("email", "u.*")
 
 
 def empty_stats(users: DataFrame) -> DataFrame:
@@ -122,8 +125,9 @@ def migrated_users(users: DataFrame) -> DataFrame:
 
 def migrated_stats(stats: DataFrame, users: DataFrame) -> DataFrame:
     """Statistics that are keyed by an email get its user's id."""
-    ids = users.select(F.col("email").alias("e_"), F.col("user_id").alias("u_"))
-    return stats.join(ids, stats.user_id == ids.e_, "left").withColumn("user_id", F.coalesce("u_", "user_id")).drop("e_", "u_")
+    email, own = fresh(stats.columns, "email", "own")
+    ids = users.select(F.col("email").alias(email), F.col("user_id").alias(own))
+    return stats.join(ids, F.col("user_id") == F.col(email), "left").withColumn("user_id", F.coalesce(own, "user_id")).drop(email, own)
 
 
 def seeding_summary(interactions: DataFrame) -> DataFrame:
@@ -159,7 +163,8 @@ def risk_dashboard(interactions: DataFrame, now: Column, time_range: str = "24h"
 
 def access_status(requests: DataFrame, users: DataFrame, admin: bool = True) -> DataFrame:
     """Requests (email) with status 404 (no such user), 403 (inactive, or no admin where one is needed) or 200."""
-    known = users.select(F.col("email").alias("e_"), "is_active", "is_admin")
-    joined = requests.join(known, requests.email == known.e_, "left")
-    bad = ~F.coalesce(F.col("is_active"), F.lit(False)) | (F.lit(admin) & ~F.coalesce(F.col("is_admin"), F.lit(False)))
-    return joined.select(*requests.columns, F.when(F.col("e_").isNull(), 404).when(bad, 403).otherwise(200).alias("status"))
+    email, active, rights = fresh(requests.columns, "known_email", "is_active", "is_admin")
+    known = users.select(F.col("email").alias(email), F.col("is_active").alias(active), F.col("is_admin").alias(rights))
+    joined = requests.join(known, F.col("email") == F.col(email), "left")
+    bad = ~F.coalesce(F.col(active), F.lit(False)) | (F.lit(admin) & ~F.coalesce(F.col(rights), F.lit(False)))
+    return joined.select(*same_columns(requests, "status"), F.when(F.col(email).isNull(), 404).when(bad, 403).otherwise(200).alias("status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.frames import fresh
 from veilspark.operators import detect
 from veilspark.operators.patterns import EXPLANATIONS, PATTERNS
 
@@ -48,15 +49,23 @@ def _has_any(low: Column, words: list[str]) -> Column:
     return out
 
 
+def _lowered(text: Column, body) -> Column:
+    """``body`` of the text in lower case, which is computed once for all words."""
+    return F.get(F.transform(F.array(F.lower(text)), body), F.lit(0))
+
+
 def keyword_level(text: Column) -> Column:
-    out = F.lit("C1")
-    for level in reversed(LEVEL_WORDS):
-        out = F.when(has_any(text, LEVEL_WORDS[level]), level).otherwise(out)
-    return out
+    def of(low: Column) -> Column:
+        out = F.lit("C1")
+        for level in reversed(LEVEL_WORDS):
+            out = F.when(_has_any(low, LEVEL_WORDS[level]), level).otherwise(out)
+        return out
+
+    return _lowered(text, of)
 
 
 def categories_of_text(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has_any(text, words), name) for name, words in CATEGORY_WORDS.items()]))
+    return _lowered(text, lambda low: F.array_compact(F.array(*[F.when(_has_any(low, words), name) for name, words in CATEGORY_WORDS.items()])))
 
 
 def categories_of_types(types: Column) -> Column:
@@ -78,10 +87,11 @@ def with_rule_features(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``, array<double> of 22: presence and count of each pattern, then the four word groups.
 
     Each pattern is counted once, and the text lowered once: both are arrays that the features are read from."""
-    made = df.withColumn("veil_counts_", F.array(*[detect.count(F.col(text), p) for p in PATTERNS])).withColumn("veil_low_", F.lower(text))
-    counts = F.flatten(F.transform("veil_counts_", lambda n: F.array((n > 0).cast("double"), n.cast("double"))))
-    groups = F.array(*[_has_any(F.col("veil_low_"), words).cast("double") for words in FEATURE_WORDS])
-    return made.withColumn(out, F.concat(counts, groups)).drop("veil_counts_", "veil_low_")
+    found, low = fresh([*df.columns, out], "found", "low")
+    made = df.withColumn(found, F.array(*[detect.count(F.col(text), p) for p in PATTERNS])).withColumn(low, F.lower(text))
+    counts = F.flatten(F.transform(found, lambda n: F.array((n > 0).cast("double"), n.cast("double"))))
+    groups = F.array(*[_has_any(F.col(low), words).cast("double") for words in FEATURE_WORDS])
+    return made.withColumn(out, F.concat(counts, groups)).drop(found, low)
 
 
 def training_pipeline(kind: str = "logreg", ngram_max: int = 2, seed: int = 42):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.frames import fresh, same_columns, sliced
 from veilspark.operators.patterns import PATTERNS, Pattern, compiled, may_match, types_of_level
 
 DETECTION = pa.struct([("type", pa.string()), ("original", pa.string()), ("placeholder", pa.string())])
@@ -55,15 +56,16 @@ def redact(df: DataFrame, text: str = "text", level: str | None = None, types: l
     kept = [c for c in df.columns if c not in ("redacted_text", "detections", "total_redacted")]
     # a string column that is kept anyway travels once
     own = text in kept and dict(df.dtypes)[text] == "string"
-    extra = [] if own else [F.col(text).cast("string").alias("veil_text_")]
-    source = df.select(*kept, *extra, *([F.col(level).cast("string").alias("veil_level_")] if level else []))
+    body, policy = fresh(df.columns, "body", "policy")
+    extra = [] if own else [F.col(text).cast("string").alias(body)]
+    source = df.select(*kept, *extra, *([F.col(level).cast("string").alias(policy)] if level else []))
     kinds = {"redacted_text": "string", "detections": DETECTIONS_SQL, "total_redacted": "long"}
     schema = df.select(*kept).withColumns({c: F.lit(None).cast(kinds[c]) for c in added}).schema
     at = kept.index(text) if own else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str | None, list] = {}
-        for b in batches:
+        for b in sliced(batches, at):
             texts, found, totals = [], [], []
             levels = b.column(b.num_columns - 1).to_pylist() if level else [None] * b.num_rows
             for t, lv in zip(b.column(at).to_pylist(), levels, strict=True):
@@ -170,12 +172,15 @@ def restore_requests(requests: DataFrame, records: DataFrame) -> DataFrame:
     """Restore by session_id: status (200, 404 without a record of action text_redacted, 400 without detections), text and count.
 
     ``records``: session_id, action, timestamp, redacted_text, detections; the earliest of a session counts."""
-    known = records.where("action = 'text_redacted'").groupBy(F.col("session_id").alias("s_")).agg(F.min_by(F.struct("redacted_text", "detections"), "timestamp").alias("r_"))
-    joined = requests.join(known, requests.session_id == known.s_, "left")
-    out = restored(F.col("r_.redacted_text"), F.col("r_.detections"))
-    status = F.when(F.col("s_").isNull(), 404).when(F.coalesce(F.size("r_.detections"), F.lit(0)) <= 0, 400).otherwise(200)
+    session, record, back = fresh(requests.columns, "session", "record", "back")
+    known = records.where("action = 'text_redacted'").groupBy(F.col("session_id").alias(session)).agg(F.min_by(F.struct("redacted_text", "detections"), "timestamp").alias(record))
+    joined = requests.join(known, F.col("session_id") == F.col(session), "left")
+    found = F.col(record)["detections"]
+    status = F.when(F.col(session).isNull(), 404).when(F.coalesce(F.size(found), F.lit(0)) <= 0, 400).otherwise(200)
     ok = status == 200
-    return joined.withColumn("o_", out).select(*requests.columns, status.alias("status"), F.when(ok, F.col("o_.text")).alias("restored_text"), F.when(ok, F.col("o_.n")).alias("restored"))
+    kept = same_columns(requests, "status", "restored_text", "restored")
+    out = joined.withColumn(back, restored(F.col(record)["redacted_text"], found))
+    return out.select(*kept, status.alias("status"), F.when(ok, F.col(back)["text"]).alias("restored_text"), F.when(ok, F.col(back)["n"]).alias("restored"))
 
 
 def preview(text: Column, size: int = 200) -> Column:

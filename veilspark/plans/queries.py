@@ -336,8 +336,18 @@ def download_router(spark, sf_dir):
     return Tables(spark, sf_dir).sql(_FILES).select("event_id", router.download_name(n).alias("file_name"), router.download_media(n).alias("media"), router.ui_name(n).alias("ui_name"))
 
 
-@query(f"""SELECT doc_id, {O.q(sinks._HEAD)} || array_to_string(list_transform(list_filter(string_split(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) || chr(10)), lambda b: trim(b, ' ') <> ''),
-  lambda b: '<p>' || array_to_string(string_split(trim(b, ' ' || chr(9) || chr(13) || chr(10)), chr(10)), '<br/>') || '</p>'), chr(10)) || '</div></body></html>' AS page FROM documents""")
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PAGE_LINES = [
+    "<html>", " <head>", '  <meta charset="utf-8"/>', '  <meta content="width=device-width, initial-scale=1.0" name="viewport"/>', "  <title>", "   Scrubbed Document", "  </title>", "  <style>",
+    "   body { font-family: sans-serif; line-height: 1.6; max-width: 800px; margin: 0 auto; }", "  </style>", " </head>", " <body>", '  <div class="container">', "   <h1>", "    Scrubbed Document", "   </h1>",
+]
+
+
+@query(f"""WITH b AS (SELECT doc_id, bi, regexp_replace(block, '^{_BLANKS}|{_BLANKS}$', '', 'g') AS block FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS blocks FROM documents), unnest(blocks) WITH ORDINALITY AS u(block, bi)),
+l AS (SELECT doc_id, bi, li, CASE WHEN li > 1 THEN '    <br/>' || chr(10) ELSE '' END AS brk, replace(replace(replace(regexp_replace(line, '^{_BLANKS}|{_BLANKS}$', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM (SELECT doc_id, bi, string_split(block, chr(10)) AS lines FROM b WHERE block <> ''), unnest(lines) WITH ORDINALITY AS v(line, li)),
+p AS (SELECT doc_id, bi, '   <p>' || chr(10) || string_agg(brk || CASE WHEN line <> '' THEN '    ' || line || chr(10) ELSE '' END, '' ORDER BY li) || '   </p>' || chr(10) AS p FROM l GROUP BY doc_id, bi),
+t AS (SELECT doc_id, string_agg(p, '' ORDER BY bi) AS body FROM p GROUP BY doc_id)
+SELECT documents.doc_id, array_to_string({O.texts(_PAGE_LINES)}, chr(10)) || chr(10) || coalesce(body, '') || '  </div>' || chr(10) || ' </body>' || chr(10) || '</html>' || chr(10) AS page FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def html_writer(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", sinks.html(F.col("text")).alias("page"))
 
@@ -673,6 +683,22 @@ def dictionary_scrub(spark, sf_dir):
     return dictionary.scrub(t.sql(_DICT), _dictionary(t)).select("id", "scrubbed_text")
 
 
+@query(f"WITH v AS ({_VALUES}) SELECT doc_id AS id, source, value FROM documents JOIN v ON contains(text, value) UNION ALL SELECT id, source, value FROM ({duck(_DICT)}) t JOIN v ON contains(text, value)")
+def dictionary_match_indexed(spark, sf_dir):
+    """By the distributed index, as for a dictionary that no task could hold; over documents and over texts that hold many values."""
+    t = Tables(spark, sf_dir)
+    return dictionary.matches(t.documents.select(F.col("doc_id").alias("id"), "text").union(t.sql(_DICT)), _dictionary(t), most=0)
+
+
+@query(f"""WITH v AS ({_VALUES}), t AS (SELECT CASE WHEN id % 3 > 0 THEN id END AS id, text FROM ({duck(_DICT)})), m AS (SELECT text, list(value ORDER BY length(value) DESC, value) AS vs FROM (SELECT DISTINCT text, value FROM t JOIN v ON contains(text, value)) GROUP BY text)
+SELECT t.id, coalesce(list_reduce(list_prepend(t.text, vs), lambda a, x: replace(a, x, '<REDACTED>')), t.text) AS scrubbed_text FROM t LEFT JOIN m ON m.text = t.text""")
+def dictionary_scrub_indexed(spark, sf_dir):
+    """The same where a third of the rows have no id."""
+    t = Tables(spark, sf_dir)
+    rows = t.sql(_DICT).withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id")))
+    return dictionary.scrub(rows, _dictionary(t), most=0).select("id", "scrubbed_text")
+
+
 _SEED = f"""WITH u AS (SELECT o_orderkey AS n, (o_orderkey * 7919) % 5 AS u FROM orders), r AS (SELECT n, u, ({[*synth.SEED_ROLES]})[u + 1] AS user_role FROM u),
 a AS (SELECT *, list_filter(['text_redacted', CASE WHEN (n * 104729) % 10 < 7 THEN 'prediction_generated' END, CASE WHEN (n * 1299709 + 3) % 10 < 3 AND user_role = 'admin' THEN 'text_de_scrubbed' END], lambda x: x IS NOT NULL) AS acts FROM r)
 SELECT 'seed-' || n::VARCHAR AS session_id, 'user_00' || (u + 1)::VARCHAR AS user_id, user_role, acts[i] AS action, i - 1 AS step FROM a, unnest(range(1, len(acts) + 1)) AS t(i)"""

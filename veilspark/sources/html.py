@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.frames import sliced
+
 from veilspark.functions.text import clean_lines, drop_blank_lines
 
 _ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&")]
@@ -72,10 +74,11 @@ def parsed(df: DataFrame, column: str, out: str = "text", **options) -> DataFram
     """``df`` with the parsed text of ``column`` in ``out``."""
     source = df.drop(out) if out in df.columns and out != column else df
     names = [c for c in source.columns if c != out]
+    at = source.columns.index(column)
     schema = source.select(*names, F.lit(None).cast("string").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, at):
             texts = pa.array([parse(t, **options) for t in b.column(b.schema.get_field_index(column)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [texts], names=[*names, out])
 
