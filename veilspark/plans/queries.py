@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as T
+from veilspark.functions.frames import scratch
 from veilspark.operators import audit, classify, detect, dictionary, metrics, synth, templates
 from veilspark.operators.patterns import LEVEL_NAMES, PATTERNS, placeholder_of
 from veilspark.plans import oracle as O
-from veilspark.sources import files, html, router, sinks
+from veilspark.sources import files, html, log_store, router, sinks
+from veilspark.sources.log_store import AuditLog, KeyedTable
+from veilspark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -539,6 +542,96 @@ def enhanced_audit(spark, sf_dir):
     return out.select("event_id", "customer_data_operation.operation_type", "customer_data_operation.risk_classification", "customer_data_operation.requires_approval", "compliance_metadata.endpoint", "compliance_metadata.audit_version")
 
 
+# --- the log and tables on disk
+
+
+def _logged(spark, sf_dir) -> AuditLog:
+    """The interactions as an indexed log, written in two batches."""
+    log = AuditLog(spark, scratch(spark, "log"), buckets=4)
+    rows = Tables(spark, sf_dir).sql(INTERACTIONS).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    log.append(rows.where("event_id % 3 > 0"))
+    log.append(rows.where("event_id % 3 = 0"))
+    return log
+
+
+@query(f"SELECT event_id, session_id, action, level FROM {I} WHERE session_id IN (SELECT min(session_id) FROM {I} UNION ALL SELECT max(session_id) FROM {I})")
+def log_session_lookup(spark, sf_dir):
+    log = _logged(spark, sf_dir)
+    ends = log.read().agg(F.min("session_id"), F.max("session_id")).first()
+    return log.session(ends[0]).union(log.session(ends[1])).select("event_id", "session_id", "action", "level")
+
+
+@query(f"SELECT event_id, session_id, user_id FROM {I} WHERE action = 'text_redacted' ORDER BY timestamp DESC, session_id DESC LIMIT 100")
+def log_redactions_newest(spark, sf_dir):
+    return _logged(spark, sf_dir).redactions(limit=100).select("event_id", "session_id", "user_id")
+
+
+@query(f"SELECT event_id, session_id, user_id FROM {I} WHERE action = 'text_redacted' AND user_id = (SELECT min(user_id) FROM {I} WHERE action = 'text_redacted')")
+def log_redactions_user(spark, sf_dir):
+    log = _logged(spark, sf_dir)
+    user = log.read().where("action = 'text_redacted'").agg(F.min("user_id")).first()[0]
+    return log.redactions(user, 0).select("event_id", "session_id", "user_id")
+
+
+@query(f"WITH r AS (SELECT session_id, arg_min(event_id, timestamp) AS event_id FROM {I} WHERE action = 'text_redacted' GROUP BY session_id) SELECT c_custkey, a.session_id, r.event_id FROM (SELECT c_custkey, 's' || CAST(c_custkey AS STRING) || '-' || CAST(c_custkey % 7 AS STRING) AS session_id FROM customer) a LEFT JOIN r USING (session_id)")
+def log_records_batch(spark, sf_dir):
+    """The earliest record of every asked session, by one join with the log."""
+    k = F.col("c_custkey")
+    asked = Tables(spark, sf_dir).customer.select(k, F.concat(F.lit("s"), k.cast("string"), F.lit("-"), (k % 7).cast("string")).alias("session_id"))
+    return _logged(spark, sf_dir).records(asked).select("c_custkey", "session_id", "record.event_id")
+
+
+@query(f"SELECT action, 0::BIGINT AS n FROM {I} WHERE FALSE UNION ALL SELECT 'text_redacted', count(*) FROM {I} WHERE action = 'text_redacted'")
+def log_truncate(spark, sf_dir):
+    """A log that is emptied and then takes the redactions alone."""
+    log = _logged(spark, sf_dir)
+    log.truncate()
+    log.append(Tables(spark, sf_dir).sql(INTERACTIONS).where("action = 'text_redacted'").withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    return log.read().groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH s AS (SELECT session_id, min(timestamp) AS created_at FROM {I} WHERE action = 'text_redacted' GROUP BY session_id), l AS (SELECT session_id, max(timestamp) AS last_, count(*) AS n FROM {I} GROUP BY session_id) SELECT session_id, n, epoch_us(CASE WHEN created_at IS NOT NULL THEN last_ END) AS last_activity_us FROM l LEFT JOIN s USING (session_id)")
+def log_stream_append(spark, sf_dir):
+    """The log filled by a stream, in batches that also move the known sessions' last activity on; one batch comes twice."""
+    rows = Tables(spark, sf_dir).sql(INTERACTIONS).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    known = rows.where("action = 'text_redacted'").groupBy("session_id").agg(F.min("timestamp").alias("created_at")).withColumn("last_activity", F.col("created_at"))
+    sessions = KeyedTable(spark, scratch(spark, "sessions"), "session_id", 8).create(known)
+    log, source = AuditLog(spark, scratch(spark, "log"), 4), scratch(spark, "interactions")
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.append_audit(stream, log, scratch(spark, "progress"), sessions).awaitTermination()
+    copy = scratch(spark, "replay")
+    log.read(f"stream-{1:012d}").drop("batch", "day", "bucket").write.parquet(copy)
+    live.audit_sink(log, sessions)(spark.read.parquet(copy), 1)
+    counts = log.read().groupBy("session_id").agg(F.count("*").alias("n"))
+    last = sessions.read().select("session_id", F.unix_micros("last_activity").alias("last_activity_us"))
+    return counts.join(last, "session_id", "left")
+
+
+@query(f"WITH s AS ({_STATS}), n AS (SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, c_custkey AS total_sessions FROM customer WHERE c_custkey % 50 = 1) SELECT coalesce(n.user_id, s.user_id) AS user_id, coalesce(n.total_sessions, s.total_sessions) AS total_sessions, total_interactions FROM s FULL JOIN n ON n.user_id = s.user_id")
+def user_stats_merge(spark, sf_dir):
+    """Statistics on disk into which a few users' are merged: other buckets keep their files."""
+    table = KeyedTable(spark, scratch(spark, "stats"), "user_id", 64).create(_stats(spark, sf_dir).drop("last_activity_us"))
+    new = Tables(spark, sf_dir).customer.where("c_custkey % 50 = 1").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_custkey").alias("total_sessions"))
+    table.merge(new)
+    return table.read().select("user_id", "total_sessions", "total_interactions")
+
+
+@query(f"SELECT email, created_at, row_number() OVER (ORDER BY created_at DESC, user_id NULLS FIRST, email) AS place FROM {U} ORDER BY place LIMIT 60")
+def users_seek_pages(spark, sf_dir):
+    """Three pages of twenty users, each sought behind the last row of the one before; no page is counted from the start."""
+    order, path = [("created_at", True), ("user_id", False), ("email", False)], scratch(spark, "users")
+    log_store.write_sorted(Tables(spark, sf_dir).sql(USERS).drop("hashed_password"), path, order)
+    users, out, last = spark.read.parquet(path), None, None
+    for k in range(3):
+        page = log_store.seek_page(users, order, last, 20)
+        numbered = page.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "user_id", "email")).cast("long") + 20 * k)
+        out = numbered if out is None else out.union(numbered)
+        last = page.collect()[-1]
+        last = [last[c] for c, _ in order]
+    return out.select("email", "created_at", "place")
+
+
 # --- synthetic prompts and dictionaries
 
 _N = "((id * 7919 + (i - 1) * 104729 + 12345)::BIGINT)"
@@ -683,7 +776,7 @@ def dictionary_scrub(spark, sf_dir):
     return dictionary.scrub(t.sql(_DICT), _dictionary(t)).select("id", "scrubbed_text")
 
 
-@query(f"WITH v AS ({_VALUES}) SELECT doc_id AS id, source, value FROM documents JOIN v ON contains(text, value) UNION ALL SELECT id, source, value FROM ({duck(_DICT)}) t JOIN v ON contains(text, value)")
+@query(f"WITH v AS ({_VALUES}) SELECT doc_id AS id, v.source, value FROM documents JOIN v ON contains(text, value) UNION ALL SELECT id, source, value FROM ({duck(_DICT)}) t JOIN v ON contains(text, value)")
 def dictionary_match_indexed(spark, sf_dir):
     """By the distributed index, as for a dictionary that no task could hold; over documents and over texts that hold many values."""
     t = Tables(spark, sf_dir)

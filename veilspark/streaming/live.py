@@ -5,12 +5,15 @@ dashboard, with late events dropped after the watermark, and a sink that appends
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspark.operators.classify import needs_approval
 from veilspark.operators.detect import redact
+from veilspark.sources.log_store import AuditLog, KeyedTable
 
 
 def action_counts(interactions: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -31,3 +34,23 @@ def session_activity(interactions: DataFrame, gap: str = "30 minutes", late: str
 def redact_to(stream: DataFrame, path: str, checkpoint: str, text: str = "text", level: str | None = None) -> StreamingQuery:
     """Redact a stream and write it as Parquet; the checkpoint makes each row count once."""
     return redact(stream, text, level).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def audit_sink(log: AuditLog, sessions: KeyedTable | None = None, name: str = "stream") -> Callable[[DataFrame, int], None]:
+    """What writes a micro-batch of interactions: rows go to the log as a batch of their own, and their sessions' last_activity moves on.
+
+    Both steps may be repeated: the batch replaces itself by its number, and last_activity never falls. So a batch that is
+    replayed after a failure, in whichever step, counts once. ``name`` tells streams into one log apart. Sessions that the table doesn't know aren't added."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        log.append(batch, f"{name}-{number:012d}")
+        if sessions is not None:
+            written = log.read(f"{name}-{number:012d}")  # what is in the log, not the source once more
+            sessions.merge(written.groupBy("session_id").agg(F.max("timestamp").alias("last_activity")), keep=(), greatest=("last_activity",), insert=False)
+
+    return put
+
+
+def append_audit(stream: DataFrame, log: AuditLog, checkpoint: str, sessions: KeyedTable | None = None, name: str = "stream") -> StreamingQuery:
+    """Append a stream of interactions to the log until what is there is taken; each row once."""
+    return stream.writeStream.foreachBatch(audit_sink(log, sessions, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
