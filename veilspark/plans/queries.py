@@ -12,7 +12,7 @@ from veilspark.functions.frames import scratch
 from veilspark.operators import audit, classify, detect, dictionary, metrics, synth, templates
 from veilspark.operators.patterns import LEVEL_NAMES, PATTERNS, placeholder_of
 from veilspark.plans import oracle as O
-from veilspark.sources import files, html, log_store, router, sinks
+from veilspark.sources import csv_render, files, html, log_store, router, sinks
 from veilspark.sources.log_store import AuditLog, KeyedTable
 from veilspark.streaming import live
 
@@ -361,6 +361,31 @@ def txt_writer(spark, sf_dir):
     return sinks.rendered(rows, "filename", "text").select("doc_id", F.decode("content", "UTF-8").alias("text"))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, text, lang, n_chars::VARCHAR AS n_chars FROM documents")
+def csv_scan_documents(spark, sf_dir):
+    """Documents as CSV files, whose texts hold line ends, quotes and separators, read back in pieces."""
+    rows = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "n_chars")
+    path = scratch(spark, "csv")
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return files.read_csv(spark, path)
+
+
+_RENDER = "SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN 'NA' ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE CAST(c_nationkey AS STRING) END AS nation, CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'False' END AS even, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS STRING) AS balance, c_mktsegment AS segment FROM {customer}"
+
+
+@query(f"""WITH r AS (SELECT key, key::VARCHAR AS k, CASE WHEN name = 'NA' THEN 'NaN' ELSE name END AS n, CASE WHEN nation IS NULL THEN 'NaN' ELSE nation || '.0' END AS o, CASE even WHEN 'true' THEN 'True' ELSE 'False' END AS e, balance::DOUBLE AS b, segment AS s FROM ({duck(_RENDER)})),
+f AS (SELECT *, printf('%.2f', b) AS two, printf('%.1f', b) AS one FROM r), d AS (SELECT bool_and(two LIKE '%0') AS short FROM f), g AS (SELECT f.*, CASE WHEN short THEN one ELSE two END AS bal FROM f, d),
+w AS (SELECT greatest(max(length(k)), 4) AS wk, greatest(max(length(n)), 4) AS wn, greatest(max(length(o)), 7) AS wo, greatest(max(length(e)), 5) AS we, greatest(max(length(bal)), 8) AS wb, greatest(max(length(s)), 7) AS ws FROM g)
+SELECT NULL AS id, lpad('key', wk::INTEGER, ' ') || ' ' || lpad('name', wn::INTEGER, ' ') || ' ' || lpad('nation', wo::INTEGER, ' ') || ' ' || lpad('even', we::INTEGER, ' ') || ' ' || lpad('balance', wb::INTEGER, ' ') || ' ' || lpad('segment', ws::INTEGER, ' ') AS line FROM w
+UNION ALL SELECT key, lpad(k, wk::INTEGER, ' ') || ' ' || lpad(n, wn::INTEGER, ' ') || ' ' || lpad(o, wo::INTEGER, ' ') || ' ' || lpad(e, we::INTEGER, ' ') || ' ' || lpad(bal, wb::INTEGER, ' ') || ' ' || lpad(s, ws::INTEGER, ' ') FROM g, w""")
+def csv_render_customers(spark, sf_dir):
+    """A CSV file of customers as aligned lines: whole numbers, numbers with gaps, truth values, decimals and text."""
+    path = scratch(spark, "csv")
+    Tables(spark, sf_dir).sql(_RENDER).write.options(header=True).csv(path)
+    table = files.read_csv(spark, path)
+    return csv_render.rendered(table.withColumn("id", F.col("key").cast("long")), ["id"])
+
+
 @query("SELECT event_id, substr(sha256(concat('10.0.0.', CAST(event_id % 200 AS STRING), '|', event_type, '||', coalesce(props, ''), '|')), 1, 16) AS device_id FROM events")
 def fingerprint(spark, sf_dir):
     ip = F.concat(F.lit("10.0.0."), (F.col("event_id") % 200).cast("string"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.sources import docx, html
+from veilspark.sources.csv_scan import read_csv
 from veilspark.sources.router import kind
 
 
@@ -20,11 +21,6 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header, every column a string; no pass over the data to guess types. Quoted cells may hold line ends, so a file is read by one task."""
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True)
-
-
 METRICS = "report string, confusion_matrix array<array<long>>"
 
 
@@ -52,6 +48,8 @@ def csv_text(content: bytes) -> str:
     return ""
 
 
+__all__ = ["EXTRACTORS", "batch_report", "csv_text", "extract", "metrics_of", "read_csv", "read_metrics", "read_text"]
+
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "txt": lambda b: b.decode("utf-8"),
     "html": lambda b: html.parse(b.decode("utf-8")),
