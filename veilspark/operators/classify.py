@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.frames import fresh
@@ -37,6 +37,10 @@ FEATURE_WORDS = [
 APPROVAL_ACTIONS = ("text_de_scrubbed", "file_de_scrubbed")
 
 
+#: Digits of the hash by which a split's rows are counted first.
+BIN_DIGITS = 16
+
+
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether a word is anywhere in the text, inside of other words too."""
     return _has_any(F.lower(text), words)
@@ -113,16 +117,47 @@ def training_pipeline(kind: str = "logreg", ngram_max: int = 2, seed: int = 42):
     return Pipeline(stages=stages)
 
 
-def train(df: DataFrame, kind: str = "logreg", test_size: float = 0.2, ngram_max: int = 2, seed: int = 42):
-    """Fit on a seeded split of (text, label); returns the model and predictions (actual, predicted, confidence) on the rest."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def with_split(df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = 42, out: str = "test") -> DataFrame:
+    """``df`` with a flag of the rows to test on: of each label the rounded share ``test_size``, by a hash of the key.
+
+    A row's side follows from its key, the seed and the label's rows, so that it is the same under any partitioning and in any order; rows with one key and label stay
+    together, on the side of the first. Each label's bound is found on a histogram of leading digits and then in one of its bins, so no label is sorted; one bound a label comes to the driver."""
+    names = fresh([*df.columns, out], "place", "bin")
+    place, bin_ = names
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = df.withColumn(place, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).withColumn(bin_, F.shiftright(place, 60 - BIN_DIGITS))
+    sizes = rows.groupBy(F.col(label).alias("l"), F.col(bin_).alias("b")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("l").orderBy("b")
+    counted = sizes.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("want", F.floor(F.sum("n").over(Window.partitionBy("l")) * test_size + 0.5))
+    cut = counted.where("before < want AND want <= before + n").select("l", "b", (F.col("want") - F.col("before")).cast("int").alias("left"))  # one a label
+    edge = rows.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("l")) & (F.col(bin_) == F.col("b")))
+    bounds = edge.groupBy("l", "left").agg(F.sort_array(F.collect_list(place)).alias("p")).select("l", F.element_at("p", F.col("left")).alias("bound")).collect()
+    test = F.lit(False)
+    for r in bounds:
+        test = test | (F.col(label).eqNullSafe(F.lit(r.l)) & (F.col(place) <= r.bound))
+    return rows.withColumn(out, test).drop(*names)
+
+
+def train(df: DataFrame, kind: str = "logreg", test_size: float = 0.2, ngram_max: int = 2, seed: int = 42, key: str = "text"):
+    """Fit on a stratified split of (text, label) by ``key``; returns the model and predictions (actual, predicted, confidence) on the rest."""
+    from pyspark.ml.functions import array_to_vector
+
+    split = with_split(df, key, "label", test_size, seed, fresh(df.columns, "test")[0])
+    test = split.columns[-1]
+    data = with_rule_features(split.select("text", "label", F.col(test).alias("test")), "text", "rules").select("text", "label", "test", array_to_vector("rules").alias("features_rules"))
+    model = training_pipeline(kind, ngram_max, seed).fit(data.where("NOT test").drop("test"))
+    return model, predictions(data.where("test").drop("test"), model)
+
+
+def predictions(rows: DataFrame, model) -> DataFrame:
+    """actual, predicted and confidence of rows with text, label and features_rules."""
+    from pyspark.ml.functions import vector_to_array
 
-    data = with_rule_features(df.select("text", "label"), "text", "rules").select("text", "label", array_to_vector("rules").alias("features_rules"))
-    fit, rest = data.randomSplit([1 - test_size, test_size], seed)
-    model = training_pipeline(kind, ngram_max, seed).fit(fit)
     names = next(s.labels for s in model.stages if hasattr(s, "labels"))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
-    return model, model.transform(rest).select(F.col("label").alias("actual"), name.alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+    for stage in model.stages:
+        rows = rows if hasattr(stage, "labels") else stage.transform(rows)
+    return rows.select(F.col("label").alias("actual"), name.alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
 def load(path: str):

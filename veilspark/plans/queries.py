@@ -172,10 +172,12 @@ def restore_status(spark, sf_dir):
     return detect.restore_requests(requests, records).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT t AS type, coalesce(p, '[' || t || ']') AS placeholder FROM (SELECT unnest({O.texts([*(p.type for p in PATTERNS), 'PASSPORT', 'OTHER'])}) AS t) LEFT JOIN (VALUES {', '.join(f'({O.q(p.type)}, {O.q(p.placeholder)})' for p in PATTERNS)}) v(k, p) ON k = t")
+@query(O.redaction(duck(PROMPTS), tail=f"SELECT t AS type, coalesce(p, '[' || t || ']') AS placeholder, (SELECT count(*) FROM det WHERE det.type = t) AS n FROM (SELECT unnest({O.texts([*(p.type for p in PATTERNS), 'PASSPORT', 'OTHER'])}) AS t) LEFT JOIN (VALUES {', '.join(f'({O.q(p.type)}, {O.q(p.placeholder)})' for p in PATTERNS)}) v(k, p) ON k = t"))
 def placeholder_catalogue(spark, sf_dir):
-    """Placeholders of the catalogue's types, and of types that it doesn't know."""
-    return spark.createDataFrame([(t, placeholder_of(t)) for t in [*(p.type for p in PATTERNS), "PASSPORT", "OTHER"]], "type string, placeholder string")
+    """Placeholders of the catalogue's types and of types that it doesn't know, and how often each was put into the prompts."""
+    known = spark.createDataFrame([(t, placeholder_of(t)) for t in [*(p.type for p in PATTERNS), "PASSPORT", "OTHER"]], "type string, placeholder string")
+    found = detect.detection_rows(_redacted(spark, sf_dir), "id").groupBy("type").agg(F.count("*").alias("n"))
+    return known.join(found, "type", "left").fillna(0, ["n"])
 
 
 # --- classification
@@ -749,20 +751,34 @@ def entity_topk_second(spark, sf_dir):
     return synth.top_entities(_synth(spark, sf_dir, False), 15)
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({O.q(t)}, {O.q(s)}, {synth.RANK[s]})' for s, types in synth.SEVERITY.items() for t in types)}) v(entity_type, sensitivity, rank)")
+_TIMES = "(SELECT count(*) FROM (SELECT unnest(types) AS x FROM f) u WHERE x = entity_type)"
+
+
+def _with_times(catalogue: DataFrame, filled: DataFrame) -> DataFrame:
+    """How often the filled prompts have each type of a catalogue."""
+    times = filled.select(F.explode("entity_mappings").alias("m")).groupBy(F.col("m.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
+    return catalogue.join(times, "entity_type", "left").fillna(0, ["n"])
+
+
+@query(_second_sql(f"SELECT *, {_TIMES} AS n FROM (VALUES {', '.join(f'({O.q(t)}, {O.q(s)}, {synth.RANK[s]})' for s, types in synth.SEVERITY.items() for t in types)}) v(entity_type, sensitivity, rank)"))
 def entity_catalogue(spark, sf_dir):
-    return synth.catalogue(spark)
+    return _with_times(synth.catalogue(spark), _synth(spark, sf_dir, False))
 
 
-@query(f"SELECT t AS entity_type, CASE WHEN t IN {O.names(synth.HIGH_TYPES)} THEN 'HIGH' WHEN t IN {O.names(synth.MEDIUM_TYPES)} THEN 'MEDIUM' ELSE 'LOW' END AS sensitivity FROM (SELECT unnest({O.texts(synth.FIRST_TYPES)}) AS t)")
+@query(_first_sql(f"SELECT *, {_TIMES} AS n FROM (SELECT t AS entity_type, CASE WHEN t IN {O.names(synth.HIGH_TYPES)} THEN 'HIGH' WHEN t IN {O.names(synth.MEDIUM_TYPES)} THEN 'MEDIUM' ELSE 'LOW' END AS sensitivity FROM (SELECT unnest({O.texts(synth.FIRST_TYPES)}) AS t))"))
 def entity_catalogue_first(spark, sf_dir):
-    return synth.first_catalogue(spark)
+    return _with_times(synth.first_catalogue(spark), _synth(spark, sf_dir, True))
 
 
-@query(" UNION ALL ".join(f"SELECT {g} AS generator, * FROM (VALUES {', '.join(f'({i}::BIGINT, {O.q(c)}, {O.q(t)})' for i, c, t in templates.rows(x))}) v(template_id, category, template)" for g, x in enumerate((templates.FIRST, templates.SECOND), 1)))
+@query(" UNION ALL ".join(f"SELECT {g} AS generator, *, (SELECT count(*) FROM orders WHERE o_orderkey % {len(templates.rows(x))} = template_id) AS n FROM (VALUES {', '.join(f'({i}::BIGINT, {O.q(c)}, {O.q(t)})' for i, c, t in templates.rows(x))}) v(template_id, category, template)" for g, x in enumerate((templates.FIRST, templates.SECOND), 1)))
 def template_catalogue(spark, sf_dir):
-    first, second = (synth.templates(spark, x).select(F.lit(g).alias("generator"), "*") for g, x in enumerate((templates.FIRST, templates.SECOND), 1))
-    return first.union(second)
+    """The templates, and of how many orders' prompts each is the template."""
+    orders, out = Tables(spark, sf_dir).orders, None
+    for g, x in enumerate((templates.FIRST, templates.SECOND), 1):
+        used = orders.groupBy((F.col("o_orderkey") % len(templates.rows(x))).alias("template_id")).agg(F.count("*").alias("n"))
+        one = synth.templates(spark, x).join(used, "template_id", "left").fillna(0, ["n"]).select(F.lit(g).alias("generator"), "template_id", "category", "template", "n")
+        out = one if out is None else out.union(one)
+    return out
 
 
 _WIDEST = max(t.count("{") for _, _, t in templates.rows(templates.FIRST))
@@ -859,6 +875,65 @@ def docx_round_trip(spark, sf_dir):
     return read.select(F.regexp_replace("path", r"\.docx$", "").cast("long").alias("doc_id"), "text")
 
 
+_SPLIT = "SELECT doc_id, label, h <= bound AS test FROM (SELECT *, max(CASE WHEN place <= floor(n * 0.2 + 0.5) THEN h END) OVER (PARTITION BY label) AS bound FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS place, count(*) OVER (PARTITION BY label) AS n FROM (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'C4' WHEN quality = 0 THEN 'C3' ELSE 'C1' END AS label, ('0x' || substr(md5('42|' || doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents JOIN labels USING (doc_id))))"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    label = F.when(F.col("toxic") == 1, "C4").when(F.col("quality") == 0, "C3").otherwise("C1")
+    return t.documents.join(t.labels, "doc_id").select("doc_id", "text", label.alias("label"))
+
+
+@query(_SPLIT)
+def training_split(spark, sf_dir):
+    """The stratified split of the labelled documents, as training takes it."""
+    return classify.with_split(_labelled(spark, sf_dir), "doc_id").select("doc_id", "label", "test")
+
+
+_PREDICTED = "CASE " + " ".join(f"WHEN {O.has_any('text', w)} THEN {O.q(lv)}" for lv, w in classify.LEVEL_WORDS.items()) + " ELSE 'C1' END"
+
+
+@query(f"WITH s AS ({_SPLIT}), j AS (SELECT s.label AS actual, {_PREDICTED} AS predicted FROM s JOIN documents USING (doc_id) WHERE test) SELECT a AS actual, p AS predicted, (SELECT count(*) FROM j WHERE actual = a AND predicted = p) AS n, (SELECT count(*) FROM j WHERE actual = predicted) / (SELECT count(*) FROM j)::DOUBLE AS accuracy FROM (VALUES ('C1'), ('C2'), ('C3'), ('C4')) x(a), (VALUES ('C1'), ('C2'), ('C3'), ('C4')) y(p)")
+def evaluation_file(spark, sf_dir):
+    """Figures on the rows held out, written as a metrics file and read from it: matrix and accuracy."""
+    held = classify.with_split(_labelled(spark, sf_dir), "doc_id").where("test")
+    judged = held.select(F.col("label").alias("actual"), classify.keyword_level(F.col("text")).alias("predicted"))
+    names, path = list(LEVEL_NAMES), scratch(spark, "metrics")
+    matrix = F.array(*[F.array(*[F.count_if((F.col("actual") == a) & (F.col("predicted") == p)) for p in names]) for a in names])
+    line = F.concat(F.lit("accuracy "), F.avg((F.col("actual") == F.col("predicted")).cast("int")).cast("string"), F.lit(" "), F.count("*").cast("string"))
+    judged.agg(line.alias("report"), matrix.alias("confusion_matrix")).coalesce(1).write.json(path)
+    read = files.read_metrics(spark, path)
+    rate = metrics.parse_report(read.select(F.explode(F.split("report", "\n")).alias("line"))).where("label = 'accuracy'").select(F.col("precision").alias("accuracy"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1)
+    cells = read.select(F.posexplode("confusion_matrix").alias("a", "row")).select("a", F.posexplode("row").alias("p", "n"))
+    return cells.select(name("a").alias("actual"), name("p").alias("predicted"), "n").join(F.broadcast(rate))
+
+
+@query("""SELECT doc_id, kind, CASE WHEN reason IS NULL THEN body ELSE '' END AS text, reason FROM (SELECT *, CASE k WHEN 5 THEN 'BadZipFile' WHEN 6 THEN 'no extractor for pdf' WHEN 7 THEN 'unknown kind' ELSE CASE WHEN body = '' THEN 'no text' END END AS reason
+FROM (SELECT doc_id, doc_id % 8 AS k, CASE doc_id % 8 WHEN 3 THEN 'docx' WHEN 5 THEN 'docx' WHEN 6 THEN 'pdf' WHEN 7 THEN NULL ELSE 'txt' END AS kind,
+CASE WHEN doc_id % 8 = 3 THEN concat_ws(chr(10), 'Scrubbed Document', nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)), '')) ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS body FROM documents))""")
+def extract_batch(spark, sf_dir):
+    """Files of several kinds, some of them broken or of no known kind: texts, and a reason for each failure."""
+    k = F.col("doc_id") % 8
+    ext = F.when(k.isin(3, 5), ".docx").when(k == 6, ".pdf").when(k == 7, ".zip").otherwise(".txt")
+    rows = Tables(spark, sf_dir).documents.select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.when(k == 5, ".txt").otherwise(ext)).alias("filename"))
+    made = sinks.rendered(rows, "filename", "text").select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), "content")
+    out = files.extract(made)
+    return out.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("doc_id"), "kind", "text", "reason")
+
+
+@query(f"SELECT session_id, CASE WHEN arg_max(value, timestamp) > 5 THEN 'closed' ELSE 'active' END AS status, count(*) AS operations, epoch_us(max(timestamp)) AS last_activity_us, epoch_us(max(CASE WHEN value > 5 THEN timestamp END)) AS closed_at_us FROM {I} GROUP BY session_id")
+def session_stream(spark, sf_dir):
+    """States of sessions, kept by a stream that takes the log in three batches."""
+    rows = Tables(spark, sf_dir).sql(INTERACTIONS).select("session_id", F.when(F.col("value") > 5, "closed").otherwise("active").alias("status"), F.col("timestamp").cast("timestamp").alias("ts"))
+    source, out = scratch(spark, "events"), scratch(spark, "states")
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.newest_states(live.session_updates(stream, "400 days", "400 days"), out, scratch(spark, "progress")).awaitTermination()
+    states = live.current_states(spark.read.parquet(out))
+    return states.select("session_id", "status", "operations", F.unix_micros("last_activity").alias("last_activity_us"), F.unix_micros("closed_at").alias("closed_at_us"))
+
+
 @query()
 def classify_documents(spark, sf_dir):
     """Trained on all documents with a label (toxic: C4, of low quality: C3, else C1), applied to all documents; no SQL can express the fit."""

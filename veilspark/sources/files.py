@@ -59,24 +59,37 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
 
 
 def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, kind, text and ok of binary files (path, content; from ``spark.read.format("binaryFile")`` with any glob)."""
+    """path, kind, text, ok and reason of binary files (path, content; from ``spark.read.format("binaryFile")`` with any glob).
+
+    ``reason`` says why there is no text: no kind, no extractor for it, no content, what its reader said, or that it found nothing.
+    Spark packs small files into a task by their sizes; a large one has a task, and its content is one value."""
     known = EXTRACTORS | (extractors or {})
     source = files.select("path", kind(F.col("path"), F.lit(None).cast("string")).alias("kind"), "content")
 
-    def one(k: str | None, content: bytes | None) -> str:
+    def one(k: str | None, content: bytes | None) -> tuple[str, str | None]:
+        if k is None or k not in known:
+            return "", "unknown kind" if k is None else f"no extractor for {k}"
+        if content is None:
+            return "", "no content"
         try:
-            return known[k](content).strip() if k in known and content is not None else ""
-        except Exception:  # an unreadable file is an empty one, whatever its reader says
-            return ""
+            text = known[k](content).strip()
+        except Exception as e:  # an unreadable file is an empty one, whatever its reader says
+            return "", type(e).__name__
+        return text, None if text else "no text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # a file at a time: content can be large
-                text = one(b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([text]), pa.array([text != ""])], names=["path", "kind", "text", "ok"])
+                text, reason = one(b.column(1)[i].as_py(), b.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([text]), pa.array([text != ""]), pa.array([reason], pa.string())], names=["path", "kind", "text", "ok", "reason"])
 
-    return source.mapInArrow(run, "path string, kind string, text string, ok boolean")
+    return source.mapInArrow(run, "path string, kind string, text string, ok boolean, reason string")
 
 
 def batch_report(extracted: DataFrame) -> DataFrame:
     return extracted.agg(F.count("*").alias("files"), F.count_if("ok").alias("converted"))
+
+
+def failures(extracted: DataFrame) -> DataFrame:
+    """kind, reason and files of what wasn't converted."""
+    return extracted.where("NOT ok").groupBy("kind", "reason").agg(F.count("*").alias("files"))

@@ -5,11 +5,13 @@ dashboard, with late events dropped after the watermark, and a sink that appends
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.operators.classify import needs_approval
 from veilspark.operators.detect import redact
@@ -54,3 +56,57 @@ def audit_sink(log: AuditLog, sessions: KeyedTable | None = None, name: str = "s
 def append_audit(stream: DataFrame, log: AuditLog, checkpoint: str, sessions: KeyedTable | None = None, name: str = "stream") -> StreamingQuery:
     """Append a stream of interactions to the log until what is there is taken; each row once."""
     return stream.writeStream.foreachBatch(audit_sink(log, sessions, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SESSION = "session_id string, status string, closed_at timestamp, last_activity timestamp, operations long"
+
+
+def session_updates(events: DataFrame, idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """The state of each session (SESSION) whenever it changes, from a stream of session_id, status and ts; for update mode.
+
+    As audit.session_states() has it from the whole log: the status of the newest event, whatever order events come in, and the newest time of closing. A session
+    that isn't closed, and whose newest event is ``idle`` behind the watermark, becomes idle, by a timer of its own; a later event opens it again, with its counts.
+    Events without a session or a time don't count, nor do those that come ``late`` behind the newest."""
+    gap = pd.Timedelta(idle)
+    us = lambda t: int(t.value // 1000)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, newest, closed, n = state.get if state.exists else (None, None, None, 0)
+        if state.hasTimedOut:
+            status = "idle"
+        for part in parts:
+            part = part[part.ts.notna()]
+            if not len(part):
+                continue
+            n += len(part)
+            top = part.loc[part.ts.idxmax()]
+            if newest is None or us(top.ts) >= newest:
+                status, newest = top.status, us(top.ts)
+            over = part[part.status == "closed"]
+            if len(over):
+                closed = max(us(over.ts.max()), closed if closed is not None else us(over.ts.max()))
+        if newest is None:
+            return
+        state.update((status, newest, closed, n))
+        due = (newest // 1000) + int(gap.total_seconds() * 1000)
+        if status not in ("closed", "idle"):
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        time = lambda x: pd.Timestamp(x, unit="us") if x is not None else pd.NaT
+        yield pd.DataFrame({"session_id": [key[0]], "status": [status], "closed_at": [time(closed)], "last_activity": [time(newest)], "operations": [n]})
+
+    rows = events.where("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("session_id").applyInPandasWithState(step, SESSION, "status string, newest long, closed long, n long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest_states(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write session_updates() below ``path``, a folder a batch, which a replay writes again; current_states() reads them."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_states(rows: DataFrame) -> DataFrame:
+    """The last update of each session."""
+    return rows.groupBy("session_id").agg(F.max_by(F.struct("status", "closed_at", "last_activity", "operations"), "batch").alias("s")).select("session_id", "s.*")
