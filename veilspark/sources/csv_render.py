@@ -37,11 +37,14 @@ def types_of(df: DataFrame, columns: list[str]) -> list[str]:
 
     def facts(n: str) -> Column:
         c = F.col(f"`{n}`")
-        there = ~_gone(c)
-        every = lambda x: F.coalesce(F.bool_and(F.when(there, F.coalesce(x, F.lit(False)))), F.lit(True))
-        return F.struct(F.coalesce(F.bool_and(there), F.lit(True)).alias("full"), F.coalesce(F.bool_or(there), F.lit(False)).alias("any"), every(_whole(c).isNotNull()).alias("whole"), every(c.rlike(WHOLE)).alias("digits"), every(c.isin(*TRUE, *FALSE)).alias("truth"), every(_number(c).isNotNull()).alias("number"))
+        return F.struct((~_gone(c)).alias("there"), _whole(c).isNotNull().alias("whole"), c.rlike(WHOLE).alias("digits"), c.isin(*TRUE, *FALSE).alias("truth"), _number(c).isNotNull().alias("number"))
 
-    row = df.agg(*[facts(n).alias(f"f{i}") for i, n in enumerate(columns)]).first()
+    def joined(f: Column) -> Column:
+        every = lambda x: F.coalesce(F.bool_and(F.when(f["there"], F.coalesce(f[x], F.lit(False)))), F.lit(True)).alias(x)
+        return F.struct(F.coalesce(F.bool_and(f["there"]), F.lit(True)).alias("full"), F.coalesce(F.bool_or(f["there"]), F.lit(False)).alias("any"), *map(every, ("whole", "digits", "truth", "number")))
+
+    cells = df.select(*[facts(n).alias(f"f{i}") for i, n in enumerate(columns)])
+    row = cells.agg(*[joined(F.col(n)).alias(n) for n in cells.columns]).first()
     kind = lambda f: "number" if not f.any else "truth" if f.truth and f.full else "whole" if f.whole and f.full else "text" if f.digits and not f.whole else "number" if f.number else "text"
     return [kind(f) for f in row]
 
@@ -59,19 +62,36 @@ def _text(c: Column) -> Column:
     return F.when(_gone(c), "NaN").otherwise(shown)
 
 
-def _facts(c: Column, kind: str) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cell(c: Column, kind: str) -> Column:
+    """What a cell adds to the second aggregate."""
+    if kind != "number":
+        return F.struct(F.char_length(_shown(c, kind, None)).alias("width"))
+
+    def of(x: Column) -> Column:
+        usual = F.when(F.abs(x) < float("inf"), x)
+        other = F.when(x.isNull(), 3).when(F.abs(x) == float("inf"), F.when(x < 0, 4).otherwise(3)).otherwise(0)
+
+        def parts(f: Column) -> Column:
+            decimals = F.greatest(F.char_length(F.regexp_extract(f, r"\.([0-9]*?)0*$", 1)), F.lit(1))
+            return F.struct(F.when(f.isNotNull(), decimals).alias("decimals"), F.char_length(F.substring_index(f, ".", 1)).alias("before"), F.char_length(_power(usual)).alias("power"), (F.abs(x) > 1e6).alias("large"), ((F.abs(x) < 10.0**-DIGITS) & (x != 0)).alias("small"), other.alias("other"))
+
+        return _let(_fixed(usual), parts)
+
+    return _let(_number(c), of)
+
+
+def _facts(f: Column, kind: str) -> Column:
     """What the second aggregate knows of a column."""
-    zero = F.lit(0)
+    most = lambda x, least: F.coalesce(F.max(f[x]), F.lit(least)).alias(x)
+    some = lambda x: F.coalesce(F.bool_or(f[x]), F.lit(False)).alias(x)
     if kind != "number":
-        return F.struct(F.coalesce(F.max(F.char_length(_shown(c, kind, None))), zero).alias("width"))
-    x = _number(c)
-    usual = F.when(F.abs(x) < float("inf"), x)
-    decimals = F.greatest(F.char_length(F.regexp_extract(_fixed(usual), r"\.([0-9]*?)0*$", 1)), F.lit(1))
-    other = F.max(F.when(_gone(c), 3).when(F.abs(x) == float("inf"), F.when(x < 0, 4).otherwise(3)).otherwise(0))
-    return F.struct(
-        F.coalesce(F.max(decimals), F.lit(1)).alias("decimals"), F.coalesce(F.max(F.char_length(F.substring_index(_fixed(usual), ".", 1))), zero).alias("before"), F.coalesce(F.max(F.char_length(_power(usual))), zero).alias("power"),
-        F.coalesce(F.bool_or(F.abs(x) > 1e6), F.lit(False)).alias("large"), F.coalesce(F.bool_or((F.abs(x) < 10.0**-DIGITS) & (x != 0)), F.lit(False)).alias("small"), F.coalesce(other, zero).alias("other"),
-    )
+        return F.struct(most("width", 0))
+    return F.struct(most("decimals", 1), most("before", 0), most("power", 0), some("large"), some("small"), most("other", 0))
 
 
 def _powers(f: Row) -> bool:
@@ -85,10 +105,12 @@ def _shown(c: Column, kind: str, f: Row | None) -> Column:
         return F.when(c.isin(*TRUE), "True").otherwise("False")
     if kind == "text":
         return _text(c)
-    x = _number(c)
-    fixed = F.concat(F.substring_index(_fixed(x), ".", 1), F.lit("."), F.substring(F.substring_index(_fixed(x), ".", -1), 1, f.decimals))
-    usual = _power(x) if _powers(f) else fixed
-    return F.when(_gone(c), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(usual)
+
+    def number(x: Column) -> Column:
+        fixed = _let(_fixed(x), lambda t: F.substring(t, F.lit(1), F.length(t) - DIGITS + f.decimals))
+        return F.when(x.isNull(), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(_power(x) if _powers(f) else fixed)
+
+    return _let(_number(c), number)
 
 
 def rendered(df: DataFrame, order: list[str] = ()) -> DataFrame:
@@ -99,7 +121,8 @@ def rendered(df: DataFrame, order: list[str] = ()) -> DataFrame:
     A table without rows has its titles."""
     columns = [c for c in df.columns if c not in order]
     kinds = types_of(df, columns)
-    facts = df.agg(*[_facts(F.col(f"`{n}`"), k).alias(f"f{i}") for i, (n, k) in enumerate(zip(columns, kinds, strict=True))]).first()
+    cells = df.select(*[_cell(F.col(f"`{n}`"), k).alias(f"f{i}") for i, (n, k) in enumerate(zip(columns, kinds, strict=True))])
+    facts = cells.agg(*[_facts(F.col(f), k).alias(f) for f, k in zip(cells.columns, kinds, strict=True)]).first()
 
     def width(title: str, kind: str, f: Row) -> int:
         own = f.width if kind != "number" else max(f.power if _powers(f) else f.before + 1 + f.decimals if f.before else 0, f.other)
