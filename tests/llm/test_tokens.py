@@ -42,6 +42,15 @@ def test_counts_are_the_librarys(spark, docs):
         assert counter.count(texts[k : k + 10]) == [len(e.ids) for e in tok.encode_batch(texts[k : k + 10], add_special_tokens=False)]
 
 
+def test_every_letter_is_the_librarys():
+    """All code points but surrogates, private use and the regular ranges of Hangul and the later ideographs."""
+    tok, counter = Tokenizer.from_file(WORD_VOCABULARY), WordBpe(open(WORD_VOCABULARY, "rb").read())
+    points = [*range(0xAC01), *range(0xD7A4, 0xD800), *range(0xF900, 0x20001), *range(0xE0000, 0xE0200)]
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)} {chr(c)}b" for c in points[k : k + 20_000]]
+        assert counter.count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_codec_is_the_librarys(spark, docs):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     out = {r.doc_id: r for r in sp.encode(docs, PIECE_MODEL).collect()}

@@ -22,6 +22,8 @@ from veilspark.llm.merge_rounds import MergeTable, WordCache, merge
 
 SLICE_BYTES = 2 << 20
 CACHE_WORDS = 300_000
+#: fixed values: capitals that Python's tables don't know, and their small letters
+NEWER_CAPITALS = {"\ua7cb": "\u0264", "\ua7dc": "\u019b"}
 
 
 def _byte_letters() -> list[str]:
@@ -105,6 +107,8 @@ class WordBpe:
     def _normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter, so no final sigma
+            for capital, small in NEWER_CAPITALS.items():
+                text = text.replace(capital, small)
         return text.lower()
 
     def _counted(self, words: list[str]) -> dict[str, int]:
