@@ -4,7 +4,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from veilspark.llm import shuffle_shards as sh
 from veilspark.llm import url_reputation as url
@@ -83,11 +86,48 @@ def test_small_buckets_and_order(spark, docs):
 
 
 def _unique(spark, docs, shards):
-    from pyspark.sql import functions as F
-
     return sh.shuffled(docs.distinct().withColumn("lang", F.lit("x")), shards, bucket_bytes=2000)
 
 
+def _hash(*values):
+    """xxHash64 value by value, each seeded with the one before; a null changes nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, h)
+    return h - (h >> 63 << 64)
+
+
+def _int(x, size=4):
+    return None if x is None else x.to_bytes(size, "little", signed=True)
+
+
+def test_shards_and_slots_are_recomputed(spark, docs):
+    """Every bucket, and every place in it, by another implementation of the hashes; a task holds one bucket."""
+    rows = [(r.doc_id, r.text, "x") for r in docs.distinct().collect()]
+    shards, seed, most = 7, sh.SEED, 2000
+    placed = defaultdict(list)
+    for row in rows:
+        wins = max(range(shards), key=lambda i: (_hash(_int(row[0], 8), _int(seed), _int(i)), -i))
+        parts = [x for v in (_int(row[0], 8), row[1], row[2]) for x in (v, _int(int(v is None)))]
+        placed[wins].append((_hash(_int(seed + 1), *parts), _hash(_int(seed + 2), *parts), row))
+    want = {}
+    for s, mine in placed.items():
+        n = max(1, -(-sum(len((t or "").encode()) + 8 for *_, (_, t, _) in mine) // most))
+        begin = 0
+        for b in range(n):
+            bucket = sorted(x[:2] + (repr(x[2]), x[2]) for x in mine if x[0] % n == b)
+            order = list(range(len(bucket)))
+            np.random.Generator(np.random.PCG64((seed * 1_000_003 + s * 65_537 + b) & (2**64 - 1))).shuffle(order)
+            for place, k in enumerate(order):
+                want[bucket[k][-1]] = (s, b, begin + place)
+            begin += len(bucket)
+    out = _unique(spark, docs, shards)
+    assert {(r.doc_id, r.text, r.lang): (r.shard, r.bucket, r.slot) for r in out.collect()} == want
+    tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("shard", "bucket").alias("n")).collect()
+    assert max(r.n for r in tasks) == 1
+
+
 def test_write(spark, docs, tmp_path):
     sh.write_shards(docs, str(tmp_path / "out"), 4, bucket_bytes=4000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()

@@ -3,12 +3,14 @@
 Pass one scatters whole records into buckets by seeded hashes: the shard by a hash that only doc_id and the number of
 shards decide, the bucket within the shard by a second hash of the record. Each shard has as many buckets as its own
 bytes need, so that a bucket fits in memory. Pass two orders each bucket by a Fisher-Yates shuffle with the bucket's own
-seed. A record's slot is its place in its bucket plus the sizes of the shard's buckets before it.
+seed; buckets are numbered, and a bucket's number is its task. A record's slot is its place in its bucket plus the sizes
+of the shard's buckets before it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import KeyFilter, fresh, stage
+from veilspark.llm.common import KeyFilter, fresh, group_starts, lean, stage, whole_groups
 
 BUCKET_BYTES = 16 << 20
 SEED = 20240229
-TASKS = 50_000  # of the second pass, at most; a task takes its buckets one by one
+TASKS = 50_000  # of the second pass, at most; where there are more buckets, a task has as many in a row as any other, and takes them one by one
 
 
 def key_shard(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -88,15 +90,26 @@ def shuffled(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     schema = dealt.select(*[F.col(f"`{c}`") for c in source.columns], "shard", "bucket", F.lit(0).cast("long").alias("slot")).schema
 
     def order(table: pa.Table) -> pa.Table:
+        """A bucket's records, shuffled: they come sorted by their hashes, so that the order in which they arrived doesn't count."""
         shard, bucket = table.column("shard")[0].as_py(), table.column("bucket")[0].as_py()
         lead = pc.max(table.column(begin)).as_py()
-        table = table.filter(pc.greater(table.column(copies), 0)).sort_by([(h1, "ascending"), (h2, "ascending")])  # the order in which rows arrive must not count
+        table = table.filter(pc.greater(table.column(copies), 0))
         table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column(copies).to_numpy())))
         place = np.empty(table.num_rows, np.int64)
         place[fisher_yates(table.num_rows, seed * 1_000_003 + shard * 65_537 + bucket)] = np.arange(table.num_rows)
         return table.drop_columns([h1, h2, copies, begin]).append_column("slot", pa.array(place + lead))
 
-    return dealt.repartition(min(sum(buckets), TASKS), "shard", "bucket").groupBy("shard", "bucket").applyInArrow(order, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["shard", "bucket"]
+        for table in whole_groups(batches, keys, most=bucket_bytes):
+            starts = group_starts(table, keys)
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                yield from order(table.slice(lo, hi - lo)).select(schema.names).to_batches()
+
+    tasks = min(sum(buckets), TASKS)
+    before = F.element_at(F.array(*[F.lit(b).cast("long") for b in np.cumsum([0, *buckets[:-1]]).tolist()]), F.col("shard") + 1)
+    number = F.floor((before + F.col("bucket")) * tasks / sum(buckets)).cast("int")
+    return dealt.repartitionById(tasks, number).sortWithinPartitions("shard", "bucket", h1, h2).mapInArrow(lean(run), schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
