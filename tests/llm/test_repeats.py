@@ -113,9 +113,28 @@ def exhaustive(df):
 @pytest.mark.parametrize("block", [512, 3])
 def test_links_and_classes(spark, near, monkeypatch, block):
     monkeypatch.setattr(jac, "BLOCK", block)
+    monkeypatch.setattr(jac, "WIDE", block + 2)
     assert sorted([tuple(r) for r in jac.near_duplicates(near).collect()], key=repr) == exhaustive(near)
 
 
+def test_blocks_by_bytes_and_parts(monkeypatch):
+    """Shared counts and links of a cell, against Python's sets, however it is cut."""
+    r = np.random.default_rng(3)
+    base = np.arange(1, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[r.choice(base, 55, replace=False), r.integers(100, 110, r.integers(0, 8)).astype(np.uint64)]) for _ in range(23)]
+    plain = [set(x.tolist()) for x in sets]
+    assert (jac.shared_counts(sets[:9], sets[9:]) == [[len(a & b) for b in plain[9:]] for a in plain[:9]]).all()
+    weights, own = r.integers(1, 5, 23), r.integers(0, 2, 23)
+    near = np.array([[i != j and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(plain)] for i, a in enumerate(plain)])
+    assert 23 < near.sum() < 23 * 22
+    for block in (2, 7, 512):
+        monkeypatch.setattr(jac, "BLOCK", block)
+        for cell in (own, np.zeros(23, int)):
+            want = near & (cell[:, None] != cell[None]) if cell.any() else near
+            links, root = jac._verified(sets, cell, weights, (4, 5))
+            assert (links == want @ weights).all() and (root == jac._forest(23, *np.nonzero(want))).all()
+
+
 def test_one_of_each_group_stays(spark, near):
     kept = jac.keep_first(near)
     classes = {r.class_id for r in jac.near_duplicates(near).collect()}

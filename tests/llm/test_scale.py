@@ -144,6 +144,7 @@ def test_recall_at_the_threshold(spark):
 def test_large_mixed_bucket(spark, monkeypatch):
     """Texts that share most words fall in the same buckets without being near each other."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "WIDE", 9)
     r = random.Random(10)
     base = [f"b{i}" for i in range(60)]
     rows = []

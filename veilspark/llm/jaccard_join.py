@@ -3,9 +3,10 @@
 Texts are sets of word five-grams. Equal texts form a class and are sketched as one. Each class is dealt out on the hashes of its
 MinHash bands; within a bucket, classes whose sketches agree well enough with that of the bucket's representative are
 linked to it, and only the others are compared with the whole bucket, in blocks. The components of these links are
-then verified: every pair inside one is compared on its full sets, block by block, and each class gets the number of
-rows it is linked to and a spanning forest of the true links. Texts travel only if a filter says that they may be in
-such a component, compressed.
+then verified: every pair inside one is compared on its full sets, and each class gets the number of rows it is linked
+to and a spanning forest of the true links. A component is cut into blocks of a bounded number of texts and bytes; a
+task compares two blocks, part by part. Texts travel only if a filter says that they may be in such a component,
+compressed, once for each block of their component.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ WIDTH = 5
 THRESHOLD = (4, 5)  # of 0.8, as a fraction: sets are compared in whole numbers
 RECALL = 0.9995
 MOST_HASHES = 64
-BLOCK = 512  # classes of a block; a cell of the grid compares two blocks
+BLOCK = 512  # sketches of a block in a bucket, and texts that are compared at once
+WIDE = 2048  # texts of a block of a component, about; a cell of the grid compares two blocks
+WIDE_BYTES = 16 << 20  # of its texts, about; a longer text is more
 SLICE_BYTES = 2 << 20
 CACHE_WORDS = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -193,40 +196,57 @@ def _likely_edges(sketches: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of the sets' intersections."""
-    n = len(sets)
-    sizes = np.array([len(x) for x in sets])
-    if n == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[sizes[0], both], [both, sizes[1]]])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of the intersections of ``left``'s sets with ``right``'s."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    flat, owner = (np.concatenate(x) for x in (left + right, [np.full(len(x), k) for k, x in enumerate(left + right)]))
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.r_[True, flat[1:] != flat[:-1]]
-    column = np.cumsum(new) - 1
-    often = np.bincount(column)[column] > 1  # what only one set has is in no intersection
-    column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
-    out, width = np.zeros((n, n), np.int64), 4096
-    for lo in range(0, int(column.max(initial=-1)) + 1, width):
+    new = np.r_[True, flat[1:] != flat[:-1]][: len(flat)]
+    column, on_right = np.cumsum(new) - 1, owner >= len(left)
+    seen = [np.bincount(column[on_right == side], minlength=new.sum()) > 0 for side in (False, True)]
+    both = seen[0] & seen[1]  # what only one side has is in no intersection
+    pick = both[column]
+    column, owner, on_right = (np.cumsum(both) - 1)[column[pick]], owner[pick], on_right[pick]
+    width = 4096
+    for lo in range(0, int(both.sum()), width):
         at = slice(*np.searchsorted(column, (lo, lo + width)))
-        m = np.zeros((n, width), np.float32)
-        m[owner[at], column[at] - lo] = 1
-        out += (m @ m.T).astype(np.int64)
-    np.fill_diagonal(out, sizes)
+        sides = []
+        for side, rows in ((False, len(left)), (True, len(right))):
+            mine = on_right[at] == side
+            m = np.zeros((rows, width), np.float32)
+            m[owner[at][mine] - len(left) * side, column[at][mine] - lo] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
     return out
 
 
-def _verified(shingle: Shingler, own: np.ndarray, weights: np.ndarray, texts: list[bytes], crossing: bool, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For the classes of a cell: rows linked to each, and the least class (by place) of its component."""
-    sets = _sets(shingle, texts)
-    both = shared_counts(sets)
+def _verified(sets: list[np.ndarray], own: np.ndarray, weights: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For the classes of a cell: rows linked to each, and the least class (by place) of its component.
+
+    Of a cell of one block, all pairs; of a cell of two, those that cross: others belong to each block's own cell. Parts of BLOCK
+    classes are compared at a time, so that memory follows the parts."""
     size = np.array([len(x) for x in sets])
-    near = both * threshold[1] >= (size[:, None] + size[None] - both) * threshold[0]
-    np.fill_diagonal(near, False)
-    if crossing:  # pairs within a block belong to that block's own cell
-        near &= own[:, None] != own[None]
-    return near @ weights, _forest(len(texts), *np.nonzero(near))
+    links, a, b = np.zeros(len(sets), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    blocks = [np.flatnonzero(own == k) for k in np.unique(own)]
+    parts = [[x[k : k + BLOCK] for k in range(0, len(x), BLOCK)] for x in (blocks[0], blocks[-1])]
+    for p, left in enumerate(parts[0]):
+        for right in parts[1][p if len(blocks) == 1 else 0 :]:
+            both = shared_counts([sets[k] for k in left], [sets[k] for k in right])
+            near = both * threshold[1] >= (size[left][:, None] + size[right][None] - both) * threshold[0]
+            same = left[0] == right[0]
+            if same:
+                np.fill_diagonal(near, False)
+            links[left] += near @ weights[right]
+            if not same:
+                links[right] += weights[left] @ near
+            x, y = np.nonzero(near)
+            root = _forest(len(left) + len(right), x, y + len(left))
+            place = np.r_[left, right]
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            a += [place[linked]]
+            b += [place[root[linked]]]
+    return links, _forest(len(sets), np.concatenate(a), np.concatenate(b))
 
 
 def _class(text: str) -> Column:
@@ -245,6 +265,18 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("class", "text").mapInArrow(lean(run), "class binary, packed binary")
 
 
+def _unpacked(shingle: Shingler, unpack: zstandard.ZstdDecompressor, packed: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of compressed texts, of which about SLICE_BYTES are held as words at a time."""
+    sets, held, n = [], [], 0
+    for x in packed:
+        held.append(unpack.decompress(x.as_py()))
+        n += len(held[-1])
+        if n >= SLICE_BYTES:
+            sets += _sets(shingle, held)
+            held, n = [], 0
+    return sets + _sets(shingle, held)
+
+
 def links(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """For each class of equal texts with a partner of another text: class, links (rows linked to it) and component (least class).
 
@@ -259,12 +291,13 @@ def links(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     maybe = components(edges)
     unstage(sketches, edges)
     known = KeyFilter(maybe, "node")
-    classes = known.hits(docs.select("class", "id_"), "class").groupBy(F.col("class").alias("c_")).agg(F.min("id_").alias("first"), F.count("*").alias("size"))
-    members = stage(maybe.join(classes, F.col("node") == F.col("c_")).select(F.col("node").alias("class"), "component", "first", "size"), "members")
+    classes = known.hits(docs.select("class", "id_", F.octet_length("text").alias("bytes")), "class").groupBy(F.col("class").alias("c_")).agg(F.min("id_").alias("first"), F.count("*").alias("size"), F.max("bytes").alias("bytes"))
+    members = stage(maybe.join(classes, F.col("node") == F.col("c_")).select(F.col("node").alias("class"), "component", "first", "size", "bytes"), "members")
     # One text of each class travels, whatever the number of its rows.
     texts = KeyFilter(members, "class", "first").hits(docs.select("class", "id_", "text"), "class", "id_")
     texts = _packed(texts.dropDuplicates(["class"])).withColumnRenamed("class", "c_")
-    blocks = stage(members.groupBy(F.col("component").alias("k_")).agg(_blocks(F.count("*")).alias("blocks")), "blocks")
+    blocks = F.ceil(F.greatest(F.count("*") / WIDE, F.sum("bytes") / WIDE_BYTES, F.lit(1))).cast("int")
+    blocks = stage(members.groupBy(F.col("component").alias("k_")).agg(blocks.alias("blocks")), "blocks")
     grid = members.join(blocks, F.col("component") == F.col("k_")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     found = grid.join(texts, F.col("class") == F.col("c_")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = found.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "size", "packed")
@@ -272,7 +305,7 @@ def links(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, unpack = Shingler(), zstandard.ZstdDecompressor()
         keys = ["component", "i", "j"]
-        for t in whole_groups(batches, keys, 256):
+        for t in whole_groups(batches, keys, 256, WIDE_BYTES):
             names, own, sizes = (t.column(c).to_pylist() for c in ("class", "own", "size"))
             packed, i, j = t.column("packed"), t.column("i").to_pylist(), t.column("j").to_pylist()
             starts = group_starts(t, keys)
@@ -280,8 +313,9 @@ def links(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                texts = [unpack.decompress(x.as_py()) for x in packed[lo:hi]]
-                n, root = _verified(shingle, np.array(own[lo:hi]), np.array(sizes[lo:hi]), texts, i[lo] != j[lo], threshold)
+                if i[lo] != j[lo] and len(set(own[lo:hi])) < 2:  # the other block is empty
+                    continue
+                n, root = _verified(_unpacked(shingle, unpack, packed[lo:hi]), np.array(own[lo:hi]), np.array(sizes[lo:hi]), threshold)
                 out += [(names[k], int(x), names[lo + r]) for k, x, r in zip(range(lo, hi), n, root.tolist(), strict=True) if x]
             if out:
                 kinds = (pa.binary(), pa.int64(), pa.binary())
