@@ -20,6 +20,13 @@ def test_html_native_and_parsed(spark):
     assert a == b == ["A & B ©\nlink (http://x.org) 1 < 2", None, ""]
 
 
+def test_html_reference_without_semicolon():
+    cut = "<title>a&amp</title><p>b&amp&amp;c &copyright &#39 &#39; &#x41; 1&2 \ue000&lt</p>"
+    assert html.parse(cut, bare=False) == "a&ampb&amp&c &copyright &#39 ' A 1&2 \ue000&lt"
+    assert html.parse('<a href="u?a=1&copy=2">x</a>&amp', bare=False, links=True) == "x (u?a=1&copy=2)&amp"
+    assert html.parse("b&amp") == "b&" and html.parse(None, bare=False) is None
+
+
 def test_docx_round_trip(spark, tmp_path):
     data = docx.write("one <b>\n\ntwo & three")
     assert docx.read(data) == "Scrubbed Document\none <b>\ntwo & three"

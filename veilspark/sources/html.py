@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -56,13 +57,18 @@ class _Reader(HTMLParser):
             self.out.append(data)
 
 
-def parse(html: str | None, clean: bool = True, drop_blank: bool = True, links: bool = False) -> str | None:
+_BARE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)")
+
+
+def parse(html: str | None, clean: bool = True, drop_blank: bool = True, links: bool = False, bare: bool = True) -> str | None:
+    """The text of a page. Without ``bare`` a reference counts only with its semicolon: a cut-off ``&amp`` stays as it is, where a browser reads ``&``."""
     if html is None:
         return None
+    mark = "&" if bare else next(c for c in map(chr, range(0xE000, 0x110000)) if c not in html)  # a sign that the page doesn't have
     r = _Reader(links)
-    r.feed(html)
+    r.feed(html if bare else _BARE.sub(mark, html))
     r.close()
-    lines = "".join(r.out).split("\n")
+    lines = "".join(r.out).replace(mark, "&").split("\n")
     if clean:
         lines = [" ".join(x.split()) for x in lines]
     if drop_blank:
