@@ -1,12 +1,14 @@
 """Redaction against a separate model of its rules, hand cases, and the native form against the Arrow form."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators import detect
-from veilspark.operators.patterns import LEVELS, PATTERNS
+from veilspark.operators.patterns import LEVELS, PATTERNS, compiled
 
 HAND = {
     "pay BE71096123456769 now please ok": "pay [IBAN]ase ok",
@@ -105,3 +107,25 @@ def test_summary_and_reduction(spark, texts):
 
 def test_empty_table(spark):
     assert detect.redact(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_quick_forms_match_in_the_same_places():
+    """On texts in ASCII, made of what the patterns are sensitive to, and of cut-off and joined matches."""
+    rng = random.Random(5)
+    bits = ["a", "Z", "_", " ", "-", ".", ",", "+", "@", "%", "\t", "\n", "\x1c", "$", ":", "1", "22", "333", "4444", "666666", "999999999", "ID", "id", "iD:", "acc", "Account", "acct ", "EUR", "usd ", "GBP", "FaceID", "iris", "Fingerprint", "biometric", "BE12",
+            "a@b.co", "@c.d", "@e.ff", "x@", "1998-02-06", "12-", "-12-", "-34", "+32 ", "123456-10", "BE00000000003686", ".co", " 000.50", ",123"]
+    for _ in range(30_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        for p, regex, quick in compiled():
+            assert [m.span() for m in regex.finditer(t)] == p.spans(t.lower(), quick), (p.type, t)
+
+
+def test_overlaps_are_counted_within_rows(spark):
+    rows = ["pay EUR 100 to account 123456789", "id ID123456789 a@b.co", None, "", "été 1998-02-06 FaceID +32 123456789", "call +32 123456789012 ssn 123456-10"]
+    df = spark.createDataFrame([(r,) for r in rows], "text string")
+    want = Counter()
+    for r in rows:
+        ms = [(m.start(), m.end(), p.ord, p.type) for p, regex, _ in compiled() for m in regex.finditer(r or "")]
+        want.update((a[3], b[3]) for a in ms for b in ms if a[0] <= b[0] < a[1] and a[2] != b[2] and (a[0], a[2]) < (b[0], b[2]))
+    got = {(r.first_type, r.second_type): r.n for r in detect.overlaps(df).collect()}
+    assert got == want and got
