@@ -78,6 +78,16 @@ def test_the_index_asks_for_the_rarest_gram(spark):
     assert dictionary.grams(np.frombuffer(b"abcd", np.uint8), 6).tolist() == [] and len(dictionary.grams(np.frombuffer(b"abcd", np.uint8), 2)) == 3
 
 
+def test_texts_of_one_key_share_candidates_only(spark, monkeypatch):
+    """Texts go by a number of 64 bits; those whose numbers are equal have what stands in each of them, no more."""
+    vf = spark.createDataFrame([("x", "Alice"), ("x", "Bob")], "source string, value string")
+    df = spark.createDataFrame([(1, "pay Alice"), (2, "pay Bob"), (3, "pay"), (4, None)], "id long, text string")
+    assert dict(dictionary.indexed(df.select("text"), vf.select("value")).dtypes)["key"] == "bigint"
+    monkeypatch.setattr(dictionary, "_key", lambda text: F.length(text).cast("long") * 0)
+    assert sorted((r.id, r.value) for r in dictionary.matches(df, vf, most=0).collect()) == [(1, "Alice"), (2, "Bob")]
+    assert sorted((r.id, r.scrubbed_text) for r in dictionary.scrub(df, vf, most=0).collect()) == [(1, "pay <REDACTED>"), (2, "pay <REDACTED>"), (3, "pay"), (4, None)]
+
+
 def test_columns_of_the_callers_stay(spark):
     names = ("page_", "ext_", "text_", "ext", "body", "page", "veil_low_", "veil_counts_", "low", "found", "veil_text_", "policy")
     df = spark.createDataFrame([("a.html", "mail a@b.co", "C4")], "filename string, text string, level string")
