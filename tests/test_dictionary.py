@@ -1,6 +1,8 @@
 """Dictionaries against a plain version, in both forms; rows without ids; columns of the caller's with any names."""
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -88,6 +90,21 @@ def test_texts_of_one_key_share_candidates_only(spark, monkeypatch):
     assert sorted((r.id, r.scrubbed_text) for r in dictionary.scrub(df, vf, most=0).collect()) == [(1, "pay <REDACTED>"), (2, "pay <REDACTED>"), (3, "pay"), (4, None)]
 
 
+def test_the_automata_of_an_executor_fit():
+    """Four workers with the largest dictionary that is sent to them stay well under 4,000 MB; measured in a process of its own."""
+    code = """
+from veilspark.operators import dictionary
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+before, sources = rss(), {}
+for i in range(400_000):
+    sources.setdefault(f"Customer#{i:09d}", []).append("customers")
+words = dictionary._automaton(list(sources))
+print(4 * (rss() - before) / (400_000 * 18) * dictionary.BROADCAST_BYTES)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert float(said) < 1_500_000_000
+
+
 def test_columns_of_the_callers_stay(spark):
     names = ("page_", "ext_", "text_", "ext", "body", "page", "veil_low_", "veil_counts_", "low", "found", "veil_text_", "policy")
     df = spark.createDataFrame([("a.html", "mail a@b.co", "C4")], "filename string, text string, level string")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.frames import fresh, same_columns, sliced
 
 #: Values up to this many bytes are one automaton, sent to all tasks; more are an index.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20  # each Python worker has an automaton of its own, which takes some twenty times as many bytes with its values
 GRAM = 6  # bytes; a gram and its length are one whole number
 FILTER_BITS = 1 << 29  # of the filter that is sent to all tasks, at most: 64 MB
 _MAP_BITS = 1 << 15  # of one bitmap that Spark builds
