@@ -72,6 +72,29 @@ def test_histograms_leave_out_only_what_cannot_count():
         assert sum(n) >= min(need, sum(whole.values())) and all(b > max(found, default=-1) for b in set(whole) - set(found.tolist()))
 
 
+def test_a_round_sends_each_vector_once(spark):
+    rng = np.random.default_rng(1)
+    rows = hard_negatives.usable(spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3) for i in range(1, 401)], VECTORS))
+    anchors = rows.where("vec_id % 20 = 0").select("vec_id", "label", "embedding")
+    state = {"positive": "NULL", "positive_score": "NULL", "same": "true", "top": "900", "lo": "-900", "hi": "900", "by_id": "false", "id_lo": "NULL", "id_hi": "NULL", "need": "5", "settled": "false"}
+    windows = anchors.selectExpr("vec_id AS anchor", *[f"CAST({v} AS {t}) AS {f}" for f, t in (x.split() for x in hard_negatives.STATE.split(", ")[1:]) for v in [state[f]]])
+    blocks = hard_negatives.VectorBlocks(rows, 100)
+    got = [r.asDict() for r in blocks.met(anchors, windows, 2).collect()]
+    vectors, packs = [r for r in got if r["pack"] < 0], [r for r in got if r["pack"] >= 0]
+    assert blocks.blocks == 4 and len(vectors) == 4 and sum(len(r["ids"]) // 8 for r in vectors) == 400
+    assert sum(len(r["ids"]) // 8 for r in packs) == 4 * 20 and len(packs) > 4 * 4
+
+
+def test_foremost_scores_have_the_whole_histogram():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        values = rng.integers(-50, 50, rng.integers(0, 60)).astype(np.int64)
+        lo, hi, need, digits = -30, int(rng.integers(-30, 45)), int(rng.integers(1, 12)), int(rng.integers(1, 8))
+        want = hard_negatives.histogram(values, lo, hi, need, digits, False)
+        got = hard_negatives.histogram(hard_negatives.foremost(np.sort(values), lo, hi, need, digits), lo, hi, need, digits, False)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
 # --- filter audit
 
 

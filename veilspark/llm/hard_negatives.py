@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import lean, stage, unstage
 
 SCALE = 256
-BLOCK = 8192  # rows of a block of vectors
+BLOCK = 16384  # rows of a block of vectors
+BLOCK_CELLS = 1 << 22  # components of a block, at most
+BATCH = 2048  # rows that a task sends together
 ANCHORS = 64  # anchors that go to a block together
 DIGITS = 16  # binary digits that a round counts
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -36,11 +38,11 @@ def quantised(vectors: np.ndarray) -> np.ndarray:
         return np.nan_to_num(np.floor(vectors * SCALE))
 
 
-def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers (held as doubles or integers); what leaves 64 bits is the nearest that doesn't."""
-    most = float(np.abs(anchors.astype(np.float64)).max(initial=0)) * float(np.abs(rows.astype(np.float64)).max(initial=0)) * max(1, rows.shape[1])
+def scores(anchors: np.ndarray, rows: np.ndarray, most_in_rows: float) -> np.ndarray:
+    """Exact inner products of whole numbers (held as doubles); what leaves 64 bits is the nearest that doesn't."""
+    most = float(np.abs(anchors).max(initial=0)) * most_in_rows * max(1, rows.shape[1])
     if most < 2**52:
-        return (anchors.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+        return (anchors @ rows.T).astype(np.int64)
     if most < 2**62:
         return anchors.astype(np.int64) @ rows.astype(np.int64).T
     whole = np.vectorize(int, otypes=[object])
@@ -58,10 +60,19 @@ def histogram(values: np.ndarray, lo: int, hi: int, need: int, digits: int, upwa
     Buckets behind the one in which the block's own count reaches ``need`` can't hold the row that is looked for and are left out."""
     inside = values[(values >= lo) & (values <= hi)]
     from_best = inside.view(np.uint64) - np.uint64(lo % 2**64) if upwards else np.uint64(hi % 2**64) - inside.view(np.uint64)
-    counts = np.bincount((from_best >> np.uint64(shift_of(lo, hi, digits))).astype(np.int64))
+    found, counts = np.unique((from_best >> np.uint64(shift_of(lo, hi, digits))).astype(np.int64), return_counts=True)
     enough = int(np.searchsorted(np.cumsum(counts), need)) + 1
-    found = np.flatnonzero(counts[:enough])
-    return found, counts[found]
+    return found[:enough], counts[:enough]
+
+
+def foremost(ordered: np.ndarray, lo: int, hi: int, need: int, digits: int) -> np.ndarray:
+    """Of scores in rising order those in the window whose buckets histogram() doesn't leave out."""
+    first, last = np.searchsorted(ordered, lo, "left"), np.searchsorted(ordered, hi, "right")
+    if last - first > need:
+        size = 1 << shift_of(lo, hi, digits)
+        bucket = (hi - int(ordered[last - need])) // size  # of the row that ranks ``need``
+        first = np.searchsorted(ordered, max(lo, hi - (bucket + 1) * size + 1), "left")
+    return ordered[first:last]
 
 
 def located(state: dict, buckets: list[tuple[int, int]], digits: int, ids: tuple[int, int]) -> dict:
@@ -94,66 +105,100 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select(vec.alias("vec_id"), F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def _kind(values: np.ndarray) -> str:
+    """The narrowest form that holds the whole numbers."""
+    return next((t for t in ("int16", "int32") if np.abs(values).max() <= np.iinfo(t).max), "float64")
+
+
+#: Whole numbers of a window as it travels with its pack: the anchor's place in the pack, whether there is a positive, and its state.
+WINDOW = ["place", "paired", *[f for f in FIELDS if f not in ("anchor", "settled")]]
+SAME, TOP, LO, HI, BY_ID, ID_LO, ID_HI, NEED = (WINDOW.index(f) for f in ("same", "top", "lo", "hi", "by_id", "id_lo", "id_hi", "need"))
+
+
 class VectorBlocks:
     """All rows as staged blocks of quantised vectors, ready to meet packs of anchors."""
 
+    FORM = "block int, width int, pack int, kind string, ids binary, labels binary, values binary, windows binary"
+
     def __init__(self, rows: DataFrame, block_rows: int):
-        n, low, high = rows.agg(F.count("*"), F.min("vec_id"), F.max("vec_id")).first()
-        self.rows, self.ids, self.blocks = n, (low or 0, high or 0), max(1, -(-n // block_rows))
+        n, low, high, width = rows.agg(F.count("*"), F.min("vec_id"), F.max("vec_id"), F.max(F.size("embedding"))).first()
+        self.rows, self.ids, self.blocks = n, (low or 0, high or 0), max(1, -(-n // min(block_rows, max(1, BLOCK_CELLS // (width or 1)))))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-            part = TaskContext.get().partitionId()
-
-            def packed(w: int) -> pa.RecordBatch:
-                ids, labels, values = (np.concatenate(x) for x in zip(*held.pop(w), strict=True))
-                kind = next((t for t in ("int16", "int32") if np.abs(values).max() <= np.iinfo(t).max), "float64")
-                cells = [pa.array([x], t) for x, t in ((part, pa.int32()), (w, pa.int32()), (kind, pa.string()), (ids.tobytes(), pa.binary()), (labels.tobytes(), pa.binary()), (values.astype(kind).tobytes(), pa.binary()))]
-                return pa.RecordBatch.from_arrays(cells, names=["block", "width", "kind", "ids", "labels", "values"])
-
             for b in batches:
                 ids, labels, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
                 size = lists.value_lengths().to_numpy()
                 for w in np.unique(size).tolist():
                     at = np.flatnonzero(size == w)
-                    values = quantised(lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, w))
-                    for k in range(0, len(at), block_rows):
-                        held.setdefault(w, []).append((ids[at[k : k + block_rows]], labels[at[k : k + block_rows]], values[k : k + block_rows]))
-                        if sum(len(p[0]) for p in held[w]) >= block_rows:
-                            yield packed(w)
+                    held.setdefault(w, []).append((ids[at], labels[at], quantised(lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, w))))
+            part = TaskContext.get().partitionId()
             for w in list(held):
-                yield packed(w)
+                ids, labels, values = (np.concatenate(x) for x in zip(*held.pop(w), strict=True))
+                yield _row(part, w, -1, ids, labels, values, None)
 
-        index = rows.repartition(self.blocks).mapInArrow(lean(build), "block int, width int, kind string, ids binary, labels binary, values binary")
-        self.index = stage(index, "vector-blocks")
+        self.index = stage(rows.repartition(self.blocks).mapInArrow(lean(build), self.FORM), "vector-blocks")
 
     def met(self, anchors: DataFrame, windows: DataFrame, per_pack: int) -> DataFrame:
-        """kind, ids, labels, values of a block beside a pack of anchors with their windows, for every block and pack of a width."""
+        """FORM: in each partition a block's vectors, a row for each width, which are followed by all packs of anchors with their windows.
+
+        So a round sends each vector once, to the JVM's workers too, and the anchors once for each block."""
         packs = max(1, -(-windows.select("anchor").distinct().count() // per_pack))
         by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct(*[c for c in FIELDS if c != "anchor"])).alias("windows"))  # at most as many as it has positives
         both = by_anchor.join(anchors, by_anchor.anchor == anchors.vec_id).withColumn("pack", F.pmod(F.xxhash64("anchor"), F.lit(packs)))
         packed = both.groupBy("pack", F.size("embedding").alias("w")).agg(F.collect_list(F.struct("anchor", "label", "embedding", "windows")).alias("asked"))
-        copies = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
-        meet = self.index.repartition(self.blocks, "block").join(copies.repartition(self.blocks, "b"), (F.col("block") == F.col("b")) & (F.col("width") == F.col("w")))
-        return meet.select("kind", "ids", "labels", "values", "asked")
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    pack, width, asked = (b.column(c)[i].as_py() for c in range(3))
+                    cells = [[at, w["positive"] is not None, *[w[f] or 0 for f in WINDOW[2:]]] for at, a in enumerate(asked) for w in a["windows"]]
+                    ids, labels = (np.array([a[f] for a in asked], np.int64) for f in ("anchor", "label"))
+                    yield _row(0, width, pack, ids, labels, quantised(np.array([a["embedding"] for a in asked])), np.array(cells, np.int64))
+
+        copies = packed.select("pack", "w", "asked").mapInArrow(lean(encode), self.FORM).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
+        return self.index.unionByName(copies).repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "width", "pack")
+
+
+def _row(block: int, width: int, pack: int, ids: np.ndarray, labels: np.ndarray, values: np.ndarray, windows: np.ndarray | None) -> pa.RecordBatch:
+    kind, cell = _kind(values), lambda x: pa.array([None if x is None else x.tobytes()], pa.binary())
+    numbers = [pa.array([x], pa.int32()) for x in (block, width, pack)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array([kind]), cell(ids), cell(labels), cell(values.astype(kind)), cell(windows)], names=[f.split()[0] for f in VectorBlocks.FORM.split(", ")])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict, np.ndarray, np.ndarray]]:
-    """Each anchor's window with the ids and scores of the block's rows that may be in it."""
-    kept, block = None, None
+def _cells(batches: Iterator[pa.RecordBatch], upper: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each anchor and its windows of a kind (WINDOW), with the ids and scores of the block's rows that may be in one, up to its ``upper``."""
+    kept = ids = labels = block = None
     for b in batches:
         for i in range(b.num_rows):
-            key = tuple(b.column(c)[i].as_py() for c in range(4))
-            if key != kept:  # rows of a block come one after the other
-                kept, ids, labels = key, np.frombuffer(key[1], np.int64), np.frombuffer(key[2], np.int64)
-                block = np.frombuffer(key[3], key[0]).reshape(len(ids), -1)
-            asked = b.column(4)[i].as_py()
-            found = scores(quantised(np.array([a["embedding"] for a in asked])), block)
-            for a, s in zip(asked, found, strict=True):
-                alike = {True: np.flatnonzero((labels == a["label"]) & (ids != a["anchor"])), False: np.flatnonzero(labels != a["label"])}
-                values = {same: (ids[at], s[at]) for same, at in alike.items()}
-                for w in a["windows"]:
-                    yield a, w, *values[w["same"]]
+            number, width, pack, kind, own, marks, values = (b.column(c)[i].as_py() for c in range(7))
+            read = lambda: np.frombuffer(values, kind).reshape(-1, width).astype(np.float64)  # noqa: B023, E731
+            if pack < 0:
+                kept, ids, labels, block = (number, width), np.frombuffer(own, np.int64), np.frombuffer(marks, np.int64), read()
+                most = float(np.abs(block).max(initial=0))
+            elif kept == (number, width):
+                found = scores(read(), block, most)
+                windows = np.frombuffer(b.column(7)[i].as_py(), np.int64).reshape(-1, len(WINDOW))
+                begins = np.searchsorted(windows[:, 0], np.arange(len(found) + 1))
+                for k, (a, mark) in enumerate(zip(np.frombuffer(own, np.int64).tolist(), np.frombuffer(marks, np.int64).tolist(), strict=True)):
+                    mine, s = windows[begins[k] : begins[k + 1]], found[k]
+                    for same in np.unique(mine[:, SAME]).tolist():
+                        w = mine[mine[:, SAME] == same]
+                        inside = (s >= w[:, LO].min()) & (s <= w[:, upper].max())
+                        inside &= (labels == mark) & (ids != a) if same else labels != mark
+                        yield a, w, ids[inside], s[inside]
+
+
+class _Out:
+    """Rows that are held until there is a batch of them."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.rows = schema, []
+
+    def batch(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.rows) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), self.schema, strict=True)], schema=self.schema)
+            self.rows = []
 
 
 def select(blocks: VectorBlocks, anchors: DataFrame, windows: DataFrame, k: int, per_pack: int = ANCHORS, digits: int = DIGITS) -> DataFrame:
@@ -161,36 +206,49 @@ def select(blocks: VectorBlocks, anchors: DataFrame, windows: DataFrame, k: int,
     state, id_range = stage(windows, "windows"), blocks.ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, w, ids, s in _cells(batches):
-            if w["by_id"]:
-                found, n = histogram(ids[s == w["hi"]], w["id_lo"], w["id_hi"], w["need"], digits, True)
-            else:
-                found, n = histogram(s, w["lo"], w["hi"], w["need"], digits, False)
-            if len(found):
-                key = [pa.array([x] * len(found), pa.int64()) for x in (a["anchor"], w["positive"])]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(found), pa.array(n, pa.int64())], names=["a", "p", "bucket", "n"])
+        out = _Out(pa.schema([("a", pa.int64()), ("p", pa.int64()), ("bucket", pa.binary()), ("n", pa.binary())]))
+        for a, windows, ids, s in _cells(batches, HI):
+            ordered = np.sort(s)
+            for w in windows.tolist():
+                if w[BY_ID]:
+                    found, n = histogram(ids[s == w[HI]], w[ID_LO], w[ID_HI], w[NEED], digits, True)
+                else:
+                    found, n = histogram(foremost(ordered, w[LO], w[HI], w[NEED], digits), w[LO], w[HI], w[NEED], digits, False)
+                if len(found):
+                    out.rows.append((a, w[2] if w[1] else None, found.astype(np.int64).tobytes(), n.astype(np.int64).tobytes()))
+            yield from out.batch(BATCH)
+        yield from out.batch()
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [located({f: r[f] for f in FIELDS}, [(x["bucket"], x["n"]) for x in r["buckets"] or []], digits, id_range) for r in b.to_pylist()]
+            out = []
+            for r in b.to_pylist():
+                bucket, n = (np.frombuffer(b"".join(x[f] for x in r["buckets"] or []), np.int64) for f in ("bucket", "n"))
+                bucket, of = np.unique(bucket, return_inverse=True)
+                sums = np.zeros(len(bucket), np.int64)
+                np.add.at(sums, of, n)
+                out.append(located({f: r[f] for f in FIELDS}, list(zip(bucket.tolist(), sums.tolist(), strict=True)), digits, id_range))
             yield pa.RecordBatch.from_pylist(out, schema=b.schema.remove(b.schema.get_field_index("buckets")))
 
     while not state.where("NOT settled").isEmpty():
         open_ = state.where("NOT settled")
-        counts = blocks.met(anchors, open_, per_pack).mapInArrow(lean(count), "a long, p long, bucket long, n long")
-        sums = counts.groupBy("a", "p", "bucket").agg(F.sum("n").alias("n")).groupBy("a", "p").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))  # 2**digits at most
+        counts = blocks.met(anchors, open_, per_pack).mapInArrow(lean(count), "a long, p long, bucket binary, n binary")
+        sums = counts.groupBy("a", "p").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))  # one a block, of k counts at most
         moved = open_.join(sums, (F.col("a") == F.col("anchor")) & F.col("p").eqNullSafe(F.col("positive")), "left").select(*FIELDS, "buckets").mapInArrow(lean(advance), STATE)
         old, state = state, stage(state.where("settled").unionByName(moved), "windows")
         unstage(old)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, w, ids, s in _cells(batches):
-            within = (s >= w["lo"]) & (s <= w["top"])
-            if w["by_id"]:
-                within &= (s > w["lo"]) | (ids <= w["id_hi"])
-            if n := int(within.sum()):
-                key = [pa.array([x] * n, pa.int64()) for x in (a["anchor"], w["positive"], w["positive_score"])]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(ids[within]), pa.array(s[within])], names=["anchor", "positive", "positive_score", "vec_id", "score"])
+        out = _Out(pa.schema([(f, pa.int64()) for f in ("anchor", "positive", "positive_score", "vec_id", "score")]))
+        for a, windows, ids, s in _cells(batches, TOP):
+            for w in windows.tolist():
+                within = (s >= w[LO]) & (s <= w[TOP])
+                if w[BY_ID]:
+                    within &= (s > w[LO]) | (ids <= w[ID_HI])
+                key = (a, w[2], w[3]) if w[1] else (a, None, None)
+                out.rows += [(*key, *x) for x in zip(ids[within].tolist(), s[within].tolist(), strict=True)]
+                yield from out.batch(BATCH)
+        yield from out.batch()
 
     found = blocks.met(anchors, state, per_pack).mapInArrow(lean(gather), "anchor long, positive long, positive_score long, vec_id long, score long")
     order = Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), "vec_id")
@@ -209,7 +267,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: str = "vec_id % 100 = 0", posi
     counts (the least label and vector); rows that repeat are selected each. Scores are exact; one beyond 64 bits counts
     as the nearest within. An empty table gives no rows. The result is a staged table of ``k`` rows a window at most.
 
-    Anchors meet all rows in blocks by an equi-join on the block's number: anchors travel, not vectors. What a round sends is at most k counts
+    Anchors meet all rows in blocks: a round sends each block's vectors once and the anchors once for each block. What it sends back is at most k counts
     a block and window, whatever a window or a tie holds, so that a vector which a third of the rows share costs no more."""
     rows = usable(vectors)
     anchors = stage(rows.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("a")).select("vec_id", "a.label", "a.embedding"), "anchors")
