@@ -423,3 +423,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_groups_are_cut_only_between_free_rows():
+    words = [f"w{i // 40:02d}" for i in range(400)]
+    batches = pa.RecordBatch.from_pydict({"word": words, "held": [i % 40 >= 5 for i in range(400)]})
+    out = list(common.whole_groups((batches.slice(k, 7) for k in range(0, 400, 7)), ["word"], 10, free="held"))
+    assert [w for t in out for w in t.column("word").to_pylist()] == words and max(t.num_rows for t in out) < 40
+    for a, b in zip(out, out[1:], strict=False):
+        assert b.column("held")[0].as_py() or a.column("word")[-1].as_py() != b.column("word")[0].as_py()
+
+
+def test_rare_words_of_texts_that_nobody_learns_from_have_the_count_of_the_others(spark, monkeypatch):
+    """A word's rows are cut in many tables; its count and class go on."""
+    import zlib
+
+    monkeypatch.setattr(brown_lm, "ROWS", 1)
+    rows = [(i, f"a b rare{i % 4} c" if zlib.crc32(str(i).encode()) % 10 else f"a rare{i % 4} new b") for i in range(300)]
+    words = spark.sparkContext.broadcast([b"", b"a", b"b", b"c"])
+    texts = brown_lm.keyed(spark.createDataFrame(rows, "doc_id long, text string")).repartition(1)
+    got = brown_lm.rare_words(texts, words, np.zeros(4, np.int64), np.ones((2, 2))).collect()
+    learnt = Counter(i % 4 for i, t in rows if "new" not in t)
+    assert len(got) == sum(2 if "new" in t else 1 for _, t in rows) and sum(r["first"] for r in got) == 4
+    assert sorted(r["n"] for r in got) == sorted([learnt[i % 4] for i, _ in rows] + [0 for _, t in rows if "new" in t])
+    assert all((r["class"] is None) == (r["n"] == 0) for r in got)
+
+
+def test_rows_alike_get_the_rare_words_of_each_other(spark, monkeypatch):
+    """Copies in id and text meet their words in one task, in slices of a row."""
+    monkeypatch.setattr(brown_lm, "FREQUENT", 3)
+    rows = [(7, "a b r1 r2 a") for _ in range(40)] + [(8, "a b r1 r2 a"), (None, "a b r1 r2 a"), (None, "b r2"), (0, "b r2"), (None, None)] + [(20 + i, "a b a b") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(repr, brown_lm.scores(df).drop("score").collect()))
+    monkeypatch.setattr(brown_lm, "SLICE_BYTES", 8)
+    assert sorted(map(repr, brown_lm.scores(df).drop("score").collect())) == whole and len(whole) == len(rows)
+    assert all(r.n_known == r.n_tokens for r in brown_lm.scores(df).collect())

@@ -8,7 +8,7 @@ smoothed. Every word of the training documents has the class that its own contex
 2. All words of the broadcast list (FREQUENT at most) take part in a distributed exchange: their neighbours are gathered
    once, and each round counts the classes of these, moves words, and is taken back where the likelihood falls.
 3. Each rarer word, however many there are, goes to the class that its neighbours' classes make likeliest; rare
-   neighbours are a class of their own in that step.
+   neighbours are a class of their own in that step. Words travel there with their places, to which their classes return.
 
 Counts come from all training documents. What is small by construction (the frequent words, the class matrix) is
 broadcast; the counts and classes of all other words, whose number grows with the corpus, are joined.
@@ -99,7 +99,7 @@ def _binaries(values: np.ndarray, begins: np.ndarray) -> pa.Array:
 
 
 def neighbours(docs: DataFrame, words) -> DataFrame:
-    """A row for each frequent word: id, its neighbours as int32 numbers (left ones, and right ones after these) and how often each stands there, int64.
+    """A row for each frequent word: id, its neighbours as int32 numbers (left ones, and right ones after these) and how often each stands there, in as few bytes a number as the row's highest needs (_counts).
 
     On the way words travel GROUPS by GROUPS, a row for each group: word and neighbour in one int32."""
     unit = 2 * (len(words.value) + 1)
@@ -127,7 +127,8 @@ def neighbours(docs: DataFrame, words) -> DataFrame:
             for lo in range(0, len(begins), ROWS):
                 part = slice(begins[lo], begins[lo + ROWS] if lo + ROWS < len(begins) else len(code))
                 at = begins[lo : lo + ROWS] - part.start
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + ROWS]), _binaries((code[part] % unit).astype(np.int32), at), _binaries(total[part], at)], names=["id", "at", "n"])
+                n = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in np.split(total[part], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + ROWS]), _binaries((code[part] % unit).astype(np.int32), at), pa.array(n, pa.binary())], names=["id", "at", "n"])
 
     form = "id int, at binary, n binary"
     dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), form)
@@ -157,12 +158,19 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield (group, *added(parts))
 
 
+def _counts(cell: bytes, size: int) -> np.ndarray:
+    """``size`` whole numbers of equal width."""
+    return np.frombuffer(cell, f"u{len(cell) // size}")
+
+
 def contexts(batches: Iterator[pa.RecordBatch], of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """From rows of neighbours(): words, and how often each class stands left of them, then right of them; class k is that of words without one."""
     wide, place = 2 * (k + 1), np.r_[of, k, of + k + 1, 2 * k + 1]
     for b in (s.slice(lo, ROWS) for s in rows_by_bytes(batches, "at", SLICE_BYTES) for lo in range(0, s.num_rows, ROWS)):
-        left, n = b.column(1).to_pylist(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
-        row = np.repeat(np.arange(b.num_rows), [len(x) // 4 for x in left])
+        left = b.column(1).to_pylist()
+        size = [len(x) // 4 for x in left]
+        n = np.concatenate([_counts(c, k_) for c, k_ in zip(b.column(2).to_pylist(), size, strict=True)], dtype=np.float64)
+        row = np.repeat(np.arange(b.num_rows), size)
         at = row * wide + place[np.frombuffer(b"".join(left), np.int32)]
         yield b.column(0).to_numpy(), np.bincount(at, weights=n, minlength=b.num_rows * wide).reshape(-1, wide)
 
@@ -265,41 +273,64 @@ def clustered(near: DataFrame, of: np.ndarray, k: int = CLASSES) -> tuple[np.nda
 
 
 def rare_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """word, n and class of every word of ``docs`` that isn't frequent: the class that its neighbours' classes make likeliest."""
+    """A row for each text of ``docs`` (keyed()) and each word of it that isn't frequent: doc_id, x, the word's places ``at``, its count n among
+    training texts and its class, the one that its neighbours' classes there make likeliest (null: no training text has it). ``first`` marks one row of each word of the training texts.
+
+    Words travel once, with their neighbours' classes and their places. A word's rows of training texts, of which one task holds all, are as few as a word that
+    isn't frequent has; those of other texts go by."""
     k = len(grid) - 1
     shared = docs.sparkSession.sparkContext.broadcast((np.r_[of, k], grid))
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, classes = Symbols(words.value), shared.value[0]
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            now, text, flat = s.read(b.column(0).cast(pa.binary()).to_pylist())
-            before, after = classes[_previous(now, text, s.end)], classes[np.r_[now[1:], s.end]]
+            now, text, flat = s.read(b.column(3).cast(pa.binary()).to_pylist())
             at = np.flatnonzero(now == s.n)
-            number: dict[bytes, int] = {}
-            key = np.array([number.setdefault(flat[i], len(number)) for i in at.tolist()], np.int64)
-            if not len(key):
+            if not len(at):
                 continue
+            before, after = classes[_previous(now, text, s.end)], classes[np.r_[now[1:], s.end]]
+            begins = np.searchsorted(text, np.arange(b.num_rows))
+            number: dict[bytes, int] = {}
+            word = np.array([number.setdefault(flat[i], len(number)) for i in at.tolist()], np.int64)
+            key = text[at] * len(number) + word
             order = np.argsort(key, kind="stable")
-            both = np.stack([before[at], after[at] + k + 1], 1)[order].astype(np.uint8).reshape(-1)
-            key = key[order]
-            yield pa.RecordBatch.from_arrays([pa.array(number.keys(), pa.binary()), _binaries(both, 2 * np.flatnonzero(np.r_[True, key[1:] != key[:-1]]))], names=["word", "c"])
+            key, at = key[order], at[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            of_text = pa.array(key[new] // len(number))
+            both = np.stack([before[at], after[at] + k + 1], 1).astype(np.uint8).reshape(-1)
+            columns = [pa.array(list(number), pa.binary()).take(pa.array(key[new] % len(number))), b.column(2).take(of_text), _binaries(both, 2 * new), _binaries((at - begins[text[at]]).astype(np.int32), new)]
+            yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(of_text), b.column(1).take(of_text)], names=["word", "held", "c", "at", "doc_id", "x"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = 2 * (k + 1)
-        for t in whole_groups(batches, ["word"], ROWS):
+        wide, known = 2 * (k + 1), (None, 0, None)  # the last word of training texts, its count and class
+        for t in whole_groups(batches, ["word"], 4 * ROWS, free="held"):
             starts = np.array(group_starts(t, ["word"]))
-            cells, words_ = t.column("c").to_pylist(), t.column("word").take(pa.array(starts[:-1])).combine_chunks()
-            of_row = np.repeat(np.arange(len(words_)), np.diff(starts))
+            learnt = ~t.column("held").to_numpy()
+            n, tag, seen = np.zeros(len(starts) - 1, np.int64), np.zeros(len(starts) - 1, np.int32), learnt[starts[:-1]]
+            first_word, last_word = (t.column("word")[i].as_py() for i in (0, t.num_rows - 1))
+            row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            cells = t.column("c").filter(pa.array(learnt)).to_pylist()
             size = np.fromiter(map(len, cells), np.int64, len(cells))
-            at = np.repeat(of_row, size) * wide + np.frombuffer(b"".join(cells), np.uint8)
-            for lo in range(0, len(words_), ROWS):
-                hi = min(lo + ROWS, len(words_))
-                mine = at[(at >= lo * wide) & (at < hi * wide)] - lo * wide
+            of_cell = np.repeat(row[learnt], size)
+            place = of_cell * wide + np.frombuffer(b"".join(cells), np.uint8)
+            for lo in range(0, len(n), ROWS):
+                hi = min(lo + ROWS, len(n))
+                mine = place[np.searchsorted(of_cell, lo) : np.searchsorted(of_cell, hi)] - lo * wide
                 near = np.bincount(mine, minlength=(hi - lo) * wide).reshape(-1, wide)
-                yield pa.RecordBatch.from_arrays([words_.slice(lo, hi - lo), pa.array(near.sum(1) // 2), pa.array(affinity(shared.value[1], near.astype(float)).argmax(1).astype(np.int32))], names=["word", "n", "class"])
+                n[lo:hi] = near.sum(1) // 2
+                tag[lo:hi] = affinity(shared.value[1], near.astype(float)).argmax(1)
+            if not seen[0] and first_word == known[0]:
+                n[0], tag[0], seen[0] = known[1], known[2], True
+            if seen[-1]:
+                known = (last_word, n[-1], tag[-1])
+            first = np.zeros(t.num_rows, bool)
+            first[starts[:-1]] = learnt[starts[:-1]]
+            out = t.select(["doc_id", "x", "at"]).append_column("n", pa.array(n[row])).append_column("class", pa.array(tag[row], mask=~seen[row])).append_column("first", pa.array(first))
+            yield from out.combine_chunks().to_batches()
 
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "word binary, c binary")
-    return dealt.repartition("word").sortWithinPartitions("word").mapInArrow(lean(assign), "word binary, n long, class int")
+    dealt = docs.mapInArrow(lean(run), f"word binary, held boolean, c binary, at binary, doc_id {kind}, x long")
+    return dealt.repartition("word").sortWithinPartitions("word", "held").mapInArrow(lean(assign), f"doc_id {kind}, x long, at binary, n long, class int, first boolean")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -408,11 +439,12 @@ def scores(docs: DataFrame) -> DataFrame:
     if first:
         of[:first] = exchange(_first_pairs(near.where(F.col("id") < first), len(words), first), k)[:first]
     of, grid = clustered(near, of, k)
-    rare = stage(rare_words(train, shared, of, grid), "rare")
+    texts = keyed(docs)
+    rare = stage(rare_words(texts, shared, of, grid), "rare")
     # tokens and words of each class
     mass, kinds = np.bincount(of, weights=n, minlength=k), np.bincount(of, minlength=k).astype(float)
     few = np.zeros(k)
-    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    for r in rare.where("first").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[r["class"]] += r.n
         few[r["class"]] = r.v
     unseen = int(few.argmax())
@@ -420,7 +452,7 @@ def scores(docs: DataFrame) -> DataFrame:
     kinds[unseen] += 1
     inner = np.log10(mass + ADD * np.maximum(kinds, 1))
     known = spark.sparkContext.broadcast((of, np.log10(n + ADD)))
-    tagged = stage(_tagged(docs, shared, known, rare, unseen), "classes")
+    tagged = stage(_tagged(texts, shared, known, rare, unseen), "classes")
     unstage(counts, near, rare)
     end = int(of[words.index(END)]) if END in words else unseen
     pairs = np.zeros((k, k))
@@ -451,7 +483,8 @@ def _first_pairs(near: DataFrame, n_words: int, first: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                at, n = (np.frombuffer(b.column(j)[i].as_py(), kind) for j, kind in ((1, np.int32), (2, np.int64)))
+                at = np.frombuffer(b.column(1)[i].as_py(), np.int32)
+                n = _counts(b.column(2)[i].as_py(), len(at))
                 right = at > n_words
                 row, col = (np.bincount(np.minimum(x, first), weights=m, minlength=first + 1).astype(np.float32) for x, m in ((at[right] - n_words - 1, n[right]), (at[~right], n[~right])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([row.tobytes()], pa.binary()), pa.array([float(col[first])])], names=["id", "row", "other"])
@@ -478,55 +511,63 @@ def _class_pairs(batches: Iterator[pa.RecordBatch], end: int, k: int) -> Iterato
     yield pa.RecordBatch.from_arrays([pa.array((some // k).astype(np.int32)), pa.array((some % k).astype(np.int32)), pa.array(total[some])], names=["a", "b", "n"])
 
 
-def _tagged(docs: DataFrame, words, known, rare: DataFrame, unseen: int) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_ (sum of log10(n + 0.1)) and the class of each token, a byte each, of every row of ``docs``."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, x (a hash of the text), held (whether it isn't learnt from) and text of every row of ``docs``."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("x"), held_out(F.col("doc_id")).alias("held"), text.alias("text"))
+
+
+def _tagged(texts: DataFrame, words, known, rare: DataFrame, unseen: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_ (sum of log10(n + 0.1)) and the class of each token, a byte each, of every row of ``texts`` (keyed())."""
     none = 255
 
-    def run(batches: Iterator[pa.RecordBatch], far: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, (of, log_count) = Symbols(words.value), known.value
         classes, log_count = np.r_[of, none].astype(np.uint8), np.r_[log_count, 0.0]
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            ids, x = b.column(0), b.column(1)
-            now, text, flat = s.read(b.column(2).cast(pa.binary()).to_pylist())
+            now, text, _ = s.read(b.column(2).cast(pa.binary()).to_pylist())
             begins = np.searchsorted(text, np.arange(b.num_rows))
-            if far:
-                found: dict[tuple[int, bytes], list[int]] = {}
-                for i in np.flatnonzero(now == s.n).tolist():
-                    found.setdefault((int(text[i]), flat[i]), []).append(i - int(begins[text[i]]))
-                if found:
-                    of_text = pa.array([t for t, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.binary()), pa.array([np.array(p, np.int32).tobytes() for p in found.values()], pa.binary()), ids.take(of_text), x.take(of_text)], names=["word", "at", "doc_id", "x"])
-                continue
             total = lambda v: np.bincount(text, weights=v, minlength=b.num_rows)  # noqa: B023, E731
-            columns = [ids, x, pa.array(np.bincount(text, minlength=b.num_rows)), pa.array(total(now < s.n).astype(np.int64)), pa.array(total(log_count[now])), _binaries(classes[now], begins)]
+            columns = [b.column(0), b.column(1), pa.array(np.bincount(text, minlength=b.num_rows)), pa.array(total(now < s.n).astype(np.int64)), pa.array(total(log_count[now])), _binaries(classes[now], begins)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "n_tokens", "n_known", "base_", "classes"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Puts in the rare words; rows alike in id and text have the same places, and bring them once."""
+        """Puts in the rare words, which come ahead of the rows of their id and text; what rows alike bring more than once is held once."""
+        last, held = None, [np.zeros(0, np.int64)] * 3  # places, counts and classes of the group that may go on
         for b in rows_by_bytes(batches, "classes", SLICE_BYTES // 8):
-            n_known, base, cells = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()
+            starts = np.array(group_starts(pa.Table.from_batches([b]), ["doc_id", "x"]))
+            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            whole = b.column(5).is_valid().to_numpy(zero_copy_only=False)
+            first_key, last_key = ((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for i in (0, b.num_rows - 1))
+            words_, texts_ = b.filter(pa.array(~whole)), b.filter(pa.array(whole))
+            places = words_.column(6).to_pylist()
+            size = np.fromiter((len(p) // 4 for p in places), np.int64, len(places))
+            parts = [np.frombuffer(b"".join(places), np.int32).astype(np.int64), np.repeat(words_.column(7).to_numpy(), size), np.repeat(words_.column(8).fill_null(unseen).to_numpy(), size)]
+            of = np.repeat(group[~whole], size)
+            if last == first_key:
+                of, parts = np.r_[np.zeros(len(held[0]), np.int64), of], [np.r_[h, p] for h, p in zip(held, parts, strict=True)]
+            order = np.lexsort((parts[0], of))
+            order = order[np.r_[True, (np.diff(of[order]) != 0) | (np.diff(parts[0][order]) != 0)]] if len(order) else order
+            of, (at, n, tag) = of[order], [p[order] for p in parts]
+            last, held = last_key, [x[of == group[-1]] for x in (at, n, tag)]
+            if not texts_.num_rows:
+                continue
+            n_known, base, cells = texts_.column(3).to_numpy(), texts_.column(4).to_numpy(), texts_.column(5).to_pylist()
             begins = np.cumsum([0, *map(len, cells)])
-            tags, found = np.frombuffer(b"".join(cells), np.uint8).copy(), b.column(5).flatten()
-            if len(found):
-                owner = np.repeat(np.arange(b.num_rows), b.column(5).value_lengths().fill_null(0).to_numpy())
-                places = found.field("at").to_pylist()
-                size = [len(x) // 4 for x in places]
-                at, one = np.unique(np.repeat(begins[owner], size) + np.frombuffer(b"".join(places), np.int32), return_index=True)
-                entry = np.repeat(np.arange(len(found)), size)[one]
-                n = found.field("n").fill_null(0).to_numpy()[entry]
-                tags[at] = found.field("class").fill_null(unseen).to_numpy()[entry]
-                n_known = n_known + np.bincount(owner[entry], weights=n > 0, minlength=b.num_rows).astype(np.int64)
-                base = base + np.bincount(owner[entry], weights=np.log10(n + ADD), minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_known), pa.array(base), _binaries(tags, begins[:-1])], names=["doc_id", "n_tokens", "n_known", "base_", "classes"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x"), F.col("text").cast("string").alias("text"))
-    near = keyed.mapInArrow(lean(lambda it: run(it, False)), f"doc_id {kind}, x long, n_tokens long, n_known long, base_ double, classes binary")
-    far = keyed.mapInArrow(lean(lambda it: run(it, True)), f"word binary, at binary, doc_id {kind}, x long")
-    looked_up = far.join(rare.select(F.col("word").alias("w_"), "n", "class"), F.col("word") == F.col("w_"), "left")
-    looked_up = looked_up.groupBy(F.col("doc_id").alias("d_"), F.col("x").alias("x_")).agg(F.collect_set(F.struct("at", "n", "class")).alias("found"))
-    out = near.join(looked_up, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("x") == F.col("x_")), "left")
-    return out.select("doc_id", "n_tokens", "n_known", "base_", "classes", "found").mapInArrow(lean(fill), f"doc_id {kind}, n_tokens long, n_known long, base_ double, classes binary")
+            tags = np.frombuffer(b"".join(cells), np.uint8).copy()
+            lo, hi = (np.searchsorted(of, group[whole], side) for side in ("left", "right"))
+            row = np.repeat(np.arange(len(cells)), hi - lo)
+            one = np.arange(len(row)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
+            tags[begins[row] + at[one]] = tag[one]
+            n_known = n_known + np.bincount(row, weights=n[one] > 0, minlength=len(cells)).astype(np.int64)
+            base = base + np.bincount(row, weights=np.log10(n[one] + ADD), minlength=len(cells))
+            yield pa.RecordBatch.from_arrays([texts_.column(0), texts_.column(2), pa.array(n_known), pa.array(base), _binaries(tags, begins[:-1])], names=["doc_id", "n_tokens", "n_known", "base_", "classes"])
+
+    kind = dict(texts.dtypes)["doc_id"]
+    near = texts.select("doc_id", "x", "text").mapInArrow(lean(run), f"doc_id {kind}, x long, n_tokens long, n_known long, base_ double, classes binary")
+    both = near.unionByName(rare.select("doc_id", "x", "at", "n", "class"), allowMissingColumns=True)
+    dealt = both.repartition("doc_id", "x").sortWithinPartitions("doc_id", "x", F.col("classes").isNotNull())
+    return dealt.mapInArrow(lean(fill), f"doc_id {kind}, n_tokens long, n_known long, base_ double, classes binary")
 
 
 def perplexity(df: DataFrame) -> DataFrame:

@@ -189,8 +189,10 @@ def rows_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) ->
         yield batch.slice(begin)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096, most: int = 1 << 40) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows, or ``most`` bytes, or more in which no group is cut, from batches that are sorted by ``keys``."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096, most: int = 1 << 40, free: str | None = None) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows, or ``most`` bytes, or more in which no group is cut, from batches that are sorted by ``keys``.
+
+    ``free``: a column that is true for rows, a group's last ones, between which it may be cut."""
     held: list[pa.RecordBatch] = []
     n = size = 0
     for b in batches:
@@ -202,6 +204,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         if n < rows and size < most:
             continue
         t = pa.Table.from_batches(held)
+        if free and t.column(free)[n - 1].as_py():
+            yield t
+            held, n, size = [], 0, 0
+            continue
         last = [t.column(k)[n - 1].as_py() for k in keys]
         lo, hi = 0, n - 1  # the last group's first row
         while lo < hi:
