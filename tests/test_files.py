@@ -157,3 +157,22 @@ def test_saved_model_and_generator(spark, tmp_path):
     assert {r.response for r in sinks.generated(df.limit(2), "text", lambda texts: [" ok " for _ in texts]).collect()} == {"ok"}
     sinks.write_dataset(synth.generate(spark, 6), str(tmp_path / "d"))
     assert spark.read.option("header", True).csv(str(tmp_path / "d/csv")).count() == spark.read.json(str(tmp_path / "d/json")).count() == 6
+
+
+def test_files_are_extracted_in_slices(spark):
+    """A batch out for a slice of files, not for each file, and a large file alone."""
+    import pyarrow as pa
+
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    content = [b"a%d " % i for i in range(100)] + [b"b" * (5 << 20), b"\xff", None, b" "]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.txt" for i in range(104)]), pa.array(["txt"] * 104), pa.array(content, pa.binary())], names=["path", "kind", "content"])
+    out = list(files.extract(Caught())(iter([batch])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [b.num_rows for b in out] == [100, 1, 3] and [r["text"] for r in rows[:100]] == [f"a{i}" for i in range(100)]
+    assert [r["reason"] for r in rows[100:]] == [None, "UnicodeDecodeError", "no content", "no text"] and [r["ok"] for r in rows[99:102]] == [True, True, False]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,12 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) ->
             yield b.slice(begin)
 
 
+def given_back() -> None:
+    """At the end of a task: memory that a worker has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir). Only a session of one process may go without."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

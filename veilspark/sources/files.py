@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.frames import given_back, sliced
 from veilspark.sources import docx, html
 from veilspark.sources.csv_scan import read_csv
 from veilspark.sources.router import kind
@@ -78,10 +79,11 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | No
         return text, None if text else "no text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):  # a file at a time: content can be large
-                text, reason = one(b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([text]), pa.array([text != ""]), pa.array([reason], pa.string())], names=["path", "kind", "text", "ok", "reason"])
+        for b in sliced(batches, 2):  # a large file is a slice of its own
+            found = [one(k, content.as_py()) for k, content in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+            texts, reasons = ([x[i] for x in found] for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([t != "" for t in texts]), pa.array(reasons, pa.string())], names=["path", "kind", "text", "ok", "reason"])
+        given_back()
 
     return source.mapInArrow(run, "path string, kind string, text string, ok boolean, reason string")
 

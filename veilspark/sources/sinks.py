@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.frames import fresh, same_columns, sliced
+from veilspark.functions.frames import fresh, given_back, same_columns, sliced
 from veilspark.sources import docx
 from veilspark.sources.router import extension
 
@@ -65,6 +65,7 @@ def rendered(df: DataFrame, name: str = "filename", text: str = "text", pdf: Cal
             for t, ext, page in zip(*(b.column(len(keep) + k).to_pylist() for k in range(3)), strict=True):
                 out.append(None if t is None else docx.write(t) if ext == "docx" else page.encode() if ext == "html" else pdf(t) if ext == "pdf" and pdf else t.encode())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "content"])
+        given_back()
 
     return made.mapInArrow(run, schema)
 
