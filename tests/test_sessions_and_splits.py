@@ -84,3 +84,29 @@ def test_reasons_of_failures(spark):
     out = files.extract(spark.createDataFrame(made, "path string, content binary"))
     assert {r.path: r.reason for r in out.collect()} == {"a.txt": None, "b.txt": "UnicodeDecodeError", "c.docx": "BadZipFile", "d.docx": None, "e.pdf": "no extractor for pdf", "f.zip": "unknown kind", "g.txt": "no text", "h.html": "no content"}
     assert tuple(files.batch_report(out).first()) == (8, 2) and files.failures(out).agg(F.sum("files")).first()[0] == 6
+
+
+def test_a_session_step_reads_its_rows_as_columns(spark):
+    """No frame is cut or looked up for each session and batch: that was most of a batch's time."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    class Columns(dict):
+        def __len__(self):
+            return len(rows)
+
+    class Caught:
+        def __getattr__(self, _):
+            return lambda *_: self
+
+        def applyInPandasWithState(self, step, *_):  # noqa: N802
+            return step
+
+    kept = []
+    state = SimpleNamespace(exists=False, hasTimedOut=False, get=None, update=kept.append, setTimeoutTimestamp=lambda _: None, getCurrentWatermarkMs=lambda: 0)
+    rows = [("active", "2024-01-01T00:00:05"), ("closed", "2024-01-01T00:00:07"), ("closed", "NaT"), ("active", "2024-01-01T00:00:07")]
+    part = Columns(status=SimpleNamespace(to_numpy=lambda: np.array([r[0] for r in rows], object)), ts=SimpleNamespace(to_numpy=lambda: np.array([r[1] for r in rows], "datetime64[ns]")))
+    (out,) = live.session_updates(Caught())(("s",), iter([part]), state)
+    at = int(np.datetime64("2024-01-01T00:00:07", "us").astype(int))
+    assert kept == [("closed", at, at, 3)] and out.to_dict("records")[0]["operations"] == 3

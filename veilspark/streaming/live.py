@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,31 +69,34 @@ def session_updates(events: DataFrame, idle: str = "30 minutes", late: str = "10
     that isn't closed, and whose newest event is ``idle`` behind the watermark, becomes idle, by a timer of its own; a later event opens it again, with its counts.
     Events without a session or a time don't count, nor do those that come ``late`` behind the newest."""
     gap = pd.Timedelta(idle)
-    us = lambda t: int(t.value // 1000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, newest, closed, n = state.get if state.exists else (None, None, None, 0)
         if state.hasTimedOut:
             status = "idle"
-        for part in parts:
-            part = part[part.ts.notna()]
+        for part in parts:  # arrays, as most sessions have a few rows in a batch
             if not len(part):
                 continue
-            n += len(part)
-            top = part.loc[part.ts.idxmax()]
-            if newest is None or us(top.ts) >= newest:
-                status, newest = top.status, us(top.ts)
-            over = part[part.status == "closed"]
+            ts, said = part["ts"].to_numpy(), part["status"].to_numpy()
+            known = ~np.isnat(ts)
+            if not known.any():
+                continue
+            us, said = ts[known].astype("datetime64[us]").astype(np.int64), said[known]
+            n += len(us)
+            top = int(us.argmax())
+            if newest is None or us[top] >= newest:
+                status, newest = said[top], int(us[top])
+            over = us[said == "closed"]
             if len(over):
-                closed = max(us(over.ts.max()), closed if closed is not None else us(over.ts.max()))
+                closed = max(int(over.max()), closed if closed is not None else int(over.max()))
         if newest is None:
             return
         state.update((status, newest, closed, n))
         due = (newest // 1000) + int(gap.total_seconds() * 1000)
         if status not in ("closed", "idle"):
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        time = lambda x: pd.Timestamp(x, unit="us") if x is not None else pd.NaT
-        yield pd.DataFrame({"session_id": [key[0]], "status": [status], "closed_at": [time(closed)], "last_activity": [time(newest)], "operations": [n]})
+        time = lambda x: np.array(["NaT" if x is None else x], "datetime64[us]").astype("datetime64[ns]")
+        yield pd.DataFrame({"session_id": [key[0]], "status": [status], "closed_at": time(closed), "last_activity": time(newest), "operations": [n]})
 
     rows = events.where("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     return rows.groupBy("session_id").applyInPandasWithState(step, SESSION, "status string, newest long, closed long, n long", "update", GroupStateTimeout.EventTimeTimeout)
