@@ -139,3 +139,14 @@ def test_a_large_scan_makes_more_tasks(spark, tmp_path, monkeypatch):
     assert t.spread(t.orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(plans.Tables, "ROWS", 90)
     assert t.spread(t.orders).rdd.getNumPartitions() == 12 and t.spread(t.orders).count() == 1000
+
+
+def test_counts_of_texts_that_lack_what_a_pattern_needs(spark):
+    """A text is kept from a pattern only where that can't match, whatever the case and script of its signs."""
+    texts = [None, "", "no sign", "a@b.co", "ID ABCDEF", "ıd:abcdef", "İD-abcdef", "id", "IRİS", "ırıſ", "BİOMETRIC", "fİngerprint", "ﬁngerprint", "FACEID", "faceıd", "+٣٤ ١٢٣٤٥٦٧٨٩", "DE89370400440532013000", "2020-01-02", "EUR 1", "ü account 123", "account ١٢٣", "123456-12"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = [F.regexp_count("text", F.lit(p.java)).cast("long").alias(f"n_{p.type.lower()}") for p in PATTERNS]
+    assert df.select("text", *detect.counts(F.col("text"))).collect() == df.select("text", *plain).collect()
+    plan = df.select(detect.count(F.col("text"), PATTERNS[1]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper()
+    assert all(detect.found(t, compiled()) == [sum(1 for _ in r.finditer(t)) for _, r, _ in compiled()] for t in texts if t)

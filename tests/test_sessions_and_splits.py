@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from veilspark.operators import audit, classify, metrics
@@ -110,3 +111,22 @@ def test_a_session_step_reads_its_rows_as_columns(spark):
     (out,) = live.session_updates(Caught())(("s",), iter([part]), state)
     at = int(np.datetime64("2024-01-01T00:00:07", "us").astype(int))
     assert kept == [("closed", at, at, 3)] and out.to_dict("records")[0]["operations"] == 3
+
+
+def test_training_reads_its_texts_once(spark, tmp_path):
+    """Tokens, rules and hashes are made once for each labelled text, and the model is that of the whole pipeline on the same split."""
+    rows = [(i, f"the account {i} has a balance of EUR {i},00", "C4") for i in range(60)] + [(i, f"weather report number {i}", "C1") for i in range(60, 120)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    model, predicted = classify.train(df.withColumn("text", F.udf(seen).asNondeterministic()("text")), key="id")
+    assert predicted.count() == 24 and read.value == 120
+    data = classify.with_rule_features(classify.with_split(df, "id"), "text", "rules").withColumn("features_rules", array_to_vector("rules"))
+    whole = classify.training_pipeline().fit(data.where("NOT test"))
+    assert [type(s) for s in whole.stages] == [type(s) for s in model.stages]
+    cells = lambda p: sorted((r.actual, r.predicted, round(r.confidence, 6)) for r in p.collect())
+    assert cells(predicted) == cells(classify.predictions(data.where("test"), whole))

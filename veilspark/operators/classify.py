@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.frames import fresh
+from veilspark.functions.frames import fresh, scratch
 from veilspark.operators import detect
-from veilspark.operators.patterns import EXPLANATIONS, PATTERNS
+from veilspark.operators.patterns import EXPLANATIONS, compiled
 
 # Words that decide the level, the first list that has one wins; else C1.
 LEVEL_WORDS = {
@@ -88,14 +89,22 @@ def needs_approval(action: Column, level: Column) -> Column:
 
 
 def with_rule_features(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``, array<double> of 22: presence and count of each pattern, then the four word groups.
+    """``df`` with ``out``, array<double> of 22: presence and count of each pattern, then the four word groups; null for a null text.
 
-    Each pattern is counted once, and the text lowered once: both are arrays that the features are read from."""
-    found, low = fresh([*df.columns, out], "found", "low")
-    made = df.withColumn(found, F.array(*[detect.count(F.col(text), p) for p in PATTERNS])).withColumn(low, F.lower(text))
-    counts = F.flatten(F.transform(found, lambda n: F.array((n > 0).cast("double"), n.cast("double"))))
-    groups = F.array(*[_has_any(F.col(low), words).cast("double") for words in FEATURE_WORDS])
-    return made.withColumn(out, F.concat(counts, groups)).drop(found, low)
+    One Arrow pass, to which only the texts go."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        patterns, out = compiled(), []
+        for t in (x.as_py() for x in texts):
+            if t is None:
+                out.append(None)
+                continue
+            low = t.lower()
+            counts = [float(x) for n in detect.found(t, patterns) for x in (n > 0, n)]
+            out.append(counts + [float(any(w in low for w in words)) for words in FEATURE_WORDS])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return df.withColumn(out, F.arrow_udf(of, "array<double>")(F.col(text).cast("string")))
 
 
 def training_pipeline(kind: str = "logreg", ngram_max: int = 2, seed: int = 42):
@@ -122,10 +131,19 @@ def with_split(df: DataFrame, key: str, label: str = "label", test_size: float =
 
     A row's side follows from its key, the seed and the label's rows, so that it is the same under any partitioning and in any order; rows with one key and label stay
     together, on the side of the first. Each label's bound is found on a histogram of leading digits and then in one of its bins, so no label is sorted; one bound a label comes to the driver."""
-    names = fresh([*df.columns, out], "place", "bin")
-    place, bin_ = names
+    place, bin_ = fresh([*df.columns, out], "place", "bin")
+    rows = df.withColumn(place, _place(key, seed))
+    return rows.withColumn(out, _is_test(rows, place, bin_, label, test_size)).drop(place)
+
+
+def _place(key: str, seed: int) -> Column:
     text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = df.withColumn(place, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).withColumn(bin_, F.shiftright(place, 60 - BIN_DIGITS))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _is_test(df: DataFrame, place: str, bin_: str, label: str, test_size: float) -> Column:
+    """Whether a row of ``df``, which has its hash as ``place``, is tested on; ``bin_``: a name that is free."""
+    rows = df.select(label, place, F.shiftright(place, 60 - BIN_DIGITS).alias(bin_))
     sizes = rows.groupBy(F.col(label).alias("l"), F.col(bin_).alias("b")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("l").orderBy("b")
     counted = sizes.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("want", F.floor(F.sum("n").over(Window.partitionBy("l")) * test_size + 0.5))
@@ -135,28 +153,53 @@ def with_split(df: DataFrame, key: str, label: str = "label", test_size: float =
     test = F.lit(False)
     for r in bounds:
         test = test | (F.col(label).eqNullSafe(F.lit(r.l)) & (F.col(place) <= r.bound))
-    return rows.withColumn(out, test).drop(*names)
+    return test
 
 
 def train(df: DataFrame, kind: str = "logreg", test_size: float = 0.2, ngram_max: int = 2, seed: int = 42, key: str = "text"):
-    """Fit on a stratified split of (text, label) by ``key``; returns the model and predictions (actual, predicted, confidence) on the rest."""
+    """Fit on a stratified split of (text, label) by ``key``; returns the model and predictions (actual, predicted, confidence) on the rest.
+
+    Texts are read once: their rule features and hashed n-grams are written to the folder that driver and executors share, and everything that is fitted
+    reads them there. The folder is the caller's, as the predictions are still to be read from it."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import array_to_vector
 
-    split = with_split(df, key, "label", test_size, seed, fresh(df.columns, "test")[0])
-    test = split.columns[-1]
-    data = with_rule_features(split.select("text", "label", F.col(test).alias("test")), "text", "rules").select("text", "label", "test", array_to_vector("rules").alias("features_rules"))
-    model = training_pipeline(kind, ngram_max, seed).fit(data.where("NOT test").drop("test"))
-    return model, predictions(data.where("test").drop("test"), model)
+    data = df.select("text", "label", _place(key, seed).alias("place"))
+    data = with_rule_features(data, "text", "rules").withColumn("features_rules", array_to_vector("rules"))
+    stages, hashed = training_pipeline(kind, ngram_max, seed).getStages(), []
+    for s in stages:
+        if _reads_text(s):
+            data = s.transform(data)
+            hashed += [s.getOutputCol()] if s.hasParam("numFeatures") else []
+    path = scratch(df.sparkSession, "features")
+    data.select("label", "place", "features_rules", *hashed).write.parquet(path)
+    data = df.sparkSession.read.parquet(path)
+    data = data.withColumn("test", _is_test(data, "place", "bin", "label", test_size))
+    rows, fitted = data.where("NOT test"), []
+    for s in stages:
+        fitted.append(s.fit(rows) if hasattr(s, "fit") else s)
+        if not _reads_text(s) and s is not stages[-1]:
+            rows = fitted[-1].transform(rows)
+    model = PipelineModel(fitted)
+    return model, predictions(data.where("test"), model)
+
+
+def _reads_text(stage) -> bool:
+    """Whether a stage is one of those that lead from the text to its hashed n-grams, which nothing is fitted for."""
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    return isinstance(stage, RegexTokenizer | NGram | HashingTF)
 
 
 def predictions(rows: DataFrame, model) -> DataFrame:
-    """actual, predicted and confidence of rows with text, label and features_rules."""
+    """actual, predicted and confidence of rows with label, features_rules and text, or the text's hashed n-grams instead of it."""
     from pyspark.ml.functions import vector_to_array
 
     names = next(s.labels for s in model.stages if hasattr(s, "labels"))
     name = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
     for stage in model.stages:
-        rows = rows if hasattr(stage, "labels") else stage.transform(rows)
+        known = hasattr(stage, "labels") or (_reads_text(stage) and "text" not in rows.columns)
+        rows = rows if known else stage.transform(rows)
     return rows.select(F.col("label").alias("actual"), name.alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 

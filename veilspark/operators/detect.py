@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.frames import fresh, same_columns, sliced
 from veilspark.operators.patterns import PATTERNS, Pattern, compiled, may_match, types_of_level
 
+_DIGIT = re.compile(r"\d")
 DETECTION = pa.struct([("type", pa.string()), ("original", pa.string()), ("placeholder", pa.string())])
 DETECTIONS_SQL = "array<struct<type:string,original:string,placeholder:string>>"
 
@@ -136,8 +137,21 @@ def native_redacted(text: Column, spans: Column) -> Column:
 
 
 def count(text: Column, p: Pattern) -> Column:
-    """Number of matches of a pattern, JVM-side."""
-    return F.when(_ascii(text), F.regexp_count(text, F.lit(p.ascii))).otherwise(F.regexp_count(text, F.lit(p.java)))
+    """Number of matches of a pattern, JVM-side. Most texts lack what a pattern needs, so that only few meet the pattern itself."""
+    return F.when(~p.may_match(text), 0).when(_ascii(text), F.regexp_count(text, F.lit(p.ascii))).otherwise(F.regexp_count(text, F.lit(p.java)))
+
+
+def found(text: str, patterns: list[tuple[Pattern, re.Pattern, re.Pattern]]) -> list[int]:
+    """Number of matches of each of the patterns, like find(); those that need a sign which the text lacks aren't searched for."""
+    plain, digit = text.isascii(), _DIGIT.search(text)
+    low = text.lower() if plain else text
+
+    def n(p: Pattern, regex: re.Pattern, quick: re.Pattern) -> int:
+        if "@" not in text if p.type == "EMAIL" else not (digit or p.type in ("NATIONAL_ID", "BIOMETRIC")):
+            return 0
+        return len(p.spans(low, quick)) if plain else sum(1 for _ in regex.finditer(text))
+
+    return [n(*p) for p in patterns]
 
 
 def counts(text: Column) -> list[Column]:
