@@ -1,6 +1,7 @@
 """Hot keys, periodic texts, recall, ids of other types and clashing columns."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -458,3 +459,17 @@ def test_rows_alike_get_the_rare_words_of_each_other(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "SLICE_BYTES", 8)
     assert sorted(map(repr, brown_lm.scores(df).drop("score").collect())) == whole and len(whole) == len(rows)
     assert all(r.n_known == r.n_tokens for r in brown_lm.scores(df).collect())
+
+
+def test_rare_words_travel_in_packs(spark, monkeypatch):
+    """Rows that travel are as many as slices and packs, not as words and texts; what is in them is the same, however they are cut."""
+    rows = [(i, " ".join(f"r{(i * j) % 97}" for j in range(20)) + " a") for i in range(400)]
+    words = spark.sparkContext.broadcast([b"", b"a"])
+    texts = brown_lm.keyed(spark.createDataFrame(rows, "doc_id long, text string")).repartition(2)
+    packed = brown_lm.packed_words(texts, words, np.zeros(2, np.int64), np.ones((2, 2)), 3)
+    whole = sorted(map(repr, brown_lm.rare_words(texts, words, np.zeros(2, np.int64), np.ones((2, 2))).drop("first").collect()))
+    assert packed.count() <= 3 * 4 < len(whole) == sum(len({(i * j) % 97 for j in range(20)}) for i, _ in rows)
+    monkeypatch.setattr(brown_lm, "FLUSH", 5)
+    monkeypatch.setattr(brown_lm, "SLICE_BYTES", 100)
+    cut = brown_lm.rare_words(texts, words, np.zeros(2, np.int64), np.ones((2, 2)))
+    assert sorted(map(repr, cut.drop("first").collect())) == whole and cut.where("first").count() == len({w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()[:-1]})

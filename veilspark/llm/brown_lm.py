@@ -16,6 +16,7 @@ broadcast; the counts and classes of all other words, whose number grows with th
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import group_starts, lean, rows_by_bytes, stage, unstage, whole_groups
+from veilspark.llm.common import lean, rows_by_bytes, stage, unstage
 
 SEEDS = 1024  # words whose exchange is done one by one, on the driver; the classes of all others follow from there
 CLASSES = 64
@@ -36,6 +37,9 @@ SLICE_BYTES = 4 << 20
 GROUPS = 2048  # of frequent words that travel together while their neighbours are counted
 HELD = 2_000_000  # neighbours of a group that are held before they are added up
 ROWS = 2048  # words whose counts of classes are held at once
+PACK = 200_000  # rare tokens of training texts that one part of the words holds, about
+FEWEST = 1024  # parts of the rare words, and of the texts, at least
+NONE = 255  # the class of a word without one, in a byte
 ADD = 0.1
 END = b""  # the end of a text, as a word
 
@@ -273,19 +277,50 @@ def clustered(near: DataFrame, of: np.ndarray, k: int = CLASSES) -> tuple[np.nda
 
 
 def rare_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """A row for each text of ``docs`` (keyed()) and each word of it that isn't frequent: doc_id, x, the word's places ``at``, its count n among
-    training texts and its class, the one that its neighbours' classes there make likeliest (null: no training text has it). ``first`` marks one row of each word of the training texts.
+    """A row for each text of ``docs`` (keyed()) and each word of it that isn't frequent: x, y (a hash of doc_id), the word's places ``at``, its count n among
+    training texts and its class, the one that its neighbours' classes there make likeliest (null: no training text has it). ``first`` marks one row of each word of the training texts."""
 
-    Words travel once, with their neighbours' classes and their places. A word's rows of training texts, of which one task holds all, are as few as a word that
-    isn't frequent has; those of other texts go by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                key, size, at, n, tag, first = _entries(b.slice(i, 1).to_pydict())
+                cells = [at[hi - m : hi].tobytes() for m, hi in zip(size, np.cumsum(size), strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(key.T)), pa.array(cells, pa.binary()), pa.array(n), pa.array(tag.astype(np.int32), mask=tag == NONE), pa.array(first > 0)], names=["x", "y", "at", "n", "class", "first"])
+
+    return packed_words(docs, words, of, grid, FEWEST).mapInArrow(lean(run), "x long, y long, at binary, n long, class int, first boolean")
+
+
+def _entries(row: dict[str, list[bytes]]) -> list[np.ndarray]:
+    """Of a row of packed_words(): hashes (x, y), number of places, places, count, class, and whether a word's first, of each word of each text."""
+    kinds = {"key": np.int64, "size": np.int32, "at": np.int32, "n": np.int64, "class": np.uint8, "first": np.uint8}
+    key, *others = (np.frombuffer(row[c][0], kind) for c, kind in kinds.items())
+    return [key.reshape(-1, 2), *others]
+
+
+def _packs(of: np.ndarray, size: np.ndarray, columns: list[np.ndarray], long: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Entries by their packs ``of``: the packs that there are, and a binary cell for each of them, of the columns (a value an entry) and then of the long ones (``size`` values an entry)."""
+    order = np.argsort(of, kind="stable")
+    begins = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
+    ends = np.cumsum(size)
+    sized = size[order]
+    at = np.arange(sized.sum()) + np.repeat(ends[order] - np.cumsum(sized), sized)
+    starts = np.r_[0, np.cumsum(sized)][begins]
+    cells = [_binaries(c[order].reshape(-1), begins * (c.size // len(c))) for c in columns]
+    return of[order][begins], cells + [_binaries(c[at].reshape(-1), starts * (c.size // max(len(c), 1))) for c in long]
+
+
+def packed_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray, packs: int) -> DataFrame:
+    """rare_words() in few rows: those of a part of the texts (``pack``, x modulo ``packs``) that one task has found, as binary columns that _entries() reads.
+
+    On the way words travel once, with their neighbours' classes and their places, in a row for each slice of texts and part of the words.
+    A part's training words are held by one task; those of other texts, which nothing is counted of, go by."""
     k = len(grid) - 1
     shared = docs.sparkSession.sparkContext.broadcast((np.r_[of, k], grid))
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, classes = Symbols(words.value), shared.value[0]
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            now, text, flat = s.read(b.column(3).cast(pa.binary()).to_pylist())
+            now, text, flat = s.read(b.column(2).cast(pa.binary()).to_pylist())
             at = np.flatnonzero(now == s.n)
             if not len(at):
                 continue
@@ -293,44 +328,88 @@ def rare_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray) -> Data
             begins = np.searchsorted(text, np.arange(b.num_rows))
             number: dict[bytes, int] = {}
             word = np.array([number.setdefault(flat[i], len(number)) for i in at.tolist()], np.int64)
+            part = np.fromiter((zlib.crc32(w) % packs for w in number), np.int64, len(number))
             key = text[at] * len(number) + word
             order = np.argsort(key, kind="stable")
             key, at = key[order], at[order]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            of_text = pa.array(key[new] // len(number))
-            both = np.stack([before[at], after[at] + k + 1], 1).astype(np.uint8).reshape(-1)
-            columns = [pa.array(list(number), pa.binary()).take(pa.array(key[new] % len(number))), b.column(2).take(of_text), _binaries(both, 2 * new), _binaries((at - begins[text[at]]).astype(np.int32), new)]
-            yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(of_text), b.column(1).take(of_text)], names=["word", "held", "c", "at", "doc_id", "x"])
+            size = np.diff(np.r_[new, len(key)]).astype(np.int32)
+            word, row = key[new] % len(number), key[new] // len(number)
+            held = b.column(1).to_numpy(zero_copy_only=False)[row]
+            both = np.stack([before[at], after[at] + k + 1], 1).astype(np.uint8)
+            # the pack's words once, and the place of each entry's word among them
+            of_word = np.argsort(part, kind="stable")
+            place = np.empty(len(number), np.int64)
+            place[of_word] = np.arange(len(number)) - np.searchsorted(part[of_word], part[of_word])
+            names = np.array(list(number), object)[of_word]
+            bounds = np.searchsorted(part[of_word], [np.arange(packs), np.arange(1, packs + 1)])
+            hashes = np.stack([b.column(0).to_numpy()[row], b.column(3).to_numpy()[row]], 1)
+            packed, cells = _packs(part[word] * 2 + held, size, [place[word].astype(np.int32), hashes, size], [(at - begins[text[at]]).astype(np.int32), both])
+            blobs = [b"\n".join(names[bounds[0, g] : bounds[1, g]]) for g in (packed // 2).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array((packed // 2).astype(np.int32)), pa.array(packed % 2 == 1), pa.array(blobs, pa.binary()), *cells], names=["part", "held", "words", "word", "key", "size", "at", "c"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide, known = 2 * (k + 1), (None, 0, None)  # the last word of training texts, its count and class
-        for t in whole_groups(batches, ["word"], 4 * ROWS, free="held"):
-            starts = np.array(group_starts(t, ["word"]))
-            learnt = ~t.column("held").to_numpy()
-            n, tag, seen = np.zeros(len(starts) - 1, np.int64), np.zeros(len(starts) - 1, np.int32), learnt[starts[:-1]]
-            first_word, last_word = (t.column("word")[i].as_py() for i in (0, t.num_rows - 1))
-            row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            cells = t.column("c").filter(pa.array(learnt)).to_pylist()
-            size = np.fromiter(map(len, cells), np.int64, len(cells))
-            of_cell = np.repeat(row[learnt], size)
-            place = of_cell * wide + np.frombuffer(b"".join(cells), np.uint8)
-            for lo in range(0, len(n), ROWS):
-                hi = min(lo + ROWS, len(n))
-                mine = place[np.searchsorted(of_cell, lo) : np.searchsorted(of_cell, hi)] - lo * wide
-                near = np.bincount(mine, minlength=(hi - lo) * wide).reshape(-1, wide)
-                n[lo:hi] = near.sum(1) // 2
-                tag[lo:hi] = affinity(shared.value[1], near.astype(float)).argmax(1)
-            if not seen[0] and first_word == known[0]:
-                n[0], tag[0], seen[0] = known[1], known[2], True
-            if seen[-1]:
-                known = (last_word, n[-1], tag[-1])
-            first = np.zeros(t.num_rows, bool)
-            first[starts[:-1]] = learnt[starts[:-1]]
-            out = t.select(["doc_id", "x", "at"]).append_column("n", pa.array(n[row])).append_column("class", pa.array(tag[row], mask=~seen[row])).append_column("first", pa.array(first))
-            yield from out.combine_chunks().to_batches()
-
-    dealt = docs.mapInArrow(lean(run), f"word binary, held boolean, c binary, at binary, doc_id {kind}, x long")
-    return dealt.repartition("word").sortWithinPartitions("word", "held").mapInArrow(lean(assign), f"doc_id {kind}, x long, at binary, n long, class int, first boolean")
+        grid = shared.value[1]
+        out: list[tuple[np.ndarray, ...]] = []
+        part, index, learnt, n, tag = None, {}, [], np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+        def known() -> None:
+            """Counts and classes of the part's words, from its training texts, whose entries can go on then."""
+            nonlocal n, tag, learnt
+            if learnt:
+                word, size, c = (np.concatenate([r[i] for r in learnt]) for i in (0, 2, 4))
+                n, tag = _rare_classes(np.repeat(word, size), c, len(index), grid)
+                first = np.zeros(len(word), np.uint8)
+                first[np.unique(word, return_index=True)[1]] = 1
+                out.append((word, np.concatenate([r[1] for r in learnt]), size, np.concatenate([r[3] for r in learnt]), n[word], tag[word], first))
+                learnt = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                _, key, size, at, n_, tag_, first = (np.concatenate([o[i] for o in out]) for i in range(7))
+                out.clear()
+                packed, cells = _packs(key[:, 0] % packs, size, [key, size, n_, tag_, first], [at])
+                yield pa.RecordBatch.from_arrays([pa.array(packed.astype(np.int32)), *cells], names=["pack", "key", "size", "n", "class", "first", "at"])
+
+        for b in rows_by_bytes(batches, "at", SLICE_BYTES):
+            for g, held, blob, *cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != part:
+                    known()
+                    part, index, n, tag = g, {}, np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                word, key, size, at = (np.frombuffer(c, kind) for c, kind in zip(cells, (np.int32, np.int64, np.int32, np.int32), strict=False))
+                names = blob.split(b"\n")
+                if held:
+                    known()
+                    word = np.fromiter((index.get(w, len(n)) for w in names), np.int64, len(names))[word]
+                    out.append((word, key.reshape(-1, 2), size, at, np.r_[n, 0][word], np.r_[tag, np.uint8(NONE)][word], np.zeros(len(word), np.uint8)))
+                else:
+                    # a pack's words may be those of texts that aren't learnt from: only words with an entry here are known
+                    used = np.unique(word)
+                    place = np.zeros(len(names), np.int64)
+                    place[used] = [index.setdefault(names[i], len(index)) for i in used.tolist()]
+                    learnt.append((place[word], key.reshape(-1, 2), size, at, np.frombuffer(cells[4], np.uint8).reshape(-1, 2)))
+                if sum(len(o[0]) for o in out) > FLUSH or len(out) > ROWS:
+                    yield from flush()
+        known()
+        yield from flush()
+
+    form = "part int, held boolean, words binary, word binary, key binary, size binary, at binary, c binary"
+    dealt = docs.select("x", "held", "text", F.xxhash64("doc_id").alias("y")).mapInArrow(lean(run), form)
+    return dealt.repartition("part").sortWithinPartitions("part", "held").mapInArrow(lean(assign), "pack int, key binary, size binary, n binary, class binary, first binary, at binary")
+
+
+def _rare_classes(word: np.ndarray, c: np.ndarray, n_words: int, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of the words stands, and its class, from a row of neighbours' classes (left, right) for each place."""
+    wide = 2 * len(grid)
+    order = np.argsort(word, kind="stable")
+    word, c = word[order], c[order]
+    n, tag = np.bincount(word, minlength=n_words), np.zeros(n_words, np.uint8)
+    for lo in range(0, n_words, ROWS):
+        hi = min(lo + ROWS, n_words)
+        mine = slice(*np.searchsorted(word, (lo, hi)))
+        near = np.bincount(((word[mine, None] - lo) * wide + c[mine]).reshape(-1), minlength=(hi - lo) * wide).reshape(-1, wide)
+        tag[lo:hi] = affinity(grid, near.astype(float)).argmax(1)
+    return n, tag
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -440,11 +519,12 @@ def scores(docs: DataFrame) -> DataFrame:
         of[:first] = exchange(_first_pairs(near.where(F.col("id") < first), len(words), first), k)[:first]
     of, grid = clustered(near, of, k)
     texts = keyed(docs)
-    rare = stage(rare_words(texts, shared, of, grid), "rare")
+    packs = min(max(int(n_train - n.sum()) // PACK, FEWEST), 1 << 16)
+    rare = stage(packed_words(texts, shared, of, grid, packs), "rare")
     # tokens and words of each class
     mass, kinds = np.bincount(of, weights=n, minlength=k), np.bincount(of, minlength=k).astype(float)
     few = np.zeros(k)
-    for r in rare.where("first").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+    for r in rare.select("n", "class", "first").mapInArrow(lean(lambda it: _class_sums(it, k)), "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         mass[r["class"]] += r.n
         few[r["class"]] = r.v
     unseen = int(few.argmax())
@@ -452,7 +532,7 @@ def scores(docs: DataFrame) -> DataFrame:
     kinds[unseen] += 1
     inner = np.log10(mass + ADD * np.maximum(kinds, 1))
     known = spark.sparkContext.broadcast((of, np.log10(n + ADD)))
-    tagged = stage(_tagged(texts, shared, known, rare, unseen), "classes")
+    tagged = stage(_tagged(texts, shared, known, rare, unseen, packs), "classes")
     unstage(counts, near, rare)
     end = int(of[words.index(END)]) if END in words else unseen
     pairs = np.zeros((k, k))
@@ -517,56 +597,78 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("x"), held_out(F.col("doc_id")).alias("held"), text.alias("text"))
 
 
-def _tagged(texts: DataFrame, words, known, rare: DataFrame, unseen: int) -> DataFrame:
+def _class_sums(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Tokens and words of each class, from rows of packed_words()."""
+    total = np.zeros((2, k), np.int64)
+    for b in batches:
+        n, tag, first = (np.frombuffer(b"".join(c.to_pylist()), kind) for c, kind in zip(b.columns, (np.int64, np.uint8, np.uint8), strict=True))
+        total[0] += np.bincount(tag[first > 0], weights=n[first > 0], minlength=k).astype(np.int64)
+        total[1] += np.bincount(tag[first > 0], minlength=k)
+    some = np.flatnonzero(total[1])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *map(pa.array, np.ascontiguousarray(total[:, some]))], names=["class", "n", "v"])
+
+
+def _tagged(texts: DataFrame, words, known, rare: DataFrame, unseen: int, packs: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_ (sum of log10(n + 0.1)) and the class of each token, a byte each, of every row of ``texts`` (keyed())."""
-    none = 255
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, (of, log_count) = Symbols(words.value), known.value
-        classes, log_count = np.r_[of, none].astype(np.uint8), np.r_[log_count, 0.0]
+        classes, log_count = np.r_[of, NONE].astype(np.uint8), np.r_[log_count, 0.0]
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            now, text, _ = s.read(b.column(2).cast(pa.binary()).to_pylist())
+            now, text, _ = s.read(b.column(4).cast(pa.binary()).to_pylist())
             begins = np.searchsorted(text, np.arange(b.num_rows))
             total = lambda v: np.bincount(text, weights=v, minlength=b.num_rows)  # noqa: B023, E731
-            columns = [b.column(0), b.column(1), pa.array(np.bincount(text, minlength=b.num_rows)), pa.array(total(now < s.n).astype(np.int64)), pa.array(total(log_count[now])), _binaries(classes[now], begins)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "n_tokens", "n_known", "base_", "classes"])
+            columns = [*b.columns[:4], pa.array(np.bincount(text, minlength=b.num_rows)), pa.array(total(now < s.n).astype(np.int64)), pa.array(total(log_count[now])), _binaries(classes[now], begins)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "pack", "x", "y", "n_tokens", "n_known", "base_", "classes"])
+
+    def apart(parts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """Places in order, by text; what rows alike bring more than once is held once."""
+        x, y, at, n, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((at, y, x))
+        new = np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0) | (np.diff(at[order]) != 0)]
+        return [[c[order[new]] for c in (x, y, at, n, tag)]]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Puts in the rare words, which come ahead of the rows of their id and text; what rows alike bring more than once is held once."""
-        last, held = None, [np.zeros(0, np.int64)] * 3  # places, counts and classes of the group that may go on
-        for b in rows_by_bytes(batches, "classes", SLICE_BYTES // 8):
-            starts = np.array(group_starts(pa.Table.from_batches([b]), ["doc_id", "x"]))
-            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            whole = b.column(5).is_valid().to_numpy(zero_copy_only=False)
-            first_key, last_key = ((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for i in (0, b.num_rows - 1))
-            words_, texts_ = b.filter(pa.array(~whole)), b.filter(pa.array(whole))
-            places = words_.column(6).to_pylist()
-            size = np.fromiter((len(p) // 4 for p in places), np.int64, len(places))
-            parts = [np.frombuffer(b"".join(places), np.int32).astype(np.int64), np.repeat(words_.column(7).to_numpy(), size), np.repeat(words_.column(8).fill_null(unseen).to_numpy(), size)]
-            of = np.repeat(group[~whole], size)
-            if last == first_key:
-                of, parts = np.r_[np.zeros(len(held[0]), np.int64), of], [np.r_[h, p] for h, p in zip(held, parts, strict=True)]
-            order = np.lexsort((parts[0], of))
-            order = order[np.r_[True, (np.diff(of[order]) != 0) | (np.diff(parts[0][order]) != 0)]] if len(order) else order
-            of, (at, n, tag) = of[order], [p[order] for p in parts]
-            last, held = last_key, [x[of == group[-1]] for x in (at, n, tag)]
-            if not texts_.num_rows:
-                continue
-            n_known, base, cells = texts_.column(3).to_numpy(), texts_.column(4).to_numpy(), texts_.column(5).to_pylist()
-            begins = np.cumsum([0, *map(len, cells)])
-            tags = np.frombuffer(b"".join(cells), np.uint8).copy()
-            lo, hi = (np.searchsorted(of, group[whole], side) for side in ("left", "right"))
-            row = np.repeat(np.arange(len(cells)), hi - lo)
-            one = np.arange(len(row)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
-            tags[begins[row] + at[one]] = tag[one]
-            n_known = n_known + np.bincount(row, weights=n[one] > 0, minlength=len(cells)).astype(np.int64)
-            base = base + np.bincount(row, weights=np.log10(n[one] + ADD), minlength=len(cells))
-            yield pa.RecordBatch.from_arrays([texts_.column(0), texts_.column(2), pa.array(n_known), pa.array(base), _binaries(tags, begins[:-1])], names=["doc_id", "n_tokens", "n_known", "base_", "classes"])
+        """Puts in the rare words, which come ahead of the texts of their pack."""
+        pack, parts, size, place = None, [], 0, None
+        for b in rows_by_bytes(rows_by_bytes(batches, "classes", SLICE_BYTES // 8), "key", SLICE_BYTES):
+            out: list[tuple[int, int, float, bytes]] = []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                if row[0] != pack:
+                    pack, parts, size, place = row[0], [], 0, None
+                if row[6] is None:
+                    key, m, at, n, tag, _ = _entries({c: [x] for c, x in zip(("key", "size", "n", "class", "first", "at"), row[7:], strict=True)})
+                    parts.append([*(np.repeat(c, m) for c in (key[:, 0], key[:, 1])), at, np.repeat(n, m), np.repeat(tag, m)])
+                    size += len(at)
+                    if size > HELD and len(parts) > 1:
+                        parts = apart(parts)
+                        size = len(parts[0][0]) // 2
+                    continue
+                if place is None:
+                    place = {}
+                    if parts:
+                        x, y, at, n, tag = apart(parts)[0]
+                        bounds = np.r_[np.flatnonzero(np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]), len(x)]
+                        place = dict(zip(zip(x[bounds[:-1]].tolist(), y[bounds[:-1]].tolist(), strict=True), zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), strict=True))
+                        tag, log, parts = np.where(tag == NONE, np.uint8(unseen), tag), np.log10(n + ADD), []
+                _, x_, y_, _, n_known, base, cell = row[:7]
+                if span := place.get((x_, y_)):
+                    mine = slice(*span)
+                    tags = np.frombuffer(cell, np.uint8).copy()
+                    tags[at[mine]] = tag[mine]
+                    out.append((i, n_known + int((n[mine] > 0).sum()), base + float(log[mine].sum()), tags.tobytes()))
+                else:
+                    out.append((i, n_known, base, cell))
+            if out:
+                rows, n_known, base, cells = zip(*out, strict=True)
+                rows = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(4).take(rows), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(cells, pa.binary())], names=["doc_id", "n_tokens", "n_known", "base_", "classes"])
 
     kind = dict(texts.dtypes)["doc_id"]
-    near = texts.select("doc_id", "x", "text").mapInArrow(lean(run), f"doc_id {kind}, x long, n_tokens long, n_known long, base_ double, classes binary")
-    both = near.unionByName(rare.select("doc_id", "x", "at", "n", "class"), allowMissingColumns=True)
-    dealt = both.repartition("doc_id", "x").sortWithinPartitions("doc_id", "x", F.col("classes").isNotNull())
+    rows = texts.select("doc_id", F.pmod("x", F.lit(packs)).cast("int").alias("pack"), "x", F.xxhash64("doc_id").alias("y"), "text")
+    near = rows.mapInArrow(lean(run), f"doc_id {kind}, pack int, x long, y long, n_tokens long, n_known long, base_ double, classes binary")
+    both = near.unionByName(rare.select("pack", "key", "size", "n", "class", "first", "at"), allowMissingColumns=True)
+    dealt = both.repartition("pack").sortWithinPartitions("pack", F.col("classes").isNotNull())
     return dealt.mapInArrow(lean(fill), f"doc_id {kind}, n_tokens long, n_known long, base_ double, classes binary")
 
 
