@@ -473,3 +473,45 @@ def test_rare_words_travel_in_packs(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "SLICE_BYTES", 100)
     cut = brown_lm.rare_words(texts, words, np.zeros(2, np.int64), np.ones((2, 2)))
     assert sorted(map(repr, cut.drop("first").collect())) == whole and cut.where("first").count() == len({w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()[:-1]})
+
+
+def test_slices_of_a_task_share_rows_of_packs(spark, monkeypatch):
+    """A task sends a row for each part of what it has read, not of each slice; long words are sent on by their bytes."""
+    made = []
+    monkeypatch.setattr(brown_lm, "lean", lambda run: made.append(run) or run)
+    monkeypatch.setattr(brown_lm, "SLICE_BYTES", 100)
+    words = spark.sparkContext.broadcast([b"", b"a", b"b"])
+    texts = [" ".join(f"r{(i * j) % 97}" for j in range(20)) + " a b" for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"x": list(range(400)), "held": [i % 10 == 0 for i in range(400)], "text": texts, "y": list(range(400))})
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    brown_lm.neighbours(df, words)
+    assert sum(b.num_rows for b in made.pop(0)(iter([batch.select(["text"])]))) == 3  # a row for each word's group
+    made.clear()
+    brown_lm.packed_words(brown_lm.keyed(df), words, np.zeros(3, np.int64), np.ones((2, 2)), 3)
+    assert sum(b.num_rows for b in made[0](iter([batch]))) == 2 * 3  # parts, learnt from and held out
+    monkeypatch.setattr(brown_lm, "NAME_BYTES", 1000)
+    cut = [b for b in made[0](iter([batch]))]
+    assert len(cut) > 10 and sum(len(s) for b in cut for s in b.column("size").to_pylist()) // 4 == sum(len({*t.split()} - {"a", "b"}) for t in texts)
+
+
+def test_words_are_split_by_arrow_as_by_python():
+    texts = [chr(i).join(["A", "B", "", ""]) for i in range(0x180)] + [None, "", " ", "\t\r\n", " a", "a ", "a  \x0b\x0cB\u3000C\x85d \x1c e"]
+    want = [brown_lm.tokens(None if t is None else t.encode()) for t in texts]
+    assert brown_lm.split_tokens(pa.array(texts)).to_pylist() == want
+    assert brown_lm.split_tokens(pa.array(texts).slice(100, 280)).to_pylist() == want[100:380]
+    number, text, flat = brown_lm.Symbols([b"b", b"", b"a"]).read(pa.array(texts))
+    assert flat.to_pylist() == [w for ws in want for w in ws] and text.tolist() == [i for i, ws in enumerate(want) for _ in ws]
+    assert number.tolist() == [{b"b": 0, b"": 1, b"a": 2}.get(w, 3) for ws in want for w in ws]
+
+
+def test_words_of_one_place_get_the_class_that_the_counts_give():
+    r = np.random.default_rng(3)
+    k = 6
+    grid = r.integers(1, 400, (k + 1, k + 1)).astype(float)
+    word = np.r_[np.arange(60), r.integers(30, 60, 90)]
+    c = np.stack([r.integers(0, k + 1, 150), r.integers(0, k + 1, 150) + k + 1], 1).astype(np.uint8)
+    near = np.zeros((60, 2 * (k + 1)))
+    np.add.at(near, (word, c[:, 0]), 1)
+    np.add.at(near, (word, c[:, 1]), 1)
+    n, tag = brown_lm._rare_classes(word, c, 60, grid, brown_lm._single_classes(grid))
+    assert (n == np.bincount(word)).all() and (n == 1).sum() >= 30 and (tag == brown_lm.affinity(grid, near).argmax(1)).all()

@@ -17,12 +17,12 @@ broadcast; the counts and classes of all other words, whose number grows with th
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,8 @@ SEEDS = 1024  # words whose exchange is done one by one, on the driver; the clas
 CLASSES = 64
 GAIN = 1e-4  # nats a token: the exchange of all frequent words ends when a round brings less
 FREQUENT = 131_072  # words whose counts are broadcast and that take part in the exchange, at most
-FLUSH = 400_000  # distinct words that a task holds while it counts
+FLUSH = 400_000  # distinct words that a task holds while it counts; rare words of texts that it holds until they are packed
+NAME_BYTES = 32 << 20  # of words that it holds, about
 SLICE_BYTES = 4 << 20
 GROUPS = 2048  # of frequent words that travel together while their neighbours are counted
 HELD = 2_000_000  # neighbours of a group that are held before they are added up
@@ -49,6 +50,13 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def split_tokens(text: pa.Array) -> pa.ListArray:
+    """tokens() of each text, by Arrow; words are binary."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(text.cast(pa.string()), "")))
+    text = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(text, "", " "))  # what follows the last space is the end
+    return pc.ascii_split_whitespace(text).cast(pa.list_(pa.binary()))
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that aren't learnt from: crc32 of the id as text, mod 10, is 0. A null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -58,20 +66,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary) and n over all rows of ``docs`` (column text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        size = most = 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+        def added() -> tuple[pa.Array, np.ndarray]:
+            word = pa.concat_arrays([h[0] for h in held]).dictionary_encode()
+            n = np.bincount(word.indices.to_numpy(), weights=np.concatenate([h[1] for h in held]), minlength=len(word.dictionary))
+            return word.dictionary, n.astype(np.int64)
 
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                held.update(tokens(t))
-            if len(held) > FLUSH:
-                yield flush()
+            word = split_tokens(b.column(0)).flatten().dictionary_encode()
+            held.append((word.dictionary, np.bincount(word.indices.to_numpy(), minlength=len(word.dictionary))))
+            size, most = size + len(word.dictionary), most + word.dictionary.nbytes
+            if size > 2 * FLUSH or most > NAME_BYTES:
+                held = [added()]
+                size, most = len(held[0][0]), held[0][0].nbytes
+                if size > FLUSH or most > NAME_BYTES // 2:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], names=["word", "n"])
+                    held, size, most = [], 0, 0
         if held:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([*map(pa.array, added())], names=["word", "n"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -80,15 +94,19 @@ class Symbols:
     """The frequent words, by number; all others have the number after the last."""
 
     def __init__(self, words: list[bytes]):
-        self.index = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.n = len(words)
-        self.end = self.index.get(END, self.n)
+        self.end = words.index(END) if END in words else self.n
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
         """For all tokens of the texts: number, text number; and the tokens."""
-        parts = list(map(tokens, texts))
-        flat = [w for p in parts for w in p]
-        return np.fromiter(map(self.index.get, flat, repeat(self.n)), np.int64, len(flat)), np.repeat(np.arange(len(parts)), list(map(len, parts))), flat
+        lists = split_tokens(texts)
+        flat = lists.flatten().dictionary_encode()
+        number = self.numbers(flat.dictionary)[flat.indices.to_numpy()]
+        return number, np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), flat
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.words), self.n).to_numpy().astype(np.int64)
 
 
 def _previous(symbol: np.ndarray, text: np.ndarray, end: int) -> np.ndarray:
@@ -113,15 +131,29 @@ def neighbours(docs: DataFrame, words) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Symbols(words.value)
-        for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            now, text, _ = s.read(b.column(0).cast(pa.binary()).to_pylist())
-            before = _previous(now, text, s.end)
-            word, at = np.r_[now[now < s.n], before[before < s.n]], np.r_[before[now < s.n], (now + s.n + 1)[before < s.n]]
-            if len(word):  # words that follow each other in frequency are in different groups
-                code, count = np.unique((word % GROUPS * inner + word // GROUPS) * unit + at, return_counts=True)
-                group = code // (inner * unit)
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pair, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            before, now = np.divmod(pair, s.n + 1)
+            left, right = np.flatnonzero(now < s.n), np.flatnonzero(before < s.n)
+            if len(left) or len(right):  # words that follow each other in frequency are in different groups
+                word, at = np.r_[now[left], before[right]], np.r_[before[left], now[right] + s.n + 1]
+                group = (word % GROUPS).astype(np.uint16)
+                order = np.argsort(group, kind="stable")
+                group = group[order]
                 begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(group[begins].astype(np.int32)), _binaries((code % (inner * unit)).astype(np.int32), begins), _binaries(count.astype(np.int32), begins)], names=["id", "at", "n"])
+                code, n = (word // GROUPS * unit + at).astype(np.int32)[order], np.r_[count[left], count[right]].astype(np.int32)[order]
+                yield pa.RecordBatch.from_arrays([pa.array(group[begins].astype(np.int32)), _binaries(code, begins), _binaries(n, begins)], names=["id", "at", "n"])
+
+        for b in rows_by_bytes(batches, "text", SLICE_BYTES):
+            now, text, _ = s.read(b.column(0))
+            held.append(_previous(now, text, s.end) * (s.n + 1) + now)
+            if sum(map(len, held)) > HELD:
+                yield from flush()
+        if held:
+            yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, code, total in _merged(batches):
@@ -144,8 +176,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     group, parts, size = None, [], 0
 
     def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        code, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return code, np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        code = np.concatenate([p[0] for p in parts])
+        order = np.argsort(code)
+        code = code[order]
+        begins = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        return code[begins], np.add.reduceat(np.concatenate([p[1] for p in parts], dtype=np.int64)[order], begins)
 
     for b in rows_by_bytes(batches, "at", SLICE_BYTES):
         for g, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -187,7 +222,7 @@ def class_grid(near: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
         grid = np.zeros((k + 1, k + 1))
         for ids, c in contexts(batches, shared.value, k):
             mine = shared.value[ids]
-            np.add.at(grid, mine[mine < k], c[mine < k, k + 1 :])
+            grid[:k] += (mine == np.arange(k)[:, None]).astype(float) @ c[:, k + 1 :]
             grid[k, :k] += np.bincount(mine, weights=c[:, k], minlength=k + 1)[:k]
         some = np.flatnonzero(grid)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(grid.reshape(-1)[some])], names=["cell", "n"])
@@ -312,85 +347,122 @@ def _packs(of: np.ndarray, size: np.ndarray, columns: list[np.ndarray], long: li
 def packed_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray, packs: int) -> DataFrame:
     """rare_words() in few rows: those of a part of the texts (``pack``, x modulo ``packs``) that one task has found, as binary columns that _entries() reads.
 
-    On the way words travel once, with their neighbours' classes and their places, in a row for each slice of texts and part of the words.
+    On the way words travel once, with their neighbours' classes and their places, in a row for each FLUSH of them that a task has read and part of the words.
     A part's training words are held by one task; those of other texts, which nothing is counted of, go by."""
     k = len(grid) - 1
     shared = docs.sparkSession.sparkContext.broadcast((np.r_[of, k], grid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, classes = Symbols(words.value), shared.value[0]
+        out: list[tuple] = []  # of a slice: its rare words; of each of their entries: word, held, hashes, number of places; of each place: place, classes
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(o[1]) for o in out]
+            base = np.repeat(np.cumsum([0, *(len(o[0]) for o in out[:-1])]), sizes)
+            names = pa.concat_arrays([o[0] for o in out]).dictionary_encode()
+            word, held, hashes, size, at, both = (np.concatenate([o[i] for o in out]) for i in range(1, 7))
+            out.clear()
+            word, names = names.indices.to_numpy()[base + word], names.dictionary
+            part = np.fromiter(map(zlib.crc32, names.to_numpy(zero_copy_only=False)), np.int64, len(names)) % packs
+            pack = part[word] * 2 + held
+            # a pack's words once, and the place of each entry's word among them
+            known, of_word = np.unique(pack * len(names) + word, return_inverse=True)
+            begins = np.flatnonzero(np.r_[True, np.diff(known // len(names)) != 0])
+            place = np.arange(len(known)) - np.repeat(begins, np.diff(np.r_[begins, len(known)]))
+            packed, cells = _packs(pack, size, [place[of_word].astype(np.int32), hashes, size], [at, both])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(known)].astype(np.int32)), names.take(pa.array(known % len(names))))
+            return pa.RecordBatch.from_arrays([pa.array((packed // 2).astype(np.int32)), pa.array(packed % 2 == 1), pc.binary_join(lists, b"\n"), *cells], names=["part", "held", "words", "word", "key", "size", "at", "c"])
+
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            now, text, flat = s.read(b.column(2).cast(pa.binary()).to_pylist())
+            now, text, flat = s.read(b.column(2))
             at = np.flatnonzero(now == s.n)
             if not len(at):
                 continue
             before, after = classes[_previous(now, text, s.end)], classes[np.r_[now[1:], s.end]]
             begins = np.searchsorted(text, np.arange(b.num_rows))
-            number: dict[bytes, int] = {}
-            word = np.array([number.setdefault(flat[i], len(number)) for i in at.tolist()], np.int64)
-            part = np.fromiter((zlib.crc32(w) % packs for w in number), np.int64, len(number))
-            key = text[at] * len(number) + word
+            used, word = np.unique(flat.indices.to_numpy()[at], return_inverse=True)
+            key = text[at] * len(used) + word
             order = np.argsort(key, kind="stable")
             key, at = key[order], at[order]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[new, len(key)]).astype(np.int32)
-            word, row = key[new] % len(number), key[new] // len(number)
+            word, row = key[new] % len(used), key[new] // len(used)
             held = b.column(1).to_numpy(zero_copy_only=False)[row]
-            both = np.stack([before[at], after[at] + k + 1], 1).astype(np.uint8)
-            # the pack's words once, and the place of each entry's word among them
-            of_word = np.argsort(part, kind="stable")
-            place = np.empty(len(number), np.int64)
-            place[of_word] = np.arange(len(number)) - np.searchsorted(part[of_word], part[of_word])
-            names = np.array(list(number), object)[of_word]
-            bounds = np.searchsorted(part[of_word], [np.arange(packs), np.arange(1, packs + 1)])
             hashes = np.stack([b.column(0).to_numpy()[row], b.column(3).to_numpy()[row]], 1)
-            packed, cells = _packs(part[word] * 2 + held, size, [place[word].astype(np.int32), hashes, size], [(at - begins[text[at]]).astype(np.int32), both])
-            blobs = [b"\n".join(names[bounds[0, g] : bounds[1, g]]) for g in (packed // 2).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array((packed // 2).astype(np.int32)), pa.array(packed % 2 == 1), pa.array(blobs, pa.binary()), *cells], names=["part", "held", "words", "word", "key", "size", "at", "c"])
+            both = np.stack([before[at], after[at] + k + 1], 1).astype(np.uint8)
+            out.append((flat.dictionary.take(pa.array(used)), word, held, hashes, size, (at - begins[text[at]]).astype(np.int32), both))
+            if sum(len(o[4]) for o in out) > FLUSH or sum(len(o[5]) for o in out) > HELD or sum(o[0].nbytes for o in out) > NAME_BYTES:
+                yield flush()
+        if out:
+            yield flush()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = shared.value[1]
+        single = _single_classes(grid)
         out: list[tuple[np.ndarray, ...]] = []
-        part, index, learnt, n, tag = None, {}, [], np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        part, index, learnt, others, n, tag = None, None, [], [], np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        waiting = going = 0  # places in others, entries in out
+
+        def read(rows: list[tuple]) -> tuple[pa.Array, list[np.ndarray]]:
+            """The rows' names, one after the other, and their entries, which point to these."""
+            word, *others = (np.concatenate([r[i] for r in rows]) for i in range(1, len(rows[0])))
+            base = np.cumsum([0, *(len(r[0]) for r in rows[:-1])])
+            return pa.concat_arrays([r[0].cast(pa.large_binary()) for r in rows]), [np.repeat(base, [len(r[1]) for r in rows]) + word, *others]
 
         def known() -> None:
             """Counts and classes of the part's words, from its training texts, whose entries can go on then."""
-            nonlocal n, tag, learnt
+            nonlocal index, n, tag, learnt, going
             if learnt:
-                word, size, c = (np.concatenate([r[i] for r in learnt]) for i in (0, 2, 4))
-                n, tag = _rare_classes(np.repeat(word, size), c, len(index), grid)
+                names, (word, key, size, at, c) = read(learnt)
+                names = names.dictionary_encode()
+                word, index, learnt = names.indices.to_numpy()[word], names.dictionary, []
+                n, tag = _rare_classes(np.repeat(word, size), c, len(index), grid, single)
                 first = np.zeros(len(word), np.uint8)
                 first[np.unique(word, return_index=True)[1]] = 1
-                out.append((word, np.concatenate([r[1] for r in learnt]), size, np.concatenate([r[3] for r in learnt]), n[word], tag[word], first))
-                learnt = []
+                out.append((key, size, at, n[word], tag[word], first))
+                going += len(word)
+
+        def passed() -> None:
+            """Entries of the part's other texts go on with what is known of their words."""
+            nonlocal others, waiting, going
+            if others:
+                names, (word, key, size, at) = read(others)
+                found = np.full(len(names), len(n)) if index is None else pc.fill_null(pc.index_in(names, value_set=index), len(n)).to_numpy()
+                word, others, waiting = found[word], [], 0
+                going += len(word)
+                out.append((key, size, at, np.r_[n, 0][word], np.r_[tag, np.uint8(NONE)][word], np.zeros(len(word), np.uint8)))
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal going
             if out:
-                _, key, size, at, n_, tag_, first = (np.concatenate([o[i] for o in out]) for i in range(7))
+                going = 0
+                key, size, at, n_, tag_, first = (np.concatenate([o[i] for o in out]) for i in range(6))
                 out.clear()
                 packed, cells = _packs(key[:, 0] % packs, size, [key, size, n_, tag_, first], [at])
                 yield pa.RecordBatch.from_arrays([pa.array(packed.astype(np.int32)), *cells], names=["pack", "key", "size", "n", "class", "first", "at"])
 
         for b in rows_by_bytes(batches, "at", SLICE_BYTES):
-            for g, held, blob, *cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            names = pc.split_pattern(b.column(2), b"\n")
+            bounds, names = names.offsets.to_numpy(), names.values
+            for i, (g, held, *cells) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)), b.column(7), strict=True)):
                 if g != part:
                     known()
-                    part, index, n, tag = g, {}, np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                    passed()
+                    part, index, n, tag = g, None, np.zeros(0, np.int64), np.zeros(0, np.uint8)
                 word, key, size, at = (np.frombuffer(c, kind) for c, kind in zip(cells, (np.int32, np.int64, np.int32, np.int32), strict=False))
-                names = blob.split(b"\n")
+                row = names.slice(bounds[i], bounds[i + 1] - bounds[i]), word, key.reshape(-1, 2), size, at
                 if held:
                     known()
-                    word = np.fromiter((index.get(w, len(n)) for w in names), np.int64, len(names))[word]
-                    out.append((word, key.reshape(-1, 2), size, at, np.r_[n, 0][word], np.r_[tag, np.uint8(NONE)][word], np.zeros(len(word), np.uint8)))
+                    others.append(row)
+                    waiting += len(at)
+                    if waiting > FLUSH:
+                        passed()
                 else:
-                    # a pack's words may be those of texts that aren't learnt from: only words with an entry here are known
-                    used = np.unique(word)
-                    place = np.zeros(len(names), np.int64)
-                    place[used] = [index.setdefault(names[i], len(index)) for i in used.tolist()]
-                    learnt.append((place[word], key.reshape(-1, 2), size, at, np.frombuffer(cells[4], np.uint8).reshape(-1, 2)))
-                if sum(len(o[0]) for o in out) > FLUSH or len(out) > ROWS:
+                    learnt.append((*row, np.frombuffer(cells[4].as_buffer(), np.uint8).reshape(-1, 2)))
+                if going > FLUSH or len(out) > ROWS:
                     yield from flush()
         known()
+        passed()
         yield from flush()
 
     form = "part int, held boolean, words binary, word binary, key binary, size binary, at binary, c binary"
@@ -398,18 +470,39 @@ def packed_words(docs: DataFrame, words, of: np.ndarray, grid: np.ndarray, packs
     return dealt.repartition("part").sortWithinPartitions("part", "held").mapInArrow(lean(assign), "pack int, key binary, size binary, n binary, class binary, first binary, at binary")
 
 
-def _rare_classes(word: np.ndarray, c: np.ndarray, n_words: int, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each of the words stands, and its class, from a row of neighbours' classes (left, right) for each place."""
+def _single_classes(grid: np.ndarray) -> np.ndarray:
+    """The class of a word that stands in one place, by the classes left and right of it there."""
+    k = len(grid)
+    near = np.zeros((k, 2 * k))
+    near[:, k:] = np.eye(k)
+    out = np.zeros((k, k), np.uint8)
+    for c in range(k):
+        near[:, :k] = np.arange(k) == c
+        out[c] = affinity(grid, near).argmax(1)
+    return out
+
+
+def _rare_classes(word: np.ndarray, c: np.ndarray, n_words: int, grid: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of the words stands, and its class, from a row of neighbours' classes (left, right) for each place. ``single``: from _single_classes()."""
     wide = 2 * len(grid)
+    n = np.bincount(word, minlength=n_words)
+    tag_of = np.zeros(n_words, np.uint8)
+    once = n[word] == 1
+    tag_of[word[once]] = single[c[once, 0], c[once, 1] - len(grid)]
+    more = np.flatnonzero(n > 1)
+    place = np.zeros(n_words, np.int64)
+    place[more] = np.arange(len(more))
+    word, c, n_words = place[word[~once]], c[~once], len(more)
     order = np.argsort(word, kind="stable")
     word, c = word[order], c[order]
-    n, tag = np.bincount(word, minlength=n_words), np.zeros(n_words, np.uint8)
+    tag = np.zeros(n_words, np.uint8)
     for lo in range(0, n_words, ROWS):
         hi = min(lo + ROWS, n_words)
         mine = slice(*np.searchsorted(word, (lo, hi)))
         near = np.bincount(((word[mine, None] - lo) * wide + c[mine]).reshape(-1), minlength=(hi - lo) * wide).reshape(-1, wide)
         tag[lo:hi] = affinity(grid, near.astype(float)).argmax(1)
-    return n, tag
+    tag_of[more] = tag
+    return n, tag_of
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -615,7 +708,7 @@ def _tagged(texts: DataFrame, words, known, rare: DataFrame, unseen: int, packs:
         s, (of, log_count) = Symbols(words.value), known.value
         classes, log_count = np.r_[of, NONE].astype(np.uint8), np.r_[log_count, 0.0]
         for b in rows_by_bytes(batches, "text", SLICE_BYTES):
-            now, text, _ = s.read(b.column(4).cast(pa.binary()).to_pylist())
+            now, text, _ = s.read(b.column(4))
             begins = np.searchsorted(text, np.arange(b.num_rows))
             total = lambda v: np.bincount(text, weights=v, minlength=b.num_rows)  # noqa: B023, E731
             columns = [*b.columns[:4], pa.array(np.bincount(text, minlength=b.num_rows)), pa.array(total(now < s.n).astype(np.int64)), pa.array(total(log_count[now])), _binaries(classes[now], begins)]
