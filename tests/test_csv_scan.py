@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from veilspark.plans import queries
 from veilspark.sources import csv_scan
 from veilspark.sources.csv_scan import Lines
 
@@ -105,3 +106,14 @@ def test_odd_files(spark, tmp_path, small_pieces):
     (tmp_path / "other.csv").write_bytes(b"c,d\n1,2\n")
     with pytest.raises(ValueError):
         csv_scan.read_csv(spark, [str(tmp_path / "head.csv"), str(tmp_path / "other.csv")])
+
+
+def test_empty_cells_in_quotes_are_no_nulls(spark, tmp_path, small_pieces):
+    (tmp_path / "f.csv").write_bytes(b'a,b,c\n1,"",\n2,,""\n"","",""\n,,\n"",x\n')
+    rows = [tuple(r) for r in csv_scan.read_csv(spark, str(tmp_path / "f.csv")).collect()]
+    assert rows == [("1", "", None), ("2", None, ""), ("", "", ""), (None, None, None), ("", "x", None)]
+    odd = [(0, "", "en", 0), (1, None, "en", None), (2, "", "", 0), (3, "a\r\n", None, 3), (None, None, "", None), (5, '"",\n""', "", 6)]
+    spark.createDataFrame(odd, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    text = lambda x: x if x is None else str(x)
+    got = [tuple(r) for r in queries.csv_scan_documents(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted((tuple(map(text, r)) for r in odd), key=str)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,7 +180,7 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> Data
     """CSV with a header, every column a string. Quotes are those of RFC 4180: doubled inside of a quoted cell, signs like others inside of an unquoted one.
 
     The header is a file's first record, which must begin in its first piece; files must have the same. Blank lines are no records. A record of
-    too few cells has nulls, of too many loses them; empty unquoted cells are null. Files without a record give no rows, and no columns if there is no other."""
+    too few cells has nulls, of too many loses them; empty unquoted cells are null, quoted ones are empty. Files without a record give no rows, and no columns if there is no other."""
     if len(sep.encode()) != 1:
         raise ValueError("a separator is one byte")
     rows = records(spark, path, sep)
@@ -192,6 +193,7 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> Data
         raise ValueError(f"files have different headers: {sorted(heads)[:2]}")
     (titles,) = heads
     cells = ", ".join(f"c{i} string" for i in range(len(titles)))
-    options = {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(titles))), "lineSep": "\x00"}
+    none = uuid.uuid4().hex  # what Spark puts for an empty unquoted cell; with the default, an empty text, quoted cells would be null too
+    options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": none, "emptyValue": "", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(titles))), "lineSep": "\x00"}
     split = rows.where(~first).select(F.from_csv(_text(F.col("record")), cells, options).alias("r"))
     return split.select(*[F.col(f"r.c{i}").alias(t or f"_c{i}") for i, t in enumerate(titles)])
