@@ -130,3 +130,70 @@ def test_training_reads_its_texts_once(spark, tmp_path):
     assert [type(s) for s in whole.stages] == [type(s) for s in model.stages]
     cells = lambda p: sorted((r.actual, r.predicted, round(r.confidence, 6)) for r in p.collect())
     assert cells(predicted) == cells(classify.predictions(data.where("test"), whole))
+
+
+def test_packs_of_sessions_are_as_sessions_alone(spark, tmp_path):
+    """Rows in any order, in batches that reach a part of each pack; sessions become idle and open again, late events don't count."""
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    batches = [[(rng.choice(["a", "b", "cé", "", None]) if rng.random() < 0.3 else f"s{rng.randrange(9)}", rng.choice(["active", "closed", None]), start + timedelta(minutes=50 * k, microseconds=rng.randrange(-(10**9), 10**9))) for _ in range(n)] for k, n in enumerate((60, 0, 25, 4, 12))]
+    batches[2] += [("s1", "active", start - timedelta(days=1)), ("new", "active", start - timedelta(days=1)), ("s2", "active", None)]
+    options = {"idle": "30 minutes", "late": "20 minutes"}
+    seen = lambda p: sorted(map(str, spark.read.parquet(f"{p}/out").select("batch", *live.SESSION.replace(",", "").split()[::2]).collect()))
+    alone = run_stream(spark, str(tmp_path / "alone"), batches, **options)
+    packed = run_stream(spark, str(tmp_path / "packed"), batches, packs=3, **options)
+    assert packed == alone and {r.status for r in packed.values()} >= {"idle", "closed"} and "new" not in packed
+    assert seen(tmp_path / "packed") == seen(tmp_path / "alone")
+
+
+def test_a_step_sums_up_a_whole_pack(monkeypatch):
+    """One call for all sessions of a pack, however its rows are cut; what came later counts of equal times."""
+    import pandas as pd
+
+    monkeypatch.setattr(live, "PACK_ROWS", 5)
+    rng = random.Random(6)
+    kept, wait, now, want = [], [], 10_000, {}
+    step = live._pack_step(1000)
+
+    class State:
+        exists = property(lambda self: bool(kept))
+        get = property(lambda self: kept[-1])
+        update = staticmethod(kept.append)
+        setTimeoutTimestamp = staticmethod(wait.append)  # noqa: N815
+        getCurrentWatermarkMs = staticmethod(lambda: now)  # noqa: N815
+
+    for at in range(3):
+        rows = [(f"s{rng.randrange(40)}", rng.choice(["active", "closed"]), 20_000_000 + rng.randrange(10**6)) for _ in range(300)] + [("tie", ["active", "closed", "active"][at], 7)]
+        for s, status, us in rows:
+            was = want.get(s, (None, -1, None, 0))
+            want[s] = (status if us > was[1] or s == "tie" else was[0], max(us, was[1]), max(us, was[2] or 0) if status == "closed" else was[2], was[3] + 1)
+        cuts = [0, 1, 2, 10, 11, 90, 301]
+        parts = [pd.DataFrame(rows[a:b], columns=["session_id", "status", "us"]) for a, b in zip(cuts, cuts[1:])]
+        (out,) = step((0,), iter(parts), State())
+        got = {r.session_id: (r.status, r.newest, None if r.closed == live.NEVER else r.closed, r.n) for r in out.itertuples()}
+        assert got == {s: want[s] for s in {r[0] for r in rows}} and wait[-1] > now
+    now = 10**9
+    (out,) = step((0,), iter([pd.DataFrame()]), State())
+    assert set(out["session_id"]) == {s for s, w in want.items() if w[0] == "active"} and set(out["status"]) == {"idle"}
+    assert list(step((0,), iter([]), State())) == []
+
+
+def test_the_streamed_log_is_taken_in_packs_and_files(spark, tmp_path, monkeypatch):
+    """Many files to a batch, three batches, and steps for packs: one for each session made the time grow with the sessions."""
+    from veilspark.plans import queries
+
+    spark.range(240).selectExpr("id AS event_id", "id % 5 AS user_id", "timestamp_micros(1000000000000 + id * 1000003) AS ts", "'view' AS event_type", "CAST(id % 11 AS DOUBLE) AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "FILE_EVENTS", 30)
+    calls = []
+    updates = live.session_updates
+    monkeypatch.setattr(live, "session_updates", lambda *a: calls.append(a[3]) or updates(*a))
+    made = []
+    paths = queries.scratch
+    monkeypatch.setattr(queries, "scratch", lambda *a: made.append(paths(*a)) or made[-1])
+    got = {r.session_id: tuple(r)[1:] for r in queries.session_stream(spark, str(tmp_path)).collect()}
+    want = {}
+    for i in range(240):
+        n, closed = want.get(f"s{i % 5}-{i % 7}", (0, 0, 0, None))[1::2]
+        us = 10**12 + i * 1000003
+        want[f"s{i % 5}-{i % 7}"] = ("closed" if i % 11 > 5 else "active", n + 1, us, us if i % 11 > 5 else closed)
+    assert got == want and calls == [64] and len(spark.read.parquet(made[0]).inputFiles()) == 9 and spark.read.parquet(made[1]).select("batch").distinct().count() == 3
